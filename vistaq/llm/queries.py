@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, packing
+from . import exact_dedup, line_dedup, mixing, packing, secrets, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op8_warc": warc.op8_warc,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
@@ -14,5 +16,6 @@ QUERIES = {
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
+    "op8_warc": warc.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
