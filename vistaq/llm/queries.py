@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, media, mixing, packing, quality, secrets, warc
+from . import exact_dedup, line_dedup, media, mixing, near_dedup, packing, quality, secrets, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
     "op5_media_columns": media.op5_media_columns,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_warc": warc.op8_warc,
