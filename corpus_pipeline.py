@@ -1,8 +1,69 @@
-"""Placeholder until its stages are in."""
+"""From documents to packed training sequences: five operators, each on all that its predecessor kept."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from vistaq.llm import exact_dedup, mixing, near_dedup, packing, quality
+from vistaq.llm.common import Workspace, read_table
+
+#: What a stage wrote for itself goes once its successor, which reads only its stored result, begins.
+_before: list[Workspace] = []
+
+
+def _workspace(spark: SparkSession, name: str) -> Workspace:
+    while _before:
+        _before.pop().close()
+    _before.append(work := Workspace(spark, name))
+    return work
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores quality.THRESHOLD or more; the others go."""
+    _workspace(spark, "quality")
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, "_score").where(f"_score >= {quality.THRESHOLD}").drop("_score")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    _workspace(spark, "exact")
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near_dedup.drop_near_duplicates(docs, _workspace(spark, "near"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks for."""
+    return mixing.mix(docs, _workspace(spark, "mix"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences."""
+    return packing.pack(docs, _workspace(spark, "pack"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
+#: A classifier is learned on the way, which SQL doesn't express; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; each but the last is stored as Parquet in the shared folder and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    kept = Workspace(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = kept.save(docs, f"stage{k}")
+    return docs

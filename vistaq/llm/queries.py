@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, media, mixing, near_dedup, packing, quality, secrets, warc
+from . import exact_dedup, licenses, line_dedup, media, mixing, near_dedup, packing, quality, secrets, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
     "op5_media_columns": media.op5_media_columns,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_warc": warc.op8_warc,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
