@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vistaq.llm import exact_dedup, mixing, near_dedup, packing, quality
-from vistaq.llm.common import Workspace, read_table
+from vistaq.llm.common import Workspace, read_table, row_of, unpacked
 
 #: What a stage wrote for itself goes once its successor, which reads only its stored result, begins.
 _before: list[Workspace] = []
@@ -22,7 +22,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier scores quality.THRESHOLD or more; the others go."""
     _workspace(spark, "quality")
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "_score").where(f"_score >= {quality.THRESHOLD}").drop("_score")
+    scored = quality.score(docs.select(row_of(docs), "text"), model)
+    return unpacked(scored.where(f"score >= {quality.THRESHOLD}"), docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,53 @@
+"""The registered queries and the pipeline over the smallest tables."""
+
+import os
+
+import pytest
+
+import __spark_entry__
+import corpus_pipeline
+from vistaq.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_registered():
+    names = __spark_entry__.queries()
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    want = con.sql(queries.SQL[name])
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    assert sorted(map(repr, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(repr, want.select(", ".join(columns)).fetchall()))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before, kept = docs, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        at = f"{os.environ.get('TMPDIR', '/tmp')}/vistaq-test-{os.getpid()}-{k}"
+        out = stage(spark, before, SF)
+        if k < 4:
+            assert out.columns == docs.columns
+        out.write.mode("overwrite").parquet(at)
+        before = spark.read.parquet(at)
+        kept.append(before)
+    good, exact, near, mixed, packed = kept
+    assert good.count() < docs.count() and exact.count() == good.select("text").distinct().count()
+    assert near.join(exact, "doc_id", "left_anti").isEmpty() and near.count() <= exact.count()
+    assert mixed.select("doc_id").distinct().join(near, "doc_id", "left_anti").isEmpty()
+    assert packed.where("piece = 0").count() == mixed.count()
+    whole = corpus_pipeline.run(spark, SF)
+    assert sorted(map(repr, whole.drop("sequence_id", "offset").collect())) == sorted(map(repr, packed.drop("sequence_id", "offset").collect()))

@@ -52,6 +52,15 @@ class Workspace:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def row_of(df: DataFrame):
+    """All columns of df as one struct, named row: operators that hand rows on keep them there, apart from columns of their own."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*(F.col("row").getField(c).alias(c) for c in columns))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

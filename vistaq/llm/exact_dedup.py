@@ -52,12 +52,12 @@ def drop_exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     empty; the kept row has its own text back, null or empty.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    row = F.struct("doc_id", F.col("text").isNotNull().alias("_has"), *(F.col(f"`{c}`") for c in rest))
+    row = F.struct("doc_id", F.col("text").isNotNull().alias("has"), *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest")] if rest else []))
     rows = docs.select(F.coalesce("text", F.lit("")).alias("_text"), row.alias("_row")).withColumn("_digest", sha256(F.col("_text")))
     local = rows.withColumn("_salt", F.spark_partition_id() % salts).groupBy("_digest", "_salt", "_text").agg(F.max("_row").alias("_row"))
     kept = local.groupBy("_digest", "_text").agg(F.max("_row").alias("_row"))
-    back = {"text": F.when(F.col("_row._has"), F.col("_text"))}
-    return kept.select(*(back[c].alias(c) if c in back else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    back = {"text": F.when(F.col("_row.has"), F.col("_text")), "doc_id": F.col("_row.doc_id")}
+    return kept.select(*((back[c] if c in back else F.col("_row.rest").getField(c)).alias(c) for c in docs.columns))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

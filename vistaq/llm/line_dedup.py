@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, read_table, ship
+from .common import Workspace, read_table, row_of, ship
 
 MIN_DOCS, MIN_CHARS = 10, 1
 _FOUND = "h1 long, h2 long, doc binary, pos int, first boolean, docs long, open boolean"
@@ -145,17 +145,17 @@ def keep_bitmaps(docs: DataFrame, work: Workspace, min_docs: int = MIN_DOCS, min
 
 
 def drop_lines(docs: DataFrame, work: Workspace, **how) -> DataFrame:
-    """docs with n_lines, n_dropped, keep (the bitmap, null where nothing goes) and kept_text."""
+    """docs with n_lines, n_dropped, keep (the bitmap, null where nothing goes) and kept_text, in place of columns of these names."""
     lost = keep_bitmaps(docs, work, **how)
-    keyed = docs.withColumn("doc", doc_key(F.col("doc_id"), F.col("text")))
+    keyed = docs.select(row_of(docs), "text", doc_key(F.col("doc_id"), F.col("text")).alias("doc"))
     both = keyed.join(lost, "doc", "left").withColumn("_lines", lines(F.col("text")))
     both = both.withColumn("_bits", F.when(F.col("keep").isNotNull(), F.pandas_udf(_unpacked, "array<boolean>")("keep")))
     kept = F.when(F.col("_bits").isNull(), F.coalesce("text", F.lit(""))).otherwise(
         F.array_join(F.filter("_lines", lambda _, i: F.coalesce(F.get("_bits", i), F.lit(True))), "\n"))
     gone = F.size(F.filter("_bits", lambda k: ~k))
-    return both.withColumns({
-        "n_lines": F.size("_lines").cast("long"), "n_dropped": F.when(F.col("_bits").isNull(), 0).otherwise(gone).cast("long"), "kept_text": kept,
-    }).drop("doc", "_lines", "_bits")
+    made = {"n_lines": F.size("_lines").cast("long"), "n_dropped": F.when(F.col("_bits").isNull(), 0).otherwise(gone).cast("long"), "keep": F.col("keep"), "kept_text": kept}
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in made]
+    return both.select(*own, *(v.alias(k) for k, v in made.items()))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

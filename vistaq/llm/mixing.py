@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Workspace, broadcast_if_small, hot_keys, read_table, salted_join
+from .common import SPACE, Workspace, broadcast_if_small, hot_keys, read_table, row_of, salted_join, unpacked
 
 #: Weights dealt to the sources in the order of their names.
 WEIGHTS = (5, 2, 1)
@@ -54,7 +54,8 @@ def mix_counts(docs: DataFrame, work: Workspace, weights: tuple[int, ...] = WEIG
     """docs with _size, source_size, target and _copies: floor(rate), plus 1 where the document's draw is below the rest.
 
     Null texts have size 0; the null source is a source, last in the order. Sources without a word have target 0. Rows of
-    the same doc_id get the same draw. An empty table gives none. Columns of docs with other names pass through.
+    the same doc_id get the same draw. An empty table gives none. Other columns of docs pass through, if their names
+    aren't those made here; mix keeps any.
     """
     sized = docs.withColumn("_size", size(F.col("text")))
     sizes = sized.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
@@ -75,8 +76,8 @@ def mix_counts(docs: DataFrame, work: Workspace, weights: tuple[int, ...] = WEIG
 
 def mix(docs: DataFrame, work: Workspace, **how) -> DataFrame:
     """The mixed corpus: each document _copies times, with the columns of docs."""
-    counted = mix_counts(docs, work, **how).where("_copies > 0")
-    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    counted = mix_counts(docs.select(row_of(docs), "doc_id", "text", "source"), work, **how).where("_copies > 0")
+    return unpacked(counted.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))), docs.columns)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, hot_keys, read_table, salted_join, ship
+from .common import Workspace, hot_keys, read_table, row_of, salted_join, ship, unpacked
 
 SHINGLE, SIMILAR = 5, 0.8
 #: At similarity 0.8 some band of 16 agrees in its 4 samples with probability 0.9998.
@@ -359,9 +359,9 @@ def drop_near_duplicates(docs: DataFrame, work: Workspace, similar: float = SIMI
     groups = near_groups(docs, work, similar)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     words = F.regexp_like(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
-    keyed = docs.withColumn("_key0", F.when(F.coalesce(words, F.lit(False)), F.md5("text")).otherwise("no word"))
+    keyed = docs.select(row_of(docs), "doc_id", F.when(F.coalesce(words, F.lit(False)), F.md5("text")).otherwise("no word").alias("_key0"))
     out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key0") == F.col("_key")))
-    return out.select(*docs.columns)
+    return unpacked(out, docs.columns)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
