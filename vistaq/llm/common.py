@@ -70,16 +70,17 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str, share: int = 256) -> DataFrame:
-    """Keys that hold more than a 1/share of all rows counted in n: fewer than share of them, whatever the input."""
+def hot_keys(counts: DataFrame, key: str, n: str, share: int = 256) -> list:
+    """Values of key that hold more than a 1/share of all rows counted in n: fewer than share of them, whatever the input, so they can be told to all tasks."""
     total = counts.agg(F.sum(n)).first()[0] or 0
-    return counts.where(F.col(n) > max(1, total // share)).select(*keys)
+    return [r[0] for r in counts.where(F.col(n) > max(1, total // share)).select(key).collect()]
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread: str, how: str = "inner", salts: int = 16) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list, spread: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """Joins many left rows to one right row per key. Rows of hot keys (see hot_keys) are dealt to salts partitions by the column spread, and the right row is repeated for each."""
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    by = F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int")
-    a = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), by).otherwise(F.lit(0))).drop("_hot")
-    b = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    a = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+    b = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return a.join(b, [key, "_salt"], how).drop("_salt")

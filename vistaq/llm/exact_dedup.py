@@ -34,8 +34,8 @@ def exact_groups(docs: DataFrame, work: Workspace, digest: Callable[[Column], Co
     groups = winners.groupBy("_digest").agg(F.count(F.lit(1)).alias("_texts"), F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     groups = work.save(groups, "groups")
     one = groups.where("_texts = 1").drop("_texts")
-    hot = hot_keys(groups.select("_digest", "group_size"), ["_digest"], "group_size")
-    out = salted_join(rows.select("doc_id", "_digest", sha256(F.col("_text")).alias("text_sha256")), one, ["_digest"], hot, "doc_id")
+    hot = hot_keys(groups, "_digest", "group_size")
+    out = salted_join(rows.select("doc_id", "_digest", sha256(F.col("_text")).alias("text_sha256")), one, "_digest", hot, "doc_id")
     shared = groups.where("_texts > 1").select("_digest")
     if not shared.isEmpty():
         several = rows.join(shared, "_digest", "left_semi")

@@ -68,7 +68,7 @@ def mix_counts(docs: DataFrame, work: Workspace, weights: tuple[int, ...] = WEIG
     if targets.limit(10_001).count() <= 10_000:
         out = left.join(broadcast_if_small(right), "_source")
     else:
-        out = salted_join(left, right, ["_source"], hot_keys(sizes.select(key, "_n"), ["_source"], "_n"), "doc_id")
+        out = salted_join(left, right, "_source", hot_keys(sizes.select(key, "_n"), "_source", "_n"), "doc_id")
     rest = F.col("rate") - F.floor("rate")
     copies = F.floor("rate") + F.when(draw(F.col("doc_id"), seed) < rest, 1).otherwise(0)
     return out.withColumn("_copies", copies.cast("int")).drop("_source", "rate")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,10 @@ DF_BITS, DF_BLOCKS = 18, 64
 PROMISING = 0.55
 #: Rows of a bucket that are compared with one another in one task.
 BLOCK = 1024
+_CELL = "bucket long, band int, i int, j int, side int, node long, comp long, sig binary, bands array<long>"
+_CELL_COLUMNS = [c.split()[0] for c in _CELL.split(", ")]
+#: Links that a task of the search for components takes.
+LINKS = 250_000
 _SIGNATURE = "doc_id long, key string, bands array<long>, sig binary"
 
 
@@ -101,26 +106,26 @@ class Sampler:
     r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1), t = floor(ln s / r + b) and ln a = ln c - r (t - b + 1); two sets take the same
     (shingle, t) with probability their weighted Jaccard similarity. The variates come from tables by a hash of shingle and k."""
 
-    SIZE = 15
+    #: Bits of the hash that choose variates: few enough that the tables stay in a core's cache. Shingles that share all of
+    #: them take their turn by hash.
+    SIZE = 12
 
     def __init__(self, samples: int = SAMPLES, seed: int = 7):
         g = np.random.default_rng(seed)
         n = 1 << self.SIZE
-        r = g.gamma(2, 1, n)
-        self.r, self.per_r = r.astype(np.float32), (1 / r).astype(np.float32)
-        self.log_c, self.b = np.log(g.gamma(2, 1, n)).astype(np.float32), g.random(n).astype(np.float32)
-        self.factors = (g.integers(0, 1 << 63, samples, np.uint64) << np.uint64(1)) | np.uint64(1)
+        r, c, b = g.gamma(2, 1, n), g.gamma(2, 1, n), g.random(n)
+        self.r, self.per_r, self.b, self.d = (x.astype(np.float32) for x in (r, 1 / r, b, np.log(c) + r * (b - 1)))  # ln a = d - r t
+        self.factors = g.integers(0, 1 << 31, samples, np.uint32) * np.uint32(2) + np.uint32(1)
 
     def __call__(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """An identifier of each sample."""
-        k = np.arange(len(self.factors))
+        k, short = np.arange(len(self.factors)), (hashes >> np.uint64(20)).astype(np.uint32)
         best, ids = np.full(len(k), np.inf, np.float32), np.zeros(len(k), np.uint64)
-        for low in range(0, len(hashes), 4096):
-            h, logs = hashes[low : low + 4096], np.log(weights[low : low + 4096])
-            at = ((h[None, :] * self.factors[:, None]) >> np.uint64(64 - self.SIZE)).astype(np.int32)
-            b, r = self.b[at], self.r[at]
-            t = np.floor(logs[None, :] * self.per_r[at] + b)
-            a = self.log_c[at] - r * (t - b + 1)
+        for low in range(0, len(hashes), 2048):
+            h, logs = hashes[low : low + 2048], np.log(weights[low : low + 2048])
+            at = ((short[None, low : low + 2048] * self.factors[:, None]) >> np.uint32(32 - self.SIZE)).astype(np.intp)
+            t = np.floor(self.per_r.take(at, mode="clip") * logs + self.b.take(at, mode="clip"))
+            a = self.d.take(at, mode="clip") - self.r.take(at, mode="clip") * t
             i = a.argmin(1)
             found = a[k, i]
             own = _mix(h[i] ^ (t[k, i].astype(np.int64).astype(np.uint64) * _P))
@@ -208,24 +213,64 @@ def _agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series((a == b).mean(1))
 
 
-def _promising(block: pd.DataFrame) -> pd.DataFrame:
-    """Rows of a cell that have a promising partner of another component, one of the two being left over."""
-    left, right = block[block["side"] == 0], block[block["side"] == 1]
-    hit_left, hit_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
-    if len(left) and len(right):
-        b = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(len(right), -1)
-        nodes, comps = right["node"].to_numpy(), right["comp"].to_numpy()
-        for i, (sig, node, comp) in enumerate(zip(left["sig"], left["node"], left["comp"], strict=True)):
-            ok = ((b == np.frombuffer(sig, np.uint8)).mean(1) >= PROMISING) & (nodes != node) & (comps != comp)
-            hit_left[i] = ok.any()
-            hit_right |= ok
-    return pd.concat([left[hit_left], right[hit_right]])[["bucket", "i", "j", "side", "node", "comp", "sig"]]
+class _Rows:
+    """Rows of cells as arrays, in the order of cell and side."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.side, self.band, self.node, self.comp = (rows[c].to_numpy() for c in ("side", "band", "node", "comp"))
+        self.sigs = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+        self.bands = np.concatenate(rows["bands"].to_numpy()).reshape(len(rows), -1) if len(rows) else np.zeros((0, BANDS), np.int64)
+
+    def partners(self, i: int, low: int, high: int) -> np.ndarray:
+        """Which of the rows from low to high the left-over row i is to be compared with: promising ones of other components that it shares no earlier band with, since these meet there."""
+        ok = (self.node[low:high] != self.node[i]) & (self.comp[low:high] != self.comp[i])
+        if ok.any():
+            ok &= (self.sigs[low:high] == self.sigs[i]).sum(1) >= PROMISING * self.sigs.shape[1]
+        if ok.any():
+            before = int(self.band[i])
+            ok &= ~(self.bands[low:high, :before] == self.bands[i, :before]).any(1)
+        return ok
+
+
+def _promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Over a partition sorted by cell and side: the rows that have a partner in their cell. No more than a batch and a cell are held."""
+    held = None
+    for pdf in chain(batches, [None]):
+        rows = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if rows is None or not len(rows):
+            continue
+        cell = rows[["bucket", "i", "j"]].to_numpy()
+        cuts = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
+        starts = [0, *cuts.tolist(), len(rows)]
+        if pdf is not None:  # the last cell may go on
+            held = rows.iloc[starts[-2] :].reset_index(drop=True)
+            rows, starts = rows.iloc[: starts[-2]], starts[:-1]
+        data, hit = _Rows(rows), np.zeros(len(rows), bool)
+        for low, high in zip(starts, starts[1:]):
+            first = low + int((data.side[low:high] == 0).sum())
+            if first == high:
+                continue
+            for i in range(low, first):
+                ok = data.partners(i, first, high)
+                if ok.any():
+                    hit[i] = True
+                    hit[first:high] |= ok
+        yield rows.loc[hit, _CELL_COLUMNS]
+
+
+def similarities(one: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of one with each of the sets that begin at starts of the joined hashes and weights; none of them is empty."""
+    at = np.minimum(np.searchsorted(one[0], hashes), len(one[0]) - 1)
+    both = np.add.reduceat(np.where(one[0][at] == hashes, np.minimum(one[1][at], weights), 0).astype(np.float64), starts)
+    return both / (one[1].sum(dtype=np.float64) + np.add.reduceat(weights.astype(np.float64), starts) - both)
 
 
 def _link(shared, similar: float):
     """Edges that join components within a cell: as many as unions, not as pairs."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["side", "node"])
+        rows, out, first = _Rows(block), [], int((block["side"] == 0).sum())
         vectors = {n: weighted(t, shared.value) for n, t in zip(block["node"], block["text"], strict=True)}
         root: dict[int, int] = {}
 
@@ -234,18 +279,19 @@ def _link(shared, similar: float):
                 root[x] = x = root[root[x]]
             return x
 
-        left, right, out = block[block["side"] == 0], block[block["side"] == 1], []
-        if len(left) and len(right):
-            b = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(len(right), -1)
-            nodes, comps = right["node"].tolist(), right["comp"].tolist()
-            for sig, node, comp in zip(left["sig"], left["node"], left["comp"], strict=True):
-                alike = (b == np.frombuffer(sig, np.uint8)).mean(1)
-                for k in np.argsort(-alike, kind="stable"):
-                    if alike[k] < PROMISING:
-                        break
-                    if find(comp) != find(comps[k]) and similarity(vectors[node], vectors[nodes[k]]) >= similar:
-                        root[find(comp)] = find(comps[k])
-                        out.append((node, nodes[k]))
+        for i in range(first):
+            node, comp = int(rows.node[i]), int(rows.comp[i])
+            some = np.flatnonzero(rows.partners(i, first, len(block))) + first
+            some = np.array([k for k in some if find(int(rows.comp[k])) != find(comp)], int)
+            if not len(some):
+                continue
+            parts = [vectors[n] for n in rows.node[some]]
+            starts = np.cumsum([0, *(len(h) for h, _ in parts[:-1])])
+            alike = similarities(vectors[node], np.concatenate([h for h, _ in parts]), np.concatenate([w for _, w in parts]), starts)
+            for k in some[alike >= similar]:
+                if find(int(rows.comp[k])) != find(comp):
+                    root[find(comp)] = find(int(rows.comp[k]))
+                    out.append((node, int(rows.node[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -257,22 +303,25 @@ def _link(shared, similar: float):
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """(node, comp) for the nodes of edges (a, b), comp being the smallest node: large stars and small stars in turn, until nothing changes. Hubs are salted."""
 
-    def stars(e: DataFrame, large: bool) -> DataFrame:
+    tasks = lambda n: max(1, -(-n // LINKS))  # noqa: E731  as the links become fewer, so do the tasks
+
+    def stars(e: DataFrame, n: int, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = work.save(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        hubs = hot_keys(least.select("u", "n"), ["u"], "n")
-        joined = salted_join(both, least.select("u", F.least("u", "m").alias("m")), ["u"], hubs, "v")
+        least = work.save(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).coalesce(tasks(n)), "least")
+        hubs = hot_keys(least, "u", "n")
+        joined = salted_join(both, least.select("u", F.least("u", "m").alias("m")), "u", hubs, "v")
         if large:
-            return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        return joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+            return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks(n))
+        rest = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks(n))
 
     def digest(e: DataFrame):
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     e = work.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = digest(e)
-    while before[0]:
-        e = work.save(stars(work.save(stars(e, True), "large"), False), "small")
+    while n := before[0]:
+        e = work.save(stars(work.save(stars(e, n, True), "large"), n, False), "small")
         if (now := digest(e)) == before:
             break
         before = now
@@ -285,7 +334,8 @@ def near_groups(docs: DataFrame, work: Workspace, similar: float = SIMILAR) -> D
     Classes are the connected components of links between texts whose weighted Jaccard similarity is similar or more and
     that share a band. Equal texts are one node. In each bucket every node is compared with the bucket's first; the nodes
     that this leaves over are compared, in blocks, with all nodes of the bucket that are in other components, so groups
-    with one hub never make pairs, and no link between components that share a bucket is passed by. class_id is the
+    with one hub never make pairs, and no link between components that share a bucket is passed by; a pair that shares several
+    buckets is compared in that of the first band. class_id is the
     smallest doc_id, keep_id and keep_key tell the row that stays.
 
     Texts without a word, null and empty ones included, are one class. Null ids come after all others. Rows that repeat
@@ -300,11 +350,11 @@ def near_groups(docs: DataFrame, work: Workspace, similar: float = SIMILAR) -> D
     nodes = signed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = work.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
+    entries = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))  # the bucket tells the band
     buckets = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = work.save(buckets, "buckets")
-    star = salted_join(entries, buckets.select("bucket", "leader"), ["bucket"], hot_keys(buckets.select("bucket", "n"), ["bucket"], "n"), "node")
-    star = work.save(star.select("bucket", "node", "leader"), "star")  # the leaders are in it too
+    star = salted_join(entries, buckets.select("bucket", "leader"), "bucket", hot_keys(buckets, "bucket", "n"), "node")
+    star = work.save(star.select("bucket", "band", "node", "leader"), "star")  # the leaders are in it too
     met = work.save(star.select("node").distinct().join(nodes.select("node", "key", "low"), "node"), "met")
     md5 = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text").alias("d")
     texts = md5.join(met.alias("m"), (F.col("d.key") == F.col("m.key")) & F.col("d.doc_id").eqNullSafe(F.col("m.low")))
@@ -313,13 +363,13 @@ def near_groups(docs: DataFrame, work: Workspace, similar: float = SIMILAR) -> D
     # every node against the first of its buckets
     pairs = work.save(star.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     heads = work.save(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "heads")
-    hubs = work.save(hot_keys(heads, ["b"], "n"), "hubs")
+    hubs = hot_keys(heads, "b", "n")
     alike = F.pandas_udf(_agreeing, "double")
     signs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-    signs = salted_join(signs, nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), ["b"], hubs, "a")
+    signs = salted_join(signs, nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b", hubs, "a")
     pairs = work.save(signs.where(alike("sig_a", "sig_b") >= PROMISING).select("a", "b"), "promising")
     told = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    told = salted_join(told, texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), ["b"], hubs, "a")
+    told = salted_join(told, texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b", hubs, "a")
     edges = work.save(told.sortWithinPartitions("b").mapInPandas(_verify(shared, similar), "a long, b long"), "verified")
 
     # what is left over, against the rest of its buckets
@@ -330,14 +380,14 @@ def near_groups(docs: DataFrame, work: Workspace, similar: float = SIMILAR) -> D
     member = work.save(member, "member")
     open_buckets = member.groupBy("bucket").agg(F.max("left_over").alias("some"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"))
     open_buckets = work.save(open_buckets.where("some and c0 <> c1").select("bucket", "n"), "open")
-    inside = salted_join(member, open_buckets.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["bucket"], hot_keys(open_buckets, ["bucket"], "n"), "node")
-    inside = inside.join(nodes.select("node", "sig"), "node")
+    inside = salted_join(member, open_buckets.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket", hot_keys(open_buckets, "bucket", "n"), "node")
+    inside = inside.join(nodes.select("node", "sig", "bands"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = inside.where("left_over").select("bucket", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), "node", "comp", "sig")
-    cells = cells.unionByName(inside.select("bucket", every.alias("i"), own.alias("j"), F.lit(1).alias("side"), "node", "comp", "sig"))
-    cell_type = "bucket long, i int, j int, side int, node long, comp long, sig binary"
-    rest = work.save(cells.groupBy("bucket", "i", "j").applyInPandas(_promising, cell_type), "rest")
+    cells = inside.where("left_over").select("bucket", "band", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), "node", "comp", "sig", "bands")
+    cells = cells.unionByName(inside.select("bucket", "band", every.alias("i"), own.alias("j"), F.lit(1).alias("side"), "node", "comp", "sig", "bands"))
+    dealt = cells.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    rest = work.save(dealt.mapInPandas(_promising, _CELL), "rest")
     more = rest.join(texts, "node").groupBy("bucket", "i", "j").applyInPandas(_link(shared, similar), "a long, b long")
     more = work.save(more, "more")
     if not more.isEmpty():
@@ -348,19 +398,22 @@ def near_groups(docs: DataFrame, work: Workspace, similar: float = SIMILAR) -> D
     last = F.struct(F.col("low").isNull().alias("none"), "low", "key")
     classes = labelled.groupBy("comp").agg(F.sum("n").alias("class_size"), F.min(last).alias("first"), F.count(F.lit(1)).alias("nodes"))
     classes = work.save(classes.select("comp", "class_size", "nodes", F.col("first.low").alias("keep_id"), F.col("first.key").alias("keep_key")), "classes")
-    labelled = salted_join(labelled, classes.drop("nodes"), ["comp"], hot_keys(classes.select("comp", "nodes"), ["comp"], "nodes"), "node")
+    labelled = salted_join(labelled, classes.drop("nodes"), "comp", hot_keys(classes, "comp", "nodes"), "node")
     labelled = work.save(labelled.select("key", "n", "class_size", "keep_id", "keep_key"), "classed")
-    out = salted_join(signed.select("doc_id", "key"), labelled.drop("n"), ["key"], hot_keys(labelled.select("key", "n"), ["key"], "n"), "doc_id")
+    out = salted_join(signed.select("doc_id", "key"), labelled.drop("n"), "key", hot_keys(labelled, "key", "n"), "doc_id")
     return out.select("doc_id", "key", F.col("keep_id").alias("class_id"), "class_size", "keep_id", "keep_key")
 
 
 def drop_near_duplicates(docs: DataFrame, work: Workspace, similar: float = SIMILAR) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id, and of rows that repeat it one."""
     groups = near_groups(docs, work, similar)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    mine = groups.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key")))
+    kept = work.save(mine.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n")), "kept")
     words = F.regexp_like(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     keyed = docs.select(row_of(docs), "doc_id", F.when(F.coalesce(words, F.lit(False)), F.md5("text")).otherwise("no word").alias("_key0"))
     out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key0") == F.col("_key")))
+    if not kept.where("_n > 1").isEmpty():  # rows that repeat: the least of them by all columns
+        out = out.groupBy("_id", "_key").agg(F.min("row").alias("row"))
     return unpacked(out, docs.columns)
 
 

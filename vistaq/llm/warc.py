@@ -81,8 +81,8 @@ def write_archives(pages: DataFrame, work: Workspace, revisit_bytes: int = REVIS
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.sha2(html, 256).alias("_same"), F.octet_length(html).alias("_n"))
     groups = rows.where(F.col("_n") >= revisit_bytes).groupBy("_same").agg(F.max("page_id").alias("_keep"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
     groups = work.save(groups, "copies")
-    hot = hot_keys(groups.select("_same", "_rows"), ["_same"], "_rows")
-    both = salted_join(rows, groups.select("_same", "_keep"), ["_same"], hot, "page_id", "left")
+    hot = hot_keys(groups, "_same", "_rows")
+    both = salted_join(rows, groups.select("_same", "_keep"), "_same", hot, "page_id", "left")
     revisits = F.col("_keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_keep"))
     both = both.select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("page"), "url", "html", "digest", F.when(revisits, F.col("_keep").cast("string")).alias("keep"))
     root = work.path("warc")
