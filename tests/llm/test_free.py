@@ -193,7 +193,7 @@ def test_salvage_recovers_what_follows_damage():
         good = list(warc.salvage(whole))
         assert [w["record_id"] for *_, w in good] == [f"urn:page:{i}" for i in range(6)] and all(r is None for _, _, r, _ in good)
         start, size = len(kind[0] + kind[1]), len(kind[2])
-        for flip in (0, 5, size // 2, size - 3):
+        for flip in (0, 3, size // 2, size - 3):
             broken = bytearray(whole)
             broken[start + flip] ^= 0x55
             found = list(warc.salvage(bytes(broken)))
@@ -267,6 +267,13 @@ def test_near_groups(spark, seed):
     assert near_dedup.near_groups(frame(spark, []), Workspace(spark, "t")).count() == 0
 
 
+def test_a_row_repeated_often_is_one_node(spark):
+    rows = awkward(2)[:40] + [(77, "one two three four five six seven eight nine ten " * 3, "en", "s", 0)] * 900
+    rows += [(78, rows[-1][1] + "eleven", "en", "s", 0), (None, rows[-1][1], None, None, None)]
+    got = near_dedup.near_groups(frame(spark, rows), Workspace(spark, "t"))
+    assert as_set(got.select("doc_id", "class_id", "class_size")) == brute_near(rows)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(a, r.randrange(a)) for a in range(1, 200) if a % 17] + [(500 + i, 500 + i + 1) for i in range(40)] + [(7, 7)]

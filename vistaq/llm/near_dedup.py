@@ -334,9 +334,9 @@ def near_groups(docs: DataFrame, work: Workspace, similar: float = SIMILAR) -> D
     Classes are the connected components of links between texts whose weighted Jaccard similarity is similar or more and
     that share a band. Equal texts are one node. In each bucket every node is compared with the bucket's first; the nodes
     that this leaves over are compared, in blocks, with all nodes of the bucket that are in other components, so groups
-    with one hub never make pairs, and no link between components that share a bucket is passed by; a pair that shares several
-    buckets is compared in that of the first band. class_id is the
-    smallest doc_id, keep_id and keep_key tell the row that stays.
+    with one hub never make pairs, and no link between components that share a bucket is passed by; a pair that shares
+    several buckets is compared in that of the first band. class_id is the smallest doc_id; keep_id and keep_key tell the
+    row that stays.
 
     Texts without a word, null and empty ones included, are one class. Null ids come after all others. Rows that repeat
     belong together. An empty table gives none; other columns are not looked at.
@@ -358,7 +358,10 @@ def near_groups(docs: DataFrame, work: Workspace, similar: float = SIMILAR) -> D
     met = work.save(star.select("node").distinct().join(nodes.select("node", "key", "low"), "node"), "met")
     md5 = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text").alias("d")
     texts = md5.join(met.alias("m"), (F.col("d.key") == F.col("m.key")) & F.col("d.doc_id").eqNullSafe(F.col("m.low")))
-    texts = work.save(texts.select("node", "text"), "texts")
+    texts = texts.select("node", "text")
+    if not signed.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        texts = texts.dropDuplicates(["node"])  # rows that repeat id and text bring a text once each
+    texts = work.save(texts, "texts")
 
     # every node against the first of its buckets
     pairs = work.save(star.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
