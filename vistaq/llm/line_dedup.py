@@ -124,7 +124,9 @@ def keep_bitmaps(docs: DataFrame, work: Workspace, min_docs: int = MIN_DOCS, min
     """
     spark = work.spark
     ship(spark)
-    each = docs.select(doc_key(F.col("doc_id"), F.col("text")).alias("doc"), F.posexplode(lines(F.col("text"))).alias("pos", "line"))
+    # the key is made before the lines are dealt out, once a document
+    each = docs.select(doc_key(F.col("doc_id"), F.col("text")).alias("doc"), lines(F.col("text")).alias("_lines"))
+    each = each.select("doc", F.posexplode("_lines").alias("pos", "line"))
     each = each.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     digest = F.md5("key")
     half = lambda a: F.conv(F.substring(digest, a, 15), 16, 10).cast("long")
