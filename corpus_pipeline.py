@@ -19,11 +19,11 @@ def _workspace(spark: SparkSession, name: str) -> Workspace:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores quality.THRESHOLD or more; the others go."""
+    """Documents that the classifier scores quality.REJECT or more; the others go."""
     _workspace(spark, "quality")
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
     scored = quality.score(docs.select(row_of(docs), "text"), model)
-    return unpacked(scored.where(f"score >= {quality.THRESHOLD}"), docs.columns)
+    return unpacked(scored.where(f"score >= {quality.REJECT}"), docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,11 @@ WIDTH, EMBED, FILTERS, STRIDE = 8, 8, 24, 2
 CHUNK = 256
 #: Labelled rows that are learned from, at most, and bytes of their texts together.
 TRAIN_ROWS, TRAIN_BYTES = 4_000, 16 << 20
-EPOCHS, BATCH, RATE = 5, 32, 0.01
+#: Passes over the training rows, and the steps that fewer rows are gone over again for.
+EPOCHS, STEPS, BATCH, RATE = 5, 400, 32, 0.01
 THRESHOLD = 0.7
+#: A filter drops what scores less: with doubt, a document stays.
+REJECT = 0.5
 
 
 class ByteCNN:
@@ -82,12 +85,13 @@ class ByteCNN:
             out.append(float(np.concatenate([sums / n, tops]) @ self.out + self.out_bias[0]))
         return 1 / (1 + np.exp(-np.array(out)))
 
-    def fit(self, texts: list[str | None], labels: list[int], seed: int = 0, epochs: int = EPOCHS) -> ByteCNN:
-        """Adam on the log loss. A maximum passes its gradient to the position that it came from."""
+    def fit(self, texts: list[str | None], labels: list[int], seed: int = 0, epochs: int = EPOCHS, steps: int = STEPS) -> ByteCNN:
+        """Adam on the log loss, for epochs and at least steps. A maximum passes its gradient to the position that it came from."""
         r, data = np.random.default_rng(seed), [self.positions(t) for t in texts]
         y = np.array(labels, np.float32)
         self.out_bias[0] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)) if len(y) else 0
         first, second, step = [np.zeros_like(p) for p in self.parameters()], [np.zeros_like(p) for p in self.parameters()], 0
+        epochs = max(epochs, -(-steps * BATCH // max(1, len(data)))) if data else 0
         for epoch in range(epochs):
             order = r.permutation(len(data))
             for low in range(0, len(order), BATCH):
