@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import inside, map_key, norm_dir
+from ..functions.text import map_key, norm_dir
+
 
 def conjunction(*masks: Column | None) -> Column | None:
     """All masks that there are; None if there is none."""
