@@ -149,10 +149,11 @@ def keep_bitmaps(docs: DataFrame, work: Workspace, min_docs: int = MIN_DOCS, min
 def drop_lines(docs: DataFrame, work: Workspace, **how) -> DataFrame:
     """docs with n_lines, n_dropped, keep (the bitmap, null where nothing goes) and kept_text, in place of columns of these names."""
     lost = keep_bitmaps(docs, work, **how)
-    keyed = docs.select(row_of(docs), "text", doc_key(F.col("doc_id"), F.col("text")).alias("doc"))
-    both = keyed.join(lost, "doc", "left").withColumn("_lines", lines(F.col("text")))
+    keyed = docs.select(row_of(docs), doc_key(F.col("doc_id"), F.col("text")).alias("doc"))
+    text = F.col("row").getField("text")  # which goes through the join once, in its row
+    both = keyed.join(lost, "doc", "left").withColumn("_lines", lines(text))
     both = both.withColumn("_bits", F.when(F.col("keep").isNotNull(), F.pandas_udf(_unpacked, "array<boolean>")("keep")))
-    kept = F.when(F.col("_bits").isNull(), F.coalesce("text", F.lit(""))).otherwise(
+    kept = F.when(F.col("_bits").isNull(), F.coalesce(text, F.lit(""))).otherwise(
         F.array_join(F.filter("_lines", lambda _, i: F.coalesce(F.get("_bits", i), F.lit(True))), "\n"))
     gone = F.size(F.filter("_bits", lambda k: ~k))
     made = {"n_lines": F.size("_lines").cast("long"), "n_dropped": F.when(F.col("_bits").isNull(), 0).otherwise(gone).cast("long"), "keep": F.col("keep"), "kept_text": kept}
