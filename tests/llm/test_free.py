@@ -304,6 +304,26 @@ def test_samples_agree_as_often_as_sets_are_alike():
         assert abs((sampler(h, w) == sampler(other[order], w[order])).mean() - j) < 0.08
 
 
+@pytest.mark.parametrize("n", [20_000, 100_000])
+def test_samples_of_long_texts_agree_where_weights_are_uneven(n):
+    r, sampler = np.random.default_rng(n), near_dedup.Sampler()
+    own = int(n * (1 - 0.85) * 1.12 / (1.6 * 2 * 0.85 + 1.12 * (1 - 0.85)))  # what each of two texts has alone, for a similarity of 0.85
+    got = []
+    for _ in range(4):
+        h = r.integers(0, 1 << 63, n + own, dtype=np.uint64)
+        w = np.full(n + own, 1.12, np.float32)
+        w[: 2 * own] = 1.6
+        sides = []
+        for part in (np.r_[0:own, 2 * own : n + own], np.r_[own : n + own]):
+            part = part[np.argsort(h[part])]
+            sides.append((h[part], w[part]))
+        assert abs(near_dedup.similarity(*sides) - 0.85) < 0.01
+        ids = [sampler(*x) for x in sides]
+        assert np.isin(near_dedup.bands(ids[0]), near_dedup.bands(ids[1])).any()
+        got.append((ids[0] == ids[1]).mean())
+    assert min(got) > near_dedup.PROMISING and abs(np.mean(got) - 0.85) < 0.08
+
+
 # ---- packing
 
 

@@ -104,28 +104,41 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 class Sampler:
     """Improved consistent weighted sampling: of shingles with weights s, sample k takes the one of least a, where, with its own
     r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1), t = floor(ln s / r + b) and ln a = ln c - r (t - b + 1); two sets take the same
-    (shingle, t) with probability their weighted Jaccard similarity. The variates come from tables by a hash of shingle and k."""
+    (shingle, t) with probability their weighted Jaccard similarity. The variates are drawn anew for each shingle and sample,
+    from all 64 bits of the shingle's hash, so texts of any length have as many of them as shingles."""
 
-    #: Bits of the hash that choose variates: few enough that the tables stay in a core's cache. Shingles that share all of
-    #: them take their turn by hash.
-    SIZE = 12
+    #: Shingles at a time: what is drawn for them stays in a core's cache.
+    STEP = 256
 
     def __init__(self, samples: int = SAMPLES, seed: int = 7):
-        g = np.random.default_rng(seed)
-        n = 1 << self.SIZE
-        r, c, b = g.gamma(2, 1, n), g.gamma(2, 1, n), g.random(n)
-        self.r, self.per_r, self.b, self.d = (x.astype(np.float32) for x in (r, 1 / r, b, np.log(c) + r * (b - 1)))  # ln a = d - r t
-        self.factors = g.integers(0, 1 << 31, samples, np.uint32) * np.uint32(2) + np.uint32(1)
+        self.keys = np.random.default_rng(seed).integers(0, 1 << 63, (samples, 1), np.uint64)
+
+    def _draw(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r, ln c and b by sample and shingle: Gamma(2, 1) is minus the logarithm of a product of two uniform variates."""
+        x = _mix(hashes[None, :] ^ self.keys)
+        y = x * np.uint64(0xD6E8FEB86659FD93)
+        y ^= y >> np.uint64(32)
+        y *= np.uint64(0xD6E8FEB86659FD93)
+        y ^= y >> np.uint64(32)
+        b = ((x * np.uint64(0xA0761D6478BD642F)) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
+
+        def gamma(bits: np.ndarray) -> np.ndarray:
+            u = bits.view(np.uint32).reshape(*bits.shape, 2).astype(np.float32)
+            u += np.float32(0.5)
+            u *= np.float32(2**-32)
+            return np.maximum(-np.log(u[..., 0] * u[..., 1]), np.float32(1e-7))
+
+        return gamma(x), np.log(gamma(y)), b
 
     def __call__(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """An identifier of each sample."""
-        k, short = np.arange(len(self.factors)), (hashes >> np.uint64(20)).astype(np.uint32)
+        k = np.arange(len(self.keys))
         best, ids = np.full(len(k), np.inf, np.float32), np.zeros(len(k), np.uint64)
-        for low in range(0, len(hashes), 2048):
-            h, logs = hashes[low : low + 2048], np.log(weights[low : low + 2048])
-            at = ((short[None, low : low + 2048] * self.factors[:, None]) >> np.uint32(32 - self.SIZE)).astype(np.intp)
-            t = np.floor(self.per_r.take(at, mode="clip") * logs + self.b.take(at, mode="clip"))
-            a = self.d.take(at, mode="clip") - self.r.take(at, mode="clip") * t
+        for low in range(0, len(hashes), self.STEP):
+            h, logs = hashes[low : low + self.STEP], np.log(weights[low : low + self.STEP])
+            r, ln_c, b = self._draw(h)
+            t = np.floor(logs / r + b)
+            a = ln_c - r * (t - b + np.float32(1))
             i = a.argmin(1)
             found = a[k, i]
             own = _mix(h[i] ^ (t[k, i].astype(np.int64).astype(np.uint64) * _P))
