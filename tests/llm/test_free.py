@@ -210,6 +210,31 @@ def test_salvage_recovers_what_follows_damage():
     assert sum(n for _, n, _, _ in found) == len(mixed) and len([w for *_, w in found if w]) == 3
 
 
+def test_long_urls_are_read_back(spark):
+    rows = [(1, "http://a/" + "x" * 70_000, "page"), (2, "http://b/" + "y" * 200_000, None), (3, "http://c/", "page")]
+    work = Workspace(spark, "t")
+    root, archives = warc.write_archives(pages(spark, rows), work)
+    found = warc.read_archives(spark, root)
+    assert {(r.record_id, r.uri, r.reason) for r in found.collect()} == {(f"urn:page:{i}", u, None) for i, u, _ in rows}
+    assert warc.whole(found, archives).count() == 3
+    with pytest.raises(ValueError, match="2 records were read back of 3"):
+        warc.whole(found.where("uri <> 'http://c/'"), archives)
+    plain = warc.record("response", "1", "u" * 100_000, b"x", hashlib.sha1(b"x").hexdigest())
+    assert [(n, r) for _, n, r, _ in warc.salvage(plain)] == [(len(plain), None)]
+
+
+@pytest.mark.parametrize("bad", [0, 2, 5])
+@pytest.mark.parametrize("at", [3, 200, -40])
+def test_salvage_inside_a_member_of_several_records(bad, at):
+    plain = [warc.record("response", str(i), "u", b"payload %d " % i * 20, hashlib.sha1(b"payload %d " % i * 20).hexdigest()) for i in range(6)]
+    broken = bytearray(plain[bad])
+    broken[at] ^= 0x15
+    member = gzip.compress(b"".join([*plain[:bad], bytes(broken), *plain[bad + 1 :]]), mtime=0)
+    found = list(warc.salvage(member + gzip.compress(plain[0], mtime=0)))
+    assert [w["record_id"] for *_, w in found if w] == [f"urn:page:{i}" for i in range(6) if i != bad] + ["urn:page:0"]
+    assert [(o, n) for o, n, r, _ in found if r] == [(0, len(member))]
+
+
 # ---- near duplicates
 
 

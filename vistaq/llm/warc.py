@@ -94,8 +94,8 @@ def _records(data: bytes) -> Iterator[tuple[int, int, dict]]:
     pos = 0
     while pos < len(data):
         start = pos
-        head_end = data.find(b"\r\n\r\n", pos, pos + 65_536)
-        if not data.startswith(b"WARC/1.", pos) or head_end < 0:
+        head_end = data.find(b"\r\n\r\n", pos) if data.startswith(b"WARC/1.", pos) else -1
+        if head_end < 0:
             raise ValueError("header")
         head = {}
         for line in data[pos:head_end].split(b"\r\n")[1:]:
@@ -124,6 +124,7 @@ def _records(data: bytes) -> Iterator[tuple[int, int, dict]]:
 
 
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.\d\r\n")
+_VERSION = re.compile(rb"WARC/1\.\d\r\n")
 
 
 def _member(data: bytes, pos: int) -> tuple[int, bytes]:
@@ -142,18 +143,25 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
     """(offset, length, reason, what) of an archive's records and, with a reason and no record, of the gaps between them.
 
     After a failed check it goes on at the next byte that can begin a gzip member or a version line; what begins there
-    has to pass all checks too, so the gap may grow. Archives may be gzipped by record, plain, or both in turn.
+    has to pass all checks too, so the gap may grow. Archives may be gzipped by record, as a whole, plain, or both in turn.
+    A gzip member that holds a flawed record gives the others, found by version lines inside it; they and its gaps have
+    the offset and length of the member, as bytes inside have no place of their own in the archive.
     """
     pos, gap, why = 0, None, ""
     while pos < len(data):
-        good: list[tuple[int, int, dict]] = []
+        good: list[tuple[int, int, str | None, dict]] = []
         try:
             if data.startswith(b"\x1f\x8b\x08", pos):
                 end, inside = _member(data, pos)
-                good = [(pos, end - pos, what) for _, _, what in _records(inside)]
+                try:
+                    good = [(pos, end - pos, None, what) for _, _, what in _records(inside)]
+                except ValueError:
+                    good = [(pos, end - pos, reason, what) for reason, what in _inside(inside)]
+                    if all(reason for _, _, reason, _ in good):
+                        raise
             else:
                 for s, e, what in _plain(data, pos):
-                    good, end = [(s, e - s, what)], e
+                    good, end = [(s, e - s, None, what)], e
                     break
         except (ValueError, zlib.error) as error:
             if gap is None:
@@ -164,16 +172,35 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
         if gap is not None:
             yield gap, pos - gap, why, {}
             gap = None
-        for s, n, what in good:
-            yield s, n, None, what
+        yield from good
         pos = end
     if gap is not None:
         yield gap, len(data) - gap, why, {}
 
 
+def _inside(data: bytes) -> Iterator[tuple[str | None, dict]]:
+    """(reason, what) of what an inflated member holds: its good records and, with a reason and no record, a row per gap between them."""
+    pos, why = 0, None
+    while pos < len(data):
+        try:
+            end, what = next((e, what) for _, e, what in _plain(data, pos))
+        except ValueError as error:
+            why = why or str(error)
+            m = _VERSION.search(data, pos + 1)
+            pos = m.start() if m else len(data)
+            continue
+        if why is not None:
+            yield why, {}
+            why = None
+        yield None, what
+        pos = end
+    if why is not None:
+        yield why, {}
+
+
 def _plain(data: bytes, pos: int) -> Iterator[tuple[int, int, dict]]:
     """The record of the plain archive at pos. Its header tells how far to look."""
-    head_end = data.find(b"\r\n\r\n", pos, pos + 65_536)
+    head_end = data.find(b"\r\n\r\n", pos) if data.startswith(b"WARC/1.", pos) else -1
     m = re.search(rb"(?im)^content-length:\s*(\d+)", data[pos:head_end]) if head_end >= 0 else None
     if not m:
         raise ValueError("header")
@@ -207,10 +234,19 @@ def read_archives(spark: SparkSession, root: str, payloads: bool = True) -> Data
     return files.mapInPandas(_reader(payloads), _FOUND)
 
 
+def whole(found: DataFrame, archives: DataFrame) -> DataFrame:
+    """The records of found, which should be saved; raises if they aren't as many as the archives' manifest counts."""
+    good = found.where("reason is null")
+    want, got = archives.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], good.count()
+    if got != want:
+        raise ValueError(f"{got} records were read back of {want} written")
+    return good
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "warc")
-    root, _ = write_archives(read_table(spark, sf_dir, "pages"), work)
-    found = read_archives(spark, root, payloads=False).where("reason is null")
+    root, archives = write_archives(read_table(spark, sf_dir, "pages"), work)
+    found = whole(work.save(read_archives(spark, root, payloads=False), "found"), archives)
     page = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")  # noqa: E731  after urn:page:
     return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"))
 
