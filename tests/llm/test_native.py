@@ -117,6 +117,21 @@ def test_line_dedup(spark):
     assert line_dedup.drop_lines(frame(spark, []), Workspace(spark, "t")).count() == 0
 
 
+def test_rows_that_repeat_are_documents(spark, tmp_path):
+    import duckdb
+
+    rows = [(None, "null ids\nten of them", "en", "s", 0)] * 10 + [(7, "nine\nlines\nnine", "en", "s", 0)] * 9 + [(8, "nine\nhalf", "en", "s", 0), (8, "half", "en", "s", 0)]
+    rows += [(9, "a\nb\na", "en", "s", 0)] * 400 + [(100 + i, f"own {i}\n" + ("ten of them" if i < 3 else "x"), "en", "s", 0) for i in range(60)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = line_dedup.op6_line_dedup(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert as_set(got) == sorted(con.sql(line_dedup.OP6_SQL).fetchall(), key=repr)
+    lost = line_dedup.keep_bitmaps(frame(spark, rows), Workspace(spark, "t"))
+    assert all(len(line_dedup.unpack_bits(r.keep)) <= 3 for r in lost.collect())
+    assert lost.count() == lost.select("doc").distinct().count()
+
+
 def test_a_line_in_most_documents_spreads_over_partitions(spark):
     rows = [(i, f"own {i}\nEvery document has this\n{'rare' if i < 9 else 'often'}", "en", "s", 0) for i in range(3000)]
     got = line_dedup.drop_lines(frame(spark, rows), Workspace(spark, "t"))

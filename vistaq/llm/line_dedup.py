@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, read_table, row_of, ship
+from .common import Workspace, broadcast_if_small, hot_keys, read_table, row_of, salted_join, ship
 
 MIN_DOCS, MIN_CHARS = 10, 1
 _FOUND = "h1 long, h2 long, doc binary, pos int, first boolean, docs long, open boolean"
@@ -29,12 +29,18 @@ def line_key(line: Column) -> Column:
 
 
 def doc_key(doc_id: Column, text: Column) -> Column:
-    """What a row is known by: its id and text. Rows that repeat both are one document."""
+    """What a row is known by: its id and text. Rows that repeat both share it, and their count is carried along, since each is a document."""
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit("")))))
 
 
+def repeats(docs: DataFrame, work: Workspace) -> DataFrame:
+    """(doc, n) for the keys of rows that repeat id and text."""
+    keys = docs.groupBy(doc_key(F.col("doc_id"), F.col("text")).alias("doc")).agg(F.count(F.lit(1)).alias("n"))
+    return work.save(keys.where("n > 1"), "repeats")
+
+
 def _stream(min_docs: int):
-    """Over a partition sorted by (h1, h2, doc, pos): a row per line of a key that is in min_docs documents or may be.
+    """Over a partition sorted by (h1, h2, doc, pos), in which n tells how many rows doc stands for: a row per line of a key that is in min_docs documents or may be.
 
     Keys inside the partition are settled here. The first and the last key may go on in the neighbours, which hold other
     documents, since ranges are cut between documents; their rows are open and carry the documents counted here. A run
@@ -67,7 +73,7 @@ def _stream(min_docs: int):
             if not b.num_rows:
                 continue
             h1, h2 = b.column(0).to_numpy(), b.column(1).to_numpy()
-            doc, pos = b.column(2), b.column(3)
+            doc, pos, n = b.column(2), b.column(3), b.column(4).to_numpy()
             raw = np.frombuffer(b"".join(doc.to_pylist()), np.dtype("V16"))
             cut = np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) + 1
             starts = [0, *cut.tolist()]
@@ -82,7 +88,7 @@ def _stream(min_docs: int):
                     before = state["key"]
                     yield from close(False)
                     state.update(key=key, rows=[], docs=0, edge=before is None)
-                state["docs"] += int(new_doc[s:e].sum())
+                state["docs"] += int(n[s:e][new_doc[s:e]].sum())
                 state["last"] = raw[e - 1].tobytes()
                 state["rows"].append((b.column(0).slice(s, e - s), b.column(1).slice(s, e - s), doc.slice(s, e - s), pos.slice(s, e - s), pa.array(new_doc[s:e])))
                 if len(state["rows"]) > 1 and (state["edge"] or state["docs"] >= min_docs):
@@ -113,11 +119,12 @@ def _unpacked(keep: pd.Series) -> pd.Series:
     return pd.Series([None if k is None else unpack_bits(k) for k in keep], dtype=object)
 
 
-def keep_bitmaps(docs: DataFrame, work: Workspace, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, work: Workspace, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False, again: DataFrame | None = None) -> DataFrame:
     """A row (doc, keep) for each document that loses a line; doc is doc_key, keep the bitmap of pack_bits.
 
     Lines whose key has min_chars code points or more and is found in min_docs documents or more go from all documents,
-    or with keep_first from all but the first in the order of doc, pos. Null and empty texts have one empty line, whose
+    or with keep_first from all but the first in the order of doc, pos. Each row is a document, rows that repeat id and
+    text too: these are told apart by again, the table of repeats, dealt out once and counted by their number. Null and empty texts have one empty line, whose
     key is too short to go if min_chars is 1 or more. A key is known by the 128 bits of its MD5. Ranges are cut by
     (key, doc), so lines that many documents share spread over partitions; what two partitions hold of one key is added
     up in a table of at most two rows per partition.
@@ -125,12 +132,20 @@ def keep_bitmaps(docs: DataFrame, work: Workspace, min_docs: int = MIN_DOCS, min
     spark = work.spark
     ship(spark)
     # the key is made before the lines are dealt out, once a document
-    each = docs.select(doc_key(F.col("doc_id"), F.col("text")).alias("doc"), lines(F.col("text")).alias("_lines"))
-    each = each.select("doc", F.posexplode("_lines").alias("pos", "line"))
+    again = repeats(docs, work) if again is None else again
+    keyed = docs.select(doc_key(F.col("doc_id"), F.col("text")).alias("doc"), "text")
+    if again.isEmpty():
+        keyed = keyed.withColumn("n", F.lit(1).cast("long"))
+    else:  # rows that repeat come once, combined before they are dealt out
+        many = broadcast_if_small(again)
+        some = keyed.join(many, "doc").groupBy("doc").agg(F.min("text").alias("text"), F.first("n").alias("n"))
+        keyed = keyed.join(many, "doc", "left_anti").withColumn("n", F.lit(1).cast("long")).unionByName(some)
+    each = keyed.select("doc", "n", lines(F.col("text")).alias("_lines"))
+    each = each.select("doc", "n", F.posexplode("_lines").alias("pos", "line"))
     each = each.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     digest = F.md5("key")
     half = lambda a: F.conv(F.substring(digest, a, 15), 16, 10).cast("long")
-    hashed = each.select(half(1).alias("h1"), half(17).alias("h2"), "doc", "pos")
+    hashed = each.select(half(1).alias("h1"), half(17).alias("h2"), "doc", "pos", "n")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = hashed.repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
     found = work.save(dealt.mapInArrow(_stream(min_docs), _FOUND), "found")
@@ -142,16 +157,20 @@ def keep_bitmaps(docs: DataFrame, work: Workspace, min_docs: int = MIN_DOCS, min
         firsts = drop.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("_one"))
         firsts = work.save(firsts.select(F.col("_one.doc").alias("doc"), F.col("_one.pos").alias("pos")), "firsts")
         drop = drop.join(firsts, ["doc", "pos"], "left_anti")
-    lost = drop.groupBy("doc").agg(F.collect_list("pos").alias("dropped"))  # no longer than the document
+    lost = drop.groupBy("doc").agg(F.collect_list("pos").alias("dropped"))  # no longer than the document: rows that repeat came once
     return lost.select("doc", F.pandas_udf(_packed, "binary")("dropped").alias("keep"))
 
 
 def drop_lines(docs: DataFrame, work: Workspace, **how) -> DataFrame:
     """docs with n_lines, n_dropped, keep (the bitmap, null where nothing goes) and kept_text, in place of columns of these names."""
-    lost = keep_bitmaps(docs, work, **how)
+    again = repeats(docs, work)
+    lost = keep_bitmaps(docs, work, again=again, **how)
     keyed = docs.select(row_of(docs), doc_key(F.col("doc_id"), F.col("text")).alias("doc"))
     text = F.col("row").getField("text")  # which goes through the join once, in its row
-    both = keyed.join(lost, "doc", "left").withColumn("_lines", lines(text))
+    hot = hot_keys(again, "doc", "n")
+    if hot:  # rows that repeat differ in nothing but their place
+        keyed = keyed.withColumn("_place", F.monotonically_increasing_id())
+    both = salted_join(keyed, lost, "doc", hot, "_place", "left").withColumn("_lines", lines(text))
     both = both.withColumn("_bits", F.when(F.col("keep").isNotNull(), F.pandas_udf(_unpacked, "array<boolean>")("keep")))
     kept = F.when(F.col("_bits").isNull(), F.coalesce(text, F.lit(""))).otherwise(
         F.array_join(F.filter("_lines", lambda _, i: F.coalesce(F.get("_bits", i), F.lit(True))), "\n"))
