@@ -178,6 +178,17 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_relatives_are_not_named_as_one_another(spark):
+    cc = "This work is licensed under a Creative Commons Attribution-{} 4.0 International License."
+    gnu = "This work is licensed under the GNU General Public License, version {}."
+    rows = [(1, cc.format("ShareAlike"), {"CC-BY-SA-4.0"}), (2, cc.format("NoDerivatives"), {"CC-BY-ND-4.0"}), (3, gnu.format(1), {"GPL-1.0"}), (4, "Licensed under CC BY-ND 4.0.", {"CC-BY-ND-4.0"}), (5, gnu.format(2), {"GPL-2.0"})]
+    got = licenses.scan_licenses(frame(spark, [(i, t, "en", "s", 0) for i, t, _ in rows] + [(9, gnu.format(9), "en", "s", 0), (10, cc.format("Unheard"), "en", "s", 0)])).collect()
+    assert {(r.doc_id, r.license) for r in got if r.doc_id < 9} == {(i, a) for i, _, names in rows for a in names}
+    for i, name in ((9, "GPL-2.0"), (10, "CC-BY-4.0")):  # not listed: the family
+        (r,) = [r for r in got if r.doc_id == i]
+        assert r.license.startswith("family of ") and name in r.license
+
+
 def test_bands_reach_their_probability():
     for n in range(1, 130):
         step, k = licenses.window_class(n), licenses.bands_for(n)

@@ -35,6 +35,20 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
+    ("GPL-1.0", "This work is licensed under the GNU General Public License, version 1."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
 )
 
 
@@ -78,9 +92,11 @@ def sketch(hashes: str, bands: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES, contained: float = CONTAINED) -> tuple[DataFrame, dict[int, int]]:
-    """Rows (license, template, shingles, n, step, family) and the bands of each step. Its size is that of the templates.
+    """Rows (license, template, shingles, n, step, family, telling, kin) and the bands of each step. Its size is that of the templates.
 
     Templates of which one holds half of the other's shingles, or a chain of such, are a family: wordings that differ in a version or a name.
+    telling are, by template of another license in the family, the shingles that this one has and that one hasn't; kin are
+    the family's licenses.
     """
     rows = [(a, i, t) for i, (a, t) in enumerate(templates)]
     t = with_shingles(spark.createDataFrame(rows, "license string, template int, body string"), "body", "shingles")
@@ -95,8 +111,11 @@ def template_table(spark: SparkSession, templates=TEMPLATES, contained: float =
         n = len(r["shingles"])
         step = window_class(n)
         bands[step] = max(bands.get(step, 0), bands_for(n, contained))
-        rows.append((r["license"], r["template"], r["shingles"], n, step, family[len(rows)]))
-    return spark.createDataFrame(rows, "license string, template int, shingles array<bigint>, n int, step int, family int"), bands
+        mine = family[len(rows)]
+        apart = [[h for h in r["shingles"] if h not in o["shingles"]] for f, o in zip(family, got, strict=True) if f == mine and o["license"] != r["license"]]
+        kin = sorted({o["license"] for f, o in zip(family, got, strict=True) if f == mine})
+        rows.append((r["license"], r["template"], r["shingles"], n, step, mine, [hs for hs in apart if hs], "family of " + ", ".join(kin)))
+    return spark.createDataFrame(rows, "license string, template int, shingles array<bigint>, n int, step int, family int, telling array<array<bigint>>, kin string"), bands
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
@@ -105,7 +124,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, contained: float = CONTA
     Each text is cut into windows of 2 * step shingles at every multiple of step, for each step that templates need, so a
     template's passage lies whole in one. A window meets a template if they share the least hash of one band; of the
     templates met, those count of whose shingles contained or more are in the window; of a family, those that are most
-    contained thereabouts. Windows that hold no shingle in
+    contained thereabouts. A license is named only where shingles are found that tell its template from each one of another
+    license in the family; else license is the family, as "family of" and its licenses. Windows that hold no shingle in
     which any template is least in a band can't meet one, and are left out before their own least hashes are taken.
     first_word is where the best window begins. Null and empty texts and such without a template give no row; templates
     of one row are merged by document, so rows that repeat id and text come once. Only the templates are broadcast.
@@ -126,7 +146,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, contained: float = CONTA
     met = windows.select("*", F.posexplode(sketch("_w", F.col("bands"))).alias("band", "_k")).select("*", F.col("_k.least").alias("least")).drop("_k")
     met = met.join(F.broadcast(keys.drop("at")), ["step", "band", "least"])
     part = F.size(F.array_intersect("_w", "shingles")) / F.col("n")
-    found = met.select("doc_id", "_row", "begin", "license", "template", "family", part.alias("containment")).where(F.col("containment") >= contained).distinct()
+    found = met.select("doc_id", "_row", "begin", F.when(F.forall("telling", lambda hs: F.arrays_overlap(hs, F.col("_w"))), F.col("license")).otherwise(F.col("kin")).alias("license"), "template", "family", part.alias("containment")).where(F.col("containment") >= contained).distinct()
     near = Window.partitionBy("doc_id", "_row", "family").orderBy("begin").rangeBetween(-2 * max(bands), 2 * max(bands))  # the finds of one document
     found = found.withColumn("_most", F.max("containment").over(near)).where("containment = _most")
     best = F.max(F.struct(F.col("containment").alias("c"), (-F.col("begin")).alias("b"), (-F.col("template")).alias("t")))
