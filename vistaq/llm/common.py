@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -23,9 +24,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the driver and all executors see; a temporary one where it is unset."""
+    """The folder of spark.checkpoint.dir, which the driver and all executors see. Only in local mode, where all are one process, a temporary one takes its place."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vistaq-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -33,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables that an operator writes to the shared folder to cut lineage. close() deletes them once the result is stored."""
+    """Tables that an operator writes to the shared folder to cut lineage. Its owner closes it once the result is stored, which deletes them; result() leaves one."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/vistaq-{name}-{uuid.uuid4().hex}"
@@ -46,10 +49,26 @@ class Workspace:
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def _folder(self):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def close(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.root)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, fs = self._folder()
+        fs.delete(at, True)
+
+    def clear(self, *but: str) -> None:
+        """Deletes all tables but those saved by the names given."""
+        at, fs = self._folder()
+        for one in fs.listStatus(at) if fs.exists(at) else ():
+            if not any(re.fullmatch(rf"{re.escape(name)}-[0-9a-f]{{8}}", one.getPath().getName()) for name in but):
+                fs.delete(one.getPath(), True)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """df stored as the one table that is left."""
+        out = self.save(df, "result")
+        self.clear("result")
+        return out
 
 
 def row_of(df: DataFrame):
@@ -57,6 +76,16 @@ def row_of(df: DataFrame):
     return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
 
 
+def orderable(df: DataFrame, row: str):
+    """What the struct row of df's columns can be compared by: itself, or its JSON where a column has no order, as maps have none."""
+    from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
+
+    def has(t: DataType) -> bool:
+        return isinstance(t, (MapType, VariantType)) or isinstance(t, ArrayType) and has(t.elementType) or isinstance(t, StructType) and any(has(f.dataType) for f in t)
+
+    return F.to_json(row, {"ignoreNullFields": "false"}) if has(df.schema) else F.col(row)
+
+
 def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*(F.col("row").getField(c).alias(c) for c in columns))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -12,23 +13,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, hot_keys, read_table, row_of, salted_join, ship, unpacked
+from .common import Workspace, broadcast_if_small, hot_keys, orderable, read_table, row_of, salted_join, ship, unpacked
 
 SHINGLE, SIMILAR = 5, 0.8
 #: At similarity 0.8 some band of 16 agrees in its 4 samples with probability 0.9998.
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-#: Document frequencies are counted in so many hashed classes: 2 MB, however large the corpus.
-DF_BITS, DF_BLOCKS = 18, 64
+#: Shingles in fewer than this share of the documents all weigh the same, most of all; of the others the documents are counted.
+RARE = 1e-3
+#: Shingles that are listed with their weights, at most: 12 bytes each. No more can be found in 1/LISTED of all (document, shingle) pairs.
+LISTED = 1 << 21
+#: Bytes of text whose shingles are counted together, hashes that a task holds, and bits by which hashes are dealt out at once.
+PART_BYTES, HELD, DEAL_BITS = 8 << 20, 1_500_000, 12
 #: Of pairs that are 0.8 alike, 0.0000003 agree in less of their samples.
 PROMISING = 0.55
-#: Rows of a bucket that are compared with one another in one task.
-BLOCK = 1024
-_CELL = "bucket long, band int, i int, j int, side int, node long, comp long, sig binary, bands array<long>"
-_CELL_COLUMNS = [c.split()[0] for c in _CELL.split(", ")]
+#: Left-over rows, and rows of a bucket that they are compared with, in one task: more in larger buckets, so that these aren't repeated for each other too often.
+ROWS_FROM, ROWS_TO = 512, 2048
+#: Bytes of the left-over texts whose shingles a task holds while the others pass by; one text may be longer.
+LEFT_BYTES = 8 << 20
+#: Rows that are sent to all tasks, at most, to tell which texts are wanted or which rows go: 50 MB. Beyond, texts are shuffled.
+TOLD = 500_000
 #: Links that a task of the search for components takes.
 LINKS = 250_000
-_SIGNATURE = "doc_id long, key string, bands array<long>, sig binary"
+_CELL = "bucket long, band int, i int, j int, side int, node long, comp long, own boolean, size long, sig binary, bands array<long>"
+_CELL_COLUMNS = [c.split()[0] for c in _CELL.split(", ")]
+_SIGNATURE = "doc_id long, fast long, key binary, size long, bands array<long>, sig binary"
+_COUNTS = "part long, keys binary, counts binary"
 
 
 # ---- shingles and weights
@@ -75,22 +85,30 @@ def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return np.unique(_mix(out), return_counts=True)
 
 
-def frequency_class(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - DF_BITS)).astype(np.int64)
+class Weights:
+    """Inverse document frequencies: from 2 for a shingle in RARE of the documents or fewer down to 1 for one in all, 1 + ln(n / df) / ln(1 / RARE).
 
+    They depend on the share of documents alone, so a pair is as alike in a large corpus as in a small one. The range is
+    this narrow so that what a large group of near copies shares, being frequent for that reason, isn't outweighed by the
+    few words in which each copy differs. floor: documents of a shingle that isn't listed.
+    """
 
-def idf(df: np.ndarray, n: int) -> np.ndarray:
-    """Weights by frequency class, from 2 for a class in no document down to 1 for one in all: 1 + ln((1+n)/(1+df)) / ln(1+n).
+    def __init__(self, keys: np.ndarray, df: np.ndarray, n: int, floor: float = 1, bits: int = 0):
+        self.keys, self.shift = np.asarray(keys, np.uint64), np.uint64(32 - bits)
+        idf = lambda d: 1 + np.log(max(n, 1) / np.clip(d, floor, max(n, 1))) / np.log(1 / RARE)
+        self.values, self.rare = idf(np.asarray(df, np.float64)).astype(np.float32), np.float32(idf(np.float64(min(floor, max(n, 1)))))
 
-    The range is kept this narrow so that what a large group of near copies shares, being frequent for that reason,
-    isn't outweighed by the few words in which each copy differs.
-    """
-    return (1 + np.log((1 + n) / (1 + np.minimum(df, n))) / max(np.log(1 + n), 1e-9)).astype(np.float32)
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(hashes), self.rare)
+        k = hashes >> self.shift
+        at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+        return np.where(self.keys[at] == k, self.values[at], self.rare)
 
 
-def weighted(text: str | None, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weighted(text: str | None, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
     h, tf = shingles(text)
-    return h, tf.astype(np.float32) * weights[frequency_class(h)]
+    return h, tf.astype(np.float32) * weights(h)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -158,34 +176,111 @@ def bands(ids: np.ndarray) -> np.ndarray:
 # ---- passes over the documents
 
 
-def _count_df(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts, n, size = np.zeros(1 << DF_BITS, np.int64), 0, 1 << DF_BITS
-    for pdf in batches:
-        held = []
-        for text in pdf["text"]:
-            held.append(np.unique(frequency_class(shingles(text)[0])))
-            n += 1
-            if len(held) == 500:
-                counts += np.bincount(np.concatenate(held), minlength=size)
-                held = []
+def _packed(keys: np.ndarray) -> bytes:
+    """Rising keys as byte planes of their steps: the two low planes are as good as random, the others nearly empty."""
+    planes = np.diff(keys, prepend=np.zeros(1, np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return len(keys).to_bytes(4, "little") + planes[:2].tobytes() + zlib.compress(planes[2:].tobytes(), 1)
+
+
+def _keys(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(data[4 : 4 + 2 * n] + zlib.decompress(data[4 + 2 * n :]), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(n), dtype=np.uint64)
+
+
+def _dealt(keys: np.ndarray, counts: np.ndarray, shift: int) -> pd.DataFrame:
+    """Rising keys by part, key >> shift, as rows of _COUNTS: of the counts, those above 1 with their places."""
+    part = keys >> np.uint64(shift)
+    cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+    out = []
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+        many = np.flatnonzero(counts[s:e] > 1)
+        out.append((int(part[s]), _packed(keys[s:e]), many.astype("<u4").tobytes() + counts[s:e][many].astype("<u8").tobytes()))
+    return pd.DataFrame(out, columns=["part", "keys", "counts"])
+
+
+def _summed(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rising keys and counts of rows of one part."""
+    keys, counts = [], []
+    for k, c in rows:
+        keys.append(_keys(k))
+        own, n = np.ones(len(keys[-1]), np.int64), len(c) // 12
+        own[np.frombuffer(c, "<u4", n)] = np.frombuffer(c, "<u8", n, 4 * n)
+        counts.append(own)
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    return k[starts], np.add.reduceat(c, starts)
+
+
+def _count(bits: int, dealt: int):
+    """Of each document its different shingles; of what a task holds, each once with its documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for pdf in chain(batches, [None]):
+            for text in () if pdf is None else pdf["text"]:
+                held.append(shingles(text)[0] >> np.uint64(32 - bits))
+                n += len(held[-1])
+                if n >= HELD:
+                    yield _dealt(*np.unique(np.concatenate(held), return_counts=True), 32 + bits - dealt)
+                    held, n = [], 0
+        if n:
+            yield _dealt(*np.unique(np.concatenate(held), return_counts=True), 32 + bits - dealt)
+
+    return run
+
+
+def _deal_again(shift: int):
+    """Over a partition sorted by part: parts are split further, no more of one held than of a task's documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held, n = None, [], 0
+        for pdf in batches:
+            for p, k, c in zip(pdf["part"], pdf["keys"], pdf["counts"], strict=True):
+                if held and (p != part or n >= HELD):
+                    yield _dealt(*_summed(held), shift)
+                    held, n = [], 0
+                part, n = p, n + int.from_bytes(k[:4], "little")
+                held.append((k, c))
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=size)
-    parts = np.split(counts, DF_BLOCKS)
-    yield pd.DataFrame({"block": [*range(DF_BLOCKS), -1], "counts": [*(zlib.compress(p.tobytes(), 1) for p in parts), zlib.compress(np.array([n]).tobytes())]})
+            yield _dealt(*_summed(held), shift)
+
+    return run
+
 
+def _frequent(least: int):
+    """Of a part, the keys of least documents or more, and with no key the sum over all."""
 
-def _sum_df(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in pdf["counts"])
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, c = _summed(list(zip(pdf["keys"], pdf["counts"], strict=True)))
+        some = c >= least
+        return pd.DataFrame({"shingle": [*k[some].tolist(), None], "df": [*c[some].tolist(), int(c.sum())]}).astype({"shingle": "Int64"})
+
+    return run
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents by frequency class of their shingles, and all documents: of fixed size, whatever the corpus."""
-    parts = docs.select("text").mapInPandas(_count_df, "block int, counts binary")
-    rows = {r["block"]: np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in parts.groupBy("block").applyInPandas(_sum_df, "block int, counts binary").collect()}
-    if not rows:
-        return np.zeros(1 << DF_BITS, np.int64), 0
-    return np.concatenate([rows[b] for b in range(DF_BLOCKS)]), int(rows[-1][0])
+def document_frequencies(docs: DataFrame, work: Workspace) -> Weights:
+    """Weights by the documents of each shingle, counted over all of them.
+
+    Shingles are known by 32 bits of their hash and as many more as there are parts, dealt out by these, so a part holds
+    the shingles of about PART_BYTES of text, and counts of frequent ones leave each task once. Those in RARE of the
+    documents and 1/LISTED of all (document, shingle) pairs, or more, are listed: LISTED at most, whatever the corpus.
+    """
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    bits = min(2 * DEAL_BITS, math.ceil(math.log2(max(1, size / PART_BYTES))))
+    first = min(bits, DEAL_BITS)
+    parts = docs.select("text").mapInPandas(_count(bits, first), _COUNTS)
+    if bits > first:
+        dealt = parts.repartition(int(work.spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part")
+        parts = dealt.mapInPandas(_deal_again(32), _COUNTS)
+    least = max(2, math.ceil(RARE * n))
+    found = work.save(parts.groupBy("part").applyInPandas(_frequent(least), "shingle long, df long"), "frequent")
+    pairs = found.where("shingle is null").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    floor = max(1.0, RARE * n, pairs / LISTED)
+    listed = found.where(F.col("shingle").isNotNull() & (F.col("df") >= floor)).toArrow().sort_by("shingle")
+    return Weights(listed["shingle"].to_numpy().astype(np.uint64), listed["df"].to_numpy(), n, floor, bits)
 
 
 def _sign(shared):
@@ -193,14 +288,14 @@ def _sign(shared):
         sampler, weights = Sampler(), shared.value
         for pdf in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc_id, fast, text in zip(pdf["doc_id"], pdf["fast"], pdf["text"], strict=True):
                 h, w = weighted(text, weights)
                 if len(h):
-                    ids = sampler(h, w)
-                    out.append((doc_id, hashlib.md5((text or "").encode()).hexdigest(), bands(ids), (ids & np.uint64(255)).astype(np.uint8).tobytes()))
+                    raw, ids = text.encode(), sampler(h, w)
+                    out.append((doc_id, fast, hashlib.md5(raw).digest(), len(raw), bands(ids), (ids & np.uint64(255)).astype(np.uint8).tobytes()))
                 else:
-                    out.append((doc_id, "no word", np.zeros(0, np.int64), b""))
-            yield pd.DataFrame(out, columns=["doc_id", "key", "bands", "sig"]).astype({"doc_id": "Int64"})
+                    out.append((doc_id, fast, b"", 0, np.zeros(0, np.int64), b""))
+            yield pd.DataFrame(out, columns=["doc_id", "fast", "key", "size", "bands", "sig"]).astype({"doc_id": "Int64"})
 
     return run
 
@@ -226,49 +321,55 @@ def _agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series((a == b).mean(1))
 
 
-class _Rows:
-    """Rows of cells as arrays, in the order of cell and side."""
+class _Left:
+    """Left-over rows of a cell as arrays."""
 
-    def __init__(self, rows: pd.DataFrame):
-        self.side, self.band, self.node, self.comp = (rows[c].to_numpy() for c in ("side", "band", "node", "comp"))
-        self.sigs = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-        self.bands = np.concatenate(rows["bands"].to_numpy()).reshape(len(rows), -1) if len(rows) else np.zeros((0, BANDS), np.int64)
+    def __init__(self, rows: list):
+        self.node, self.comp = np.array([r.node for r in rows]), np.array([r.comp for r in rows])
+        self.sigs = np.frombuffer(b"".join(r.sig for r in rows), np.uint8).reshape(len(rows), -1)
+        self.bands = np.array([r.bands for r in rows], np.int64)
 
-    def partners(self, i: int, low: int, high: int) -> np.ndarray:
-        """Which of the rows from low to high the left-over row i is to be compared with: promising ones of other components that it shares no earlier band with, since these meet there."""
-        ok = (self.node[low:high] != self.node[i]) & (self.comp[low:high] != self.comp[i])
+    def partners(self, row) -> np.ndarray:
+        """Which left-over rows to compare row with: promising ones of other components, that it shares no earlier band with, since these meet there; of two left-over rows each is once the row."""
+        ok = (self.node < row.node) if row.own else (self.node != row.node)
+        ok &= self.comp != row.comp
         if ok.any():
-            ok &= (self.sigs[low:high] == self.sigs[i]).sum(1) >= PROMISING * self.sigs.shape[1]
+            ok &= (self.sigs == np.frombuffer(row.sig, np.uint8)).sum(1) >= PROMISING * self.sigs.shape[1]
         if ok.any():
-            before = int(self.band[i])
-            ok &= ~(self.bands[low:high, :before] == self.bands[i, :before]).any(1)
-        return ok
+            ok &= ~(self.bands[:, : row.band] == row.bands[: row.band]).any(1)
+        return np.flatnonzero(ok)
+
+
+def _cells(batches: Iterator[pd.DataFrame], key: list[str]):
+    """Of a partition sorted by cell and side: a left-over row's cell is begun with it; each other row comes with the left-over rows of its cell, as a list that is the same object for a cell."""
+    cell, left = None, []
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            now = tuple(getattr(row, c) for c in key)
+            if now != cell:
+                cell, left = now, []
+            if row.side == 0:
+                left.append(row)
+            elif left:
+                yield row, left
 
 
 def _promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Over a partition sorted by cell and side: the rows that have a partner in their cell. No more than a batch and a cell are held."""
-    held = None
-    for pdf in chain(batches, [None]):
-        rows = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        if rows is None or not len(rows):
-            continue
-        cell = rows[["bucket", "i", "j"]].to_numpy()
-        cuts = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
-        starts = [0, *cuts.tolist(), len(rows)]
-        if pdf is not None:  # the last cell may go on
-            held = rows.iloc[starts[-2] :].reset_index(drop=True)
-            rows, starts = rows.iloc[: starts[-2]], starts[:-1]
-        data, hit = _Rows(rows), np.zeros(len(rows), bool)
-        for low, high in zip(starts, starts[1:]):
-            first = low + int((data.side[low:high] == 0).sum())
-            if first == high:
-                continue
-            for i in range(low, first):
-                ok = data.partners(i, first, high)
-                if ok.any():
-                    hit[i] = True
-                    hit[first:high] |= ok
-        yield rows.loc[hit, _CELL_COLUMNS]
+    """Over a partition sorted by cell and side: the rows that have a partner in their cell. The left-over rows of one cell are held."""
+    last, data, hit, out = None, None, set(), []
+    for row, left in _cells(batches, ["bucket", "i", "j"]):
+        if left is not last:
+            last, data, hit = left, _Left(left), set()
+        found = data.partners(row)
+        if len(found):
+            out.append(row)
+            out += [left[k] for k in found.tolist() if k not in hit]
+            hit.update(found.tolist())
+        if len(out) >= 5000:
+            yield pd.DataFrame(out, columns=_CELL_COLUMNS)
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=_CELL_COLUMNS)
 
 
 def similarities(one: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -279,33 +380,33 @@ def similarities(one: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, weights
 
 
 def _link(shared, similar: float):
-    """Edges that join components within a cell: as many as unions, not as pairs."""
+    """Over a partition sorted by cell and side: edges between components, as many a cell as unions, not as pairs. The shingles of a cell's left-over rows are held, and those of one other row."""
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["side", "node"])
-        rows, out, first = _Rows(block), [], int((block["side"] == 0).sum())
-        vectors = {n: weighted(t, shared.value) for n, t in zip(block["node"], block["text"], strict=True)}
-        root: dict[int, int] = {}
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, data, vectors, root, out = None, None, {}, {}, []
 
-        def find(x):
+        def find(x: int) -> int:
             while root.setdefault(x, x) != x:
                 root[x] = x = root[root[x]]
             return x
 
-        for i in range(first):
-            node, comp = int(rows.node[i]), int(rows.comp[i])
-            some = np.flatnonzero(rows.partners(i, first, len(block))) + first
-            some = np.array([k for k in some if find(int(rows.comp[k])) != find(comp)], int)
-            if not len(some):
+        for row, left in _cells(batches, ["bucket", "i", "j", "k"]):
+            if left is not last:
+                last, data, vectors, root = left, _Left(left), {}, {}
+            some = [k for k in data.partners(row).tolist() if find(left[k].comp) != find(row.comp)]
+            if not some:
                 continue
-            parts = [vectors[n] for n in rows.node[some]]
+            for k in some:
+                if k not in vectors:
+                    vectors[k] = weighted(left[k].text, shared.value)
+            parts = [vectors[k] for k in some]
             starts = np.cumsum([0, *(len(h) for h, _ in parts[:-1])])
-            alike = similarities(vectors[node], np.concatenate([h for h, _ in parts]), np.concatenate([w for _, w in parts]), starts)
-            for k in some[alike >= similar]:
-                if find(int(rows.comp[k])) != find(comp):
-                    root[find(comp)] = find(int(rows.comp[k]))
-                    out.append((node, int(rows.node[k])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            alike = similarities(weighted(row.text, shared.value), np.concatenate([h for h, _ in parts]), np.concatenate([w for _, w in parts]), starts)
+            for k, good in zip(some, (alike >= similar).tolist(), strict=True):
+                if good and find(left[k].comp) != find(row.comp):
+                    root[find(left[k].comp)] = find(row.comp)
+                    out.append((left[k].comp, row.comp))
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -341,15 +442,30 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
+def told(table: DataFrame) -> DataFrame:
+    """A saved table for a join in which texts take part: told to all tasks where it has TOLD rows at most, so texts stay where they are; else texts are shuffled."""
+    return broadcast_if_small(table, TOLD)
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, work: Workspace) -> DataFrame:
+    """(node, text) for wanted (node, low, fast, key). Rows that repeat bring a text once."""
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_fast"))
+    got = rows.join(told(wanted), (F.col("_fast") == F.col("fast")) & F.col("doc_id").eqNullSafe(F.col("low")))
+    got = work.save(got.where(F.unhex(F.md5("text")) == F.col("key")).select("node", "text"), "texts")
+    if got.count() > wanted.count():
+        got = work.save(got.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    return got
+
+
 def near_groups(docs: DataFrame, work: Workspace, similar: float = SIMILAR) -> DataFrame:
-    """A row per row of docs: doc_id, key (what its text is known by), class_id, class_size, keep_id, keep_key.
+    """A row per row of docs: doc_id, fast and key (hashes of its text; key is empty without a word), class_id, class_size, keep_id, keep_key.
 
     Classes are the connected components of links between texts whose weighted Jaccard similarity is similar or more and
     that share a band. Equal texts are one node. In each bucket every node is compared with the bucket's first; the nodes
     that this leaves over are compared, in blocks, with all nodes of the bucket that are in other components, so groups
     with one hub never make pairs, and no link between components that share a bucket is passed by; a pair that shares
-    several buckets is compared in that of the first band. class_id is the smallest doc_id; keep_id and keep_key tell the
-    row that stays.
+    several buckets is compared in that of the first band. Signatures are compared first, and texts are fetched only for
+    rows with a promising partner. class_id is the smallest doc_id; keep_id and keep_key tell the row that stays.
 
     Texts without a word, null and empty ones included, are one class. Null ids come after all others. Rows that repeat
     belong together. An empty table gives none; other columns are not looked at.
@@ -357,24 +473,18 @@ def near_groups(docs: DataFrame, work: Workspace, similar: float = SIMILAR) -> D
     spark = work.spark
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    df, n_docs = document_frequencies(docs)
-    shared = spark.sparkContext.broadcast(idf(df, n_docs))
-    signed = work.save(docs.mapInPandas(_sign(shared), _SIGNATURE), "signed")
-    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    shared = spark.sparkContext.broadcast(document_frequencies(docs, work))
+    signed = work.save(docs.withColumn("fast", F.xxhash64(F.coalesce("text", F.lit("")))).mapInPandas(_sign(shared), _SIGNATURE), "signed")
+    one = lambda c: F.first(c).alias(c)  # noqa: E731  equal for a key
+    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"), *map(one, ("fast", "size", "bands", "sig")))
     nodes = work.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    found = nodes.select("node", "low", "fast", "key")
 
     entries = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))  # the bucket tells the band
     buckets = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = work.save(buckets, "buckets")
     star = salted_join(entries, buckets.select("bucket", "leader"), "bucket", hot_keys(buckets, "bucket", "n"), "node")
     star = work.save(star.select("bucket", "band", "node", "leader"), "star")  # the leaders are in it too
-    met = work.save(star.select("node").distinct().join(nodes.select("node", "key", "low"), "node"), "met")
-    md5 = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text").alias("d")
-    texts = md5.join(met.alias("m"), (F.col("d.key") == F.col("m.key")) & F.col("d.doc_id").eqNullSafe(F.col("m.low")))
-    texts = texts.select("node", "text")
-    if not signed.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        texts = texts.dropDuplicates(["node"])  # rows that repeat id and text bring a text once each
-    texts = work.save(texts, "texts")
 
     # every node against the first of its buckets
     pairs = work.save(star.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
@@ -384,55 +494,72 @@ def near_groups(docs: DataFrame, work: Workspace, similar: float = SIMILAR) -> D
     signs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
     signs = salted_join(signs, nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b", hubs, "a")
     pairs = work.save(signs.where(alike("sig_a", "sig_b") >= PROMISING).select("a", "b"), "promising")
-    told = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    told = salted_join(told, texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b", hubs, "a")
-    edges = work.save(told.sortWithinPartitions("b").mapInPandas(_verify(shared, similar), "a long, b long"), "verified")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts_of(docs, work.save(found.join(ends, "node"), "wanted"), work)
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = salted_join(both, texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b", hubs, "a")
+    edges = work.save(both.sortWithinPartitions("b").mapInPandas(_verify(shared, similar), "a long, b long"), "verified")
 
     # what is left over, against the rest of its buckets
-    comps = components(edges, work)
-    linked = edges.select(F.col("a").alias("node"), F.col("b").alias("leader"))
-    member = star.join(linked.withColumn("_linked", F.lit(True)), ["node", "leader"], "left").withColumn("left_over", F.col("_linked").isNull() & (F.col("node") != F.col("leader"))).drop("_linked", "leader")
-    member = member.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    member = work.save(member, "member")
-    open_buckets = member.groupBy("bucket").agg(F.max("left_over").alias("some"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"))
-    open_buckets = work.save(open_buckets.where("some and c0 <> c1").select("bucket", "n"), "open")
-    inside = salted_join(member, open_buckets.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket", hot_keys(open_buckets, "bucket", "n"), "node")
-    inside = inside.join(nodes.select("node", "sig", "bands"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = inside.where("left_over").select("bucket", "band", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), "node", "comp", "sig", "bands")
-    cells = cells.unionByName(inside.select("bucket", "band", every.alias("i"), own.alias("j"), F.lit(1).alias("side"), "node", "comp", "sig", "bands"))
-    dealt = cells.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    comps = work.save(components(edges, work), "comps")
+    linked = edges.select(F.col("a").alias("node"), F.col("b").alias("leader"), F.lit(True).alias("_linked"))
+    member = star.join(linked, ["node", "leader"], "left").withColumn("own", F.col("_linked").isNull() & (F.col("node") != F.col("leader"))).drop("_linked", "leader")
+    member = work.save(member.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "member")
+    opened = member.groupBy("bucket").agg(F.count_if("own").alias("left"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"))
+    size = F.least(F.lit(ROWS_TO), F.greatest(F.lit(ROWS_FROM), 8 * F.sqrt("n")))
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    opened = opened.where("left > 0 and c0 <> c1").select("bucket", "n", blocks(F.col("left"), size).alias("ni"), blocks(F.col("n"), size).alias("nj"))
+    opened = work.save(opened, "open")
+    inside = salted_join(member, opened.drop("n"), "bucket", hot_keys(opened, "bucket", "n"), "node")
+    inside = work.save(inside.join(nodes.select("node", "size", "sig", "bands"), "node"), "inside")
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cell = lambda i, j, side: ("bucket", "band", i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "node", "comp", "own", "size", "sig", "bands")
+    cells = inside.where("own").select(*cell(mine("ni"), every("nj"), 0)).unionByName(inside.select(*cell(every("ni"), mine("nj"), 1)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
     rest = work.save(dealt.mapInPandas(_promising, _CELL), "rest")
-    more = rest.join(texts, "node").groupBy("bucket", "i", "j").applyInPandas(_link(shared, similar), "a long, b long")
-    more = work.save(more, "more")
-    if not more.isEmpty():
-        comps = components(edges.unionByName(more), work)
+    texts = texts_of(docs, work.save(found.join(rest.select("node").distinct(), "node"), "wanted"), work)
+    sizes = rest.groupBy("bucket", "i", "j").agg(F.sum(F.when(F.col("side") == 0, F.col("size")).otherwise(0)).alias("bytes"))
+    rest = rest.join(sizes.select("bucket", "i", "j", F.greatest(F.lit(1), blocks(F.col("bytes"), F.lit(LEFT_BYTES))).alias("nk")), ["bucket", "i", "j"])
+    rest = rest.withColumn("k", F.explode(F.when(F.col("side") == 0, F.array(mine("nk"))).otherwise(F.sequence(F.lit(0), F.col("nk") - 1)))).drop("nk", "size")
+    dealt = rest.join(texts, "node").repartition(parts, "bucket", "i", "j", "k").sortWithinPartitions("bucket", "i", "j", "k", "side")
+    more = work.save(dealt.mapInPandas(_link(shared, similar), "a long, b long"), "more")
 
     labelled = nodes.select("key", "node", "low", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    if not more.isEmpty():  # links between components
+        joined = components(more, work).select(F.col("node").alias("comp"), F.col("comp").alias("_comp"))
+        labelled = labelled.join(joined, "comp", "left").withColumn("comp", F.coalesce("_comp", "comp")).drop("_comp")
     labelled = work.save(labelled, "labelled")
     last = F.struct(F.col("low").isNull().alias("none"), "low", "key")
     classes = labelled.groupBy("comp").agg(F.sum("n").alias("class_size"), F.min(last).alias("first"), F.count(F.lit(1)).alias("nodes"))
     classes = work.save(classes.select("comp", "class_size", "nodes", F.col("first.low").alias("keep_id"), F.col("first.key").alias("keep_key")), "classes")
     labelled = salted_join(labelled, classes.drop("nodes"), "comp", hot_keys(classes, "comp", "nodes"), "node")
     labelled = work.save(labelled.select("key", "n", "class_size", "keep_id", "keep_key"), "classed")
-    out = salted_join(signed.select("doc_id", "key"), labelled.drop("n"), "key", hot_keys(labelled, "key", "n"), "doc_id")
-    return out.select("doc_id", "key", F.col("keep_id").alias("class_id"), "class_size", "keep_id", "keep_key")
+    out = salted_join(signed.select("doc_id", "fast", "key"), labelled.drop("n"), "key", hot_keys(labelled, "key", "n"), "doc_id")
+    return out.select("doc_id", "fast", "key", F.col("keep_id").alias("class_id"), "class_size", "keep_id", "keep_key")
 
 
 def drop_near_duplicates(docs: DataFrame, work: Workspace, similar: float = SIMILAR) -> DataFrame:
-    """docs with one row of each class: that of the smallest doc_id, and of rows that repeat it one."""
-    groups = near_groups(docs, work, similar)
-    mine = groups.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key")))
-    kept = work.save(mine.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n")), "kept")
-    words = F.regexp_like(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
-    keyed = docs.select(row_of(docs), "doc_id", F.when(F.coalesce(words, F.lit(False)), F.md5("text")).otherwise("no word").alias("_key0"))
-    out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key0") == F.col("_key")))
-    if not kept.where("_n > 1").isEmpty():  # rows that repeat: the least of them by all columns
-        out = out.groupBy("_id", "_key").agg(F.min("row").alias("row"))
+    """docs with one row of each class: that of the smallest doc_id, and of rows that repeat it one. The rows that go are told to all tasks if they are few enough (see told), so the others stay where they are."""
+    groups = work.save(near_groups(docs, work, similar), "groups")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key"))
+    wordless = groups.where(stays & (F.length("key") == 0)).agg(F.min("fast")).first()[0]  # of their one class
+    stays &= (F.length("key") > 0) | (F.col("fast") == wordless)
+    rows = groups.groupBy("doc_id", "fast", "key").agg(F.bool_or(stays).alias("_stays"), F.count(F.lit(1)).alias("_n"))
+    gone = work.save(rows.select(F.col("doc_id").alias("_id"), "fast", "key", "_stays", "_n").where("not _stays or _n > 1"), "gone")
+    keyed = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_fast"))
+    same = (F.col("_fast") == F.col("fast")) & F.col("doc_id").eqNullSafe(F.col("_id")) & ((F.length("key") == 0) | (F.unhex(F.md5("text")) == F.col("key")))
+    out = keyed.join(told(gone), same, "left_anti").select("row")
+    again = work.save(gone.where("_stays"), "again")
+    work.clear("gone", "again")
+    if not again.isEmpty():  # rows that repeat: the largest of them by all columns
+        some = keyed.join(told(again), same).groupBy("_id", "fast", "key").agg(F.max_by("row", orderable(docs, "row")).alias("row"))
+        out = out.unionByName(some.select("row"))
     return unpacked(out, docs.columns)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"), Workspace(spark, "near"))
-    return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    work = Workspace(spark, "near")
+    out = near_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"), work)
+    return work.result(out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))
