@@ -15,8 +15,6 @@ from .common import read_table, ship
 
 #: In the order in which kinds of one start are listed.
 KINDS = ("assign", "access", "hex", "linked_id", "linked_secret", "linked_endpoint")
-#: Complementary parts lie in one scope, a paragraph, with at most so many code points between them.
-REACH = 400
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -44,8 +42,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(*m.span(), "hex") for m in _HEX.finditer(text)]
 
 
-def joins(parts: list[tuple[int, int]], others: list[tuple[int, int]], cuts: list[int], reach: int) -> list[tuple[int, int]]:
-    """Those of parts with one of others in their scope, at most reach apart: an interval join, by binary search over sorted starts and running greatest ends."""
+def joins(parts: list[tuple[int, int]], others: list[tuple[int, int]], cuts: list[int], reach: int | None = None) -> list[tuple[int, int]]:
+    """Those of parts with one of others in their scope, at most reach apart if that is given: an interval join, by binary search over sorted starts and running greatest ends."""
     others = sorted(others)
     starts, ends, far = [s for s, _ in others], [], 0
     for _, e in others:
@@ -53,6 +51,11 @@ def joins(parts: list[tuple[int, int]], others: list[tuple[int, int]], cuts: lis
     out = []
     for s, e in parts:
         k = bisect.bisect_right(cuts, s)
+        if reach is None:
+            first = bisect.bisect_left(starts, cuts[k - 1]) if k else 0
+            if first < (bisect.bisect_left(starts, cuts[k]) if k < len(cuts) else len(starts)):
+                out.append((s, e))
+            continue
         low, high = (cuts[k - 1] if k else 0), (cuts[k] if k < len(cuts) else math.inf)
         # others that start in [.., min(e + reach, high)) and of these one that ends after max(s - reach, low)
         i = bisect.bisect_left(starts, min(e + reach + 1, high))
@@ -67,18 +70,32 @@ def _back(others, ends, i, low):
         yield others[i]
 
 
-def find(text: str | None, reach: int = REACH) -> list[tuple[str, int, int]]:
+def apart_from(spans: list[tuple[int, int]]):
+    """Whether a span touches none of spans, by binary search."""
+    spans, far, ends = sorted(spans), 0, []
+    for _, e in spans:
+        ends.append(far := max(far, e))
+    starts = [s for s, _ in spans]
+
+    def clear(s: int, e: int) -> bool:
+        i = bisect.bisect_left(starts, e)  # those that begin before e: does one end after s?
+        return not i or ends[i - 1] <= s
+
+    return clear
+
+
+def find(text: str | None, reach: int | None = None) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end), by start and then kind; offsets in code points, end exclusive.
 
     A secret is a base assign or hex span or a weak secret: a random-looking run that no base span touches. An identifier
     is a base access span or a weak one. Weak identifiers and endpoints count with a secret near, weak secrets with an
-    identifier or an endpoint near; near is in the same paragraph and at most reach code points apart.
+    identifier or an endpoint near; near is in the same scope, a paragraph, and at most reach code points apart, if that
+    is given. The work grows with the text and the logarithm of its spans.
     """
     text = text or ""
     spans = base_spans(text)
     strong = [(s, e) for s, e, k in spans if k != "access"]
-    taken = sorted((s, e) for s, e, _ in spans)
-    clear = lambda s, e: not any(a < e and s < b for a, b in taken)  # noqa: E731  a text has few
+    clear = apart_from([(s, e) for s, e, _ in spans])
     weak = [m.span() for m in _WEAK_SECRET.finditer(text) if _random_looking(m[0]) and clear(*m.span())]
     if strong or weak:  # without a secret, nothing links
         cuts = [m.end() for m in _SCOPE.finditer(text)]
@@ -91,15 +108,15 @@ def find(text: str | None, reach: int = REACH) -> list[tuple[str, int, int]]:
     return [(k, s, e) for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))]
 
 
-def _scan(reach: int):
+def _scan(reach: int | None):
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"kind": k, "start": s, "end": e} for k, s, e in find(t, reach)] for t in texts], dtype=object)
 
     return run
 
 
-def scan(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
-    """docs with spans, an array of (kind, start, end). Null and empty texts have none; rows stay as they are, repeated ones too, so nothing is shuffled."""
+def scan(docs: DataFrame, text: str = "text", reach: int | None = None) -> DataFrame:
+    """docs with spans, an array of (kind, start, end), in place of a column of that name. Null and empty texts have none; rows stay as they are, repeated ones too, so nothing is shuffled."""
     ship(docs.sparkSession)
     return docs.withColumn("spans", F.pandas_udf(_scan(reach), _SPANS)(F.col(text)))
 
