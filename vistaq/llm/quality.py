@@ -134,24 +134,28 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, seed: int = 0) -> ByteCNN:
-    """Fits on at most rows labelled documents outside the held-out fold, in the order of a hash of their ids, and on most_bytes of text; both bounds are the whole of what reaches the driver.
+    """Fits on at most rows labelled documents outside the held-out fold, in the order of a hash of their ids, and on most_bytes of text.
 
-    Labels are read by doc_id; null labels and ids are left out. Without both labels the network gives 0.5 or the share that there is.
+    Both bounds hold before any text is sent to the driver: sizes are, of rows documents at most, and then the texts that
+    together fit most_bytes, whole ones, taken in that order; one that no longer fits is passed over. Rows that repeat are
+    learned from once. Labels are read by doc_id; null labels and ids are left out. Without both labels the network gives 0.5 or the share that there is.
     """
     some = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     some = some.select("doc_id", "quality", F.xxhash64("doc_id", F.lit(seed)).alias("_order")).orderBy("_order", "doc_id").limit(rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    room = most_bytes // max(1, rows)
-    # texts up to 8 times their share of the bytes: whole ones, or none
-    got = got.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= 8 * room)
-    texts, y, size = [], [], 0
-    for r in sorted(got.collect(), key=lambda r: (r["_order"], r["doc_id"], r["text"] or "")):
-        size += len(r["text"] or "")
-        if size > most_bytes:
-            break
-        texts.append(r["text"])
-        y.append(int(r["quality"] == 1))
-    return ByteCNN(seed).fit(texts, y)
+    text = F.coalesce("text", F.lit(""))
+    got = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_hash"), F.octet_length(text).alias("_n")).join(F.broadcast(some), "doc_id")  # rows labels at most
+    sizes = got.select("_order", "doc_id", "quality", "_hash", "_n").distinct().orderBy("_order", "doc_id", "_hash", "quality").limit(rows).collect()
+    room, chosen = most_bytes, []
+    for r in sizes:
+        if r["_n"] <= room:
+            room -= r["_n"]
+            chosen.append((len(chosen), r["doc_id"], r["_hash"], r["quality"]))
+    if not chosen:
+        return ByteCNN(seed)
+    wanted = docs.sparkSession.createDataFrame(chosen, "place int, doc_id long, _hash long, quality int")
+    found = got.drop("quality").join(F.broadcast(wanted), ["doc_id", "_hash"]).groupBy("place", "quality").agg(F.first("text").alias("text")).collect()
+    found.sort(key=lambda r: r["place"])
+    return ByteCNN(seed).fit([r["text"] for r in found], [int(r["quality"] == 1) for r in found])
 
 
 def score(docs: DataFrame, model: ByteCNN, name: str = "score") -> DataFrame:
