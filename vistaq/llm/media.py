@@ -25,17 +25,31 @@ def padded(data: bytes, row: int = ROW) -> bytes:
     return data + bytes(-len(data) % row if data else row)
 
 
+def _spread(counts: np.ndarray) -> float:
+    """Bits a value by Renyi's entropy of order 2."""
+    return float(2 * np.log2(counts.sum()) - np.log2(np.dot(counts, counts)))
+
+
 def store(payload: bytes, row: int = ROW) -> bytes:
     """A payload of a multiple of row bytes as grey pixels, row to a line: a WebP file, or several, one after another, where there are more lines than an image may have.
 
     Up to 16 different bytes make a palette, of which several fit a pixel; else green is taken off red and blue, so one
-    channel is left. Codes of one length keep reading free of steps per pixel.
+    channel is left, and each pixel is predicted from its left or top neighbour if the differences have less entropy than
+    the bytes. Then come prefix codes and back-references to what was there before.
     """
     out, most = [], row * webp.MAX_SIDE
     for at in range(0, len(payload), most):
-        grey = np.frombuffer(payload[at : at + most], np.uint8).reshape(-1, row).astype(np.uint32)
-        few = len(np.unique(grey)) <= 16
-        out.append(webp.encode(grey * np.uint32(0x010101) | np.uint32(webp.OPAQUE), palette=few, subtract_green=not few))
+        grey = np.frombuffer(payload[at : at + most], np.uint8).reshape(-1, row)
+        pixels = grey.astype(np.uint32) * np.uint32(0x010101) | np.uint32(webp.OPAQUE)
+        counts = np.bincount(grey.reshape(-1))
+        if np.count_nonzero(counts) <= 16:
+            out.append(webp.encode(pixels, palette=True, back=True))
+            continue
+        steps = {mode: np.bincount(np.diff(grey, axis=2 - mode).reshape(-1)) for mode in (1, 2) if len(grey) > 1}
+        bits = {0: _spread(counts)} | {mode: _spread(n) for mode, n in steps.items()}
+        mode = min(bits, key=lambda k: (bits[k], k))
+        modes = np.full((-(-len(grey) // 512), -(-row // 512)), mode) if mode else None
+        out.append(webp.encode(pixels, subtract_green=True, predictor=modes, shift=9, back=True))
     return b"".join(out)
 
 

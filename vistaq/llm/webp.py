@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -33,103 +34,127 @@ _ALPHABETS = (256 + 24, 256, 256, 256, 40)
 
 
 class _Bits:
-    """Reads a byte string from the lowest bit of each byte on."""
+    """Reads a byte string from the lowest bit of each byte on, through a window of one whole number."""
+
+    WINDOW = 256
 
     def __init__(self, data: bytes, at: int = 0):
-        self.data, self.at = data, at
+        self.data, self.at, self.end = data, at, 8 * len(data)
+        self.base, self.word = -8 * self.WINDOW, 0
+
+    def peek(self, n: int) -> int:
+        """The next n bits, 32 at most; zeros beyond the end."""
+        place = self.at - self.base
+        if place < 0 or place > 8 * self.WINDOW - 32:
+            first = self.at >> 3
+            self.base, self.word = 8 * first, int.from_bytes(self.data[first : first + self.WINDOW], "little")
+            place = self.at - self.base
+        return self.word >> place & (1 << n) - 1
 
     def read(self, n: int) -> int:
-        if n == 0:
-            return 0
-        first, last = self.at >> 3, (self.at + n + 7) >> 3
-        if last > len(self.data):
+        if self.at + n > self.end:
             raise ValueError("the image data end too soon")
-        value = int.from_bytes(self.data[first:last], "little") >> (self.at & 7)
+        value = self.peek(n)
         self.at += n
-        return value & ((1 << n) - 1)
-
-    def peek(self, n: int) -> int:
-        first = self.at >> 3
-        return (int.from_bytes(self.data[first : first + 4], "little") >> (self.at & 7)) & ((1 << n) - 1)
-
-
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+        return value
 
 
 class _Out:
+    """Collects values with their numbers of bits."""
+
     def __init__(self):
-        self.parts: list[np.ndarray] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.values: list[int] = []
+        self.sizes: list[int] = []
 
     def put(self, value: int, n: int) -> None:
-        self.parts.append(_BITS[value][:n] if n <= 8 else np.array([value >> i & 1 for i in range(n)], np.uint8))
+        self.values.append(value)
+        self.sizes.append(n)
+
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        if self.values:
+            self.parts.append((np.array(self.values, np.uint64), np.array(self.sizes, np.int64)))
+            self.values, self.sizes = [], []
+        for low in range(0, len(values), 1 << 16):
+            self.parts.append((values[low : low + (1 << 16)], sizes[low : low + (1 << 16)]))
 
     def bytes(self) -> bytes:
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        self.put_all(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        bits = []
+        for values, sizes in self.parts:
+            ends = np.cumsum(sizes)
+            place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+            bits.append((np.repeat(values, sizes) >> place.astype(np.uint64)).astype(np.uint8) & 1)
+        return np.packbits(np.concatenate(bits), bitorder="little").tobytes()
 
 
 # ---- prefix codes
 
 
-def _canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols in the order of their codes, and these codes."""
-    symbols = np.flatnonzero(lengths)
-    own = lengths[symbols]
-    if len(own) and own.min() == own.max():
-        return symbols, np.arange(len(symbols))
-    symbols = symbols[np.argsort(own, kind="stable")]
-    codes, code, before = np.zeros(len(symbols), np.int64), 0, 0
-    for i, s in enumerate(symbols):
-        n = int(lengths[s])
-        code <<= n - before
-        codes[i], before = code, n
-        code += 1
-    return symbols, codes
+_REVERSED = np.packbits(np.unpackbits(np.arange(1 << 16, dtype=">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, ::-1], axis=1).view(">u2").reshape(-1).astype(np.int64)
 
 
-def _reversed(code: int, n: int) -> int:
-    return int(f"{code:0{n}b}"[::-1], 2) if n else 0
+def _canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols in the order of their codes, these codes and their lengths, which must be 16 at most."""
+    symbols = np.flatnonzero(lengths)
+    own = lengths[symbols]
+    order = np.argsort(own, kind="stable")
+    symbols, own = symbols[order], own[order]
+    if not len(own):
+        return symbols, own, own
+    spare = own[-1] - own
+    room = 1 << spare
+    return symbols, (np.cumsum(room) - room) >> spare, own
 
 
 class _Code:
-    """A prefix code for reading. uniform: the length that all its symbols have, or -1."""
+    """A prefix code for reading: bits is the length of its longest code, symbol and size are tables by the next bits."""
+
+    list = None
 
     def __init__(self, lengths: np.ndarray):
-        self.symbols, codes = _canonical(lengths)
-        if not len(self.symbols):
+        symbols, _, own = _canonical(lengths)
+        if not len(symbols):
             raise ValueError("a prefix code has no symbol")
-        own = lengths[self.symbols]
-        if len(self.symbols) == 1:
-            self.bits, self.uniform, self.table = 0, 0, [(int(self.symbols[0]), 0)]
+        if len(symbols) == 1:
+            self._alone(int(symbols[0]))
             return
-        self.bits = int(own.max())
-        if int((1 << (self.bits - own)).sum()) != 1 << self.bits:
+        self.bits = int(own[-1])
+        room = 1 << (self.bits - own)
+        if int(room.sum()) != 1 << self.bits:
             raise ValueError("a prefix code is not complete")
-        self.uniform = self.bits if int(own.min()) == self.bits else -1
-        self.table = None
-        self.codes, self.own = codes, own
+        place = _REVERSED[: 1 << self.bits] >> (16 - self.bits)
+        self.symbol, self.size = np.repeat(symbols, room)[place], np.repeat(own, room)[place]
 
-    def fill(self) -> None:
-        self.table = [(0, 0)] * (1 << self.bits)
-        for s, c, n in zip(self.symbols.tolist(), self.codes.tolist(), self.own.tolist(), strict=True):
-            for k in range(_reversed(c, n), 1 << self.bits, 1 << n):
-                self.table[k] = (s, n)
+    def _alone(self, symbol: int) -> None:
+        self.bits, self.symbol, self.size = 0, np.array([symbol]), np.zeros(1, np.int64)
+
+    @classmethod
+    def alone(cls, symbol: int) -> _Code:
+        """The code of one symbol, which takes no bits."""
+        out = cls.__new__(cls)
+        out._alone(symbol)
+        return out
 
     def read(self, bits: _Bits) -> int:
-        if self.table is None:
-            self.fill()
-        symbol, n = self.table[bits.peek(self.bits)]
+        if self.list is None:
+            self.list = list(zip(self.symbol.tolist(), self.size.tolist(), strict=True)) if self.bits < 12 else ()
+        k = bits.peek(self.bits)
+        symbol, n = self.list[k] if self.list else (int(self.symbol[k]), int(self.size[k]))
         bits.at += n
         return symbol
 
 
 def _read_code(bits: _Bits, size: int) -> _Code:
-    lengths = np.zeros(max(size, 256), np.int64)
     if bits.read(1):
         two = bits.read(1)
-        lengths[bits.read(8 if bits.read(1) else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        first = bits.read(8 if bits.read(1) else 1)
+        if not two and first < size:
+            return _Code.alone(first)
+        lengths = np.zeros(max(size, 256), np.int64)
+        lengths[[first, *([bits.read(8)] if two else [])]] = 1
         return _Code(lengths[:size])
+    lengths = np.zeros(max(size, 256), np.int64)
     own = np.zeros(19, np.int64)
     for k in range(4 + bits.read(4)):
         own[CODE_ORDER[k]] = bits.read(3)
@@ -137,10 +162,6 @@ def _read_code(bits: _Bits, size: int) -> _Code:
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
     at, before = 0, 8
-    if code.bits == 1 and code.symbols.max() < 16:  # a bit per length
-        n = min(left, size)
-        lengths[:n] = _uniform(bits, code, n)
-        return _Code(lengths[:size])
     while at < size and left:
         left -= 1
         s = code.read(bits)
@@ -148,7 +169,8 @@ def _read_code(bits: _Bits, size: int) -> _Code:
             lengths[at] = s
             at, before = at + 1, s or before
         else:
-            n = (3 + bits.read(2), 3 + bits.read(3), 11 + bits.read(7))[s - 16]
+            least, more = ((3, 2), (3, 3), (11, 7))[s - 16]
+            n = least + bits.read(more)
             if at + n > size:
                 raise ValueError("code lengths run over")
             lengths[at : at + n] = before if s == 16 else 0
@@ -158,55 +180,69 @@ def _read_code(bits: _Bits, size: int) -> _Code:
 
 def _huffman(counts: np.ndarray, most: int = 15) -> np.ndarray:
     """Code lengths for counts, none over most."""
-    used = np.flatnonzero(counts)
+    used = np.flatnonzero(counts).tolist()
     lengths = np.zeros(len(counts), np.int64)
     if len(used) < 2:
         lengths[used] = 1
         return lengths
     floor = 1
     while True:
-        heap = [(max(int(counts[s]), floor), i, [int(s)]) for i, s in enumerate(used)]
+        heap = [(max(c, floor), i) for i, c in enumerate(counts[used].tolist())]
         heapq.heapify(heap)
-        depth, n = dict.fromkeys(map(int, used), 0), len(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], n, a[2] + b[2]))
-            n += 1
-        if max(depth.values()) <= most:
-            for s, d in depth.items():
-                lengths[s] = d
+        above = [0] * (2 * len(used) - 1)
+        for n in range(len(used), len(above)):
+            (a, i), (b, j) = heapq.heappop(heap), heap[0]
+            above[i] = above[j] = n
+            heapq.heapreplace(heap, (a + b, n))
+        depth = [0] * len(above)
+        for i in range(len(above) - 2, -1, -1):
+            depth[i] = depth[above[i]] + 1
+        if max(depth[: len(used)]) <= most:
+            lengths[used] = depth[: len(used)]
             return lengths
         floor *= 2
 
 
 def _write_code(out: _Out, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths)
-    if len(used) <= 2 and (not len(used) or used.max() < 256):
-        used = used if len(used) else np.array([0])
-        out.put(1, 1)
-        out.put(len(used) - 1, 1)
-        out.put(1, 1)
-        for s in used:
-            out.put(int(s), 8)
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+        used = used.tolist() or [0]
+        out.put(1 | len(used) - 1 << 1 | 1 << 2 | used[0] << 3, 11)
+        if len(used) == 2:
+            out.put(used[1], 8)
         return
     out.put(0, 1)
-    own = _huffman(np.bincount(lengths, minlength=19), 7)
+    # runs of zeros by codes 17 and 18, of other lengths by 16 after the first
+    cuts = np.flatnonzero(lengths[1:] != lengths[:-1]) + 1
+    tokens: list[tuple[int, int, int]] = []
+    for value, n in zip(lengths[np.r_[0, cuts]].tolist(), np.diff(np.r_[0, cuts, len(lengths)]).tolist(), strict=True):
+        if value:
+            tokens.append((value, 0, 0))
+            n -= 1
+        while n >= 3:
+            k = min(n, 138 if not value else 6)
+            tokens.append((16, k - 3, 2) if value else (17, k - 3, 3) if k < 11 else (18, k - 11, 7))
+            n -= k
+        tokens += [(value, 0, 0)] * n
+    own = _huffman(np.bincount([t[0] for t in tokens], minlength=19), 7)
     n = max(4, 1 + max(k for k, s in enumerate(CODE_ORDER) if own[s]))
     out.put(n - 4, 4)
     for k in range(n):
         out.put(int(own[CODE_ORDER[k]]), 3)
     out.put(0, 1)
-    symbols, codes = _canonical(own)
-    bits = {int(s): (_reversed(int(c), int(own[s])), int(own[s])) for s, c in zip(symbols, codes, strict=True)}
-    if len(symbols) == 1:
-        return
-    if own[symbols].max() == 1:
-        out.parts.append((lengths == symbols[1]).astype(np.uint8))
-        return
-    for x in lengths.tolist():
-        out.put(*bits[x])
+    values, sizes = (x.tolist() for x in _book(own))
+    for s, extra, more in tokens:
+        out.put(values[s] | extra << sizes[s], sizes[s] + more)
+
+
+def _book(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By symbol the bits to write, the first lowest, and how many; a lone symbol takes none."""
+    symbols, codes, own = _canonical(lengths)
+    values, sizes = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.int64)
+    if len(symbols) > 1:
+        sizes[symbols] = own
+        values[symbols] = _REVERSED[codes] >> (16 - own)
+    return values, sizes
 
 
 # ---- pixels
@@ -233,20 +269,71 @@ def _slot(pixel: int, bits: int) -> int:
     return (0x1E35A7BD * pixel & 0xFFFFFFFF) >> (32 - bits)
 
 
-def _uniform(bits: _Bits, code: _Code, n: int) -> np.ndarray:
-    """n symbols of a code whose symbols all have one length, at once."""
-    k = code.uniform
-    if k == 0:
-        return np.full(n, code.symbols[0], np.int64)
-    end = bits.at + n * k
-    if end > 8 * len(bits.data):
+@lru_cache(64)
+def _codes_of_distances(width: int) -> dict[int, int]:
+    """The codes of the distances that have a short one in an image of width."""
+    near: dict[int, int] = {}
+    for code, (x, y) in enumerate(NEAR):
+        near.setdefault(max(1, x + y * width), code + 1)
+    return near
+
+
+def _distance(code: int, width: int) -> int:
+    if code > 120:
+        return code - 120
+    x, y = NEAR[code - 1]
+    return max(1, x + y * width)
+
+
+#: Bytes of coded pixels that are looked up at once.
+LOOK = 1 << 18
+
+
+def _read_green(bits: _Bits, width: int, total: int, green: _Code, distances: _Code) -> np.ndarray:
+    """Green of total pixels that differ in nothing else. What each bit would begin is looked up for many bits at once, and then followed from code to code; a back-reference is one step."""
+    out, at = np.empty(total, np.uint8), 0
+    literal = green.symbol < 256
+    if not green.bits:
+        if not literal[0]:
+            raise ValueError("a back-reference leaves the image")
+        out[:] = green.symbol[0]
+        return out
+    steps_of, mask = np.where(literal, green.size, 0).astype(np.uint8), np.uint32((1 << green.bits) - 1)
+    symbol_of = np.where(literal, green.symbol, 0).astype(np.uint8)
+    data, base, steps, symbols = np.frombuffer(bits.data, np.uint8), 0, b"", b""
+    while at < total:
+        if bits.at - base >= len(steps) - 16:
+            first = bits.at >> 3
+            if first >= len(data):
+                raise ValueError("the image data end too soon")
+            some = np.concatenate([data[first : first + LOOK + 2], np.zeros(max(2, LOOK + 2 - (len(data) - first)) if first + LOOK + 2 > len(data) else 0, np.uint8)]).astype(np.uint32)
+            some = some[: min(LOOK, len(data) - first) + 2]
+            word = some[:-2] | some[1:-1] << 8 | some[2:] << 16
+            values = ((word[:, None] >> np.arange(8, dtype=np.uint32)) & mask).reshape(-1)
+            base, steps = 8 * first, steps_of[values].tobytes() + bytes(16)  # so no step leads beyond
+            symbols = symbol_of[values].tobytes()
+        run, p = [], bits.at - base
+        add = run.append
+        for _ in range(total - at):
+            step = steps[p]
+            if not step:
+                break
+            add(symbols[p])
+            p += step
+        if run:
+            out[at : at + len(run)] = np.frombuffer(bytes(run), np.uint8)
+            at += len(run)
+        bits.at = base + p
+        if at == total or p >= len(steps) - 16:
+            continue
+        n, d = _value(bits, green.read(bits) - 256), _distance(_value(bits, distances.read(bits)), width)
+        if d > at or at + n > total:
+            raise ValueError("a back-reference leaves the image")
+        out[at : at + n] = out[at - d : at - d + n] if d >= n else np.resize(out[at - d : at], n)
+        at += n
+    if bits.at > 8 * len(data):
         raise ValueError("the image data end too soon")
-    flat = np.unpackbits(np.frombuffer(bits.data, np.uint8, (end + 7) // 8 - bits.at // 8, bits.at // 8), bitorder="little")
-    wide = np.zeros((n, 16 if k > 8 else 8), np.uint8)
-    wide[:, -k:] = flat[bits.at % 8 : bits.at % 8 + n * k].reshape(n, k)
-    bits.at = end
-    packed = np.packbits(wide, axis=1)
-    return code.symbols[packed[:, 0] if k <= 8 else packed[:, 0].astype(np.int64) << 8 | packed[:, 1]]
+    return out
 
 
 def _read_pixels(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -262,10 +349,10 @@ def _read_pixels(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray
     for _ in range(int(meta.max()) + 1 if meta is not None else 1):
         groups.append([_read_code(bits, n + (1 << cache_bits if i == 0 and cache_bits else 0)) for i, n in enumerate(_ALPHABETS)])
     total = width * height
-    green, red, blue, alpha, _ = groups[0]
-    if len(groups) == 1 and not cache_bits and green.uniform >= 0 and red.uniform == blue.uniform == alpha.uniform == 0 and green.symbols.max() < 256:
-        rest = int(alpha.symbols[0]) << 24 | int(red.symbols[0]) << 16 | int(blue.symbols[0])
-        return (_uniform(bits, green, total) << 8 | rest).astype(np.uint32)
+    green, red, blue, alpha, distances = groups[0]
+    if len(groups) == 1 and not cache_bits and red.bits == blue.bits == alpha.bits == 0:
+        rest = int(alpha.symbol[0]) << 24 | int(red.symbol[0]) << 16 | int(blue.symbol[0])
+        return _read_green(bits, width, total, green, distances).astype(np.uint32) << 8 | np.uint32(rest)
     return _read_mixed(bits, width, total, groups, meta, shift, cache_bits)
 
 
@@ -280,12 +367,7 @@ def _read_mixed(bits: _Bits, width: int, total: int, groups, meta, shift: int, c
             out[at] = alpha << 24 | red << 16 | s << 8 | blue
             at += 1
         elif s < 280:
-            n, d = _value(bits, s - 256), _value(bits, g[4].read(bits))
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
+            n, d = _value(bits, s - 256), _distance(_value(bits, g[4].read(bits)), width)
             if d > at or at + n > total:
                 raise ValueError("a back-reference leaves the image")
             for i in range(at, at + n):
@@ -367,6 +449,35 @@ def _predictions(c: list, width: int, modes: np.ndarray, shift: int, inverse: bo
     return out
 
 
+def _from_one_side(p: np.ndarray, mode: int, inverse: bool) -> np.ndarray:
+    """Predictions of every pixel from its left (mode 1) or top (mode 2) neighbour, for all pixels at once: differences one way, running sums the other."""
+    c = _channels(p)
+    if inverse:
+        c[0, 0] += (255, 0, 0, 0)
+        if mode == 1:
+            c[:, 0] = np.cumsum(c[:, 0], 0)
+            return _joined(np.cumsum(c, 1))
+        c[0] = np.cumsum(c[0], 0)
+        return _joined(np.cumsum(c, 0))
+    out = c.copy()
+    if mode == 1:
+        out[:, 1:] -= c[:, :-1]
+        out[1:, 0] -= c[:-1, 0]
+    else:
+        out[1:] -= c[:-1]
+        out[0, 1:] -= c[0, :-1]
+    out[0, 0] -= (255, 0, 0, 0)
+    return _joined(out)
+
+
+def _predicted(p: np.ndarray, modes: np.ndarray, shift: int, inverse: bool) -> np.ndarray:
+    """p with the predictions of modes, one to a block, added (inverse) or taken off."""
+    one = int(modes.flat[0])
+    if one in (1, 2) and (modes == one).all():
+        return _from_one_side(p, one, inverse)
+    return _joined(np.array(_predictions(_channels(p).reshape(-1, 4).tolist(), p.shape[1], modes, shift, inverse))).reshape(p.shape)
+
+
 def _delta(t: np.ndarray, c: np.ndarray) -> np.ndarray:
     signed = lambda v: (v & 0xFF ^ 0x80) - 0x80
     return signed(t) * signed(c) >> 5
@@ -429,8 +540,7 @@ def decode(data: bytes) -> np.ndarray:
     p = _read_pixels(bits, w, height, True).reshape(height, w)
     for kind, w, shift, extra in reversed(undo):
         if kind == PREDICTOR:
-            c = _predictions(_channels(p).reshape(-1, 4).tolist(), w, extra >> 8 & 0xFF, shift, True)
-            p = _joined(np.array(c)).reshape(height, w)
+            p = _predicted(p, extra >> 8 & 0xFF, shift, True)
         elif kind == CROSS_COLOUR:
             p = _cross(p, extra, shift, True)
         elif kind == SUBTRACT_GREEN:
@@ -446,24 +556,64 @@ def decode(data: bytes) -> np.ndarray:
     return p.astype(np.uint32)
 
 
-def _write_uniform(out: _Out, pixels: np.ndarray) -> None:
-    """Pixels that differ in green alone, by a code whose symbols have one length: read back without a step per pixel."""
-    first, green = int(pixels[0]), (pixels >> 8 & 0xFF).astype(np.int64)
-    have = np.bincount(green, minlength=256) > 0
-    k = max(0, int(have.sum() - 1).bit_length())
-    if k:
-        spare = np.flatnonzero(~have)
-        have[spare[: (1 << k) - int(have.sum())]] = True
-    lengths = np.zeros(280, np.int64)
-    lengths[:256] = np.where(have, max(k, 1), 0)
+#: Bytes by which a repeat is found, and how many more have to go on from there.
+SEED, LEAST = 8, 16
+
+
+def _repeats(green: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of runs that were there before, LEAST or longer, from left to right: by the last place of the same SEED bytes."""
+    n = len(green) - SEED + 1
+    if n < LEAST:
+        return []
+    key = np.lib.stride_tricks.sliding_window_view(green, SEED).copy().view("<u8").reshape(-1)
+    order = np.argsort((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")  # of 16 bits: no comparisons
+    same = key[order[1:]] == key[order[:-1]]
+    before = np.full(n, -1)
+    before[order[1:][same]] = order[:-1][same]
+    far = LEAST - SEED
+    some = np.flatnonzero((before[:-far] >= 0) & (before[far:] - before[:-far] == far)) if n > far else []
+    out, done = [], 0
+    for at in some.tolist() if len(some) else ():
+        if at < done:
+            continue
+        d = at - int(before[at])
+        most = min(4096, len(green) - at)
+        unlike = np.flatnonzero(green[at : at + most] != green[at - d : at - d + most])
+        k = int(unlike[0]) if len(unlike) else most
+        if k >= LEAST:
+            out.append((at, k, d))
+            done = at + k
+    return out
+
+
+def _write_green(out: _Out, pixels: np.ndarray, width: int, back: bool) -> None:
+    """Pixels that differ in green alone: prefix codes for its values, and back-references."""
+    first, green = int(pixels[0]), (pixels >> 8 & 0xFF).astype(np.uint8)
+    near = _codes_of_distances(width)
+    found = [(at, n, _prefix(n), _prefix(near.get(d, d + 120))) for at, n, d in (_repeats(green) if back else [])]
+    alone = np.ones(len(green), bool)
+    for at, n, *_ in found:
+        alone[at : at + n] = False
+    counts = np.bincount(green[alone], minlength=280)
+    counts += np.bincount([256 + n[0] for *_, n, _ in found], minlength=280) if found else 0
+    lengths = _huffman(counts)
     _write_code(out, lengths)
-    for s in (first >> 16 & 0xFF, first & 0xFF, first >> 24, 0):
-        one = np.zeros(256, np.int64)
-        one[s] = 1
-        _write_code(out, one)
-    if k:
-        code = (np.cumsum(have) - 1).astype(np.uint8)[green]
-        out.parts.append(np.unpackbits(code[:, None], axis=1)[:, 8 - k :].reshape(-1))
+    for s in (first >> 16 & 0xFF, first & 0xFF, first >> 24):
+        out.put(1 | 1 << 2 | s << 3, 11)
+    away = _huffman(np.bincount([d[0] for *_, d in found], minlength=40)) if found else np.zeros(40, np.int64)
+    _write_code(out, away)
+    values, sizes = _book(lengths)
+    v, k = values[green], sizes[green]
+    if found:
+        far, far_k = _book(away)
+        for at, _, n, d in found:  # a back-reference is one value of fewer than 64 bits, in the place of its first pixel
+            value, size = int(values[256 + n[0]]), int(sizes[256 + n[0]])
+            for bits, m in ((n[2], n[1]), (int(far[d[0]]), int(far_k[d[0]])), (d[2], d[1])):
+                value |= bits << size
+                size += m
+            v[at], k[at], alone[at] = value, size, True
+        v, k = v[alone], k[alone]
+    out.put_all(v, k)
 
 
 def _tokens(p: np.ndarray, width: int, cache_bits: int, back: bool):
@@ -493,9 +643,7 @@ def _tokens(p: np.ndarray, width: int, cache_bits: int, back: bool):
 
 
 def _write_mixed(out: _Out, p: np.ndarray, width: int, cache_bits: int, back: bool, meta, shift: int) -> None:
-    near = {}
-    for code, (x, y) in enumerate(NEAR):
-        near.setdefault(max(1, x + y * width), code + 1)
+    near = _codes_of_distances(width)
     groups = int(meta.max()) + 1 if meta is not None else 1
     counts = [[np.zeros(n + (1 << cache_bits if i == 0 and cache_bits else 0), np.int64) for i, n in enumerate(_ALPHABETS)] for _ in range(groups)]
     made, at = [], 0
@@ -519,8 +667,7 @@ def _write_mixed(out: _Out, p: np.ndarray, width: int, cache_bits: int, back: bo
         for x in counts[g]:
             lengths = _huffman(x)
             _write_code(out, lengths)
-            symbols, codes = _canonical(lengths)
-            book.append({int(s): (_reversed(int(c), int(lengths[s])), int(lengths[s]) if len(symbols) > 1 else 0) for s, c in zip(symbols, codes, strict=True)})
+            book.append([(v, k) for v, k in zip(*(x.tolist() for x in _book(lengths)), strict=True)])
         books.append(book)
     for g, parts in made:
         for i, s in parts:
@@ -537,8 +684,8 @@ def _write_pixels(out: _Out, p: np.ndarray, main: bool, cache_bits: int = 0, bac
         if meta is not None:
             out.put(shift - 2, 3)
             _write_pixels(out, (meta.astype(np.uint32) << 8) | np.uint32(OPAQUE), False)
-    if meta is None and not cache_bits and not back and bool(((flat ^ flat[0]) & np.uint32(0xFFFF00FF) == 0).all()):
-        _write_uniform(out, flat)
+    if meta is None and not cache_bits and bool(((flat ^ flat[0]) & np.uint32(0xFFFF00FF) == 0).all()):
+        _write_green(out, flat, p.shape[1], back)
     else:
         _write_mixed(out, flat, p.shape[1], cache_bits, back, meta, shift)
 
@@ -572,8 +719,7 @@ def encode(pixels: np.ndarray, predictor: np.ndarray | None = None, cross: np.nd
         out.put(1 | PREDICTOR << 1, 3)
         out.put(shift - 2, 3)
         _write_pixels(out, predictor.astype(np.uint32) << 8 | np.uint32(OPAQUE), False)
-        c = _channels(p).reshape(-1, 4).tolist()
-        p = _joined(np.array(_predictions(c, p.shape[1], predictor, shift, False))).reshape(p.shape)
+        p = _predicted(p, np.asarray(predictor), shift, False)
     if cross is not None:
         out.put(1 | CROSS_COLOUR << 1, 3)
         out.put(shift - 2, 3)
