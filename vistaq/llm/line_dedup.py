@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from .common import Workspace, broadcast_if_small, hot_keys, read_table, row_of, salted_join, ship
 
 MIN_DOCS, MIN_CHARS = 10, 1
+#: Lines that a task hands on at once.
+STEP = 100_000
+_LINE = "h1 long, h2 long, doc binary, pos int, n long"
 _FOUND = "h1 long, h2 long, doc binary, pos int, first boolean, docs long, open boolean"
 
 
@@ -22,17 +26,39 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    """Stripped of ASCII white space at both ends, A-Z lower-cased."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), upper, lower)
-
-
 def doc_key(doc_id: Column, text: Column) -> Column:
     """What a row is known by: its id and text. Rows that repeat both share it, and their count is carried along, since each is a document."""
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit("")))))
 
 
+def _hashed(min_chars: int):
+    """Of each document (doc, n, text as bytes) a row per line whose key is long enough: 128 bits of the key's MD5, doc, the line's place, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, docs, pos, times = [], [], [], []
+
+        def give() -> pa.RecordBatch:
+            halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            out = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(docs, pa.binary()), pa.array(pos, pa.int32()), pa.array(times, pa.int64())]
+            for held in (digests, docs, pos, times):
+                held.clear()
+            return pa.RecordBatch.from_arrays(out, names=["h1", "h2", "doc", "pos", "n"])
+
+        for b in batches:
+            for doc, n, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for i, line in enumerate(text.split(b"\n")):
+                    key = line.strip(b" \t\n\x0b\x0c\r").lower()  # of bytes, so A-Z alone
+                    if len(key) >= min_chars and (min_chars < 2 or len(key.decode()) >= min_chars):
+                        digests.append(hashlib.md5(key).digest())
+                        docs.append(doc), pos.append(i), times.append(n)
+                        if len(digests) >= STEP:
+                            yield give()
+        if digests:
+            yield give()
+
+    return run
+
+
 def repeats(docs: DataFrame, work: Workspace) -> DataFrame:
     """(doc, n) for the keys of rows that repeat id and text."""
     keys = docs.groupBy(doc_key(F.col("doc_id"), F.col("text")).alias("doc")).agg(F.count(F.lit(1)).alias("n"))
@@ -140,19 +166,15 @@ def keep_bitmaps(docs: DataFrame, work: Workspace, min_docs: int = MIN_DOCS, min
         many = broadcast_if_small(again)
         some = keyed.join(many, "doc").groupBy("doc").agg(F.min("text").alias("text"), F.first("n").alias("n"))
         keyed = keyed.join(many, "doc", "left_anti").withColumn("n", F.lit(1).cast("long")).unionByName(some)
-    each = keyed.select("doc", "n", lines(F.col("text")).alias("_lines"))
-    each = each.select("doc", "n", F.posexplode("_lines").alias("pos", "line"))
-    each = each.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
-    digest = F.md5("key")
-    half = lambda a: F.conv(F.substring(digest, a, 15), 16, 10).cast("long")
-    hashed = each.select(half(1).alias("h1"), half(17).alias("h2"), "doc", "pos", "n")
+    raw = keyed.select("doc", "n", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    hashed = work.save(raw.mapInArrow(_hashed(min_chars), _LINE), "hashed")  # so the sample for the ranges doesn't hash all lines
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = hashed.repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
     found = work.save(dealt.mapInArrow(_stream(min_docs), _FOUND), "found")
     edges = found.where("open and doc is null").groupBy("h1", "h2").agg(F.sum("docs").alias("total"))
     edges = work.save(edges.where(F.col("total") >= min_docs).select("h1", "h2"), "edges")  # at most 2 rows a partition
     rows = found.where("doc is not null")
-    drop = rows.where("not open").unionByName(rows.where("open").join(F.broadcast(edges), ["h1", "h2"], "left_semi"))
+    drop = rows.where("not open").unionByName(rows.where("open").join(broadcast_if_small(edges, 2 * parts), ["h1", "h2"], "left_semi"))
     if keep_first:
         firsts = drop.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("_one"))
         firsts = work.save(firsts.select(F.col("_one.doc").alias("doc"), F.col("_one.pos").alias("pos")), "firsts")
@@ -182,8 +204,9 @@ def drop_lines(docs: DataFrame, work: Workspace, **how) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = drop_lines(docs, Workspace(spark, "lines"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    work = Workspace(spark, "lines")
+    out = drop_lines(docs, work)
+    return work.result(out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")))
 
 
 OP6_SQL = """
