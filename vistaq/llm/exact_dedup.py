@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, hot_keys, read_table, salted_join
+from .common import Workspace, hot_keys, orderable, read_table, row_of, salted_join
 
 SALTS = 16
 
@@ -52,16 +52,19 @@ def drop_exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     empty; the kept row has its own text back, null or empty.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    row = F.struct("doc_id", F.col("text").isNotNull().alias("has"), *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest")] if rest else []))
+    others = docs.select(*(F.col(f"`{c}`") for c in rest))
+    row = F.struct("doc_id", F.col("text").isNotNull().alias("has"), *([row_of(others).alias("rest")] if rest else []))
     rows = docs.select(F.coalesce("text", F.lit("")).alias("_text"), row.alias("_row")).withColumn("_digest", sha256(F.col("_text")))
-    local = rows.withColumn("_salt", F.spark_partition_id() % salts).groupBy("_digest", "_salt", "_text").agg(F.max("_row").alias("_row"))
-    kept = local.groupBy("_digest", "_text").agg(F.max("_row").alias("_row"))
+    best = F.max_by("_row", F.struct("_row.doc_id", "_row.has", *([orderable(others, "_row.rest")] if rest else []))).alias("_row")
+    local = rows.withColumn("_salt", F.spark_partition_id() % salts).groupBy("_digest", "_salt", "_text").agg(best)
+    kept = local.groupBy("_digest", "_text").agg(best)
     back = {"text": F.when(F.col("_row.has"), F.col("_text")), "doc_id": F.col("_row.doc_id")}
     return kept.select(*((back[c] if c in back else F.col("_row.rest").getField(c)).alias(c) for c in docs.columns))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(read_table(spark, sf_dir, "documents"), Workspace(spark, "exact"))
+    work = Workspace(spark, "exact")
+    return work.result(exact_groups(read_table(spark, sf_dir, "documents"), work))
 
 
 OP9_SQL = """

@@ -82,8 +82,9 @@ def mix(docs: DataFrame, work: Workspace, **how) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = mix_counts(docs, Workspace(spark, "mix"))
-    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_copies") * F.col("_size")).alias("taken"))
+    work = Workspace(spark, "mix")
+    out = mix_counts(docs, work)
+    return work.result(out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_copies") * F.col("_size")).alias("taken")))
 
 
 OP1_SQL = """

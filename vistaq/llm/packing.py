@@ -130,4 +130,5 @@ def pack(docs: DataFrame, work: Workspace, text: str = "text", length: int = LEN
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"), Workspace(spark, "pack"))
+    work = Workspace(spark, "pack")
+    return work.result(pack(read_table(spark, sf_dir, "documents"), work))
