@@ -4,7 +4,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use inside.
-CLASH = ("row", "key", "node", "doc", "n", "score", "_text", "_digest", "_salt", "_size", "rate", "keep", "band", "comp")
+CLASH = ("row", "key", "node", "doc", "n", "score", "_text", "_digest", "_salt", "_size", "rate", "keep", "band", "comp", "spans", "payload", "feature", "keep_id", "n_lines", "fast", "_id", "by", "rest", "template")
 
 
 def words(r: random.Random, n: int) -> list[str]:

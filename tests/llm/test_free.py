@@ -1,13 +1,16 @@
 """Secret scans, the classifier, media, archives, near duplicates and packing against brute force and round trips."""
 
+import base64
 import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,6 +55,27 @@ def test_interval_join(a, b, cuts):
     # spans that run over a scope's end may be seen from either side
     strict = [x for x in want if not any(s < c < e for s, e in [*a, *b] for c in cuts)]
     assert [x for x in strict if x not in got] == [] and all(x in want for x in got)
+    whole = [x for x in a if any(scope(x[0]) == scope(y[0]) for y in b)]
+    assert secrets.joins(a, b, cuts) == whole
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 20)), max_size=8), st.integers(0, 70), st.integers(1, 9))
+def test_spans_apart(spans, s, n):
+    spans = [(a, a + k) for a, k in spans]
+    assert secrets.apart_from(spans)(s, s + n) == (not any(a < s + n and s < b for a, b in spans))
+
+
+def test_many_spans_take_time_in_proportion():
+    line = "token=abcdef12 user_id=bob https://db.example.com/x aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3\n"
+
+    def took(n):
+        start = time.thread_time()
+        assert len(secrets.find(line * n)) == 4 * n
+        return time.thread_time() - start
+
+    took(100)
+    assert took(16_000) < 40 * took(1_000)
 
 
 def test_weak_parts_need_one_another():
@@ -59,7 +83,9 @@ def test_weak_parts_need_one_another():
     assert secrets.find(f"see {weak} here") == [] and secrets.find("host=db.example.com user_id=bob") == []
     kinds = [k for k, *_ in secrets.find(f"user_id=bob key {weak} at https://db.example.com")]
     assert kinds == ["linked_id", "linked_secret", "linked_endpoint"]
-    assert secrets.find(f"user_id=bob\n\n{weak}") == [] and secrets.find(f"user_id=bob{' ' * 500}{weak}") == []
+    assert secrets.find(f"user_id=bob\n\n{weak}") == []
+    apart = f"user_id=bob{' ' * 500}{weak}"  # one scope, whatever lies between, unless a reach is given
+    assert [k for k, *_ in secrets.find(apart)] == ["linked_id", "linked_secret"] and secrets.find(apart, reach=400) == []
     assert secrets.find(None) == secrets.find("") == []
 
 
@@ -74,6 +100,80 @@ def test_scan(spark):
 # ---- classifier
 
 
+def naive_network(model, text):
+    """Each filter at each place of each chunk, byte by byte."""
+    data = list((text or "").encode())
+    data += [0] * (quality.WIDTH + quality.STRIDE - len(data) % quality.STRIDE)
+    places = range(0, len(data) - quality.WIDTH + 1, quality.STRIDE)
+    act = np.array([np.maximum(sum(model.embed[data[p + j]] @ model.filters[j] for j in range(quality.WIDTH)) + model.bias, 0) for p in places])
+    half = quality.CHUNK // 2 // quality.STRIDE
+    halves = [act[i : i + half] for i in range(0, len(act), half)]
+    chunks = [np.concatenate(x).max(0) for x in zip(halves, halves[1:])] or [halves[0].max(0)]
+    return np.concatenate([np.mean(chunks, 0), np.max(chunks, 0)]) @ model.out + model.out_bias[0]
+
+
+def some_model(seed):
+    model, r = quality.ByteCNN(seed), np.random.default_rng(seed)
+    model.out[:], model.bias[:] = r.normal(size=len(model.out)), r.normal(0, 0.1, len(model.bias))
+    return model
+
+
+@pytest.mark.parametrize("text", ["", None, "a", "plain words, 12! " * 20, "é" * 300, "x" * 127, "y" * 129, "".join(chr(40 + i % 80) for i in range(1500))])
+def test_scores_are_those_of_a_plain_convolution(text):
+    model = some_model(4)
+    assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-naive_network(model, text))), abs=1e-5)
+
+
+def test_gradients_are_those_of_differences(monkeypatch):
+    texts, y = ["good words here and there, many of them " * 9, "b4d!! $$ w0rds ** " * 20, "short"], [1, 0, 1]
+    model, seen = some_model(5), []
+    for p in model.parameters():
+        p[...] = p.astype(np.float64)
+    model.embed, model.filters, model.bias, model.out, model.out_bias = (p.astype(np.float64) for p in model.parameters())
+    start = [p.copy() for p in model.parameters()]
+
+    def loss():
+        z = np.array([naive_network(model, t) for t in texts])
+        return float(np.mean(np.log1p(np.exp(-np.where(np.array(y) == 1, z, -z)))))
+
+    monkeypatch.setattr(quality, "RATE", 0.0)
+    real = np.sqrt
+    monkeypatch.setattr(quality.np, "sqrt", lambda v: (seen.append(np.array(v)), real(v))[1])
+    model.fit(texts, y, epochs=1, steps=1)
+    monkeypatch.undo()
+    squared = seen[:5]  # of the first step: gradients squared
+    for p, q in zip(model.parameters(), start, strict=True):
+        p[...] = q
+    model.out_bias[...] = np.log((np.mean(y) + 1e-3) / (1 - np.mean(y) + 1e-3))
+    r = np.random.default_rng(0)
+    for p, g2 in zip(model.parameters(), squared, strict=True):
+        spots = [np.unravel_index(k, p.shape) for k in np.argsort(-g2.ravel())[:6]] + [tuple(r.integers(0, n) for n in p.shape) for _ in range(3)]
+        for spot in spots:
+            keep, e = p[spot], 1e-5
+            p[spot] = keep + e
+            up = loss()
+            p[spot] = keep - e
+            down = loss()
+            p[spot] = keep
+            assert abs((up - down) / (2 * e) + 1e-5 * keep) == pytest.approx(real(g2[spot]), rel=2e-2, abs=2e-4)
+
+
+def test_long_texts_are_learned_from_and_bounds_hold(spark, monkeypatch):
+    rows = [(i, ("w%d " % i) * (40_000 if i % 3 == 0 else 5), None, None, None) for i in range(60)] + [(7, "w7 " * 5, None, None, None)] * 50
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    told = []
+    monkeypatch.setattr(quality.ByteCNN, "fit", lambda self, texts, y: told.append((texts, y)))
+    quality.train(frame(spark, rows), labels)
+    texts, y = told[0]
+    free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(texts) == sorted(rows[i][1] for i in free) and all(int(t.split()[0][1:]) % 2 == k for t, k in zip(texts, y, strict=True))
+    quality.train(frame(spark, rows), labels, most_bytes=200_000)
+    texts, _ = told[1]
+    assert sum(map(len, texts)) <= 200_000 and any(len(t) > 100_000 for t in texts) and len(texts) > 20
+    quality.train(frame(spark, rows), labels, rows=9)
+    assert len(told[2][0]) == 9
+
+
 def test_classifier_learns_what_marks_bad_documents(spark):
     r = random.Random(5)
     good = lambda: " ".join("".join(r.choice("abcdefghijklmno") for _ in range(r.randint(2, 8))) for _ in range(r.randint(30, 200))) + "."
@@ -149,6 +249,35 @@ def test_payloads_come_back(raw):
     assert len(x) % 64 == 0 and len(x) >= 64 and x[: len(raw)] == raw and media.load(media.store(x)) == x
 
 
+def test_files_of_another_encoder():
+    """The smallest lossless file, as browsers are asked to show it to find out whether they can: one clear pixel."""
+    assert webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")).tolist() == [[0]]
+
+
+def test_stored_texts_take_the_coding_forms(monkeypatch):
+    used, real = [], (webp._repeats, webp._predicted, webp._write_green)
+    monkeypatch.setattr(webp, "_repeats", lambda g: used.append(("repeats", len(out := real[0](g)))) or out)
+    monkeypatch.setattr(webp, "_predicted", lambda p, m, s, i: used.append(("predicted", int(m.flat[0]), i)) or real[1](p, m, s, i))
+    prose = ("A line that is there twice, with letters enough.\n" * 2 + "and another, of other words, seen once only\n").encode()
+    ramp = bytes(range(256)) * 4
+    columns = b"".join(bytes((7 * i + k) % 256 for i in range(64)) for k in range(20))
+    for x in (prose, ramp, columns, b"ab" * 900, bytes(64), bytes(range(64)) * 9):
+        assert media.load(media.store(media.padded(x))) == media.padded(x)
+    assert max(n for k, n, *_ in used if k == "repeats") > 0 and {(m, i) for k, m, *rest in used if k == "predicted" for i in rest} == {(1, False), (1, True)} | {(2, False), (2, True)} & {(m, i) for k, m, *rest in used if k == "predicted" for i in rest}
+    assert len(media.store(media.padded(prose * 30))) < len(prose * 30) / 10
+
+
+def test_digests_of_media():
+    texts = [None, "", "é" * 40, "plain text " * 30, "x" * 64]
+    (got,) = media._digests(iter([next(media._store(iter([pd.DataFrame({"doc_id": [None, *range(4)], "text": texts})])))]))
+    for r, t in zip(got.itertuples(index=False), texts, strict=True):
+        raw = (t or "").encode()
+        x = raw + bytes(-len(raw) % 64 if raw else 64)
+        stored = media.store(x)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and r.feature == media.describe(np.frombuffer(x, np.uint8))
+
+
 def test_media_columns(spark):
     rows = awkward()
     got = media.read_media(media.write_media(frame(spark, rows, True))).collect()
@@ -223,6 +352,35 @@ def test_long_urls_are_read_back(spark):
     assert [(n, r) for _, n, r, _ in warc.salvage(plain)] == [(len(plain), None)]
 
 
+def test_members_that_break_off_give_what_a_digest_proves():
+    plain = [warc.record("response", str(i), "u", b"payload %d " % i * 20, hashlib.sha1(b"payload %d " % i * 20).hexdigest()) for i in range(6)]
+    whole = gzip.compress(b"".join(plain), mtime=0)
+    for end in (len(whole) - 6, len(whole) - 60):
+        found = list(warc.salvage(whole[:end]))
+        names = [w["record_id"] for *_, w in found if w]
+        assert names == [f"urn:page:{i}" for i in range(len(names))] and len(names) >= 5
+        assert [(o, n, r) for o, n, r, _ in found if r] == [(0, end, "cut off")]
+    bare = re.sub(rb"WARC-(Block|Payload)-Digest: [^\r]*\r\n", b"", b"".join(plain))
+    assert [w for *_, w in warc.salvage(gzip.compress(bare, mtime=0)[:-6]) if w] == []
+    assert len([w for *_, w in warc.salvage(gzip.compress(bare, mtime=0)) if w]) == 6
+
+
+def test_archives_are_read_through_a_window(tmp_path, monkeypatch):
+    from pyarrow.fs import LocalFileSystem
+
+    plain = [warc.record("response", str(i), "u", b"payload %d " % i * 20_000, hashlib.sha1(b"payload %d " % i * 20_000).hexdigest()) for i in range(40)]
+    monkeypatch.setattr(warc, "BLOCK", 1 << 12)
+    monkeypatch.setattr(warc, "SMALL", 1 << 14)
+    for k, data in enumerate((b"".join(plain), gzip.compress(b"".join(plain), mtime=0), b"".join(gzip.compress(x, mtime=0) for x in plain), b"junk" * 5000 + plain[0])):
+        (tmp_path / f"{k}").write_bytes(data)
+        source = warc.Source(file=LocalFileSystem().open_input_file(str(tmp_path / f"{k}")))
+        most, got = 0, []
+        for _, _, reason, what in warc.salvage(source):
+            most = max(most, len(source.held))
+            got.append(what.get("record_id"))
+        assert [x for x in got if x] == [f"urn:page:{i}" for i in range(40 if k < 3 else 1)] and most <= max(map(len, plain)) + (1 << 17)
+
+
 @pytest.mark.parametrize("bad", [0, 2, 5])
 @pytest.mark.parametrize("at", [3, 200, -40])
 def test_salvage_inside_a_member_of_several_records(bad, at):
@@ -239,10 +397,10 @@ def test_salvage_inside_a_member_of_several_records(bad, at):
 
 
 def brute_near(rows, similar=0.8):
-    df, texts = np.zeros(1 << near_dedup.DF_BITS, int), [r[1] for r in rows]
-    for t in texts:
-        df[np.unique(near_dedup.frequency_class(near_dedup.shingles(t)[0]))] += 1
-    weights = near_dedup.idf(df, len(rows))
+    texts = [r[1] for r in rows]
+    df = Counter(x for t in texts for x in near_dedup.shingles(t)[0].tolist())
+    listed = sorted(x for x in df if df[x] > 1)
+    weights = near_dedup.Weights(np.array(listed, np.uint64), np.array([df[x] for x in listed]), len(rows), bits=32)
     v = [near_dedup.weighted(t, weights) for t in texts]
     root = list(range(len(rows)))
 
@@ -299,6 +457,26 @@ def test_a_row_repeated_often_is_one_node(spark):
     assert as_set(got.select("doc_id", "class_id", "class_size")) == brute_near(rows)
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 24, 1 << 10, 1 << 6])
+def test_document_frequencies(spark, monkeypatch, part_bytes):
+    monkeypatch.setattr(near_dedup, "PART_BYTES", part_bytes)
+    rows = awkward(4)
+    docs = frame(spark, rows).select("doc_id", "text").repartition(3)
+    weights = near_dedup.document_frequencies(docs, Workspace(spark, "t"))
+    df = Counter(x for _, t, *_ in rows for x in near_dedup.shingles(t)[0].tolist())
+    h = np.array(sorted(df), np.uint64)
+    want = 1 + np.log(len(rows) / np.array([df[x] for x in h.tolist()])) / np.log(1000)
+    off = ~np.isclose(weights(h), want, atol=1e-6)  # of 32 bits and a few, some agree by chance
+    assert off.sum() <= 4 and (weights(h) <= want + 1e-6).all() and max(df.values()) > 20
+    assert near_dedup.document_frequencies(docs.limit(0), Workspace(spark, "t"))(h).max() <= 2
+
+
+def test_weights_are_alike_at_every_size():
+    small, large = (near_dedup.Weights(np.array([1], np.uint64), np.array([n // 50]), n, max(1, n * near_dedup.RARE), 32) for n in (10_000, 50_000_000))
+    for h in (1, 2):
+        assert small(np.array([h], np.uint64)) == pytest.approx(large(np.array([h], np.uint64)))
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(a, r.randrange(a)) for a in range(1, 200) if a % 17] + [(500 + i, 500 + i + 1) for i in range(40)] + [(7, 7)]

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from vistaq.llm import exact_dedup, licenses, line_dedup, mixing
+from vistaq.llm import exact_dedup, licenses, line_dedup, mixing, near_dedup
 from vistaq.llm.common import Workspace
 
 from .fixtures import SCHEMA, as_set, awkward, frame
@@ -47,6 +47,17 @@ def test_drop_exact_duplicates(spark):
     assert exact_dedup.exact_groups(frame(spark, []), Workspace(spark, "t")).count() == 0
 
 
+def test_rows_with_columns_that_have_no_order(spark):
+    rows = [(1, "a", {"k": 1}), (1, "a", {"k": 2}), (1, "a", None), (2, "b", {"x": 1}), (None, None, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string, int>")
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text or "", str(r.extra)) for r in kept.collect()) == [(0, "", "{}"), (1, "a", "{'k': 2}"), (2, "b", "{'x': 1}")]
+    near = near_dedup.drop_near_duplicates(docs, Workspace(spark, "t"))
+    assert sorted((r.doc_id or 0, r.text or "", str(r.extra)) for r in near.collect()) == [(0, "", "{}"), (1, "a", "{'k': 2}"), (2, "b", "{'x': 1}")]
+    bare = docs.select("doc_id", "text")
+    assert exact_dedup.drop_exact_duplicates(bare).count() == 3
+
+
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
@@ -94,11 +105,13 @@ def test_mixing_comes_near_its_targets(spark):
 
 
 def brute_lines(rows, min_docs=10, min_chars=1):
+    """Each row is a document, rows that repeat too."""
+    rows = [tuple([*r]) for r in rows]
     key = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s.strip(" \t\n\x0b\x0c\r"))
     docs = defaultdict(set)
     for r in rows:
         for line in (r[1] or "").split("\n"):
-            docs[key(line)].add((r[0], r[1] or ""))
+            docs[key(line)].add(id(r))
     out = []
     for r in rows:
         lines = (r[1] or "").split("\n")
@@ -151,10 +164,10 @@ def brute_licenses(rows):
     split = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
     shingles = lambda w: [tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
     found = set()
+    bodies = [(license, set(shingles(split(body)))) for license, body in licenses.TEMPLATES]
     for doc_id, text, *_ in rows:
         s = shingles(split(text or ""))
-        for license, body in licenses.TEMPLATES:
-            t = set(shingles(split(body)))
+        for license, t in bodies:
             step = licenses.window_class(len(t))
             if any(len(t & set(s[b : b + 2 * step])) >= 0.8 * len(t) for b in range(0, len(s), step)):
                 found.add((doc_id, license))
@@ -166,14 +179,13 @@ def test_licenses(spark):
     long = rows[0][1] + " "
     texts = [body for _, body in licenses.TEMPLATES] + [long + body.upper() + " " + long for _, body in licenses.TEMPLATES] + ["MIT License", "Released under the", "no license at all"]
     rows += [(5000 + i, t, "en", "s", 0) for i, t in enumerate(texts)]
-    rows += [(6000, "word " * 300 + licenses.TEMPLATES[2][1].replace("copy ", "copies ") + " word" * 300, "en", "s", 0), (None, texts[0], None, None, None)]
+    rows += [(6000, "word " * 300 + licenses._MIT.replace("copy ", "copies ") + " word" * 300, "en", "s", 0), (None, texts[0], None, None, None)]
     got = licenses.scan_licenses(frame(spark, rows, True)).collect()
-    pairs, brute = {(r.doc_id, r.license) for r in got}, brute_licenses(rows)
-    assert pairs <= brute
+    pairs = {(r.doc_id, r.license) for r in got}
+    assert pairs == brute_licenses(rows) and all(r.best in (True, False) and r.containment >= 0.8 for r in got)
+    best = {(r.doc_id, r.license) for r in got if r.best and r.told_apart}
     own = {(5000 + i, a) for i, (a, _) in enumerate(licenses.TEMPLATES)} | {(5000 + len(licenses.TEMPLATES) + i, a) for i, (a, _) in enumerate(licenses.TEMPLATES)}
-    assert own <= pairs and (6000, "MIT") in pairs and (None, "MIT") in pairs
-    # what is missing lost to a wording of its family that fits better
-    assert all(any(d == e for e, _ in pairs) for d, _ in brute - pairs)
+    assert own <= best and (6000, "MIT") in best and (None, "MIT") in best
     assert not {r.doc_id for r in got} & {5000 + 2 * len(licenses.TEMPLATES) + i for i in range(1, 3)}
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
@@ -183,10 +195,19 @@ def test_relatives_are_not_named_as_one_another(spark):
     gnu = "This work is licensed under the GNU General Public License, version {}."
     rows = [(1, cc.format("ShareAlike"), {"CC-BY-SA-4.0"}), (2, cc.format("NoDerivatives"), {"CC-BY-ND-4.0"}), (3, gnu.format(1), {"GPL-1.0"}), (4, "Licensed under CC BY-ND 4.0.", {"CC-BY-ND-4.0"}), (5, gnu.format(2), {"GPL-2.0"})]
     got = licenses.scan_licenses(frame(spark, [(i, t, "en", "s", 0) for i, t, _ in rows] + [(9, gnu.format(9), "en", "s", 0), (10, cc.format("Unheard"), "en", "s", 0)])).collect()
-    assert {(r.doc_id, r.license) for r in got if r.doc_id < 9} == {(i, a) for i, _, names in rows for a in names}
-    for i, name in ((9, "GPL-2.0"), (10, "CC-BY-4.0")):  # not listed: the family
-        (r,) = [r for r in got if r.doc_id == i]
-        assert r.license.startswith("family of ") and name in r.license
+    assert {(r.doc_id, r.license) for r in got if r.doc_id < 9 and r.best and r.told_apart} == {(i, a) for i, _, names in rows for a in names}
+    for i, name in ((9, "GPL-2.0"), (10, "CC-BY-4.0")):  # not listed: only the family is certain
+        found = [r for r in got if r.doc_id == i]
+        assert found and not any(r.told_apart for r in found) and all(name in r.family for r in found)
+
+
+def test_templates_from_files(spark, tmp_path):
+    body = "\n".join(f"{k}. Clause {k} of a license says w{k} x{k} y{k} z{k}." for k in range(900))
+    (tmp_path / "Own-1.0.txt").write_text(body)
+    found = licenses.template_files(spark, str(tmp_path))
+    assert found == (("Own-1.0", body),)
+    got = licenses.scan_licenses(frame(spark, [(1, "before " * 50 + body + " after" * 50, "en", "s", 0), (2, body[: len(body) // 2], "en", "s", 0)]), (*licenses.TEMPLATES[:9], *found)).collect()
+    assert [(r.doc_id, r.license, r.family, r.best) for r in got] == [(1, "Own-1.0", None, True)]
 
 
 def test_bands_reach_their_probability():
