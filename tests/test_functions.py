@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vistaq.functions import audio, text, translate, vectors
+from vistaq.functions import audio, images, text, translate, vectors
 
 
 def one(spark, column, value=None, kind="string"):
@@ -20,7 +20,7 @@ def plain_tokens(s):
     return [w for w in re.split(r"[^a-z0-9]+", s.lower()) if len(w) > 2]
 
 
-TEXTS = ["WildWestSaloon_NoSkull_Day", "Prisão ÉTÉ naïve", "a bc def", "", "x" * 5000, "HTMLParser2Go", "e\u0301tude Zo\u0308e", "ØsterÅ straße łódź", "çãõ-ÇÃÕ_123"]
+TEXTS = ["WildWestSaloon_NoSkull_Day", "Prisão ÉTÉ naïve", "a bc def", "", "x" * 5000, "HTMLParser2Go", "e\u0301tude Zo\u0308e", "ØsterÅ straße łódź", "çãõ-ÇÃÕ_123", "Việt Nam ﬁnance ｆｕｌｌ", "½ cup №12 ⑩ Ⅷ ǆ ㎏", "𝐁𝐨𝐥𝐝 𝒮𝒸𝓇𝒾𝓅𝓉", "й ё ά ώ", "q\u0323\u0307 \u1e9b\u0323", "हिन्दी", "a\u0488b x² — “q” … end"]
 
 
 def test_tokens(spark):
@@ -77,7 +77,7 @@ def test_memory(spark):
     q = spark.createDataFrame([("taverna",), ("Ravenloft",), ("bosque xyz",)], "q string")
     memory = spark.createDataFrame([("Ravenloft", "castle ravenloft")], "pt string, en string")
     assert {tuple(r) for r in translate.with_memory(q, memory).collect()} == {("taverna", "tavern", "dictionary"), ("Ravenloft", "castle ravenloft", "memory"), ("bosque xyz", "grove xyz", "fallback")}
-    assert one(spark, translate.valid_translation, " ") is None and one(spark, translate.valid_translation, "MYMEMORY WARNING: limit") is None and one(spark, translate.valid_translation, "ok") == "ok"
+    assert one(spark, translate.valid_translation, " ") is None and one(spark, translate.valid_translation, "MYMEMORY WARNING: limit") is None and one(spark, translate.valid_translation, "Query length limit") is None and one(spark, translate.valid_translation, "ok") == "ok"
 
 
 def test_vectors(spark):
@@ -87,6 +87,7 @@ def test_vectors(spark):
     got = df.select(vectors.dot(F.col("a"), F.col("b")), vectors.dot_with(F.col("a"), b.tolist()), vectors.normalize(F.col("a")), vectors.mean_of(F.col("a"), F.col("b"))).first()
     assert np.allclose(got[0], a @ b) and np.allclose(got[1], a @ b) and np.allclose(got[2], a / np.linalg.norm(a))
     assert np.allclose(got[3], (a + b) / np.linalg.norm(a + b))
+    assert df.select(vectors.normalize(F.array().cast("array<double>"))).first()[0] == [] and df.select(vectors.normalize(F.lit(None).cast("array<double>"))).first()[0] is None
     zero = spark.createDataFrame([([0.0, 0.0],)], "a array<double>").select(vectors.normalize(F.col("a"))).first()[0]
     assert zero == [0.0, 0.0]
     rows = spark.createDataFrame([("k", a.tolist()), ("k", b.tolist()), ("k", None), ("n", None)], "k string, v array<double>")
@@ -121,3 +122,26 @@ def test_sounds(spark, tmp_path):
         by.setdefault(r.path.rsplit("/", 1)[1], []).append(r)
     assert len(by["short.wav"]) == 1 and len(by["long.wav"]) == 3 and by["bad.wav"][0].error and by["short.wav"][0].seconds == 1.0
     assert all(len(r.mel) == 1001 * 64 for r in by["long.wav"])
+
+
+def test_memory_grows_by_what_is_certain(spark):
+    memory = spark.createDataFrame([("Ravenloft", "castle")], "pt string, en string")
+    q = spark.createDataFrame([(" taverna ",), ("bosque xyz",), ("bosque xyz",), ("Ravenloft",), ("",), (None,), ("abc xyz",)], "q string")
+    assert sorted(r.pt for r in translate.to_ask(q, memory).collect()) == ["abc xyz", "bosque xyz"]
+    assert [r.pt for r in translate.to_ask(q, memory, spark.createDataFrame([("abc xyz",)], "pt string")).collect()] == ["bosque xyz"]
+    answers = spark.createDataFrame([("bosque xyz", " grove of xyz "), ("abc xyz", "QUERY LENGTH LIMIT"), ("Ravenloft", "other")], "pt string, answer string")
+    assert sorted(tuple(r) for r in translate.remember(memory, q, answers).collect()) == [("Ravenloft", "castle"), ("bosque xyz", "grove of xyz"), ("taverna", "tavern")]
+
+
+def test_images(spark):
+    rng = np.random.default_rng(0)
+    flat = images.preprocess(np.full((30, 50, 3), 128, np.uint8), 16, (0.5, 0.5, 0.5), (0.5, 0.25, 0.5))
+    assert flat.shape == (3, 16, 16) and np.allclose(flat[0], (128 / 255 - 0.5) / 0.5, atol=1e-6) and np.allclose(flat[1], (128 / 255 - 0.5) / 0.25, atol=1e-6)
+    same = rng.integers(0, 256, (16, 16, 3), dtype=np.uint8)
+    assert np.allclose(images.preprocess(same, 16, (0, 0, 0), (1, 1, 1)), same.transpose(2, 0, 1) / 255)
+    ramp = np.repeat(np.arange(200, dtype=np.uint8)[None, :, None], 3, 2).repeat(40, 0)
+    small = images.preprocess(ramp, 20, (0, 0, 0), (1, 1, 1))[0] * 255
+    assert np.allclose(small[:, 2:-2], (np.arange(20) * 10 + 4.5)[2:-2], atol=0.6)
+    sizes = {(100, 50): (100, 50), (512, 256): (256, 128), (300, 600): (128, 256), (10_000, 3): (256, 1), (256, 257): (255, 256)}
+    got = spark.createDataFrame(list(sizes), "w int, h int").select("w", "h", images.fitted(F.col("w"), F.col("h")).alias("s")).collect()
+    assert {(r.w, r.h): (r.s.w, r.s.h) for r in got} == sizes

@@ -1,10 +1,13 @@
 """Search, masks, index, actions, sources, evaluation and streams on small literal tables."""
 
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vistaq.operators import actions, evaluation, index, masks, search
-from vistaq.sources import web
+from vistaq.sources import state, web
 from vistaq.streaming import jobs
 
 ITEMS = "idx long, p string, k string, emb array<double>, nemb array<double>"
@@ -115,7 +118,62 @@ def test_index_helpers(spark):
     assert [r.file for r in index.clash_names(files, F.col("o")).orderBy("o").collect()] == ["n.png", "n-1.png", "n.jpg", "n.png"]
     n = spark.range(103).select(F.format_string("%04d", "id").alias("p"))
     assert sorted(int(r.p) for r in index.strided(n, 10).collect()) == list(range(0, 100, 10))
-    assert index.strided(n.limit(3), 10).count() == 3
+    assert index.strided(n.limit(3), 10).count() == 3 and index.strided(n.limit(0), 10).count() == 0
+
+
+@pytest.mark.parametrize("parts", [4, 8])
+def test_even_steps_of_a_large_listing(spark, parts):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = spark.range(400_000).select(((F.col("id") * 7919) % 400_003).alias("id"), F.md5(F.col("id").cast("string")).alias("p"))
+        want = [r.id for r in rows.orderBy("p").collect()][:: 400_000 // 50][:50]
+        for _ in range(2):
+            assert {r.id for r in index.strided(rows, 50, "p").collect()} == set(want)
+        numbers = index.strided(rows, 50, "id").select("id")
+        assert sorted(r.id for r in numbers.collect()) == sorted(r.id for r in rows.select("id").collect())[:: 400_000 // 50][:50]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_scans(spark):
+    files = spark.createDataFrame([("L/a/x.png", 5.0, 90_000, None), ("L/a/y.png", 5.0, 90_000, 500), ("l\\A\\Z.png", 6.0, 90_000, 500), ("L/a/w.png", 5.0, 10, None)], "p string, m double, size long, side int")
+    config = spark.createDataFrame([(1, "L", None, None, None, None, None, None)], "ord int, path string, min_side int, min_kb int, ignored array<string>, everything boolean, kind string, category string")
+    known = spark.createDataFrame([("l/a/Y.png", 5.0), ("L/a/z.png", 5.0), ("L/a/w.png", 5.0)], "p string, m double")
+    assert sorted(r.p for r in index.scan(files, config).collect()) == ["L/a/x.png"]
+    assert sorted(r.p for r in index.scan(files, config, known).collect()) == ["L/a/x.png", "L/a/y.png"]
+    sounds = spark.createDataFrame([("S/a.MP3",), ("s\\A.mp3",), ("S/__MACOSX/b.ogg",), ("S/thumbs/c.wav",), ("T/d.mp3",)], "p string")
+    got = index.scan_sounds(sounds, spark.createDataFrame([(1, "S"), (2, "S/thumbs")], "ord int, path string")).collect()
+    assert sorted(r.p.lower().replace("\\", "/") for r in got) == ["s/a.mp3", "s/thumbs/c.wav"] and {r.folder for r in got} == {"S"}
+
+
+def test_snapshots_that_do_not_fit(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0], [1.0]), ("b", [1.0, 2.0], [1.0, 3.0])], "p string, emb array<double>, nemb array<double>")
+    assert index.usable_snapshot(None, 2) is None and index.usable_snapshot(rows, 3) is None
+    assert index.usable_snapshot(rows.union(spark.createDataFrame([("c", None, None)], rows.schema)), 2) is None
+    assert {r.p: r.nemb for r in index.usable_snapshot(rows, 2).collect()} == {"a": None, "b": [1.0, 3.0]}
+
+
+def test_many_queries(spark):
+    r = np.random.default_rng(0)
+    v = r.normal(size=(60, 5)).round(1)
+    rows = spark.createDataFrame([(i, x.tolist(), 0.1 * (i % 3)) for i, x in enumerate(v)] + [(99, None, 0.0)], "idx long, vector array<double>, bonus double").repartition(5)
+    asked = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 60, 7)], "query long, vector array<double>")
+    for block in (1024, 2):
+        got = search.top_k_each(rows, asked, 4, "bonus", block).collect()
+        for i in range(0, 60, 7):
+            score = v @ v[i] + 0.1 * (np.arange(60) % 3)
+            want = sorted((k for k in range(60) if k != i), key=lambda k: (-round(score[k], 9), k))[:4]
+            assert [x.idx for x in sorted((x for x in got if x.query == i), key=lambda x: (-round(x.score, 9), x.idx))] == want
+    assert search.top_k_each(rows, asked.limit(0), 4).count() == 0 and search.top_k_each(rows.limit(0), asked, 4).count() == 0
+
+
+def test_pairs_in_blocks(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0], i % 3) for i in range(30)], "idx long, vector array<double>, label int")
+    asked = rows.where("idx % 5 = 0").withColumnRenamed("idx", "query")
+    one, many = evaluation.scored_pairs(rows, asked), evaluation.scored_pairs(rows, asked, 2)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() == 6 * 29
+    assert evaluation.scored_pairs(rows, asked.limit(0)).count() == 0
 
 
 def test_actions(spark):
@@ -167,6 +225,29 @@ def test_streams(spark, tmp_path):
         assert {tuple(r) for r in spark.table(name).collect()} == want
 
 
+def test_a_batch_that_runs_again_keeps_what_is_committed(spark, tmp_path):
+    import shutil
+
+    root, data, check = str(tmp_path / "index"), str(tmp_path / "files"), tmp_path / "check"
+    make = lambda df: df.withColumns({"vec": F.col("m") * 2, "error": F.when(F.col("p") == "bad", "unreadable")})
+    files = lambda: spark.readStream.schema("p string, m double").parquet(data)
+    seen = []
+    for rows in ([("a", 1.0), ("bad", 1.0)], [("a", 2.0), ("c", 1.0)]):
+        spark.createDataFrame(rows, "p string, m double").write.mode("append").parquet(data)
+        jobs.index_stream(files(), root, str(check), make).awaitTermination(120)
+        seen.append({tuple(r) for r in index.latest_snapshot(spark, root).select("p", "m", "vec").collect()})
+    assert seen == [{("a", 1.0, 2.0)}, {("a", 2.0, 4.0), ("c", 1.0, 2.0)}]
+    for batch in (1, 0):  # the batch wrote its version, but its commit was lost
+        for n in range(batch, 2):
+            (check / "commits" / str(n)).unlink(missing_ok=True)
+            (check / "commits" / f".{n}.crc").unlink(missing_ok=True)
+        jobs.index_stream(files(), root, str(check), make).awaitTermination(120)
+        assert {tuple(r) for r in index.latest_snapshot(spark, root).select("p", "m", "vec").collect()} == seen[1]
+    assert {tuple(r) for r in index.latest_snapshot(spark, root, before=1).select("p", "m", "vec").collect()} == seen[0]
+    shutil.rmtree(root)
+    assert index.latest_snapshot(spark, root) is None
+
+
 def test_index_stream_is_idempotent(spark, tmp_path):
     root, data = str(tmp_path / "index"), str(tmp_path / "files")
     make = lambda df: df.withColumn("vec", F.col("m") * 2)
@@ -185,3 +266,34 @@ def test_ttl_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["at"], r.hit) for r in spark.table("ttl").collect()} == {(0.0, False), (100.0, True), (400.0, False)}
+
+
+def test_state_of_old_answers_leaves(spark, tmp_path):
+    batches = [[(f"k{i}", float(i)) for i in range(20)], [("late", 2000.0)], [("late", 4000.0)], [("k3", 4001.0), ("late", 4001.0)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "key string, at double").write.parquet(str(tmp_path / "in" / f"b={i}"))
+        time.sleep(0.01)
+    rows = spark.readStream.schema("key string, at double").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in" / "*"))
+    q = jobs.ttl_stream(rows.coalesce(1), 300.0, "1 second").writeStream.outputMode("append").format("memory").queryName("left").start()
+    q.processAllAvailable()
+    left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    got = {(r.key, r["at"]): r.hit for r in spark.table("left").collect()}
+    assert left <= 2 and got["k3", 4001.0] is False and got["late", 4001.0] is True and got["late", 4000.0] is False
+
+
+def test_progress(spark):
+    from pyspark.sql import Observation
+
+    rows = spark.createDataFrame([("a", None), ("b", "bad")], "p string, error string")
+    assert jobs.progress(rows, "index", "error").count() == 2 and jobs.progress(rows, "plain").count() == 2
+    seen = Observation("seen")
+    assert rows.observe(seen, F.count(F.lit(1)).alias("done")).count() == 2 and seen.get["done"] == 2
+
+
+def test_stored_state(spark, tmp_path):
+    at = str(tmp_path / "favs")
+    state.save_favourites(spark.createDataFrame([("v", "B/x"), ("v", "b\\X"), ("a", "c")], "kind string, p string"), at)
+    assert [tuple(r) for r in state.load_favourites(spark, at).orderBy("kind").collect()] == [("a", "c"), ("v", "b\\x")]
+    state.save_recents(spark.createDataFrame([(f"p{i:03d}", 0, float(i)) for i in range(150)], "p string, a int, ts double"), str(tmp_path / "rec"))
+    assert sorted(r.ts for r in state.load_recents(spark, str(tmp_path / "rec")).collect()) == [float(i) for i in range(50, 150)]

@@ -32,6 +32,11 @@ def window_starts(frames: Column, width: Column) -> Column:
     return F.when(frames <= width, F.array(F.lit(0).cast("long"))).otherwise(over)
 
 
+def frame_starts(samples: Column) -> Column:
+    """Where the frames of a padded sound begin."""
+    return F.when(samples >= FFT, F.sequence(F.lit(0).cast("long"), samples.cast("long") - FFT, F.lit(HOP).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
 def mel_filters(rate: int = RATE, n_fft: int = FFT, mels: int = MELS, low: float = LOW, high: float = HIGH) -> np.ndarray:
     """(bins, mels): triangles between neighbouring mel steps, each of area 1."""
     to_mel = lambda f: np.where(f < 1000, f * 3 / 200, 15 + np.log(np.maximum(f, 1e-9) / 1000) * 27 / np.log(6.4))

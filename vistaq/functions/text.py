@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -29,26 +30,44 @@ HOSTS = ("redd.it", "reddit.com", "redditmedia.com", "kemono.cr", "czepeku.com",
 MEDIA_TYPES = {"image/jpeg": ".jpg", "image/png": ".png", "image/webp": ".webp", "image/gif": ".gif"}
 
 
-def _single_letters() -> tuple[str, str]:
-    """Accented Latin letters that decompose to one letter, and these."""
-    pairs = []
-    for code in range(0xC0, 0x250):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-_ACCENTED, _PLAIN = _single_letters()
+def _foldings() -> tuple[str, str, dict[str, str], str]:
+    """By Unicode's compatibility decomposition without combining marks: characters that become one other and these, characters that become several, and the marks as a pattern. Syllables of Hangul and ideographs are left out."""
+    one, many, marks = [], {}, []
+    for code in range(0x80, 0x20000):
+        c = chr(code)
+        if 0xAC00 <= code < 0xD7A4 or 0x2E80 <= code < 0x2FE0 or 0xD800 <= code < 0xE000 or 0xF900 <= code < 0xFB00:
+            continue
+        if unicodedata.combining(c):
+            if marks and marks[-1][1] == code - 1:
+                marks[-1][1] = code
+            else:
+                marks.append([code, code])
+            continue
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if base == c or not base:
+            continue
+        if len(base) == 1:
+            one.append((c, base))
+        else:
+            many[c] = base
+    return "".join(a for a, _ in one), "".join(b for _, b in one), many, "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in marks) + "]+"
+
+
+_ACCENTED, _PLAIN, _MANY, _MARKS = _foldings()
+#: Whether a text needs more than one letter for one: it has a character beyond the Latin letters, or one of those that become several.
+_ODD = r"[^\x{0}-\x{24F}]|[" + "".join(f"\\x{{{ord(c):X}}}" for c in _MANY if ord(c) < 0x250) + "]"
 
 
 def fold(text: Column) -> Column:
-    """Latin letters without their accents, and no combining marks: NFKD as far as letters up to U+024F go. See fold_exactly."""
-    return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{M}+", "")
+    """Text without accents and with plain letters for compatibility characters, as NFKD without combining marks has it: ligatures, full-width and styled letters, fractions and numbers in circles included. Syllables of Hangul and compatibility ideographs stay whole; see fold_exactly."""
+    several = F.from_json(F.lit(json.dumps(_MANY)), "map<string,string>")
+    spread = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+    odd = F.regexp_replace(F.translate(spread, _ACCENTED, _PLAIN), _MARKS, "")
+    return F.when(F.octet_length(text) == F.length(text), text).when(F.regexp_like(text, F.lit(_ODD)), odd).otherwise(F.translate(text, _ACCENTED, _PLAIN))
 
 
 def fold_exactly(text: Column) -> Column:
-    """NFKD without combining marks, for compatibility characters too; leaves the JVM."""
+    """NFKD without combining marks, of any character; leaves the JVM."""
     return F.pandas_udf(_nfkd, "string")(text)
 
 

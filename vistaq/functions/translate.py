@@ -61,6 +61,28 @@ def with_memory(queries: DataFrame, memory: DataFrame, query: str = "q") -> Data
     return left.join(known, query, "left").withColumn("en", F.coalesce("_m", "_d.en")).withColumn("how", how).drop("_m", "_d")
 
 
+# What the translator answers with instead of a translation.
+REFUSALS = ("MYMEMORY WARNING", "QUERY LENGTH")
+
+
 def valid_translation(answer: Column) -> Column:
-    """What a translator answered, or null where it is empty or a quota warning."""
-    return F.when((F.trim(answer) != "") & ~F.contains(F.upper(answer), F.lit("MYMEMORY WARNING")), answer)
+    """What a translator answered, trimmed, or null where it is empty or a warning."""
+    text = F.trim(answer)
+    refused = F.lit(False)
+    for mark in REFUSALS:
+        refused = refused | F.contains(F.upper(text), F.lit(mark))
+    return F.when((text != "") & ~refused, text)
+
+
+def to_ask(queries: DataFrame, memory: DataFrame, asked: DataFrame | None = None, query: str = "q") -> DataFrame:
+    """(pt): what a translator should be asked, each query once: those that neither the memory nor the whole dictionary answers, and that aren't being asked (pt)."""
+    open_ones = with_memory(queries.select(F.trim(query).alias(query)).where(F.col(query) != ""), memory, query).where("how = 'fallback'").select(F.col(query).alias("pt")).distinct()
+    return open_ones if asked is None else open_ones.join(asked.select("pt"), "pt", "left_anti")
+
+
+def remember(memory: DataFrame, queries: DataFrame, answers: DataFrame, query: str = "q") -> DataFrame:
+    """The memory (pt, en) with what is certain now: whole dictionary translations of queries, and valid answers (pt, answer) of a translator. What is remembered stays; fallbacks are not remembered, so that they can still be improved on."""
+    known = with_memory(queries.select(F.trim(query).alias(query)), memory, query).where("how = 'dictionary'").select(F.col(query).alias("pt"), "en")
+    told = answers.select(F.trim("pt").alias("pt"), valid_translation(F.col("answer")).alias("en")).where("en is not null")
+    new = known.unionByName(told).groupBy("pt").agg(F.min("en").alias("en"))
+    return memory.select("pt", "en").unionByName(new.join(memory.select("pt"), "pt", "left_anti"))

@@ -22,8 +22,8 @@ def norm(v: Column) -> Column:
 
 
 def normalize(v: Column) -> Column:
-    """To length 1; a vector shorter than 1e-12 is divided by that."""
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm(v), F.lit(1e-12)))
+    """To length 1; a vector shorter than 1e-12 is divided by that. The norm stands outside the lambda, so it is taken once a vector."""
+    return F.zip_with(v, F.array_repeat(F.greatest(norm(v), F.lit(1e-12)), F.size(v)), lambda x, n: x.cast("double") / n)
 
 
 def mean_of(*vectors: Column) -> Column:

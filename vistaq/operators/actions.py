@@ -39,6 +39,28 @@ def home(items: DataFrame, recent: DataFrame, favs: DataFrame, n_recent: int = 2
     return rec.union(fav)
 
 
+def home_sounds(sounds: DataFrame, favs: DataFrame, n: int = 12) -> DataFrame:
+    """(section, place, idx): favourite sounds by path."""
+    from pyspark.sql import Window
+
+    fav = favs.join(sounds.select(F.col("idx").alias("item"), "p"), "item").orderBy(F.lower("p"), "item").limit(n)
+    return fav.select(F.lit("sound").alias("section"), F.row_number().over(Window.orderBy(F.lower("p"), "item")).alias("place"), F.col("item").alias("idx"))
+
+
+def favourites_listing(items: DataFrame, favs: DataFrame, cards: int = 60, variants: int = 40) -> DataFrame:
+    """(map_key, idx, n_variants): favourite items (item) by path, one card per group."""
+    from ..functions.text import map_key
+
+    rows = items.join(favs.select(F.col("item").alias("idx")), "idx").withColumn("map_key", map_key(F.col("p")))
+    groups = rows.groupBy("map_key").agg(F.min(F.struct(F.lower("p").alias("p"), "idx")).alias("h"), F.count(F.lit(1)).alias("c"))
+    return groups.orderBy("h").limit(cards).select("map_key", "h.idx", F.least(F.col("c") - 1, F.lit(variants)).cast("long").alias("n_variants"))
+
+
+def favourite_sounds(sounds: DataFrame, favs: DataFrame, n: int = 60) -> DataFrame:
+    """The first n favourite sounds in the order of the index."""
+    return sounds.join(favs.select(F.col("item").alias("idx")), "idx", "left_semi").orderBy("idx").limit(n)
+
+
 def _scan(ttl: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, since = None, 0.0
@@ -55,7 +77,7 @@ def _scan(ttl: float):
 
 
 def ttl_hits(requests: DataFrame, ttl: float = TTL) -> DataFrame:
-    """requests (key, at in seconds, seq) with hit: whether an answer fetched less than ttl before is there. A hit doesn't renew an answer, so each depends on those before; keys are dealt out, sorted and streamed, never gathered."""
+    """requests (key, at in seconds, seq) with hit: whether an answer fetched less than ttl before is there. A hit doesn't renew an answer, so each depends on those before; keys are dealt out, sorted and streamed, never gathered. A key's requests pass through one task, as each answer depends on the one before."""
     spark = requests.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = requests.select("key", "at", "seq").repartition(parts, "key").sortWithinPartitions("key", "at", "seq")

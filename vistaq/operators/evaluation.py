@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import subject
+from ..functions.vectors import dot
+
+
+def scored_pairs(rows: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
+    """(query, idx, score, relevant) of all rows (idx, vector, label) for each of queries (query, vector, label) but the row itself. Queries are told to all tasks in blocks of a fixed size, and rows stay where they are."""
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    dealt = queries.select("query", F.col("vector").alias("_q"), F.col("label").alias("_l"), F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("_b")) if blocks > 1 else queries.select("query", F.col("vector").alias("_q"), F.col("label").alias("_l"), F.lit(0).alias("_b"))
+    out = []
+    for b in range(blocks):
+        both = rows.join(F.broadcast(dealt.where(F.col("_b") == b).drop("_b")), F.col("idx") != F.col("query"))
+        out.append(both.select("query", "idx", dot(F.col("vector"), F.col("_q")).alias("score"), (F.col("label") == F.col("_l")).alias("relevant")))
+    return reduce(DataFrame.unionByName, out)
 
 
-def ranked(scored: DataFrame, within: int) -> DataFrame:
-    """scored (query, idx, score) with rank up to within; a rank limit is pushed into the sort of each query."""
-    by = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("idx"))
-    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= within)
+def first_ranks(scored: DataFrame, within: int) -> DataFrame:
+    """(query, first): the rank of each query's first relevant row, null beyond within; queries without a relevant row aren't in it. By two aggregations: the best relevant row, and the rows before it; no query's rows are sorted."""
+    best = scored.where("relevant").groupBy("query").agg(F.max(F.struct("score", (-F.col("idx")).alias("i"))).alias("_best"))
+    before = scored.join(F.broadcast(best) if best.count() <= 100_000 else best, "query").groupBy("query").agg(F.count_if(F.struct("score", (-F.col("idx")).alias("i")) > F.col("_best")).alias("n"))
+    return before.select("query", F.when(F.col("n") < within, F.col("n") + 1).alias("first"))
 
 
 def measures(scored: DataFrame, within: int = 2000, recall_at: int = 20) -> DataFrame:
     """One row (queries, mrr, recall, hit1, hit5) over scored (query, idx, score, relevant); queries without a relevant row don't count."""
-    can = scored.groupBy("query").agg(F.bool_or("relevant").alias("_can")).where("_can").select("query")
-    first = ranked(scored, within).where("relevant").groupBy("query").agg(F.min("rank").alias("first"))
-    each = can.join(first, "query", "left")
+    each = first_ranks(scored, within)
     hit = lambda k: F.avg(F.coalesce((F.col("first") <= k).cast("double"), F.lit(0.0)))
     return each.agg(
         F.count(F.lit(1)).alias("queries"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
@@ -45,7 +59,7 @@ def truth_groups(items: DataFrame, least: int = 2) -> DataFrame:
 
 def sample_truth(items: DataFrame, groups: int = 40, each: int = 2, distractors: int = 400, seed: int = 7) -> DataFrame:
     """(role, subject, idx): each items of groups subjects drawn by a hash, and distractors outside them. Rows are drawn in the order of their hashes, so no order of arrival matters."""
-    draw = lambda c: F.xxhash64(c, F.lit(seed))
+    draw = lambda c: F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
     named = items.select("idx", subject(F.col("p")).alias("subject"))
     good = truth_groups(items, each).orderBy(draw(F.col("subject")), "subject").limit(groups)
     inside = named.join(F.broadcast(good.select("subject")), "subject")
@@ -55,6 +69,11 @@ def sample_truth(items: DataFrame, groups: int = 40, each: int = 2, distractors:
     return chosen.unionByName(rest.select(F.lit("distractor").alias("role"), "subject", "idx"))
 
 
+def hits(scored: DataFrame, at: int = 5) -> DataFrame:
+    """(query, hit): whether a relevant row is among a query's first at."""
+    return first_ranks(scored, at).select("query", F.col("first").isNotNull().alias("hit"))
+
+
 def matches(name: Column, pattern: str) -> Column:
     """Relevance by a pattern over names, in either case."""
     return F.regexp_like(name, F.lit(f"(?i){pattern}"))

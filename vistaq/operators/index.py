@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,10 @@ from ..functions.text import norm_dir, stem, suffix, thumb_name
 
 #: Times count as equal within this many seconds.
 SAME_TIME = 1e-6
+# Directories that are left out, and those that are left out even where everything is taken.
+SKIPPED = ("__macosx", "thumbs", "tokens", "subjects", "portraits", "icons", "ui", "fonts", "cards", "items", "spells", "covers")
+ALWAYS_SKIPPED = ("__macosx", "thumbs")
+SOUNDS_SKIPPED = ("__macosx",)
 
 
 def admitted(listing: DataFrame, folders: DataFrame, extensions, videos=()) -> DataFrame:
@@ -20,12 +27,10 @@ def admitted(listing: DataFrame, folders: DataFrame, extensions, videos=()) -> D
     """
     from .masks import in_folders
 
-    skipped = F.array(*map(F.lit, ("__macosx", "thumbs", "tokens", "subjects", "portraits", "icons", "ui", "fonts", "cards", "items", "spells", "covers")))
-    small = F.array(F.lit("__macosx"), F.lit("thumbs"))
+    skipped, small = F.array(*map(F.lit, SKIPPED)), F.array(*map(F.lit, ALWAYS_SKIPPED))
     files = listing.where(suffix(F.col("p")).isin(*extensions, *videos) & ~F.endswith(F.lower(stem(F.col("p"))), F.lit("-thumb")))
     both = in_folders(files.withColumn("_path", norm_dir(F.col("p"))), folders)
-    below = F.split(F.substring(F.col("_path"), F.length(norm_dir(F.col("folder"))) + 2, 10_000), r"\\")
-    dirs = F.slice(below, 1, F.size(below) - 1)
+    dirs = _below(F.col("_path"), F.col("folder"))
     out = F.arrays_overlap(dirs, F.when(F.col("everything"), small).otherwise(skipped)) | F.arrays_overlap(dirs, F.transform("ignored", lambda x: F.lower(x)))
     enough = (F.col("size") >= F.col("min_kb") * 1024) & (F.coalesce(F.col("side"), F.col("min_side")) >= F.col("min_side"))
     good = both.where(~F.coalesce(out, F.lit(False)) & (suffix(F.col("p")).isin(*videos) if videos else F.lit(False)) | ~F.coalesce(out, F.lit(False)) & enough)
@@ -33,6 +38,41 @@ def admitted(listing: DataFrame, folders: DataFrame, extensions, videos=()) -> D
     return good.groupBy("_path").agg(F.min_by(F.struct(*names, F.col("folder")), "ord").alias("_r")).select("_r.*")
 
 
+def _below(path: Column, folder: Column) -> Column:
+    """The directories between a folder and a file in it."""
+    parts = F.split(F.substr(path, F.length(norm_dir(folder)) + 2), r"\\")
+    return F.slice(parts, 1, F.size(parts) - 1)
+
+
+def scan(listing: DataFrame, config: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Images and videos of a listing (p, m, size, side) that the configured folders admit (see masks.folder_options and admitted).
+
+    known (p, m): files of an older index. One of the same time needs no header read: its side counts as large enough,
+    so side may be null for it, and only the size in bytes is still tested.
+    """
+    from ..functions.text import IMAGES, VIDEOS
+    from .masks import folder_options
+
+    files = listing
+    if known is not None:
+        was = known.select(norm_dir(F.col("p")).alias("_n"), F.col("m").alias("_m"))
+        files = listing.withColumn("_n", norm_dir(F.col("p"))).join(was, "_n", "left")
+        same = F.coalesce(F.abs(F.col("m") - F.col("_m")) < SAME_TIME, F.lit(False))
+        files = files.withColumn("side", F.when(same, F.lit(None)).otherwise(F.col("side"))).drop("_n", "_m")
+    return admitted(files, folder_options(config), IMAGES, VIDEOS)
+
+
+def scan_sounds(listing: DataFrame, folders: DataFrame) -> DataFrame:
+    """Sounds of a listing below folders (path, ord), each path once, by the first folder."""
+    from ..functions.text import SOUNDS
+    from .masks import in_folders
+
+    files = listing.where(suffix(F.col("p")).isin(*SOUNDS)).withColumn("_path", norm_dir(F.col("p")))
+    both = in_folders(files, folders.select("path", "ord"))
+    both = both.where(~F.arrays_overlap(_below(F.col("_path"), F.col("folder")), F.array(*map(F.lit, SOUNDS_SKIPPED))))
+    return both.groupBy("_path").agg(F.min_by(F.struct(*listing.columns, F.col("folder")), "ord").alias("_r")).select("_r.*")
+
+
 def diff(files: DataFrame, old: DataFrame, thumbs: DataFrame | None = None) -> DataFrame:
     """(path_norm, p, status): kept where the old index has the path with the same time and, if thumbs (name) is given, the thumbnail is there; added or changed to be done; deleted where no file is left."""
     new = files.select(norm_dir(F.col("p")).alias("path_norm"), "p", "m")
@@ -52,6 +92,26 @@ def counts(changes: DataFrame) -> DataFrame:
     return changes.agg(n("kept", "added", "changed").alias("total"), n("kept").alias("kept"), n("added", "changed").alias("added"), n("changed", "deleted").alias("removed"), n("changed").alias("changed"), n("deleted").alias("deleted"))
 
 
+def needs_content(sounds: DataFrame) -> DataFrame:
+    """Sounds without a content vector: none at all, or one shorter than a half, as an empty one is."""
+    from ..functions.vectors import norm
+
+    return sounds.where(F.col("cemb").isNull() | (norm(F.col("cemb")) < 0.5))
+
+
+def realigned(files: DataFrame, old: DataFrame, columns: tuple[str, ...] = ("nemb", "cemb")) -> DataFrame:
+    """files (p, m, ...) with the columns that an older index has for files of the same path and time, null for others. Rows are found by path, so no order has to be kept."""
+    was = old.select(norm_dir(F.col("p")).alias("_n"), F.col("m").alias("_m"), *columns)
+    both = files.drop(*columns).withColumn("_n", norm_dir(F.col("p"))).join(was, "_n", "left")
+    same = F.coalesce(F.abs(F.col("m") - F.col("_m")) < SAME_TIME, F.lit(False))
+    return both.select(*(c for c in both.columns if c not in ("_n", "_m", *columns)), *(F.when(same, F.col(c)).alias(c) for c in columns))
+
+
+def content_counts(made: DataFrame) -> DataFrame:
+    """One row of rows (error) that content vectors were made for, or tried: total, added, errors."""
+    return made.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNull()).alias("added"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+
+
 def orphans(thumbs: DataFrame, items: DataFrame) -> DataFrame:
     """Thumbnails (name) of no item."""
     return thumbs.join(items.select(thumb_name(F.col("p")).alias("name")), "name", "left_anti")
@@ -70,26 +130,42 @@ def merge(kept: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def save_snapshot(df: DataFrame, root: str, version: int) -> str:
-    """Writes a version into its own folder; it counts once Spark's commit has left its marker."""
-    at = f"{root.rstrip('/')}/v{version:08d}"
-    df.write.mode("overwrite").parquet(at)
+    """Writes a version into a folder of its own, a new one each time; it counts once Spark's commit has left its marker. So a version that is written again never touches what is there."""
+    at = f"{root.rstrip('/')}/v{version:08d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(at)
     return at
 
 
-def latest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest committed version, or None."""
+def latest_snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+    """The newest committed version, of those below before if it is given; or None."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(root)
     fs = at.getFileSystem(conf)
     if not fs.exists(at):
         return None
-    done = sorted(str(s.getPath()) for s in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    return spark.read.parquet(done[-1]) if done else None
+    done = {}
+    for s in fs.listStatus(at):
+        name = re.match(r"v(\d+)", s.getPath().getName())
+        if name and (before is None or int(name[1]) < before) and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
+            done[int(name[1]), s.getModificationTime()] = str(s.getPath())
+    return spark.read.parquet(done[max(done)]) if done else None
+
+
+def usable_snapshot(snapshot: DataFrame | None, dim: int, vector: str = "emb", names: str | None = "nemb") -> DataFrame | None:
+    """A snapshot as it may be used: None if a row has no vector of dim numbers, as after a change of models, so that all is built anew. Name vectors of another length are dropped alone, to be made again."""
+    if snapshot is None:
+        return None
+    wrong = F.coalesce(F.size(vector) != dim, F.lit(True))
+    if not snapshot.where(wrong).isEmpty():
+        return None
+    if names and names in snapshot.columns:
+        return snapshot.withColumn(names, F.when(F.size(names) == dim, F.col(names)))
+    return snapshot
 
 
 def clash_names(files: DataFrame, order: Column) -> DataFrame:
     """files (dir, name, ext) with file: the name, and from the second of one name on -1, -2 and so forth before the extension."""
-    n = F.row_number().over(Window.partitionBy("dir", "name", "ext").orderBy(order)) - 1
+    n = F.row_number().over(Window.partitionBy("dir", "name", "ext").orderBy(order)) - 1  # a name's files meet in one task, sorted: numbers follow their order
     return files.withColumn("file", F.concat("name", F.when(n > 0, F.concat(F.lit("-"), n)).otherwise(""), "ext"))
 
 
@@ -108,20 +184,31 @@ def size_stats(files: DataFrame) -> DataFrame:
 
 
 def strided(files: DataFrame, n: int, order: str = "p") -> DataFrame:
-    """n rows at even steps of the order. Row numbers come from range partitions and their counts, not from one sorted task."""
+    """n rows at even steps of the order, which should be without ties.
+
+    Rows are cut into ranges at fixed bounds, drawn once from a bounded sample, so any evaluation puts a row in the same
+    range; a row's place is its number within its range, after the rows of all ranges before it, of which there is a
+    count each. No task sorts more than a range.
+    """
     spark = files.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = files.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
-    sizes = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per partition
-    starts, total = {}, 0
-    for k in sorted(sizes):
-        starts[k], total = total, total + sizes[k]
+    total = files.count()
     if not total:
         return files
+    seen = files.select(order).sample(min(1.0, 100 * parts / total), seed=7).collect() if parts > 1 else []  # about 100 a range
+    values = sorted(r[0] for r in seen if r[0] is not None)
+    bounds = sorted({values[len(values) * k // parts] for k in range(1, parts)}) if values else []
+    kind = files.schema[order].dataType
+    here = F.size(F.filter(F.array(*(F.lit(v).cast(kind) for v in bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    dealt = files.withColumn("_part", F.when(F.col(order).isNull(), -1).otherwise(here))
+    sizes = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per range
+    starts, done = [], 0
+    for k in sorted(sizes):
+        starts += [F.lit(k), F.lit(done)]
+        done += sizes[k]
     step = max(1, total // n)
-    place = F.create_map(*(F.lit(x) for kv in starts.items() for x in kv))[F.col("_part")].cast("long") + F.col("_in")
-    return dealt.withColumn("_at", place).where((F.col("_at") % step == 0) & (F.col("_at") < step * n)).drop("_part", "_in", "_at")
+    place = F.create_map(*starts)[F.col("_part")] + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return dealt.withColumn("_at", place).where((F.col("_at") % step == 0) & (F.col("_at") < step * n)).drop("_part", "_at")
 
 
 def share(df: DataFrame, stage: str, seconds: str) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +63,45 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.where(F.col("score").isNotNull()).orderBy(F.col("score").desc(), F.col("idx")).limit(k)
 
 
+def top_k_each(items: DataFrame, queries: DataFrame, k: int, bonus: str | None = None, block: int = 1024) -> DataFrame:
+    """(query, idx, score): the k best items (idx, vector) for each of many queries (query, vector), ties by idx; an item isn't its own answer. bonus: a column to add to an item's products.
+
+    Queries are told to all tasks in blocks of a fixed size. A task multiplies its items with a block at once and keeps k
+    of them per query, and only these meet.
+    """
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    rows = items.where(F.col("vector").isNotNull()).select("idx", "vector", (F.col(bonus) if bonus else F.lit(0.0)).cast("double").alias("bonus"))
+    out = []
+    for b in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).where("vector is not null").select("query", "vector").collect()
+        if some:
+            out.append(rows.mapInPandas(_best([r["query"] for r in some], [r["vector"] for r in some], k), "query long, idx long, score double"))
+    if not out:
+        return rows.select(F.col("idx").cast("long").alias("query"), F.col("idx").cast("long"), F.lit(0.0).alias("score")).limit(0)
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("idx"))
+    return reduce(DataFrame.unionByName, out).withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k).drop("_rn")
+
+
+def _best(names: list, vectors: list, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, ids = np.array(vectors, np.float64), np.array(names)
+        score, item = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            own = pdf["idx"].to_numpy(np.int64)
+            new = q @ np.stack(pdf["vector"].to_numpy()).astype(np.float64).T + pdf["bonus"].to_numpy()
+            new[own[None, :] == ids[:, None]] = -np.inf
+            score, item = np.hstack([score, new]), np.hstack([item, np.broadcast_to(own, new.shape)])
+            order = np.lexsort((item, -score))[:, :k]
+            score, item = np.take_along_axis(score, order, 1), np.take_along_axis(item, order, 1)
+        keep = np.isfinite(score)
+        yield pd.DataFrame({"query": np.broadcast_to(ids[:, None], score.shape)[keep], "idx": item[keep], "score": score[keep]})
+
+    return run
+
+
 def collapse(ranked: DataFrame, cards: int, key: Column | None = None) -> DataFrame:
     """One row per group of the ranked rows (score, idx, p): its best row, n_variants, and variants, the next VARIANTS in order; the best cards groups.
 
@@ -100,13 +144,24 @@ def search(items: DataFrame, vector: list[float], query: str | None, cards: int
     return {"results": one(items.join(pieces, "idx", "left_anti"), WINDOW_ALL), "pieces": one(items.join(pieces, "idx", "left_semi"), WINDOW_PIECES)}
 
 
+def top_sounds(section: str | None) -> int:
+    """How many sounds a search gives: more where it is for sounds alone."""
+    return TOP if section == "sounds" else TOP // 2
+
+
+def sound_cards(rows: DataFrame, favs: DataFrame | None = None, root: str | None = None) -> DataFrame:
+    """What a card shows of a sound (idx, p, d, score): as cards, with its seconds in place of thumbnail and kind."""
+    shown = cards(rows.withColumn("k", F.lit(None).cast("string")), favs, root).drop("thumb", "k")
+    return shown.join(rows.select("idx", F.coalesce("d", F.lit(0.0)).alias("dur")), "idx")
+
+
 def cards(rows: DataFrame, favs: DataFrame | None = None, root: str | None = None) -> DataFrame:
     """What a card shows of a row: path, the path below root, thumbnail, rounded score, name, the two folders above, kind, favourite."""
     p, up = text.parts(F.col("p")), text.last_parts(F.col("p"))
     below = F.replace(F.col("p"), F.lit("\\"), F.lit("/"))
     if root:
         head = root.replace("\\", "/").rstrip("/") + "/"
-        below = F.when(F.startswith(below, F.lit(head)), F.substring(below, len(head) + 1, 10_000)).otherwise(below)
+        below = F.when(F.startswith(below, F.lit(head)), F.substr(below, F.lit(len(head) + 1))).otherwise(below)
     out = rows
     if favs is not None:
         mine = favs.select(text.norm_dir(F.col("p")).alias("_n")).distinct().withColumn("_f", F.lit(True))

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import audio, text, translate, vectors
+from ..functions import audio, images, text, translate, vectors
 from ..operators import actions as act
 from ..operators import evaluation, index, masks, search
-from ..sources import web
-from .carrier import ACTIONS_SQL, FOLDERS_SQL, ITEMS_SQL, actions, folders, items, table, vector
+from ..sources import state, web
+from ..sources.scratch import scratch
+from ..streaming import jobs
+from .carrier import ACTIONS_SQL, FOLDERS_SQL, ITEMS_SQL, SOUNDS_SQL, actions, folders, items, rows_of, sounds, table, vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,10 +78,21 @@ def _carded(df: DataFrame) -> DataFrame:
 # ---- search
 
 
-@query(f"WITH {ITEMS_SQL}, {_top(_CONTENT, 60, 'idx <> 0')} {_PLAIN}")
+def _each(score: str) -> str:
+    """For every item whose id is divisible by 20, as a query, its 60 best others."""
+    return f"""s AS (SELECT q.idx AS query, i.idx, i.p, {score} AS s FROM items i JOIN (SELECT idx, emb AS qv FROM items WHERE idx % 20 = 0) q ON q.idx <> i.idx)
+SELECT query, idx, p, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, idx) AS rn FROM s) WHERE rn <= 60"""
+
+
+def _asked(rows, found):
+    return found.join(rows.select("idx", "p"), "idx").select("query", "idx", "p", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {ITEMS_SQL}, {_each('list_dot_product(i.emb, q.qv)')}")
 def similar_topk(spark, sf):
-    rows = items(spark, sf).where("idx <> 0").withColumn("score", vectors.dot_with(F.col("emb"), vector(spark, sf)))
-    return _rows(search.top_k(rows, 60))
+    rows = items(spark, sf)
+    asked = rows.where("idx % 20 = 0").select(F.col("idx").alias("query"), F.col("emb").alias("vector"))
+    return _asked(rows, search.top_k_each(rows.select("idx", F.col("emb").alias("vector")), asked, 60))
 
 
 @query(f"WITH {ITEMS_SQL}, side AS (SELECT * FROM items WHERE (lang = 'de') = (SELECT lang = 'de' FROM items WHERE idx = 0)), {_top(_CONTENT, 600, source='side')}, {_cards(60, f'map_key <> (SELECT {_KEY} FROM items WHERE idx = 0)')}")
@@ -88,9 +101,12 @@ def similar_other_groups(spark, sf):
     return _carded(search.similar(all_items, 0, pieces=masks.in_category(all_items, folders(spark), "assets").select("idx")))
 
 
-@query(f"WITH {ITEMS_SQL}, {_top(_HYBRID, 60)} {_PLAIN}")
+@query(f"WITH {ITEMS_SQL}, {_each(f'list_dot_product(i.emb, q.qv) + 0.5::DOUBLE * list_dot_product(i.nemb, q.qv) + 0.25::DOUBLE * ({_literal(("small", "ring"))})')}")
 def hybrid_search(spark, sf):
-    return _rows(search.top_k(search.score_items(items(spark, sf, True), vector(spark, sf), "small ring"), 60))
+    rows = items(spark, sf, True)
+    asked = rows.where("idx % 20 = 0").select(F.col("idx").alias("query"), F.col("emb").alias("vector"))
+    both = search.fused(rows).select("idx", F.col("fused").alias("vector"), (F.lit(search.LITERAL_WEIGHT) * search.literal("small ring")).alias("bonus"))
+    return _asked(rows, search.top_k_each(both, asked, 60, "bonus"))
 
 
 @query(f"WITH {ITEMS_SQL}, {_top(_HYBRID, 480)}, {_cards(60)}")
@@ -163,9 +179,7 @@ def variants_of(spark, sf):
 @query(f"""WITH {ITEMS_SQL}, {ACTIONS_SQL}, {_top("0.0::DOUBLE", 1000000, 'idx IN (SELECT item FROM favs)')}, g AS (SELECT map_key, min((lower(p), idx)) AS h, count(*) AS c FROM top GROUP BY map_key)
 SELECT map_key, struct_extract_at(h, 2) AS idx, least(c - 1, 40) AS n_variants FROM g ORDER BY h LIMIT 60""")
 def favourites_listing(spark, sf):
-    rows = items(spark, sf).join(_favs(spark, sf).select(F.col("item").alias("idx")), "idx").withColumn("map_key", text.map_key(F.col("p")))
-    groups = rows.groupBy("map_key").agg(F.min(F.struct(F.lower("p").alias("p"), "idx")).alias("h"), F.count(F.lit(1)).alias("c"))
-    return groups.orderBy("h").limit(60).select("map_key", "h.idx", F.least(F.col("c") - 1, F.lit(search.VARIANTS)).cast("long").alias("n_variants"))
+    return act.favourites_listing(items(spark, sf), _favs(spark, sf))
 
 
 @query(rf"""WITH {ITEMS_SQL}, {ACTIONS_SQL} SELECT idx, p AS path, replace(p[8:], '\', '/') AS relative, '/thumbs/' || sha1(p)[1:16] || '.webp' AS thumb, round(round({_CONTENT}, 9), 3) + 0.0::DOUBLE AS score,
@@ -276,10 +290,10 @@ def full_size_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.full_size_url(thumb).alias("full_url"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(left(text, 60), '\\s+'), lambda x: length(x) > 2) AS w FROM documents)
-SELECT doc_id, list_filter(w, lambda x: length(x) = list_max(list_transform(w, lambda y: length(y))))[1] AS word FROM w""")
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: length(x) > 2) AS w FROM documents),
+m AS (SELECT doc_id, w, list_max(list_transform(w, lambda y: length(y))) AS m FROM w) SELECT doc_id, list_filter(w, lambda x: length(x) = m)[1] AS word FROM m""")
 def longest_word(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.longest_word(F.left("text", F.lit(60))).alias("word"))
+    return table(spark, sf, "documents").select("doc_id", text.longest_word(F.col("text")).alias("word"))
 
 
 # ---- folders
@@ -417,9 +431,7 @@ def catalog_rank(spark, sf):
 
 @query("SELECT source, count(*) AS n, source <> 'src3' AS \"on\" FROM documents GROUP BY source")
 def sources_list(spark, sf):
-    off = spark.createDataFrame([("src3",)], "source string").withColumn("_off", F.lit(True))
-    counts = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(off, "source", "left").select("source", "n", F.col("_off").isNull().alias("on"))
+    return web.sources_list(table(spark, sf, "documents"), spark.createDataFrame([("src3",)], "source string"))
 
 
 # ---- actions
@@ -467,7 +479,7 @@ m AS (SELECT vec_id, list_transform(list_zip(x, y), lambda z: (z[1] + z[2]) / 2)
 SELECT vec_id, round(v[1] / greatest(sqrt(list_dot_product(v, v)), 1e-12), 6) AS first, round(v[64] / greatest(sqrt(list_dot_product(v, v)), 1e-12), 6) AS last FROM m""")
 def vec_ensemble(spark, sf):
     e = table(spark, sf, "embeddings")
-    n = e.count()
+    n = rows_of(spark, sf, "embeddings")
     nxt = e.select(((F.col("vec_id") + n - 1) % n).alias("vec_id"), F.col("embedding").alias("y"))
     v = e.join(nxt, "vec_id").select("vec_id", vectors.mean_of(F.col("embedding"), F.col("y")).alias("v"))
     return v.select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"))
@@ -487,14 +499,12 @@ def vec_centroid(spark, sf):
 
 
 def _scored(spark, sf):
-    """Twenty stored rows as queries against all others; a row of the query's label is relevant. The queries are a fixed list, which is broadcast."""
-    e = table(spark, sf, "embeddings")
-    q = e.where(F.col("vec_id") < 20).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
-    both = e.join(F.broadcast(q), F.col("vec_id") != F.col("query"))
-    return both.select("query", F.col("vec_id").alias("idx"), vectors.dot(F.col("embedding"), F.col("q")).alias("score"), (F.col("label") == F.col("ql")).alias("relevant"))
+    """The stored rows whose id is divisible by 20 as queries against all others; a row of the query's label is relevant."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vector"), "label")
+    return evaluation.scored_pairs(e, e.where("idx % 20 = 0").withColumnRenamed("idx", "query"))
 
 
-_EVAL_SQL = """s AS (SELECT q.vec_id AS query, e.vec_id AS idx, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, e.label = q.label AS relevant FROM embeddings e JOIN embeddings q ON q.vec_id < 20 AND e.vec_id <> q.vec_id),
+_EVAL_SQL = """s AS (SELECT q.vec_id AS query, e.vec_id AS idx, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, e.label = q.label AS relevant FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, idx) AS rank FROM s),
 f AS (SELECT query, min(rank) FILTER (relevant AND rank <= 2000) AS first, bool_or(relevant) AS can FROM r GROUP BY query HAVING can)"""
 
@@ -512,7 +522,7 @@ def hit_at_k(spark, sf):
 @query("WITH a AS (SELECT list_dot_product(e.embedding::DOUBLE[], n.embedding::DOUBLE[]) AS c FROM embeddings e JOIN embeddings n ON n.vec_id = (e.vec_id + 1) % (SELECT count(*) FROM embeddings)) SELECT round(avg(c), 6) AS mean, round(min(c), 6) AS min FROM a")
 def cosine_stats(spark, sf):
     e = table(spark, sf, "embeddings")
-    n = e.count()
+    n = rows_of(spark, sf, "embeddings")
     pairs = e.join(e.select(((F.col("vec_id") + n - 1) % n).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
     return evaluation.agreement(pairs.select(vectors.dot(F.col("embedding"), F.col("y")).alias("cosine")))
 
@@ -527,11 +537,24 @@ def truth_groups(spark, sf):
     return evaluation.truth_groups(items(spark, sf))
 
 
-@query()
+_NAMED_SQL = f"n AS (SELECT idx, array_to_string(list_filter({_tok(_STEM, 'a-z')}, lambda w: NOT list_contains({_list(text.SUBJECT_WORDS)}, w))[1:4], ' ') AS subject FROM items)"
+
+
+@query(f"""WITH {ITEMS_SQL}, {_NAMED_SQL}, g AS (SELECT subject FROM n WHERE contains(subject, ' ') GROUP BY subject HAVING count(*) >= 2 ORDER BY md5('7:' || subject), subject LIMIT 40),
+c AS (SELECT subject, idx FROM n WHERE subject IN (SELECT subject FROM g) QUALIFY row_number() OVER (PARTITION BY subject ORDER BY md5('7:' || idx), idx) <= 2),
+d AS (SELECT subject, idx FROM n WHERE idx NOT IN (SELECT idx FROM c) ORDER BY md5('7:' || idx), idx LIMIT 400)
+SELECT 'positive' AS role, subject, idx FROM c UNION ALL SELECT 'distractor', subject, idx FROM d""")
 def truth_sample(spark, sf):
     return evaluation.sample_truth(items(spark, sf))
 
 
+@query(f"""WITH s AS (SELECT d.lang AS query, vec_id AS idx, embedding[1]::DOUBLE AS score, regexp_matches(p_name, '(?i)RING|gear') AS relevant FROM embeddings JOIN part ON p_partkey = vec_id % (SELECT count(*) FROM part) JOIN documents d ON d.doc_id = vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, idx) AS rank FROM s) SELECT query, bool_or(relevant AND rank <= 5) AS hit FROM r GROUP BY query HAVING bool_or(relevant)""")
+def retrieval_by_pattern(spark, sf):
+    rows = items(spark, sf).select(F.col("lang").alias("query"), "idx", F.get("emb", F.lit(0)).cast("double").alias("score"), evaluation.matches(F.col("p_name"), "RING|gear").alias("relevant"))
+    return evaluation.hits(rows, 5)
+
+
 @query("WITH h AS (SELECT event_id, value * 100 AS hz FROM events), m AS (SELECT event_id, hz, CASE WHEN hz < 1000 THEN hz * 3 / 200 ELSE 15 + ln(hz / 1000) * 27 / ln(6.4) END AS m FROM h) SELECT event_id, round(m, 6) AS mel, round(CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * exp((m - 15) * ln(6.4) / 27) END, 4) AS hz FROM m")
 def mel_scale(spark, sf):
     m = audio.mel(F.col("value") * 100)
@@ -541,3 +564,293 @@ def mel_scale(spark, sf):
 @query("SELECT doc_id, CASE WHEN n_chars <= 1000 THEN [0::BIGINT] ELSE [floor((n_chars - 1000) * 0.1::DOUBLE)::BIGINT, floor((n_chars - 1000) * 0.5::DOUBLE)::BIGINT, floor((n_chars - 1000) * 0.9::DOUBLE)::BIGINT] END AS starts FROM documents")
 def audio_windows(spark, sf):
     return table(spark, sf, "documents").select("doc_id", audio.window_starts(F.col("n_chars"), F.lit(1000)).alias("starts"))
+
+
+@query("""WITH k AS (SELECT range AS i FROM range(66)), c AS (SELECT 50.0::DOUBLE AS lo, 14000.0::DOUBLE AS hi, 27 / ln(6.4::DOUBLE) AS f),
+m AS (SELECT i, lo * 3 / 200 + i * ((15 + ln(hi / 1000) * f) - lo * 3 / 200) / 65 AS m, f FROM k, c), e AS (SELECT i, CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * exp((m - 15) / f) END AS hz FROM m),
+b AS (SELECT range AS bin, range * 24000.0::DOUBLE / 512 AS hz FROM range(513))
+SELECT b.bin, x.i AS mel, round(greatest(0, least((b.hz - x.hz) / (y.hz - x.hz), (z.hz - b.hz) / (z.hz - y.hz))) * 2 / (z.hz - x.hz), 9) + 0.0 AS weight FROM b, e x JOIN e y ON y.i = x.i + 1 JOIN e z ON z.i = x.i + 2""")
+def mel_filters(spark, sf):
+    f = audio.mel_filters()
+    rows = [(b, m, float(f[b, m])) for b in range(f.shape[0]) for m in range(f.shape[1])]
+    return spark.createDataFrame(rows, "bin long, mel long, weight double").withColumn("weight", F.round("weight", 9))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars >= 1024 THEN range(0, n_chars - 1023, 480) ELSE []::BIGINT[] END AS starts FROM documents")
+def stft_frames(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", audio.frame_starts(F.col("n_chars")).alias("starts"))
+
+
+@query("""WITH a AS (SELECT p_partkey, (p_partkey * 37 % 900 + 1)::INT AS w, (p_size * 31 % 700 + 1)::INT AS h FROM part), b AS (SELECT *, w / h AS r FROM a), c AS (SELECT *, CASE WHEN r <= 1 THEN 256 * r ELSE 256 / r END AS x FROM b),
+d AS (SELECT *, floor(x) AS lo, ceil(x) AS hi FROM c), e AS (SELECT *, abs(r - CASE WHEN r <= 1 THEN lo / 256 WHEN lo = 0 THEN 0 ELSE 256 / lo END) AS dl, abs(r - CASE WHEN r <= 1 THEN hi / 256 ELSE 256 / hi END) AS dh FROM d),
+f AS (SELECT *, greatest(CASE WHEN dl <= dh THEN lo ELSE hi END, 1)::INT AS o FROM e)
+SELECT p_partkey, CASE WHEN w <= 256 AND h <= 256 THEN w WHEN r <= 1 THEN o ELSE 256 END AS w, CASE WHEN w <= 256 AND h <= 256 THEN h WHEN r <= 1 THEN 256 ELSE o END AS h FROM f""")
+def thumb_fit(spark, sf):
+    w, h = (F.col("p_partkey") * 37 % 900 + 1).cast("int"), (F.col("p_size") * 31 % 700 + 1).cast("int")
+    return table(spark, sf, "part").select("p_partkey", images.fitted(w, h).alias("s")).select("p_partkey", "s.*")
+
+
+# ---- sounds
+
+
+_S = f"{ITEMS_SQL}, {SOUNDS_SQL}"
+_SOUND_DIFF = f"""{_S}, new AS (SELECT lower(p) AS n, idx, m, nemb, cemb FROM sounds), old AS (SELECT lower(p) AS n, CASE WHEN idx % 11 = 0 THEN m + 1 ELSE m END AS m, nemb, cemb FROM sounds WHERE idx % 7 <> 0),
+j AS (SELECT new.idx, new.n AS new_n, old.n AS old_n, abs(new.m - old.m) < 1e-6 AS same, old.nemb, old.cemb FROM new FULL JOIN old ON new.n = old.n)"""
+
+
+def _old_sounds(spark, sf):
+    return sounds(spark, sf).where("idx % 7 <> 0").withColumn("m", F.when(F.col("idx") % 11 == 0, F.col("m") + 1).otherwise(F.col("m")))
+
+
+@query(f"WITH {_S} SELECT idx, p, d FROM sounds WHERE lang NOT IN ('fr', 'es')")
+def sound_visible(spark, sf):
+    off = spark.createDataFrame([("X:/lib/fr/",), ("X:\\LIB\\es",)], "path string")
+    return masks.visible(sounds(spark, sf), off).select("idx", "p", "d")
+
+
+@query(f"""WITH {_SOUND_DIFF} SELECT count(new_n) AS total, count(*) FILTER (same) AS kept, count(*) FILTER (new_n IS NOT NULL AND same IS NOT true) AS added,
+  count(*) FILTER (old_n IS NOT NULL AND same IS NOT true) AS removed, count(*) FILTER (same = false) AS changed, count(*) FILTER (new_n IS NULL) AS deleted FROM j""")
+def sound_counts(spark, sf):
+    return index.counts(index.diff(sounds(spark, sf), _old_sounds(spark, sf)))
+
+
+@query(f"WITH {_SOUND_DIFF} SELECT idx, same IS true AS named, CASE WHEN same THEN round(cemb[1], 6) END AS first FROM j WHERE new_n IS NOT NULL")
+def sound_realigned(spark, sf):
+    found = index.realigned(sounds(spark, sf), _old_sounds(spark, sf))
+    return found.select("idx", F.col("nemb").isNotNull().alias("named"), F.round(F.get("cemb", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query(f"WITH {_S} SELECT idx FROM sounds WHERE cemb IS NULL OR idx % 5 = 0")
+def sound_needs_content(spark, sf):
+    rows = sounds(spark, sf)
+    weak = F.when(F.col("idx") % 5 == 0, F.transform("cemb", lambda x: x * 0)).otherwise(F.col("cemb"))
+    return index.needs_content(rows.withColumn("cemb", weak)).select("idx")
+
+
+@query(f"WITH {_S} SELECT count(*) AS total, count(*) FILTER (idx % 3 <> 0) AS added, count(*) FILTER (idx % 3 = 0) AS errors FROM sounds WHERE cemb IS NULL")
+def sound_content_counts(spark, sf):
+    made = index.needs_content(sounds(spark, sf)).withColumn("error", F.when(F.col("idx") % 3 == 0, "unreadable"))
+    return index.content_counts(made)
+
+
+@query(rf"""WITH {_S}, {ACTIONS_SQL} SELECT idx, p AS path, replace(p[8:], '\', '/') AS relative, round(round(list_dot_product(nemb, {_Q}), 9), 3) + 0.0::DOUBLE AS score,
+  {_STEM} AS name, lang || '/' || source AS dir, d AS dur, p IN (SELECT p FROM sounds WHERE idx IN (SELECT item FROM favs)) AS fav FROM sounds""")
+def sound_cards(spark, sf):
+    rows = sounds(spark, sf)
+    favs = rows.join(_favs(spark, sf).select(F.col("item").alias("idx")), "idx", "left_semi")
+    return search.sound_cards(rows.withColumn("score", F.round(vectors.dot_with(F.col("nemb"), vector(spark, sf)), 9)), favs, "X:\\lib")
+
+
+@query(f"""WITH {_S}, s AS (SELECT idx, p, list_dot_product(nemb, {_Q}) + 0.35::DOUBLE * ({_literal(('small', 'ring'))}) + 0.6::DOUBLE * coalesce(list_dot_product(cemb, {_Q}), 0) AS s FROM sounds)
+SELECT idx, p, round(s, 6) AS score FROM s ORDER BY s DESC, idx LIMIT 60""")
+def sound_section(spark, sf):
+    q = vector(spark, sf)
+    return _rows(search.top_k(search.score_sounds(sounds(spark, sf), q, q, "small ring"), search.top_sounds("sounds")))
+
+
+@query(f"WITH {_S}, {ACTIONS_SQL} SELECT idx, p FROM sounds WHERE idx IN (SELECT item FROM favs) ORDER BY idx LIMIT 60")
+def sound_favourites(spark, sf):
+    return act.favourite_sounds(sounds(spark, sf), _favs(spark, sf)).select("idx", "p")
+
+
+@query(f"WITH {_S}, {ACTIONS_SQL}, f AS (SELECT idx, p FROM sounds WHERE idx IN (SELECT item FROM favs) ORDER BY lower(p), idx LIMIT 12) SELECT 'sound' AS section, row_number() OVER (ORDER BY lower(p), idx)::INT AS place, idx FROM f")
+def home_sounds(spark, sf):
+    return act.home_sounds(sounds(spark, sf), _favs(spark, sf))
+
+
+# ---- scans, snapshots, stored state
+
+
+_LISTED = "f AS (SELECT idx, p[:-6] || '_' || idx || '.webp' AS p, m, m AS size, (idx * 37 % 2000) AS side, lang, source FROM items)"
+
+
+def _listed(spark, sf):
+    p = F.concat(F.regexp_replace("p", r"\.webp$", ""), F.lit("_"), F.col("idx").cast("string"), F.lit(".webp"))
+    return items(spark, sf).select("idx", p.alias("p"), "m", F.col("m").alias("size"), (F.col("idx") * 37 % 2000).alias("side"))
+
+
+def _configured(spark):
+    rows = [(1, "X:\\lib\\fr\\src3", 256, 1, None, None, None, None), (2, "X:/lib/FR/", None, 2, None, None, None, None), (3, "X:\\lib\\de", None, None, None, True, "pecas", None)]
+    return spark.createDataFrame(rows, "ord int, path string, min_side int, min_kb int, ignored array<string>, everything boolean, kind string, category string")
+
+
+def _admitted(side: str) -> str:
+    return f"""SELECT idx, CASE WHEN lang = 'fr' AND source = 'src3' AND size >= 1024 AND {side.format(256)} THEN 'X:\\lib\\fr\\src3' WHEN lang = 'fr' AND size >= 2048 AND {side.format(1024)} THEN 'X:/lib/FR/' WHEN lang = 'de' THEN 'X:\\lib\\de' END AS folder FROM f WHERE folder IS NOT NULL"""
+
+
+@query(f"WITH {ITEMS_SQL}, {_LISTED} {_admitted('side >= {}')}")
+def scan_library(spark, sf):
+    return index.scan(_listed(spark, sf), _configured(spark)).select("idx", "folder")
+
+
+@query(f"WITH {ITEMS_SQL}, {_LISTED} {_admitted('(side >= {} OR idx % 7 <> 0 AND idx % 11 <> 0)')}")
+def scan_known(spark, sf):
+    files = _listed(spark, sf)
+    known = files.where("idx % 7 <> 0").select("p", F.when(F.col("idx") % 11 == 0, F.col("m") + 1).otherwise(F.col("m")).alias("m"))
+    return index.scan(files, _configured(spark), known).select("idx", "folder")
+
+
+@query(f"WITH {_S} SELECT idx, CASE WHEN lang = 'fr' AND source = 'src3' THEN 'X:\\lib\\fr\\src3' ELSE 'X:/lib/FR/' END AS folder FROM sounds WHERE lang = 'fr'")
+def scan_sounds(spark, sf):
+    both = sounds(spark, sf).select("idx", "p")
+    repeated = both.unionByName(both.select("idx", F.regexp_replace("p", r"\.mp3$", ".txt").alias("p")))
+    return index.scan_sounds(repeated, _configured(spark).where("ord < 3")).select("idx", "folder")
+
+
+@query(f"""WITH f AS (SELECT 1 AS ord, 'x:\\lib\\en' AS path, 256 AS min_side, 1 AS min_kb, ['a', 'b'] AS ignored, false AS everything UNION ALL SELECT 2, 'x:\\lib\\fr', 1024, 60, []::VARCHAR[], true)
+SELECT sha256(to_json(list({{'ord': ord, 'path': path, 'min_side': min_side, 'min_kb': min_kb, 'ignored': ignored, 'everything': everything}} ORDER BY ord))::VARCHAR) AS criterion FROM f""")
+def index_criterion(spark, sf):
+    rows = [(2, "X:/lib/FR/", 1024, 60, [], True), (1, "X:\\lib\\en", 256, 1, ["b", "a"], False)]
+    return index.criterion(spark.createDataFrame(rows, "ord int, path string, min_side int, min_kb int, ignored array<string>, everything boolean"))
+
+
+@query(f"WITH {ITEMS_SQL} SELECT idx, p FROM items WHERE idx % 3 <> 0 OR idx % 2 = 0")
+def index_merged(spark, sf):
+    rows = items(spark, sf).select("idx", "p")
+    made = rows.where("idx % 3 = 0").withColumn("error", F.when(F.col("idx") % 2 == 1, "unreadable"))
+    return index.merge(rows.where("idx % 3 <> 0"), made)
+
+
+@query(f"WITH {ITEMS_SQL} SELECT idx, p, round(emb[1], 6) AS first, idx % 4 <> 0 AS named FROM items")
+def index_loaded(spark, sf):
+    root = scratch(spark, "index")
+    rows = items(spark, sf, True).select("idx", "p", "emb", F.when(F.col("idx") % 4 == 0, F.slice("nemb", 1, 3)).otherwise(F.col("nemb")).alias("nemb"))
+    index.save_snapshot(rows.limit(3), root, 1)
+    index.save_snapshot(rows, root, 2)
+    got = index.usable_snapshot(index.latest_snapshot(spark, root), 64)
+    assert index.usable_snapshot(index.latest_snapshot(spark, root), 63) is None
+    return got.select("idx", "p", F.round(F.get("emb", F.lit(0)).cast("double"), 6).alias("first"), F.col("nemb").isNotNull().alias("named"))
+
+
+@query(f"WITH {_PAGES_SQL} SELECT ord, pos, title, url, cat FROM u")
+def catalog_cached(spark, sf):
+    at = scratch(spark, "catalogue")
+    rows = web.first_by_url(_catalogue(spark, sf))
+    assert state.save_catalogue(rows, at, 1000.0) and not state.save_catalogue(rows.limit(0), at, 2000.0)
+    assert state.load_catalogue(spark, at, 1000.0 + 86_400).isEmpty()
+    return state.load_catalogue(spark, at, 1000.0 + 86_399).select("ord", F.col("pos").cast("int").alias("pos"), "title", "url", "cat")
+
+
+@query(f"WITH {ITEMS_SQL}, {ACTIONS_SQL} SELECT DISTINCT CASE WHEN idx % 2 = 0 THEN 'v' ELSE 'a' END AS kind, lower(p) AS p FROM items JOIN favs ON item = idx")
+def favourites_stored(spark, sf):
+    at = scratch(spark, "favourites")
+    rows = items(spark, sf).join(_favs(spark, sf).select(F.col("item").alias("idx")), "idx", "left_semi")
+    state.save_favourites(rows.select(F.when(F.col("idx") % 2 == 0, "v").otherwise("a").alias("kind"), "p"), at)
+    return state.load_favourites(spark, at)
+
+
+@query(f"WITH {ACTIONS_SQL} SELECT 'i' || item AS p, 0 AS a, epoch_us(max(ts)) / 1e6 AS ts FROM actions WHERE kind = 'view' GROUP BY item ORDER BY max(ts) DESC, p LIMIT 100")
+def recents_stored(spark, sf):
+    at = scratch(spark, "recents")
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', max(ts))")
+    rows = actions(spark, sf).where("kind = 'view'").groupBy("item").agg((micros / 1e6).alias("ts"))
+    state.save_recents(rows.select(F.concat(F.lit("i"), F.col("item")).alias("p"), F.lit(0).alias("a"), "ts"), at)
+    return state.load_recents(spark, at)
+
+
+# ---- streams
+
+
+def _streamed(spark, sf, name):
+    # a pattern, so that a single file may be the source
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/[{name[0]}]{name[1:]}.parquet")
+
+
+@query(f"WITH {ACTIONS_SQL} SELECT item, max(ts) AS ts FROM actions GROUP BY item")
+def stream_recents(spark, sf):
+    log = _streamed(spark, sf, "events")
+    return jobs.settled(jobs.stream_recents(log.select(F.col("user_id").alias("item"), "ts")), scratch(spark, "recents"))
+
+
+@query(f"WITH {ACTIONS_SQL} SELECT item, arg_max(\"on\", ts) AS \"on\" FROM actions WHERE \"on\" IS NOT NULL GROUP BY item")
+def stream_favourites(spark, sf):
+    log = _streamed(spark, sf, "events")
+    on = F.when(F.col("event_type").isin("click", "purchase"), True).when(F.col("event_type") == "error", False)
+    rows = log.select(F.col("user_id").alias("item"), on.alias("on"), "ts", F.col("event_id").alias("seq")).where(F.col("on").isNotNull())
+    return jobs.settled(jobs.stream_favourites(rows), scratch(spark, "favourites"))
+
+
+@query("SELECT 'X:\\lib\\' || doc_id AS p, n_chars::DOUBLE AS m, n_chars * 2.0 AS made FROM documents WHERE doc_id % 9 <> 0")
+def stream_index(spark, sf):
+    root = scratch(spark, "stream")
+    files = _streamed(spark, sf, "documents")
+    listed = files.select(F.concat(F.lit("X:\\lib\\"), F.col("doc_id").cast("string")).alias("p"), F.col("n_chars").cast("double").alias("m"))
+    failed = F.when(F.substring_index("p", "\\", -1).cast("long") % 9 == 0, "unreadable")
+    jobs.index_stream(listed, f"{root}/index", f"{root}/checkpoint", lambda df: df.withColumns({"made": F.col("m") * 2, "error": failed})).awaitTermination()
+    return index.latest_snapshot(spark, f"{root}/index").select("p", "m", "made")
+
+
+# ---- sources and translation
+
+
+@query("SELECT doc_id AS ord, 0 AS pos, lang || ' & ' || source AS title, 'http://r/' || doc_id || '?a=1&b=2' AS url, CASE WHEN doc_id % 2 = 0 THEN 'http://t/' || doc_id ELSE '' END AS thumb FROM documents")
+def feed_entries(spark, sf):
+    n = F.col("doc_id").cast("string")
+    thumb = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<media:thumbnail url="http://t/'), n, F.lit('"/>'))).otherwise("")
+    body = F.concat(F.lit("<feed><entry><title>"), "lang", F.lit(" &amp; "), "source", F.lit('</title><link href="http://r/'), n, F.lit('?a=1&amp;b=2"/>'), thumb, F.lit("</entry><entry><title>no link</title></entry></feed>"))
+    feeds = table(spark, sf, "documents").select(F.lit("feed").alias("source"), F.col("doc_id").alias("ord"), body.alias("body"))
+    return web.feed_entries(feeds).select("ord", "pos", "title", "url", "thumb")
+
+
+def _answers(spark, sf):
+    k = F.col("p_partkey")
+    name = k.cast("string")
+    file = F.struct(F.concat(F.lit("/f/"), name, F.when(k % 3 == 0, ".zip").otherwise(".png")).alias("path"))
+    others = F.array(F.struct(F.lit("/a.txt").alias("path")), F.struct(F.concat(F.lit("/b/"), name, F.when(k % 2 == 0, ".JPG").otherwise(".pdf")).alias("path")))
+    post = F.struct(name.alias("id"), F.col("p_name").alias("title"), F.lit("s").alias("service"), F.lit("u").alias("user"), file.alias("file"), others.alias("attachments"))
+    return table(spark, sf, "part").select(F.lit("posts").alias("source"), k.alias("ord"), F.to_json(F.array(post)).alias("body"))
+
+
+_POSTS_SQL = "SELECT p_partkey AS ord, 0 AS pos, p_name AS title, 'http://k/s/user/u/post/' || p_partkey AS url, CASE WHEN p_partkey % 3 = 0 THEN '/b/' || p_partkey || '.JPG' ELSE '/f/' || p_partkey || '.png' END AS thumb FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0"
+
+
+@query(_POSTS_SQL)
+def posts(spark, sf):
+    return web.posts(_answers(spark, sf), "http://k").select("ord", "pos", "title", "url", "thumb")
+
+
+@query(f"WITH {_PAGES_SQL}, o AS ({_POSTS_SQL}) SELECT title, url, 'pages' AS source, 0 AS \"of\", ord, pos::BIGINT AS pos FROM u UNION ALL SELECT title, url, 'posts', 1, ord, pos FROM o")
+def online_merged(spark, sf):
+    pages, found = web.first_by_url(_catalogue(spark, sf)), web.posts(_answers(spark, sf), "http://k")
+    errors = spark.createDataFrame([("feed", "HTTP 429")], "source string, error string")
+    told = web.online(pages.limit(0), errors=errors).select("source", "error").collect()
+    assert [tuple(r) for r in told] == [("feed", "HTTP 429")]
+    return web.online(pages, found, errors=errors).select("title", "url", "source", "place.of", "place.ord", "place.pos")
+
+
+@query(f"WITH {_PAGES_SQL}, r AS (SELECT ord, pos, url, contains(lower(title), 'e')::INT AS n FROM u WHERE cat = (SELECT min(cat) FROM u)) SELECT ord, pos, url, n FROM r WHERE n > 0 ORDER BY n DESC, ord, pos LIMIT 40")
+def catalog_rank_section(spark, sf):
+    rows = web.first_by_url(_catalogue(spark, sf))
+    return web.rank_titles(rows, "e", cat=rows.agg(F.min("cat")).first()[0]).select("ord", "pos", "url", "n")
+
+
+@query("""WITH a AS (SELECT page_id, 'http://h/' || page_id || CASE page_id % 4 WHEN 0 THEN '/a.PNG?x=1' WHEN 1 THEN '/b.exe' WHEN 2 THEN '/c' ELSE '/d.webm#t' END AS url, CASE page_id % 3 WHEN 0 THEN 'image/webp; q=1' WHEN 1 THEN 'text/html' END AS kind FROM pages)
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN '.png' WHEN 3 THEN '.webm' ELSE CASE WHEN kind LIKE 'image/webp%' THEN '.webp' ELSE '.jpg' END END AS suffix FROM a""")
+def download_suffix(spark, sf):
+    k = F.col("page_id")
+    url = F.concat(F.lit("http://h/"), k, F.when(k % 4 == 0, "/a.PNG?x=1").when(k % 4 == 1, "/b.exe").when(k % 4 == 2, "/c").otherwise("/d.webm#t"))
+    kind = F.when(k % 3 == 0, "image/webp; q=1").when(k % 3 == 1, "text/html")
+    return table(spark, sf, "pages").select("page_id", text.download_suffix(url, kind).alias("suffix"))
+
+
+@query(f"WITH {_PT_SQL} SELECT DISTINCT trim(q) AS pt FROM t WHERE missing AND trim(q) NOT IN ('Ravenloft en', 'jungle temple de')")
+def translate_to_ask(spark, sf):
+    memory = spark.createDataFrame([("Ravenloft en", "ravenloft castle")], "pt string, en string")
+    return translate.to_ask(_queries_pt(spark, sf), memory, spark.createDataFrame([("jungle temple de",)], "pt string"))
+
+
+@query(f"""WITH {_PT_SQL} SELECT 'Ravenloft en' AS pt, 'ravenloft castle' AS en UNION SELECT trim(q), en FROM t WHERE NOT missing
+UNION SELECT trim(q), 'told ' || lang FROM t JOIN documents USING (doc_id) WHERE missing AND trim(q) <> 'Ravenloft en' AND lang IN ('en', 'fr')""")
+def translate_remembered(spark, sf):
+    memory = spark.createDataFrame([("Ravenloft en", "ravenloft castle")], "pt string, en string")
+    asked = _queries_pt(spark, sf)
+    lang = F.substring_index("pt", " ", -1)
+    answer = F.when(lang == "de", "mymemory warning: you used all").when(lang == "es", "Query length limit exceeded").otherwise(F.concat(F.lit(" told "), lang))
+    return translate.remember(memory, asked, translate.to_ask(asked, memory).select("pt", answer.alias("answer")))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a tavern' END AS answer FROM documents")
+def translate_valid(spark, sf):
+    k = F.col("doc_id") % 4
+    answer = F.when(k == 0, " a tavern ").when(k == 1, "MyMemory Warning: x").when(k == 2, "QUERY LENGTH LIMIT").otherwise("  ")
+    return table(spark, sf, "documents").select("doc_id", translate.valid_translation(answer).alias("answer"))

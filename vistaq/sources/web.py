@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,3 +71,23 @@ def rank_titles(rows: DataFrame, query: str, top: int = TOP, cat: str | None = N
 def with_errors(rows: DataFrame, errors: DataFrame) -> DataFrame:
     """What a fan-out over sources gives: its rows, or the errors (source, error) if there is no row at all."""
     return rows if not rows.isEmpty() else errors
+
+
+def online(*found: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """What several sources gave for a query, as one table: title, url, thumb, source, place (the source's in the order given, then ord and pos), error.
+
+    Each of found has rows as feed_entries, posts or rank_titles give them. errors (source, error) are told only if no
+    source gave a row.
+    """
+    named = [f.select("title", "url", "thumb", "source", F.struct(F.lit(k).alias("of"), F.col("ord").cast("long").alias("ord"), F.col("pos").cast("long").alias("pos")).alias("place"), F.lit(None).cast("string").alias("error")) for k, f in enumerate(found)]
+    rows = reduce(DataFrame.unionByName, named)
+    if errors is None:
+        return rows
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("title", "url", "thumb")]
+    return with_errors(rows, errors.select(*none, "source", F.lit(None).cast(rows.schema["place"].dataType).alias("place"), "error"))
+
+
+def sources_list(rows: DataFrame, off: DataFrame) -> DataFrame:
+    """(source, n, on): the sources of rows, their number of rows, and whether they are on; off (source) are not."""
+    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(off.select("source").distinct().withColumn("_off", F.lit(True)), "source", "left").select("source", "n", F.col("_off").isNull().alias("on"))

@@ -24,15 +24,33 @@ def stream_windows(log: DataFrame, late: str = "1 day", width: str = "1 day") ->
     return log.withWatermark("ts", late).groupBy(F.window("ts", width), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def settled(df: DataFrame, root: str) -> DataFrame:
+    """What a stream with aggregations comes to over all that is there now: each batch's whole result is written below root, and the last is read."""
+    done = []
+
+    def step(batch: DataFrame, number: int) -> None:
+        done.append(f"{root}/result{number}")
+        batch.write.mode("overwrite").parquet(done[-1])
+
+    df.writeStream.outputMode("complete").foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.parquet(done[-1])
+
+
+def progress(df: DataFrame, name: str, error: str | None = None) -> DataFrame:
+    """df, with an observation of rows done and failed that listeners get as it goes."""
+    failed = F.count_if(F.col(error).isNotNull()) if error else F.lit(0)
+    return df.observe(name, F.count(F.lit(1)).alias("done"), (failed if error else F.max(F.lit(0))).alias("failed"))
+
+
 def index_stream(files: DataFrame, root: str, checkpoint: str, make) -> StreamingQuery:
-    """Keeps an index of a stream of listings (p, m): each batch makes rows (make) for files that are new or changed and writes the next snapshot. A batch that is run again replaces its own version."""
+    """Keeps an index of a stream of listings (p, m): each batch makes rows (make) for files that are new or changed and writes the next snapshot. A batch that is run again starts from the version before its own, which it writes anew; nothing that is committed is overwritten."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = latest_snapshot(spark, root)
+        old = latest_snapshot(spark, root, before=number)
         now = batch.groupBy("p").agg(F.max("m").alias("m"))
         if old is None:
-            save_snapshot(make(now), root, number)
+            save_snapshot(merge(make(now).limit(0).drop("error"), make(now)), root, number)
             return
         changes = diff(now, old)
         todo = now.join(changes.where("status in ('added', 'changed')").select("p"), "p", "left_semi")
@@ -42,23 +60,33 @@ def index_stream(files: DataFrame, root: str, checkpoint: str, make) -> Streamin
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ttl_stream(requests: DataFrame, ttl: float = 300.0) -> DataFrame:
-    """Hits of cached answers over a stream (key, at), in the order of arrival within a key; state is the time of the last fetch, dropped ttl after it."""
+def ttl_stream(requests: DataFrame, ttl: float = 300.0, late: str = "10 minutes") -> DataFrame:
+    """Hits of cached answers over a stream (key, at in seconds), in the order of time within a batch and key.
+
+    State is the time of a key's last fetch. It is dropped once the watermark, late behind the newest request, has passed
+    that by ttl: no request that still comes can hit it. Requests later than that are dropped, too.
+    """
     from collections.abc import Iterator
 
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState
 
+    ahead = 86_400.0  # of time 0, where watermarks begin: nothing is late before the first
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         since = state.get[0] if state.exists else None
-        for pdf in batches:
-            hits = []
-            for at in pdf["at"]:
-                hit = since is not None and at - since < ttl
-                since = since if hit else at
-                hits.append(hit)
-            yield pd.DataFrame({"key": key[0], "at": pdf["at"], "hit": hits})
-        if since is not None:
-            state.update((float(since),))
-
-    return requests.groupBy("key").applyInPandasWithState(step, "key string, at double, hit boolean", "since double", "append", "NoTimeout")
+        times = sorted(t for pdf in batches for t in pdf["at"])
+        hits = []
+        for at in times:
+            hit = since is not None and at - since < ttl
+            since = since if hit else at
+            hits.append(hit)
+        state.update((float(since),))
+        state.setTimeoutTimestamp(max(int((since + ttl + ahead) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": key[0], "at": times, "hit": hits})
+
+    timed = requests.withColumn("_time", F.timestamp_micros(((F.col("at") + ahead) * 1_000_000).cast("long"))).withWatermark("_time", late)
+    return timed.groupBy("key").applyInPandasWithState(step, "key string, at double, hit boolean", "since double", "append", "EventTimeTimeout")
