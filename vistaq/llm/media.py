@@ -68,10 +68,12 @@ def load(media: bytes) -> bytes:
 
 def describe(samples: np.ndarray) -> str:
     """Mean, deviation, entropy in bits, different values and mean step between neighbours, each to three places."""
-    counts = np.bincount(samples, minlength=256)
-    p = counts[counts > 0] / len(samples)
+    counts = np.bincount(samples)
+    values = np.flatnonzero(counts)
+    p = counts[values] / len(samples)
+    mean = float(p @ values)
     steps = np.abs(np.diff(samples.astype(np.int16)))
-    return f"mean={samples.mean():.3f};std={samples.std():.3f};entropy={abs(-(p * np.log2(p)).sum()):.3f};values={len(p)};step={steps.mean():.3f}"
+    return f"mean={mean:.3f};std={max(0.0, float(p @ (values - mean) ** 2)) ** 0.5:.3f};entropy={abs(float(p @ np.log2(p))):.3f};values={len(p)};step={steps.mean():.3f}"
 
 
 def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,9 +106,10 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_media(table: DataFrame) -> DataFrame:
-    """table with payload (the bytes read back from media) and feature."""
+    """table with payload (the bytes read back from media) and feature, in place of columns of these names."""
     ship(table.sparkSession)
-    return table.withColumn("_m", F.pandas_udf(_read, _FEATURES)("media")).select("*", "_m.*").drop("_m")
+    made = F.pandas_udf(_read, _FEATURES)("media")
+    return table.withColumn("_media_made", made).withColumns({c: F.col(f"_media_made.{c}") for c in ("payload", "feature")}).drop("_media_made")
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

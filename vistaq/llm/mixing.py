@@ -24,7 +24,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     Targets share the whole by weight; none is above most times its source's size, and the excess is shared again by
     weight among the rest. Sources are capped in the order of size to weight, so the level that the rest share follows
-    from running sums over the sources alone, in whole numbers until the one division. The windows see a row per source.
+    from running sums over the sources alone, in whole numbers until the one division. The windows, which have one task,
+    see a row per source: sources may be millions, not billions.
     """
     ranked = sizes.withColumn("_k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("_k") % len(weights) + 1).cast("int")).cast("long"))

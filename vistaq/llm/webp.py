@@ -226,13 +226,11 @@ def _write_code(out: _Out, lengths: np.ndarray) -> None:
         tokens += [(value, 0, 0)] * n
     own = _huffman(np.bincount([t[0] for t in tokens], minlength=19), 7)
     n = max(4, 1 + max(k for k, s in enumerate(CODE_ORDER) if own[s]))
-    out.put(n - 4, 4)
-    for k in range(n):
-        out.put(int(own[CODE_ORDER[k]]), 3)
-    out.put(0, 1)
+    kept = own.tolist()
+    out.put(n - 4 | sum(kept[s] << 4 + 3 * k for k, s in enumerate(CODE_ORDER[:n])), 5 + 3 * n)
     values, sizes = (x.tolist() for x in _book(own))
-    for s, extra, more in tokens:
-        out.put(values[s] | extra << sizes[s], sizes[s] + more)
+    out.values += [values[s] | extra << sizes[s] for s, extra, _ in tokens]
+    out.sizes += [sizes[s] + more for s, _, more in tokens]
 
 
 def _book(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
