@@ -770,7 +770,7 @@ def stream_favourites(spark, sf):
     return jobs.settled(jobs.stream_favourites(rows), scratch(spark, "favourites"))
 
 
-@query("SELECT 'X:\\lib\\' || doc_id AS p, n_chars::DOUBLE AS m, n_chars * 2.0 AS made FROM documents WHERE doc_id % 9 <> 0")
+@query("SELECT 'X:\\lib\\' || doc_id AS p, n_chars::DOUBLE AS m, n_chars * 2.0::DOUBLE AS made FROM documents WHERE doc_id % 9 <> 0")
 def stream_index(spark, sf):
     root = scratch(spark, "stream")
     files = _streamed(spark, sf, "documents")
