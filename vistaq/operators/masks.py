@@ -88,6 +88,13 @@ def folder_options(config: DataFrame, min_side: int = 1024, min_kb: int = 60) ->
     )
 
 
+def merged_options(given: Column, defaults: dict[str, str], fixed=("port",)) -> Column:
+    """A map of options: defaults overlaid by what a map column gives under their keys, but for fixed ones. A null map gives the defaults."""
+    own = F.create_map(*(F.lit(x) for kv in defaults.items() for x in kv))
+    taken = F.map_filter(F.coalesce(given, F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*(k for k in defaults if k not in fixed)))
+    return F.map_from_entries(F.transform(F.map_entries(own), lambda e: F.struct(e.key.alias("key"), F.coalesce(F.try_element_at(taken, e.key), e.value).alias("value"))))
+
+
 def merge_defaults(given: dict, defaults: dict, fixed=("port",)) -> dict:
     """Defaults overlaid by what is given under their keys, but for fixed ones."""
     return defaults | {k: v for k, v in given.items() if k in defaults and k not in fixed}

@@ -854,3 +854,46 @@ def translate_valid(spark, sf):
     k = F.col("doc_id") % 4
     answer = F.when(k == 0, " a tavern ").when(k == 1, "MyMemory Warning: x").when(k == 2, "QUERY LENGTH LIMIT").otherwise("  ")
     return table(spark, sf, "documents").select("doc_id", translate.valid_translation(answer).alias("answer"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, '60' AS top_k, '8060' AS port FROM events")
+def config_merged(spark, sf):
+    given = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("port"), F.lit("1"), F.lit("odd"), F.lit("2")))
+    got = masks.merged_options(given, {"k": "none", "top_k": "60", "port": "8060"})
+    return table(spark, sf, "events").select("event_id", got.alias("o")).select("event_id", *(F.col("o")[c].alias(c) for c in ("k", "top_k", "port")))
+
+
+def _waves(root):
+    """Writes a sound per source: as many seconds of a tone, and one more, as the source's number says."""
+
+    def run(batches):
+        import io
+        import wave
+
+        import numpy as np
+        from pyarrow.fs import FileSystem
+
+        fs, at = FileSystem.from_uri(root)
+        fs.create_dir(at, recursive=True)
+        for pdf in batches:
+            for source in pdf["source"]:
+                data, n = io.BytesIO(), 8000 * (int(source[3:]) + 1)
+                with wave.open(data, "wb") as w:
+                    w.setnchannels(2), w.setsampwidth(2), w.setframerate(8000)
+                    w.writeframes(np.repeat((np.sin(np.arange(n) * 2 * np.pi * 1000 / 8000) * 9000).astype("<i2"), 2).tobytes())
+                with fs.open_output_stream(f"{at}/{source}.wav") as f:
+                    f.write(data.getvalue())
+            yield pdf
+
+    return run
+
+
+@query("""WITH s AS (SELECT DISTINCT source, source[4:]::INT + 1 AS n FROM documents)
+SELECT source, unnest(CASE WHEN n <= 10 THEN [0] ELSE [0, 1, 2] END)::INT AS "window", n::DOUBLE AS seconds, 64064 AS size, round((15 - 0.75) * 65 / (15 + ln(14) * 27 / ln(6.4) - 0.75))::INT - 1 AS loudest FROM s""")
+def sound_features(spark, sf):
+    root = scratch(spark, "sounds")
+    table(spark, sf, "documents").select("source").distinct().mapInPandas(_waves(root), "source string").write.format("noop").mode("overwrite").save()
+    found = audio.log_mels(spark.read.format("binaryFile").load(root))
+    total = lambda m: F.aggregate(F.sequence(F.lit(0), F.lit(1000)), F.lit(0.0), lambda s, i: s + F.get(F.col("mel"), i * 64 + m))
+    means = F.transform(F.sequence(F.lit(0), F.lit(63)), total)
+    return found.select(F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("source"), "window", "seconds", F.size("mel").alias("size"), (F.array_position(means, F.array_max(means)) - 1).cast("int").alias("loudest"))
