@@ -143,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
     some = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     some = some.select("doc_id", "quality", F.xxhash64("doc_id", F.lit(seed)).alias("_order")).orderBy("_order", "doc_id").limit(rows)
     text = F.coalesce("text", F.lit(""))
-    got = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_hash"), F.octet_length(text).alias("_n")).join(F.broadcast(some), "doc_id")  # rows labels at most
+    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # rows labels at most
+    got = got.select("doc_id", text.alias("text"), "quality", "_order", F.xxhash64(text).alias("_hash"), F.octet_length(text).alias("_n"))
     sizes = got.select("_order", "doc_id", "quality", "_hash", "_n").distinct().orderBy("_order", "doc_id", "_hash", "quality").limit(rows).collect()
     room, chosen = most_bytes, []
     for r in sizes:
