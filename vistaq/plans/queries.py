@@ -897,3 +897,11 @@ def sound_features(spark, sf):
     total = lambda m: F.aggregate(F.sequence(F.lit(0), F.lit(1000)), F.lit(0.0), lambda s, i: s + F.get(F.col("mel"), i * 64 + m))
     means = F.transform(F.sequence(F.lit(0), F.lit(63)), total)
     return found.select(F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("source"), "window", "seconds", F.size("mel").alias("size"), (F.array_position(means, F.array_max(means)) - 1).cast("int").alias("loudest"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'X:\\a', 512, 60, 'cenas', 'scenes', false, 0), (2, 'X:\\b', 0, 0, 'cenas', 'scenes', true, 1), (3, 'X:\\c', 256, 7, 'pecas', 'assets', false, 0), (4, 'X:\\d', 512, 60, 'cenas', 'maps', false, 0)) v(ord, path, min_side, min_kb, kind, category, everything, n_ignored)""")
+def config_folders(spark, sf):
+    at = scratch(spark, "config")
+    told = r'{"min_side": 512, "folders": ["X:\\a", {"caminho": "X:\\b", "tudo": true, "ignorar": ["old"]}, {"caminho": "X:\\c", "min_side": 256, "min_kb": 7, "tipo": "pecas"}, {"caminho": "X:\\d", "categoria": "maps"}]}'
+    spark.createDataFrame([(told,)], "value string").write.text(at)
+    return state.load_folders(spark, at).select("ord", "path", "min_side", "min_kb", "kind", "category", "everything", F.size("ignored").alias("n_ignored"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_dir
+from ..operators.masks import folder_options
 
 #: The form of a stored catalogue; another is not read.
 VERSION = 2
@@ -43,3 +44,19 @@ def load_catalogue(spark: SparkSession, at: str, now: float, version: int = VERS
 
     schema = "source string, ord long, pos long, title string, url string, thumb string, cat string, version int, fetched_at double"
     return fresh(spark.read.schema(schema).json(at), now, version).drop("version", "fetched_at")
+
+
+_FOLDER = "caminho string, tudo boolean, min_side int, min_kb int, ignorar array<string>, tipo string, categoria string"
+
+
+def load_folders(spark: SparkSession, at: str) -> DataFrame:
+    """The folders of a stored configuration, one JSON object: ord, path and options with their defaults (see masks.folder_options). A folder is a path or an object with options."""
+    told = spark.read.text(at, wholetext=True).select(F.from_json("value", "folders array<string>, min_side int, min_kb int").alias("c"))
+    each = told.select("c.min_side", "c.min_kb", F.posexplode("c.folders").alias("i", "text"))
+    each = each.withColumn("o", F.when(F.startswith(F.ltrim("text"), F.lit("{")), F.from_json("text", _FOLDER)))
+    rows = each.select(
+        (F.col("i") + 1).alias("ord"), F.when(F.col("o").isNull(), F.col("text")).otherwise(F.col("o.caminho")).alias("path"),
+        F.coalesce("o.min_side", F.when(~F.coalesce("o.tudo", F.lit(False)), F.col("min_side"))).alias("min_side"), F.coalesce("o.min_kb", F.when(~F.coalesce("o.tudo", F.lit(False)), F.col("min_kb"))).alias("min_kb"),
+        F.col("o.ignorar").alias("ignored"), F.col("o.tudo").alias("everything"), F.col("o.tipo").alias("kind"), F.col("o.categoria").alias("category"),
+    )
+    return folder_options(rows)
