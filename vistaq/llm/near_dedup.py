@@ -28,7 +28,7 @@ PART_BYTES, HELD, DEAL_BITS = 8 << 20, 1_500_000, 12
 #: Of pairs that are 0.8 alike, 0.0000003 agree in less of their samples.
 PROMISING = 0.55
 #: Left-over rows, and rows of a bucket that they are compared with, in one task: more in larger buckets, so that these aren't repeated for each other too often.
-ROWS_FROM, ROWS_TO = 512, 2048
+ROWS_FROM, ROWS_TO = 256, 2048
 #: Bytes of the left-over texts whose shingles a task holds while the others pass by; one text may be longer.
 LEFT_BYTES = 8 << 20
 #: Rows that are sent to all tasks, at most, to tell which texts are wanted or which rows go: 50 MB. Beyond, texts are shuffled.
@@ -506,7 +506,7 @@ def near_groups(docs: DataFrame, work: Workspace, similar: float = SIMILAR) -> D
     member = star.join(linked, ["node", "leader"], "left").withColumn("own", F.col("_linked").isNull() & (F.col("node") != F.col("leader"))).drop("_linked", "leader")
     member = work.save(member.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "member")
     opened = member.groupBy("bucket").agg(F.count_if("own").alias("left"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"))
-    size = F.least(F.lit(ROWS_TO), F.greatest(F.lit(ROWS_FROM), 8 * F.sqrt("n")))
+    size = F.least(F.lit(ROWS_TO), F.greatest(F.lit(ROWS_FROM), 4 * F.sqrt("n")))
     blocks = lambda n, size: F.ceil(n / size).cast("int")
     opened = opened.where("left > 0 and c0 <> c1").select("bucket", "n", blocks(F.col("left"), size).alias("ni"), blocks(F.col("n"), size).alias("nj"))
     opened = work.save(opened, "open")
