@@ -46,6 +46,7 @@ def load_catalogue(spark: SparkSession, at: str, now: float, version: int = VERS
     return fresh(spark.read.schema(schema).json(at), now, version).drop("version", "fetched_at")
 
 
+# The names of a folder's options in the stored configuration.
 _FOLDER = "caminho string, tudo boolean, min_side int, min_kb int, ignorar array<string>, tipo string, categoria string"
 
 
