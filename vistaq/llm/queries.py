@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, line_dedup, media, mixing, near_dedup, packing, quality, secrets, warc
+from . import exact_dedup, licenses, line_dedup, media, middle, mixing, near_dedup, packing, quality, resampling, secrets, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_fill_in_middle": middle.op13_fill_in_middle,
 }
 
 SQL = {
@@ -22,4 +24,6 @@ SQL = {
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op8_warc": warc.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op12_importance_resampling": resampling.OP12_SQL,
+    "op13_fill_in_middle": middle.OP13_SQL,
 }
