@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, line_dedup, media, middle, mixing, near_dedup, packing, quality, resampling, secrets, warc
+from . import exact_dedup, licenses, line_dedup, media, middle, mixing, near_dedup, packing, private, quality, resampling, secrets, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_private_data": private.op11_private_data,
     "op12_importance_resampling": resampling.op12_importance_resampling,
     "op13_fill_in_middle": middle.op13_fill_in_middle,
 }
