@@ -40,9 +40,9 @@ def number(doc_id: Column, k: int, seed: int = SEED) -> Column:
 
 def _check(sentinels: tuple[str, str, str]) -> None:
     """Sentinels have to be found again: none may end as another, or itself, begins, or lie in another."""
-    for a in sentinels:
+    for i, a in enumerate(sentinels):
         for b in sentinels:
-            if not a or a != b and a in b or any(a.endswith(b[:n]) for n in range(1, len(b) if a == b else len(b) + 1)):
+            if not a or a in sentinels[:i] or a != b and a in b or any(a.endswith(b[:n]) for n in range(1, len(b) if a == b else len(b) + 1)):
                 raise ValueError(f"sentinels {a!r} and {b!r} could be mistaken for each other")
 
 
