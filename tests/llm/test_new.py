@@ -239,3 +239,73 @@ def test_redacted(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("spans", F.lit("own"))
     got = [r.text for r in private.redact(private.find_private(docs, finder)).orderBy("doc_id").collect()]
     assert got == ["mail [email] or [phone].", "none", None, "", "é [ip]é", "[email] x"]
+
+
+# ---- what earlier operators do with ids beyond 2^53 beside a null, and with odd runs
+
+
+BIG = [2**53 + 1, None, -(2**63) + 1, 2**63 - 1, 2**53 + 3, 7]
+
+
+def big_rows(with_null=True):
+    base = "one two three four five six seven eight nine ten eleven twelve " * 8
+    texts = {2**53 + 1: base + "end one", None: base + "end two", -(2**63) + 1: "alone here", 2**63 - 1: base + "end three", 2**53 + 3: None, 7: "token=abcdef12 a@b.com"}
+    return [(i, texts[i], "en", "s", 1) for i in BIG if with_null or i is not None]
+
+
+@pytest.fixture(scope="module")
+def big(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("big"))
+    frame(spark, big_rows()).coalesce(1).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(0, "one two three")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([(2**53 + 1, 1, 0), (7, 0, 0), (2**63 - 1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n.split("_")[0] not in ("op7", "op8")))
+def test_ids_come_back_exactly(spark, big, name):
+    got = queries.QUERIES[name](spark, big)
+    if "piece" in got.columns:
+        got = got.where("piece = 0")
+    assert sorted((r[0] for r in got.select("doc_id").collect()), key=repr) == sorted(BIG, key=repr)
+
+
+def test_near_copies_are_found_with_and_without_a_null_id(spark):
+    from vistaq.llm import near_dedup
+
+    for with_null in (True, False):
+        work = Workspace(spark, "near")
+        got = near_dedup.drop_near_duplicates(frame(spark, big_rows(with_null)).coalesce(1), work)
+        assert sorted(r[0] for r in got.select("doc_id").collect()) == [-(2**63) + 1, 7, 2**53 + 1, 2**53 + 3]
+        work.close()
+
+
+def test_pipeline_keeps_ids(spark, big):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, big).collect()
+    assert rows and {r.doc_id for r in rows} <= set(BIG)
+
+
+def test_string_ids_that_join_alike_are_two_documents(spark):
+    from vistaq.llm import line_dedup
+
+    rows = [("a", "b:x\nlost"), ("a:b", "x\nlost"), (None, "q"), ("null", "q"), ("null", "q")]
+    work = Workspace(spark, "lines")
+    got = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id string, text string"), work, min_docs=2)
+    assert as_set(got.select("doc_id", "kept_text")) == sorted([("a", "b:x"), ("a:b", "x"), (None, ""), ("null", ""), ("null", "")], key=repr)
+    work.close()
+
+
+def test_endpoints_in_linear_time():
+    from vistaq.llm import secrets
+
+    old = re.compile(r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|azure\.com|googleapis\.com|internal)\b", re.I | re.A)
+    r = np.random.default_rng(3)
+    for _ in range(20_000):
+        text = "".join(r.choice(["a", "-", ".", ".internal", ".azure.com", "_", " ", "b1", "é", "..", ".internalx"], r.integers(1, 9)))
+        assert secrets.endpoints(text) == [m.span() for m in old.finditer(text)], repr(text)
+    for unit in ("a-", "1.", "a.b-", ".internal", "a.internal ", "host ", "jdbc:a"):
+        start = time.time()
+        secrets.find("token=abcdef12 " + unit * (500_000 // len(unit)))
+        assert time.time() - start < 4, unit

@@ -71,6 +71,15 @@ class Workspace:
         return out
 
 
+def id_text(df: DataFrame, name: str = "doc_id"):
+    """A column of whole numbers as text, for Python workers: pandas makes floats of numbers beside a null, which rounds those beyond 2^53. exact_ids turns it back."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def exact_ids(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def row_of(df: DataFrame):
     """All columns of df as one struct, named row: operators that hand rows on keep them there, apart from columns of their own."""
     return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")

@@ -27,8 +27,10 @@ def lines(text: Column) -> Column:
 
 
 def doc_key(doc_id: Column, text: Column) -> Column:
-    """What a row is known by: its id and text. Rows that repeat both share it, and their count is carried along, since each is a document."""
-    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit("")))))
+    """What a row is known by: its id, of any type, and text. Rows that repeat both share it, and their count is carried along, since each is a document. The id's length stands before it, so no other id and text make the same."""
+    name = doc_id.cast("string")
+    head = F.coalesce(F.concat(F.octet_length(name), F.lit(":"), name), F.lit("-"))
+    return F.unhex(F.md5(F.concat(head, F.lit(":"), F.coalesce(text, F.lit("")))))
 
 
 def _hashed(min_chars: int):

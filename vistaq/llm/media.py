@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import webp
-from .common import read_table, ship
+from .common import exact_ids, id_text, read_table, ship
 
 #: Bytes of a row of pixels, and of which a payload is a multiple.
 ROW = 64
-_COLUMNS = "doc_id long, n_bytes long, media binary"
+_COLUMNS = "doc_id string, n_bytes long, media binary"
+_DIGESTS = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 _FEATURES = "payload binary, feature string"
 
 
@@ -81,13 +82,13 @@ def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for low in range(0, len(pdf), 500):
             part = pdf.iloc[low : low + 500]
             raw = [(t or "").encode() for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_bytes": [len(x) for x in raw], "media": [store(padded(x)) for x in raw]})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": [len(x) for x in raw], "media": [store(padded(x)) for x in raw]})
 
 
 def write_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media of each row. Null and empty texts give a row of zeros; equal texts equal bytes."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_store, _COLUMNS)
+    return exact_ids(docs.select(id_text(docs), "text").mapInPandas(_store, _COLUMNS))
 
 
 def _read(media: pd.Series) -> pd.DataFrame:
@@ -102,7 +103,7 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = load(media)
             out.append((doc_id, n, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(np.frombuffer(x, np.uint8))))
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(out, columns=names)
 
 
 def read_media(table: DataFrame) -> DataFrame:
@@ -114,4 +115,4 @@ def read_media(table: DataFrame) -> DataFrame:
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = write_media(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return stored.mapInPandas(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return exact_ids(stored.select(id_text(stored), "n_bytes", "media").mapInPandas(_digests, _DIGESTS))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, broadcast_if_small, hot_keys, orderable, read_table, row_of, salted_join, ship, unpacked
+from .common import Workspace, broadcast_if_small, exact_ids, hot_keys, id_text, orderable, read_table, row_of, salted_join, ship, unpacked
 
 SHINGLE, SIMILAR = 5, 0.8
 #: At similarity 0.8 some band of 16 agrees in its 4 samples with probability 0.9998.
@@ -21,7 +21,7 @@ BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 #: Shingles in fewer than this share of the documents all weigh the same, most of all; of the others the documents are counted.
 RARE = 1e-3
-#: Shingles that are listed with their weights, at most: 12 bytes each. No more can be found in 1/LISTED of all (document, shingle) pairs.
+#: Shingles that are listed with their weights, at most: 12 bytes each. No more can be found in 1/LISTED of all (document, shingle) pairs. A parameter: where documents have more than RARE * LISTED different shingles on average, it raises RARE (see document_frequencies).
 LISTED = 1 << 21
 #: Bytes of text whose shingles are counted together, hashes that a task holds, and bits by which hashes are dealt out at once.
 PART_BYTES, HELD, DEAL_BITS = 8 << 20, 1_500_000, 12
@@ -37,7 +37,7 @@ TOLD = 500_000
 LINKS = 250_000
 _CELL = "bucket long, band int, i int, j int, side int, node long, comp long, own boolean, size long, sig binary, bands array<long>"
 _CELL_COLUMNS = [c.split()[0] for c in _CELL.split(", ")]
-_SIGNATURE = "doc_id long, fast long, key binary, size long, bands array<long>, sig binary"
+_SIGNATURE = "doc_id string, fast long, key binary, size long, bands array<long>, sig binary"
 _COUNTS = "part long, keys binary, counts binary"
 
 
@@ -267,7 +267,11 @@ def document_frequencies(docs: DataFrame, work: Workspace) -> Weights:
     Shingles are known by 32 bits of their hash and as many more as there are parts, dealt out by these, so a part holds
     the shingles of about PART_BYTES of text, and counts of frequent ones leave each task once. Those in RARE of the
     documents and 1/LISTED of all (document, shingle) pairs, or more, are listed: LISTED at most, whatever the corpus.
+    So the share of documents below which all shingles weigh the same is RARE, or the mean number of a document's
+    different shingles over LISTED where that is more (from 2,097 on); it follows the mean length, not the size of the
+    corpus. Weights span 1 to 2: term counts with a touch of IDF, as the few words in which near copies differ are rare.
     """
+    ship(docs.sparkSession)
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bits = min(2 * DEAL_BITS, math.ceil(math.log2(max(1, size / PART_BYTES))))
     first = min(bits, DEAL_BITS)
@@ -295,7 +299,7 @@ def _sign(shared):
                     out.append((doc_id, fast, hashlib.md5(raw).digest(), len(raw), bands(ids), (ids & np.uint64(255)).astype(np.uint8).tobytes()))
                 else:
                     out.append((doc_id, fast, b"", 0, np.zeros(0, np.int64), b""))
-            yield pd.DataFrame(out, columns=["doc_id", "fast", "key", "size", "bands", "sig"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "fast", "key", "size", "bands", "sig"])
 
     return run
 
@@ -474,7 +478,8 @@ def near_groups(docs: DataFrame, work: Workspace, similar: float = SIMILAR) -> D
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = spark.sparkContext.broadcast(document_frequencies(docs, work))
-    signed = work.save(docs.withColumn("fast", F.xxhash64(F.coalesce("text", F.lit("")))).mapInPandas(_sign(shared), _SIGNATURE), "signed")
+    asked = docs.select(id_text(docs), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fast"))
+    signed = work.save(exact_ids(asked.mapInPandas(_sign(shared), _SIGNATURE)), "signed")
     one = lambda c: F.first(c).alias(c)  # noqa: E731  equal for a key
     nodes = signed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"), *map(one, ("fast", "size", "bands", "sig")))
     nodes = work.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")

@@ -11,12 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, read_table, ship
+from .common import Workspace, exact_ids, id_text, read_table, ship
 
 LENGTH, END = 1024, 2
 #: Pieces that one bin packing takes: so many leave few bins unfilled and pack in seconds.
 SHARD = 50_000
-_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 class ByteBPE:
@@ -65,8 +65,8 @@ def _pieces(folder: str | None, length: int, end: int, field: str):
                 ids.append(end)
                 raw = np.array(ids, "<u4").tobytes()
                 for k, (s, n) in enumerate(cuts(len(ids), length)):
-                    out.append((None if pd.isna(doc_id) else int(doc_id), k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                    out.append((doc_id, k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])))
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -123,10 +123,10 @@ def pack(docs: DataFrame, work: Workspace, text: str = "text", length: int = LEN
     """
     ship(work.spark)
     run = _pieces(tokenizers, length, end, text)
-    pieces = work.save(docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInPandas(run, _PIECE), "pieces")
+    pieces = work.save(docs.select(id_text(docs), F.col(text)).mapInPandas(run, _PIECE), "pieces")
     shards = max(1, round(pieces.count() / shard))
     dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit("pack")), F.lit(shards)))
-    return dealt.groupBy("_shard").applyInPandas(_pack(length), _PIECE + ", sequence_id long, offset long")
+    return exact_ids(dealt.groupBy("_shard").applyInPandas(_pack(length), _PIECE + ", sequence_id long, offset long"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

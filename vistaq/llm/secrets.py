@@ -24,7 +24,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{28,}={0,2}(?![A-Za-z0-9+/_=-])")
 _WEAK_ID = re.compile(r"""(?:client|access|account|user|login|key)[_-]?(?:id|name|key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})|\b(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}""", re.I | re.A)
-_ENDPOINT = re.compile(r"""(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s"'<>]+|\b(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|azure\.com|googleapis\.com|internal)\b|\b\d{1,3}(?:\.\d{1,3}){3}:\d{2,5}\b""", re.I | re.A)
+_ENDPOINT = re.compile(r"""(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s"'<>]+|\b(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{4,}|\b\d{1,3}(?:\.\d{1,3}){3}:\d{2,5}\b""", re.I | re.A)
+_CLOUD = re.compile(r"\.(?:amazonaws\.com|azure\.com|googleapis\.com|internal)\b", re.I | re.A)
+_NAMES = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)*", re.I)
+_NAME_START = re.compile(r"\b(?=[a-z0-9-])", re.I | re.A)
 _SCOPE = re.compile(r"\n[\x20\t\r]*\n")
 
 
@@ -42,6 +45,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(*m.span(), "hex") for m in _HEX.finditer(text)]
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Addresses with a scheme, named, with a port, or of cloud hosts, leftmost first and apart. A dotted run of names is looked through once: it is a cloud host from its first word to the last suffix in it."""
+    found = [m.span() for m in _ENDPOINT.finditer(text)]
+    if _CLOUD.search(text):
+        for run in _NAMES.finditer(text):
+            joined = text[run.end() : run.end() + 1] == "_"  # a word goes on after the run
+            ends = [m for m in _CLOUD.finditer(text, run.start() + 1, run.end()) if not (joined and m.end() == run.end())]
+            if ends and (first := _NAME_START.search(text, run.start(), ends[-1].start())):
+                found.append((first.start(), ends[-1].end()))
+    out, done = [], 0
+    for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
+        if s >= done:
+            out.append((s, e))
+            done = e
+    return out
+
+
 def joins(parts: list[tuple[int, int]], others: list[tuple[int, int]], cuts: list[int], reach: int | None = None) -> list[tuple[int, int]]:
     """Those of parts with one of others in their scope, at most reach apart if that is given: an interval join, by binary search over sorted starts and running greatest ends."""
     others = sorted(others)
@@ -100,7 +120,7 @@ def find(text: str | None, reach: int | None = None) -> list[tuple[str, int, int
     if strong or weak:  # without a secret, nothing links
         cuts = [m.end() for m in _SCOPE.finditer(text)]
         ids = [m.span() for m in _WEAK_ID.finditer(text) if clear(*m.span())]
-        ends = [m.span() for m in _ENDPOINT.finditer(text) if clear(*m.span())]
+        ends = [x for x in endpoints(text) if clear(*x)]
         access = [(s, e) for s, e, k in spans if k == "access"]
         spans += [(*x, "linked_id") for x in joins(ids, strong + weak, cuts, reach)]
         spans += [(*x, "linked_endpoint") for x in joins(ends, strong + weak, cuts, reach)]
