@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vistaq.operators import actions, evaluation, index, masks, search
+from vistaq.operators.deltas import DeltaIndex
 from vistaq.sources import state, web
 from vistaq.streaming import jobs
 
@@ -235,17 +236,17 @@ def test_a_batch_that_runs_again_keeps_what_is_committed(spark, tmp_path):
     for rows in ([("a", 1.0), ("bad", 1.0)], [("a", 2.0), ("c", 1.0)]):
         spark.createDataFrame(rows, "p string, m double").write.mode("append").parquet(data)
         jobs.index_stream(files(), root, str(check), make).awaitTermination(120)
-        seen.append({tuple(r) for r in index.latest_snapshot(spark, root).select("p", "m", "vec").collect()})
+        seen.append({tuple(r) for r in DeltaIndex(spark, root).read().select("p", "m", "vec").collect()})
     assert seen == [{("a", 1.0, 2.0)}, {("a", 2.0, 4.0), ("c", 1.0, 2.0)}]
     for batch in (1, 0):  # the batch wrote its version, but its commit was lost
         for n in range(batch, 2):
             (check / "commits" / str(n)).unlink(missing_ok=True)
             (check / "commits" / f".{n}.crc").unlink(missing_ok=True)
         jobs.index_stream(files(), root, str(check), make).awaitTermination(120)
-        assert {tuple(r) for r in index.latest_snapshot(spark, root).select("p", "m", "vec").collect()} == seen[1]
-    assert {tuple(r) for r in index.latest_snapshot(spark, root, before=1).select("p", "m", "vec").collect()} == seen[0]
+        assert {tuple(r) for r in DeltaIndex(spark, root).read().select("p", "m", "vec").collect()} == seen[1]
+    assert {tuple(r) for r in DeltaIndex(spark, root).read(1).select("p", "m", "vec").collect()} == seen[0]
     shutil.rmtree(root)
-    assert index.latest_snapshot(spark, root) is None
+    assert DeltaIndex(spark, root).read() is None
 
 
 def test_index_stream_is_idempotent(spark, tmp_path):
@@ -255,7 +256,7 @@ def test_index_stream_is_idempotent(spark, tmp_path):
     for rows in ([("a", 1.0), ("b", 1.0)], [("b", 2.0), ("c", 1.0)], [("a", 1.0)]):
         spark.createDataFrame(rows, "p string, m double").write.mode("append").parquet(data)
         jobs.index_stream(files(), root, str(tmp_path / "check"), make).awaitTermination(120)
-    assert {tuple(r) for r in index.latest_snapshot(spark, root).select("p", "m", "vec").collect()} == {("a", 1.0, 2.0), ("b", 2.0, 4.0), ("c", 1.0, 2.0)}
+    assert {tuple(r) for r in DeltaIndex(spark, root).read().select("p", "m", "vec").collect()} == {("a", 1.0, 2.0), ("b", 2.0, 4.0), ("c", 1.0, 2.0)}
 
 
 def test_ttl_stream(spark, tmp_path):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import audio, images, text, translate, vectors
 from ..operators import actions as act
-from ..operators import evaluation, index, masks, search
+from ..operators import deltas, evaluation, index, masks, search
 from ..sources import state, web
 from ..sources.scratch import scratch
 from ..streaming import jobs
@@ -777,7 +777,30 @@ def stream_index(spark, sf):
     listed = files.select(F.concat(F.lit("X:\\lib\\"), F.col("doc_id").cast("string")).alias("p"), F.col("n_chars").cast("double").alias("m"))
     failed = F.when(F.substring_index("p", "\\", -1).cast("long") % 9 == 0, "unreadable")
     jobs.index_stream(listed, f"{root}/index", f"{root}/checkpoint", lambda df: df.withColumns({"made": F.col("m") * 2, "error": failed})).awaitTermination()
-    return index.latest_snapshot(spark, f"{root}/index").select("p", "m", "made")
+    return deltas.DeltaIndex(spark, f"{root}/index").read().select("p", "m", "made")
+
+
+@query("""SELECT doc_id, 'X:\\lib\\' || lang || '\\' || CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 1 THEN upper(source) ELSE source END || '\\' || doc_id || '.webp' AS p,
+  n_chars + CASE WHEN doc_id % 4 = 1 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END::DOUBLE AS m, CASE WHEN doc_id % 4 = 1 THEN 3 WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS made
+FROM documents WHERE NOT (doc_id % 5 = 0 AND doc_id % 4 <> 1) AND NOT (doc_id % 3 = 0 AND doc_id % 7 = 0 AND doc_id % 4 <> 1)""")
+def stream_deltas(spark, sf):
+    # three listings as files of a stream, a batch each: all; changed ones in another spelling, and some taken away; changed again
+    root, docs = scratch(spark, "deltas"), table(spark, sf, "documents")
+    k, m = F.col("doc_id"), F.col("n_chars").cast("double")
+    path = lambda source, slash="\\": F.concat(F.lit("X:"), F.array_join(F.array(F.lit(""), F.lit("lib"), F.col("lang"), source, F.concat(k.cast("string"), F.lit(".webp"))), slash))
+    first = docs.select("doc_id", path(F.col("source")).alias("p"), m.alias("m"), F.lit(False).alias("gone"), F.lit(1).alias("pass"))
+    again = docs.where("doc_id % 3 = 0").select("doc_id", path(F.upper("source")).alias("p"), (m + 1).alias("m"), F.lit(False).alias("gone"), F.lit(2).alias("pass"))
+    spelt = again.withColumn("p", F.replace("p", F.lit("\\"), F.lit("/"))).withColumn("m", F.col("m") - 0.5)  # the same file, earlier
+    gone = docs.where("doc_id % 5 = 0").select("doc_id", path(F.col("source"), "/").alias("p"), (m + 1.5).alias("m"), F.lit(True).alias("gone"), F.lit(2).alias("pass"))
+    last = docs.where("doc_id % 4 = 1").select("doc_id", path(F.col("source")).alias("p"), (m + 2).alias("m"), F.lit(False).alias("gone"), F.lit(3).alias("pass"))
+    for some in (first, again.unionByName(spelt).unionByName(gone), last):
+        some.coalesce(1).write.mode("append").parquet(f"{root}/listed")
+    files = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/listed")
+    # a file that was changed the second time and can't be read is no longer what the index has
+    number = F.regexp_extract("p", r"(\d+)\.webp$", 1).cast("long")
+    made = lambda df: df.join(docs.select(k.alias("_k"), "n_chars"), number == F.col("_k")).select("p", "m", (F.round(F.col("m") - F.col("n_chars")) + 1).cast("int").alias("made")).withColumn("error", F.when((F.col("made") == 2) & (number % 7 == 0), "unreadable"))
+    jobs.index_stream(files, f"{root}/index", f"{root}/checkpoint", made).awaitTermination()
+    return deltas.DeltaIndex(spark, f"{root}/index").read().select(number.alias("doc_id"), "p", "m", "made")
 
 
 # ---- sources and translation

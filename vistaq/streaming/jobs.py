@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import diff, latest_snapshot, merge, save_snapshot
+from ..operators.deltas import DeltaIndex
 
 
 def stream_recents(log: DataFrame) -> DataFrame:
@@ -43,19 +43,17 @@ def progress(df: DataFrame, name: str, error: str | None = None) -> DataFrame:
 
 
 def index_stream(files: DataFrame, root: str, checkpoint: str, make) -> StreamingQuery:
-    """Keeps an index of a stream of listings (p, m): each batch makes rows (make) for files that are new or changed and writes the next snapshot. A batch that is run again starts from the version before its own, which it writes anew; nothing that is committed is overwritten."""
+    """Keeps an index (see deltas.DeltaIndex) of a stream of listings (p, m, and gone where files are taken away): each batch appends the rows that make gives for files that are new or changed, and tombstones.
+
+    A batch is known by its number and the stream's id, which the checkpoint keeps; one that is run again after a crash is
+    either not there yet or not written a second time. A stream with a new checkpoint goes on with the same index.
+    """
+    name = []
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = latest_snapshot(spark, root, before=number)
-        now = batch.groupBy("p").agg(F.max("m").alias("m"))
-        if old is None:
-            save_snapshot(merge(make(now).limit(0).drop("error"), make(now)), root, number)
-            return
-        changes = diff(now, old)
-        todo = now.join(changes.where("status in ('added', 'changed')").select("p"), "p", "left_semi")
-        kept = old.join(todo.select("p"), "p", "left_anti")
-        save_snapshot(merge(kept, make(todo)), root, number)
+        if not name:
+            name.append(batch.sparkSession.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0])
+        DeltaIndex(batch.sparkSession, root).apply(batch, make, f"{name[0]}.{number}")
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
