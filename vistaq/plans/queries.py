@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import audio, images, text, translate, vectors
+from ..functions import audio, images, pictures, text, translate, vectors
 from ..operators import actions as act
-from ..operators import deltas, evaluation, index, masks, search
+from ..operators import deltas, evaluation, index, masks, media, search
 from ..sources import state, web
 from ..sources.scratch import scratch
 from ..streaming import jobs
@@ -928,3 +928,119 @@ def config_folders(spark, sf):
     told = r'{"min_side": 512, "folders": ["X:\\a", {"caminho": "X:\\b", "tudo": true, "ignorar": ["old"]}, {"caminho": "X:\\c", "min_side": 256, "min_kb": 7, "tipo": "pecas"}, {"caminho": "X:\\d", "categoria": "maps"}]}'
     spark.createDataFrame([(told,)], "value string").write.text(at)
     return state.load_folders(spark, at).select("ord", "path", "min_side", "min_kb", "kind", "category", "everything", F.size("ignored").alias("n_ignored"))
+
+
+# ---- pictures
+
+
+def _files(root, rows, make):
+    """Writes a file per row (name, and what make needs) below root, for the readers to read back."""
+
+    def run(batches):
+        from pyarrow.fs import FileSystem
+
+        fs, at = FileSystem.from_uri(root)
+        fs.create_dir(at, recursive=True)
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                with fs.open_output_stream(f"{at}/{row['name']}") as f:
+                    f.write(make(row))
+            yield pdf[["name"]]
+
+    rows.mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
+    return rows.sparkSession.read.format("binaryFile").load(root)
+
+
+def _picture(row):
+    """The customer's picture in one of four forms; of every 13th the end is missing."""
+    import numpy as np
+
+    k, w, h = row["k"], row["w"], row["h"]
+    y, x, c = np.mgrid[0:h, 0:w, 0:3]
+    rgb = ((k * 7 + x * 13 + y * 29 + c * 53 + x * y) % 256).astype(np.uint8)
+    if k % 4 == 0:
+        data = pictures.write_png(rgb, np.array([k % 5, 4, 3, 1, 2, 0]), laced=k % 8 == 0)
+    elif k % 4 == 1:
+        data = pictures.write_png(rgb[:, :, :1], None, laced=k % 8 == 1)
+    elif k % 4 == 2:  # grey squares, which a JPEG of quality 50 with even first coefficients keeps
+        data = pictures.write_jpeg(np.kron(rgb[:, :, :1] // 2 * 2, np.ones((8, 8, 1), np.uint8)), 50)
+    else:
+        flat = (rgb[:, :, 0] % 7).astype(np.uint8)
+        colours = np.stack([np.arange(7) * 31 + c for c in range(3)], 1).astype(np.uint8)
+        data = pictures.write_gif(w, h, colours, [{"pixels": (flat + i) % 7, "laced": i == 1, "disposal": i} for i in range(3)])
+    return data[: len(data) // 2] if k % 13 == 0 else data
+
+
+_PIXELS = """WITH a AS (SELECT c_custkey AS k, 1 + c_custkey % 11 AS w, 1 + c_nationkey % 9 AS h FROM customer),
+b AS (SELECT k, k % 13 = 0 AS bad, w * CASE WHEN k % 4 = 2 THEN 8 ELSE 1 END AS w, h * CASE WHEN k % 4 = 2 THEN 8 ELSE 1 END AS h FROM a),
+v AS (SELECT k, w, h, bad, list_transform(range(w * h * 3), lambda i: CASE k % 4
+    WHEN 0 THEN (k * 7 + (i // 3 % w) * 13 + (i // 3 // w) * 29 + (i % 3) * 53 + (i // 3 % w) * (i // 3 // w)) % 256
+    WHEN 1 THEN (k * 7 + (i // 3 % w) * 13 + (i // 3 // w) * 29 + (i // 3 % w) * (i // 3 // w)) % 256
+    WHEN 2 THEN (k * 7 + (i // 3 % w // 8) * 13 + (i // 3 // w // 8) * 29 + (i // 3 % w // 8) * (i // 3 // w // 8)) % 256 // 2 * 2
+    ELSE ((k * 7 + (i // 3 % w) * 13 + (i // 3 // w) * 29 + (i // 3 % w) * (i // 3 // w)) % 256 % 7 + 1) % 7 * 31 + i % 3 END) AS v FROM b)
+"""
+
+
+@query(_PIXELS + """SELECT k, CASE WHEN NOT bad THEN w END::INT AS width, CASE WHEN NOT bad THEN h END::INT AS height,
+  CASE WHEN NOT bad THEN sha256(unhex(array_to_string(list_transform(v, lambda x: printf('%02X', x)), ''))) END AS pixels, bad AS failed FROM v""")
+def picture_pixels(spark, sf):
+    rows = table(spark, sf, "customer").select(F.concat("c_custkey", F.lit(".img")).alias("name"), F.col("c_custkey").alias("k"), (1 + F.col("c_custkey") % 11).alias("w"), (1 + F.col("c_nationkey") % 9).alias("h"))
+    got = media.decoded(_files(scratch(spark, "pictures"), rows, _picture))
+    return got.select(F.regexp_extract("path", r"(\d+)\.img$", 1).cast("long").alias("k"), "width", "height", F.sha2("pixels", 256).alias("pixels"), F.col("error").isNotNull().alias("failed"))
+
+
+def _animation(row):
+    """An animation of an order: as many frames as its priority says and two, each a square of another colour at another place, with the disposals by turns; the last colour is transparent."""
+    import numpy as np
+
+    k, n = row["k"], row["n"]
+    colours = np.stack([np.arange(8) * 30 + c for c in range(3)], 1).astype(np.uint8)
+    frames = [{"pixels": np.full((6, 8), k % 7)}]
+    for i in range(1, n):
+        y, x = np.mgrid[0:3, 0:4]
+        p = np.where((x + y + k) % 3 == 0, 7, (k + i) % 7)
+        frames.append({"x": (k + i) % 5, "y": i % 4, "pixels": p, "clear": 7, "disposal": (k + i) % 4, "laced": k % 2 == 0})
+    return pictures.write_gif(8, 6, colours, frames)
+
+
+@query("""WITH RECURSIVE a AS (SELECT p_partkey AS k, 2 + p_size % 7 AS n FROM part),
+f AS (
+  SELECT k, n, 0 AS i, list_transform(range(48), lambda q: (k % 7)::BIGINT) AS shown, list_transform(range(48), lambda q: (k % 7)::BIGINT) AS left_ FROM a UNION ALL
+  SELECT k, n, i + 1, s, CASE (k + i + 1) % 4 WHEN 2 THEN list_transform(s, lambda v, q: CASE WHEN (q - 1) % 8 - (k + i + 1) % 5 BETWEEN 0 AND 3 AND (q - 1) // 8 - (i + 1) % 4 BETWEEN 0 AND 2 THEN -1 ELSE v END) WHEN 3 THEN left_ ELSE s END
+  FROM (SELECT k, n, i, left_, list_transform(left_, lambda v, q: CASE WHEN (q - 1) % 8 - (k + i + 1) % 5 BETWEEN 0 AND 3 AND (q - 1) // 8 - (i + 1) % 4 BETWEEN 0 AND 2
+      AND ((q - 1) % 8 - (k + i + 1) % 5 + (q - 1) // 8 - (i + 1) % 4 + k) % 3 <> 0 THEN (k + i + 1) % 7 ELSE v END) AS s FROM f WHERE i < n // 2)
+)
+SELECT k, sha256(unhex(array_to_string(list_transform(shown, lambda v: CASE WHEN v < 0 THEN '000000' ELSE printf('%02X%02X%02X', v * 30, v * 30 + 1, v * 30 + 2) END), ''))) AS pixels FROM f WHERE i = n // 2""")
+def gif_middle(spark, sf):
+    rows = table(spark, sf, "part").select(F.concat("p_partkey", F.lit(".gif")).alias("name"), F.col("p_partkey").alias("k"), (2 + F.col("p_size") % 7).alias("n"))
+    got = media.decoded(_files(scratch(spark, "animations"), rows, _animation))
+    return got.select(F.regexp_extract("path", r"(\d+)\.gif$", 1).cast("long").alias("k"), F.sha2("pixels", 256).alias("pixels"))
+
+
+def _canvas(row):
+    import numpy as np
+
+    y, x = np.mgrid[0 : row["h"], 0 : row["w"]]
+    return pictures.write_png(np.full((row["h"], row["w"], 1), row["k"] * 37 % 256, np.uint8) if row["k"] % 10 else np.stack([x % 256, y % 256, (x + y) % 256], 2).astype(np.uint8), np.array([0]))
+
+
+@query("""WITH a AS (SELECT s_suppkey AS k, 1 + s_suppkey * 53 % 400 AS w, 1 + s_nationkey * 31 % 300 AS h FROM supplier),
+b AS (SELECT *, w / h AS r, CASE WHEN w / h <= 1 THEN 256 * (w / h) ELSE 256 / (w / h) END AS x FROM a),
+d AS (SELECT *, floor(x) AS lo, ceil(x) AS hi, w <= 256 AND h <= 256 AS small FROM b),
+e AS (SELECT *, greatest(CASE WHEN abs(r - CASE WHEN r <= 1 THEN lo / 256 WHEN lo = 0 THEN 0 ELSE 256 / lo END) <= abs(r - CASE WHEN r <= 1 THEN hi / 256 ELSE 256 / hi END) THEN lo ELSE hi END, 1) AS o FROM d)
+SELECT k, CASE WHEN small THEN w WHEN r <= 1 THEN o ELSE 256 END::INT AS width, CASE WHEN small THEN h WHEN r <= 1 THEN 256 ELSE o END::INT AS height, k % 3 <> 0 AS written_second, false AS written_third,
+  CASE WHEN k % 10 <> 0 THEN round((k * 37 % 256 / 255.0::DOUBLE - 0.5::DOUBLE) / 0.5::DOUBLE, 4) + 0.0 END AS input FROM e""")
+def thumbs_written(spark, sf):
+    root = scratch(spark, "thumbs")
+    rows = table(spark, sf, "supplier").select(F.concat("s_suppkey", F.lit(".png")).alias("name"), F.col("s_suppkey").alias("k"), (1 + F.col("s_suppkey") * 53 % 400).alias("w"), (1 + F.col("s_nationkey") * 31 % 300).alias("h"))
+    key = lambda c: F.regexp_extract(c, r"(\d+)\.png$", 1).cast("long").alias("k")
+    files = _files(f"{root}/pictures", rows, _canvas)
+    # some have their thumbnail already; then all; then a pass that finds nothing to do
+    media.prepared(files.where(key("path") % 3 == 0), f"{root}/thumbs", size=None).write.format("noop").mode("overwrite").save()
+    media.prepared(files, f"{root}/thumbs", size=16).write.parquet(f"{root}/second")
+    media.prepared(files, f"{root}/thumbs", size=None).write.parquet(f"{root}/third")
+    second, third = (spark.read.parquet(f"{root}/{x}") for x in ("second", "third"))
+    sizes = media.decoded(spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(f"{root}/thumbs")).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("thumb"), "width", "height")
+    one = F.round(F.aggregate("input", F.lit(0.0), lambda s, x: s + x) / F.size("input"), 4) + 0.0
+    both = second.join(third.select("path", F.col("written").alias("written_third")), "path").join(sizes, "thumb")
+    return both.select(key("path"), "width", "height", F.col("written").alias("written_second"), "written_third", F.when(key("path") % 10 != 0, one).alias("input"))
