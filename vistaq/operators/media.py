@@ -30,7 +30,7 @@ def each(make: Callable[[dict], dict], columns: list[str], weigh: Callable[[dict
                 try:
                     row = {"path": file["path"], **make(file), "error": None}
                 except Exception as error:  # one bad file is a row with its error, not a failed job
-                    row = {"path": file["path"], "error": str(error) or type(error).__name__}
+                    row = {**dict.fromkeys(columns), "path": file["path"], "error": str(error) or type(error).__name__}
                 held.append(row)
                 n += weigh(row) + 200
                 if n >= HELD:
@@ -49,7 +49,7 @@ def decoded(files: DataFrame, draft: int | None = pictures.DRAFT) -> DataFrame:
         p = pictures.decode(bytes(file["content"] or b""), draft)
         return {"width": p.shape[1], "height": p.shape[0], "pixels": p.tobytes()}
 
-    run = each(make, ["width", "height", "pixels"], lambda r: len(r.get("pixels", b"")))
+    run = each(make, ["width", "height", "pixels"], lambda r: len(r["pixels"] or b""))
     return files.select("path", "content").mapInPandas(run, "path string, width int, height int, pixels binary, error string")
 
 
@@ -141,7 +141,7 @@ def prepared(files: DataFrame, root: str | None = None, size: int | None = SIZE,
             row["input"] = images.preprocess(p, size, mean, std).reshape(-1)
         return row
 
-    run = each(make, ["thumb", "written", "input"], lambda r: 4 * len(r["input"]) if r.get("input") is not None else 0)
+    run = each(make, ["thumb", "written", "input"], lambda r: 4 * len(r["input"]) if r["input"] is not None else 0)
     return named.select("path", "content", "thumb").mapInPandas(run, "path string, thumb string, written boolean, input array<float>, error string")
 
 
