@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import wave
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sounds
+
 # Fixed values of the spectrogram.
 RATE, SECONDS, FFT, HOP, MELS, LOW, HIGH = 48_000, 10, 1024, 480, 64, 50.0, 14_000.0
 #: Where the three windows of a long sound begin, as shares of what is over.
@@ -47,52 +48,113 @@ def mel_filters(rate: int = RATE, n_fft: int = FFT, mels: int = MELS, low: float
     return np.maximum(0, np.minimum(up, down)) * 2 / (edge[2:] - edge[:-2])
 
 
-def log_mel(sound: np.ndarray, filters: np.ndarray | None = None) -> np.ndarray:
-    """(steps, mels) in decibels. A short sound is repeated whole and then padded to the window's length."""
+def log_mel(sounds: np.ndarray, filters: np.ndarray | None = None, block: int = 256) -> np.ndarray:
+    """(sounds, steps, mels) in decibels of sounds of RATE that fill a window each. Both ends are mirrored, and so many steps of all sounds are transformed at once."""
+    filters = mel_filters() if filters is None else filters
+    hann = np.sin(np.pi * np.arange(FFT) / FFT) ** 2
+    mirrored = np.pad(np.asarray(sounds, np.float64), ((0, 0), (FFT // 2, FFT // 2)), mode="reflect")
+    places = np.arange(0, mirrored.shape[1] - FFT + 1, HOP)
+    out = np.empty((len(mirrored), len(places), filters.shape[1]), np.float32)
+    for low in range(0, len(places), block):
+        spectrum = np.fft.rfft(mirrored[:, places[low : low + block, None] + np.arange(FFT)] * hann)
+        energy = (spectrum.real**2 + spectrum.imag**2) @ filters
+        out[:, low : low + block] = 10 * np.log10(np.maximum(energy, 1e-10))
+    return out
+
+
+def filled(sound: np.ndarray) -> np.ndarray:
+    """A window of a sound: what is longer is cut, what is shorter repeated whole as often as it fits, and silence."""
     whole = RATE * SECONDS
-    sound = np.asarray(sound, np.float64)[:whole]
-    if 0 < len(sound) < whole:
-        sound = np.tile(sound, whole // len(sound))
-    sound = np.pad(sound, (0, whole - len(sound)))
-    padded = np.pad(sound, FFT // 2, mode="reflect")
-    frames = np.lib.stride_tricks.sliding_window_view(padded, FFT)[::HOP]
-    power = np.abs(np.fft.rfft(frames * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FFT) / FFT)))) ** 2
-    return 10 * np.log10(np.maximum(1e-10, power @ (mel_filters() if filters is None else filters))).astype(np.float32)
-
-
-def read_wav(data: bytes) -> tuple[int, np.ndarray]:
-    """Rate and mono samples from -1 to 1 of a PCM file of 8, 16 or 32 bits."""
-    with wave.open(io.BytesIO(data)) as w:
-        rate, width, channels, raw = w.getframerate(), w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())
-    kind = {1: np.uint8, 2: np.int16, 4: np.int32}[width]
-    x = np.frombuffer(raw, kind).astype(np.float32)
-    x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
-    return rate, x.reshape(-1, channels).mean(1)
-
-
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    filters = mel_filters()
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            try:
-                rate, x = read_wav(bytes(content))
-            except Exception as error:  # one bad file is a row with its error, not a failed job
-                yield pd.DataFrame({"path": [path], "window": [None], "seconds": [0.0], "mel": [None], "error": [str(error)]})
-                continue
-            width = rate * SECONDS
-            starts = [0] if len(x) <= width else [int((len(x) - width) * s) for s in SHARES]
-            got = [log_mel(_resampled(x[s : s + width], rate), filters) for s in starts]
-            yield pd.DataFrame({"path": path, "window": range(len(starts)), "seconds": round(len(x) / rate, 1), "mel": [g.reshape(-1) for g in got], "error": None})
-
-
-def _resampled(x: np.ndarray, rate: int) -> np.ndarray:
-    """To RATE by zero-padding or cutting the spectrum: no aliasing, as linear interpolation would bring."""
-    if rate == RATE or not len(x):
-        return x
-    n = round(len(x) * RATE / rate)
-    return np.fft.irfft(np.fft.rfft(x), n) * (n / len(x))
+    out = np.zeros(whole)
+    if n := min(len(sound), whole):
+        times = whole // n
+        out[: n * times] = np.tile(sound[:n], times)
+    return out
+
+
+class Resampler:
+    """From one rate to another by a windowed sinc, of which each output sample takes the taps of its phase.
+
+    The filter passes what is below both halves of the rates, but for a narrow band, and stops what is above by 90 dB. An
+    output sample depends on the input near it alone, so blocks of any size give the same samples.
+    """
+
+    def __init__(self, old: int, new: int, crossings: int = 48, beta: float = 9.0, pass_: float = 0.94):
+        self.old, self.new = old, new
+        common = math.gcd(old, new)
+        self.up, self.down = new // common, old // common
+        cutoff = pass_ * min(1.0, new / old)  # as a share of half the old rate
+        self.half = math.ceil(crossings / cutoff)
+        # tap k of a phase sees the input sample half - k before the output's place
+        offsets = np.arange(-self.half, self.half + 1)[None, :] - np.arange(self.up)[:, None] / self.up
+        shape = np.i0(beta * np.sqrt(np.maximum(0, 1 - (offsets / (self.half + 1)) ** 2))) / np.i0(beta)
+        taps = np.sinc(offsets * cutoff) * cutoff * shape
+        self.taps = taps / taps.sum(1, keepdims=True)
+
+    def __call__(self, sound: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+        if self.old == self.new or not len(sound):
+            return np.asarray(sound, np.float64)
+        n = round(len(sound) * self.new / self.old)
+        padded = np.pad(np.asarray(sound, np.float64), (self.half, self.half + 2))
+        reach, out = np.arange(2 * self.half + 1), np.empty(n)
+        for low in range(0, n, block):
+            place = np.arange(low, min(n, low + block)) * self.down
+            near = padded[np.minimum(place // self.up, len(sound) + 1)[:, None] + reach]
+            out[low : low + block] = (near * self.taps[place % self.up]).sum(1)
+        return out
+
+
+def _windows(by_path: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filters, resamplers = mel_filters(), {}
+        for pdf in batches:
+            for file in pdf.to_dict("records"):
+                try:
+                    f = sounds.opened(file["path"]) if by_path else sounds.Ranged(bytes(file["content"]))
+                    what = sounds.kind(f.at(0, 16))
+                    if what not in ("wav", "flac"):
+                        raise ValueError(f"no decoder for {what or 'this'}")
+                    form = sounds.wav_form(f) if what == "wav" else sounds.flac_form(f)
+                    read = sounds.wav_samples if what == "wav" else sounds.flac_samples
+                    rate = form[0]
+                    frames = form[5] // (form[1] * form[2]) if what == "wav" else form[3]
+                    if not frames:
+                        raise ValueError("no samples, or their number isn't told")
+                    width = rate * SECONDS
+                    starts = [0] if frames <= width else [int((frames - width) * s) for s in SHARES]
+                    if rate not in resamplers:
+                        resamplers[rate] = Resampler(rate, RATE)
+                    got = log_mel(np.stack([filled(resamplers[rate](read(f, form, s, width))) for s in starts]), filters)
+                except Exception as error:  # one bad file is a row with its error, not a failed job
+                    yield pd.DataFrame({"path": [file["path"]], "window": [None], "seconds": [0.0], "mel": [None], "read": [None], "error": [str(error) or type(error).__name__]})
+                    continue
+                yield pd.DataFrame({"path": file["path"], "window": range(len(starts)), "seconds": round(frames / rate, 1), "mel": [g.reshape(-1) for g in got], "read": f.read, "error": None})
+
+    return run
 
 
 def log_mels(files: DataFrame) -> DataFrame:
-    """A row per window of binaryFile rows (path, content): path, window, seconds, mel, or error."""
-    return files.select("path", "content").mapInPandas(_windows, "path string, window int, seconds double, mel array<float>, error string")
+    """A row per window of WAV and FLAC files: path, window, seconds, mel, read (the file's bytes that were read), or error. Where files bring no content they are opened by path, and of long ones only the windows are read; that needs a file system that pyarrow opens."""
+    by_path = "content" not in files.columns
+    return files.select("path", *([] if by_path else ["content"])).mapInPandas(_windows(by_path), "path string, window int, seconds double, mel array<float>, read long, error string")
+
+
+def _lengths(by_path: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for file in pdf.to_dict("records"):
+                try:
+                    f = sounds.opened(file["path"]) if by_path else sounds.Ranged(bytes(file["content"]))
+                    out.append((file["path"], sounds.kind(f.at(0, 16)), sounds.duration(f), f.read, None))
+                except Exception as error:
+                    out.append((file["path"], None, None, None, str(error) or type(error).__name__))
+            yield pd.DataFrame(out, columns=["path", "kind", "seconds", "read", "error"], dtype=object)
+
+    return run
+
+
+def durations(files: DataFrame) -> DataFrame:
+    """path, kind, seconds, read (bytes), error: how long files are, by their headers; null where that isn't told. At most sounds.BOUND bytes of a file are read, at its front and end, unless files bring their content."""
+    by_path = "content" not in files.columns
+    return files.select("path", *([] if by_path else ["content"])).mapInPandas(_lengths(by_path), "path string, kind string, seconds double, read long, error string")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import audio, images, pictures, text, translate, vectors
+from ..functions import audio, images, pictures, sounds as stored, text, translate, vectors
 from ..operators import actions as act
 from ..operators import deltas, evaluation, index, masks, media, search
 from ..sources import state, web
@@ -1044,3 +1044,73 @@ def thumbs_written(spark, sf):
     one = F.round(F.aggregate("input", F.lit(0.0), lambda s, x: s + x) / F.size("input"), 4) + 0.0
     both = second.join(third.select("path", F.col("written").alias("written_third")), "path").join(sizes, "thumb")
     return both.select(key("path"), "width", "height", F.col("written").alias("written_second"), "written_third", F.when(key("path") % 10 != 0, one).alias("input"))
+
+
+# ---- sounds in their files
+
+
+def _container(row):
+    """The head and tail of a sound of n frames in one of six forms, with much of nothing between: enough to tell its length."""
+    import struct
+
+    k, n, rate, fill = row["k"], row["n"], row["rate"], bytes(300_000 if row["k"] % 35 == 0 else 500)
+    if k % 6 == 0:
+        return b"RIFF" + struct.pack("<I", 36 + 6 * n) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, rate, 6 * rate, 6, 24) + b"LIST" + struct.pack("<I", 5) + b"abcdef" + b"data" + struct.pack("<I", 6 * n) + bytes(6 * n)
+    if k % 6 == 1:
+        return b"fLaC\x80\x00\x00\x22" + bytes(10) + (rate << 44 | 1 << 41 | 15 << 36 | n).to_bytes(8, "big") + bytes(16) + fill
+    page = lambda at, body: b"OggS\x00\x00" + struct.pack("<qIII", at, 7, 0, 0) + bytes([1, len(body)]) + body
+    if k % 6 == 2:
+        other = page(10**9, b"x").replace(struct.pack("<I", 7), struct.pack("<I", 8))  # the last page is another stream's
+        return page(0, b"\x01vorbis" + struct.pack("<IBI", 0, 2, rate) + bytes(14)) + fill + page(n, b"x") + page(-1, b"x") + other
+    if k % 6 == 3:
+        return page(0, b"OpusHead\x01\x02" + struct.pack("<HI", 312, rate) + bytes(3)) + fill + page(n + 312, b"x")
+    if k % 6 == 4:
+        head = bytes([1, 0, 0, 0]) + struct.pack(">QQIQ", 0, 0, rate, n) if k % 4 == 0 else bytes(4) + struct.pack(">IIII", 0, 0, rate, n)
+        box = lambda name, body: struct.pack(">I", 8 + len(body)) + name + body
+        return box(b"ftyp", b"M4A " + bytes(4)) + struct.pack(">I4sQ", 1, b"mdat", 16 + len(fill)) + fill + box(b"moov", box(b"free", bytes(9)) + box(b"mvhd", head + bytes(80)))
+    if k % 4 == 1:  # frames of 417 bytes and 1,152 samples at 44,100, and their number
+        frame = b"\xff\xfb\x90\x00" + bytes(413)
+        counted = frame[:36] + b"Xing" + struct.pack(">II", 1, n) + frame[48:]
+        return b"ID3\x04\x00\x00" + bytes([0, 0, 1, 0]) + bytes(128) + counted + frame * 3 + fill
+    return (b"\xff\xfb\x90\x00" + bytes(413)) * (n % 300 + 2) if k % 4 == 3 else b"no sound" + fill
+
+
+@query("""WITH a AS (SELECT c_custkey AS k, 1000 + c_custkey * 7919 % 5000 AS n, CASE WHEN c_custkey % 6 IN (3) THEN 48000 ELSE 8000 + c_nationkey * 100 END AS rate FROM customer),
+b AS (SELECT *, CASE k % 6 WHEN 0 THEN 'wav' WHEN 1 THEN 'flac' WHEN 2 THEN 'ogg' WHEN 3 THEN 'ogg' WHEN 4 THEN 'mp4' ELSE CASE WHEN k % 4 <> 1 AND k % 4 <> 3 THEN NULL ELSE 'mp3' END END AS kind FROM a)
+SELECT k, kind, CASE WHEN kind = 'mp3' AND k % 4 = 1 THEN n * 1152 / 44100.0::DOUBLE WHEN kind = 'mp3' THEN (n % 300 + 2) * 1152 / 44100.0::DOUBLE WHEN kind IS NOT NULL THEN n / rate::DOUBLE END AS seconds, true AS bounded FROM b""")
+def sound_lengths(spark, sf):
+    k = F.col("c_custkey")
+    rate = F.when(k % 6 == 3, 48_000).otherwise(8000 + F.col("c_nationkey") * 100)
+    rows = table(spark, sf, "customer").select(F.concat(k, F.lit(".snd")).alias("name"), k.alias("k"), (1000 + k * 7919 % 5000).alias("n"), rate.alias("rate"))
+    got = audio.durations(_files(scratch(spark, "lengths"), rows, _container).select("path"))
+    return got.select(F.regexp_extract("path", r"(\d+)\.snd$", 1).cast("long").alias("k"), "kind", "seconds", (F.col("read") <= stored.BOUND).alias("bounded"))
+
+
+def _long_sound(row):
+    """A tone that doubles twice, a third of the time each, with noise: 24 bits as they are for even sources, else compressed."""
+    import struct
+
+    import numpy as np
+
+    k, rate = row["k"], 16_000
+    n = (45 + k) * rate
+    t = np.arange(n)
+    x = np.sin(np.pi * 2 * np.cumsum(500 * 2.0 ** (3 * t // n)) / rate) * 0.5
+    if k % 2:
+        whole = np.round(x * 30_000 + t % 7).astype(int)
+        return stored.write_flac(np.stack([whole, whole // 2], 1), rate)
+    whole = np.round(x * (1 << 22)).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    return b"RIFF" + struct.pack("<I", 36 + len(whole)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 3 * rate, 3, 24) + b"data" + struct.pack("<I", len(whole)) + whole
+
+
+@query("""WITH s AS (SELECT DISTINCT source, source[4:]::INT AS k FROM documents), w AS (SELECT source, k, unnest([0, 1, 2])::INT AS "window" FROM s),
+m AS (SELECT *, CASE "window" WHEN 0 THEN 7.5::DOUBLE WHEN 1 THEN 15 ELSE 15 + ln(2.0::DOUBLE) * 27 / ln(6.4::DOUBLE) END AS mel FROM w)
+SELECT source, "window", (45 + k)::DOUBLE AS seconds, round((mel - 0.75) * 65 / (15 + ln(14.0::DOUBLE) * 27 / ln(6.4::DOUBLE) - 0.75))::INT - 1 AS loudest, true AS bounded FROM m""")
+def sound_windows(spark, sf):
+    rows = table(spark, sf, "documents").select("source").distinct().where("source is not null").select(F.concat("source", F.lit(".snd")).alias("name"), F.substring("source", 4, 9).cast("int").alias("k"))
+    found = audio.log_mels(_files(scratch(spark, "windows"), rows, _long_sound).select("path"))
+    total = lambda m: F.aggregate(F.sequence(F.lit(0), F.lit(1000)), F.lit(0.0), lambda s, i: s + F.get(F.col("mel"), i * 64 + m))
+    means = F.transform(F.sequence(F.lit(0), F.lit(63)), total)
+    # three windows of ten seconds of 24 bits, or of 16 in two channels, and what a search for three blocks takes
+    most = 3 * 10 * 16_000 * 4 + 18 * stored.PIECE
+    return found.select(F.regexp_extract("path", r"([^/]+)\.snd$", 1).alias("source"), "window", "seconds", (F.array_position(means, F.array_max(means)) - 1).cast("int").alias("loudest"), (F.col("read") <= most).alias("bounded"))
