@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import audio, images, pictures, sounds as stored, text, translate, vectors
 from ..operators import actions as act
-from ..operators import deltas, evaluation, index, masks, media, search
-from ..sources import state, web
+from ..operators import deltas, evaluation, index, masks, media, passes, search
+from ..sources import fetching, state, web
 from ..sources.scratch import scratch
-from ..streaming import jobs
+from ..streaming import asked, jobs, status
 from .carrier import ACTIONS_SQL, FOLDERS_SQL, ITEMS_SQL, SOUNDS_SQL, actions, folders, items, rows_of, sounds, table, vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1114,3 +1114,130 @@ def sound_windows(spark, sf):
     # three windows of ten seconds of 24 bits, or of 16 in two channels, and what a search for three blocks takes
     most = 3 * 10 * 16_000 * 4 + 18 * stored.PIECE
     return found.select(F.regexp_extract("path", r"([^/]+)\.snd$", 1).alias("source"), "window", "seconds", (F.array_position(means, F.array_max(means)) - 1).cast("int").alias("loudest"), (F.col("read") <= most).alias("bounded"))
+
+
+# ---- what is under way
+
+
+@query("""WITH RECURSIVE e AS (
+  SELECT 'q' || user_id AS pt, epoch_us(ts) / 1e6::DOUBLE AS t, event_id AS seq, event_type IN ('purchase', 'error') AS answers, CASE WHEN event_type = 'purchase' THEN 'told ' || event_id ELSE '' END AS told
+  FROM events WHERE event_type IN ('view', 'click', 'purchase', 'error')
+), n AS (SELECT *, row_number() OVER (PARTITION BY pt ORDER BY t, seq, answers) AS i FROM e),
+s AS (
+  SELECT pt, 0::BIGINT AS i, NULL::DOUBLE AS t, NULL::VARCHAR AS what, NULL::VARCHAR AS out_, NULL::VARCHAR AS en, NULL::DOUBLE AS until FROM n WHERE i = 1 UNION ALL
+  SELECT pt, i, t, CASE WHEN answers AND told <> '' THEN 'told' WHEN answers THEN NULL WHEN e IS NOT NULL THEN 'known' WHEN u IS NULL THEN 'ask' END,
+    CASE WHEN answers AND told <> '' THEN told WHEN answers THEN NULL ELSE e END, CASE WHEN answers AND told <> '' THEN told ELSE e END,
+    CASE WHEN answers AND told <> '' THEN t + 172800 WHEN answers THEN CASE WHEN e IS NOT NULL THEN u ELSE t + 43200 END WHEN e IS NULL AND u IS NULL THEN t + 43200 ELSE u END
+  FROM (SELECT n.*, CASE WHEN n.t >= s.until THEN NULL ELSE s.en END AS e, CASE WHEN n.t >= s.until THEN NULL ELSE s.until END AS u FROM s JOIN n ON n.pt = s.pt AND n.i = s.i + 1)
+)
+SELECT pt, t, what, out_ AS en FROM s WHERE what IS NOT NULL""")
+def stream_translations(spark, sf):
+    root = scratch(spark, "asked")
+    log = table(spark, sf, "events").where("event_type in ('view', 'click', 'purchase', 'error')").withColumn("third", F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)))
+    rows = log.select(F.concat(F.lit(" q"), "user_id").alias("pt"), (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz))") / 1e6).alias("at"), F.col("event_id").alias("seq"), "event_type", "third")
+    for k in range(3):  # three files, a batch each, as time goes on
+        rows.where(F.col("third") == k).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    answer = F.when(F.col("event_type") == "purchase", F.concat(F.lit(" told "), F.col("seq").cast("string"), F.lit(" "))).otherwise("MYMEMORY WARNING: you used all")
+    asks = stream().where("event_type in ('view', 'click')")
+    answers = stream().where("event_type in ('purchase', 'error')").withColumn("answer", answer)
+    asked.start(asks, answers, f"{root}/out", f"{root}/checkpoint", patience=43_200.0, kept=172_800.0, late="1 day").awaitTermination()
+    return spark.read.schema("pt string, at double, what string, en string").parquet(f"{root}/out").withColumnRenamed("at", "t")
+
+
+@query("""SELECT 'feed' || (page_id // 50) AS source, row_number() OVER (PARTITION BY page_id // 50 ORDER BY page_id) - 1 AS pos, 'page ' || page_id || ' & more' AS title, url, false AS failed FROM pages
+UNION ALL SELECT 'none', NULL, NULL, NULL, true""")
+def fetched_feeds(spark, sf):
+    # feeds of 50 pages each as files, and an address that isn't there
+    root = scratch(spark, "feeds")
+    entry = F.concat(F.lit("<entry><title>page "), F.col("page_id").cast("string"), F.lit(' &amp; more</title><link href="'), F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"/></entry>'))
+    feeds = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 50).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda x: x.e), "").alias("body"))
+    files = _files(root, feeds.select(F.concat(F.lit("feed"), "k", F.lit(".xml")).alias("name"), F.concat(F.lit("<feed>"), "body", F.lit("</feed>")).alias("body")), lambda row: row["body"].encode())
+    found = [(r.path.rsplit("/", 1)[1][:-4], r.path) for r in files.select("path").collect()]  # a row a feed, as a configuration has it
+    fetching.register(spark)
+    pages = spark.read.format("fetched_pages").option("addresses", fetching.addresses([*found, ("none", f"{root}/none.xml")])).option("tries", 2).load()
+    rows = web.feed_entries(pages.where("error is null")).select("source", F.col("pos").cast("long").alias("pos"), "title", "url", F.lit(False).alias("failed"))
+    none = F.lit(None)
+    return rows.unionByName(pages.where("error is not null").select("source", none.cast("long").alias("pos"), none.cast("string").alias("title"), none.cast("string").alias("url"), F.lit(True).alias("failed")))
+
+
+@query("""SELECT 'stream' AS job, 'ended' AS phase, 4::BIGINT AS batches, count(*) AS done, count(*) FILTER (doc_id % 9 = 0) AS failed, count(*) AS total FROM documents UNION ALL
+SELECT 'batch', 'ended', 1, count(*), count(*) FILTER (doc_id % 7 = 0), NULL FROM documents UNION ALL SELECT 'broken', 'failed', 0, 0, 0, NULL""")
+def job_status(spark, sf):
+    root, docs = scratch(spark, "status"), table(spark, sf, "documents").select("doc_id")
+    at = status.StatusTable(spark, f"{root}/status")
+    for k in range(4):
+        docs.where(F.pmod("doc_id", F.lit(4)) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    error = lambda n: F.when(F.col("doc_id") % n == 0, "unreadable")
+    stream = jobs.progress(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in").withColumn("error", error(9)), "stream", "error")
+    listener = status.StatusListener(at, total=docs.count())
+    spark.streams.addListener(listener)
+    try:
+        stream.writeStream.queryName("stream").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        status.wait_for(at, "stream")
+    finally:
+        spark.streams.removeListener(listener)
+    status.observed(docs.withColumn("error", error(7)), at, "batch", lambda df: df.write.parquet(f"{root}/batch"), "error")
+
+    def full(df):
+        raise OSError("no room")
+
+    try:
+        status.observed(docs, at, "broken", full)
+    except OSError:  # which the table tells
+        pass
+    return at.jobs().select("job", "phase", "batches", "done", "failed", "total")
+
+
+_THUMB = r"sha1('X:\lib\' || lang || '\' || doc_id || '.webp')[1:16] || '.webp'"
+
+
+@query(f"SELECT 'whole' AS pass, {_THUMB} AS name FROM documents WHERE doc_id % 6 = 0 UNION ALL SELECT 'ended', {_THUMB} FROM documents WHERE doc_id % 6 < 2")
+def thumbs_collectable(spark, sf):
+    root = scratch(spark, "passes")
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("X:\\lib\\"), "lang", F.lit("\\"), F.col("doc_id").cast("string"), F.lit(".webp")).alias("p"), F.col("n_chars").cast("double").alias("m"))
+    kept, manifest = deltas.DeltaIndex(spark, f"{root}/index"), passes.Manifest(spark, f"{root}/passes")
+    thumbs = docs.select(text.thumb_name(F.col("p")).alias("name"))
+    told = lambda name: passes.collectable(thumbs, kept, manifest).select(F.lit(name).alias("pass"), "name").write.parquet(f"{root}/{name}")
+    told("before")
+    passes.whole_pass(kept, manifest, docs.where("doc_id % 6 <> 0").drop("doc_id"), lambda df: df)
+    told("whole")
+    left = docs.where("doc_id % 6 > 1").withColumn("m", F.col("m") + (F.col("doc_id") % 3 == 0).cast("int")).drop("doc_id")
+    seen = []
+
+    def breaks(df):
+        seen.append(1)
+        if len(seen) > 1:
+            raise InterruptedError("power cut")
+        return df
+
+    try:
+        passes.whole_pass(kept, manifest, left, breaks, blocks=3)
+    except InterruptedError:
+        told("broken")
+    passes.whole_pass(kept, manifest, left, lambda df: df, blocks=3)
+    told("ended")
+    return spark.read.schema("pass string, name string").parquet(*(f"{root}/{x}" for x in ("before", "whole", "broken", "ended")))
+
+
+@query("""SELECT doc_id, CASE WHEN text IS NULL OR doc_id % 40 = 7 THEN NULL ELSE length(text)::DOUBLE END AS first, CASE WHEN text IS NULL OR doc_id % 40 = 7 THEN 2 END::INT AS tries, NOT (text IS NULL OR doc_id % 40 = 7) AS open FROM documents""")
+def encoded_with_fallback(spark, sf):
+    root, docs = scratch(spark, "letters"), table(spark, sf, "documents").select("doc_id", "text", F.col("doc_id").cast("string").alias("p"), F.lit(1.0).alias("m"))
+
+    def encode(batch):
+        import numpy as np
+
+        if any(x.startswith("7 ") for x in batch):
+            raise MemoryError("too much at once")
+        return np.array([[float(x.split(" ", 1)[1]), 0.5] for x in batch])
+
+    asked_for = docs.withColumn("x", F.when(F.col("text").isNotNull(), F.concat_ws(" ", F.col("doc_id") % 40, F.length("text"))))
+    letters = None
+    for k in range(2):  # what failed is tried again by the next pass
+        passes.encoded(passes.worth_trying(asked_for, letters, 2), encode, "x").drop("text").write.parquet(f"{root}/made{k}")
+        passes.letters_after(letters, spark.read.parquet(f"{root}/made{k}")).write.parquet(f"{root}/letters{k}")
+        letters = spark.read.parquet(f"{root}/letters{k}")
+    made = spark.read.parquet(f"{root}/made1").select("doc_id", F.get("vector", F.lit(0)).cast("double").alias("first"))
+    still = passes.worth_trying(docs, letters, 2).select("doc_id", F.lit(True).alias("_open"))
+    both = made.join(letters.select(F.col("p").cast("long").alias("doc_id"), "tries"), "doc_id", "left").join(still, "doc_id", "left")
+    return both.select("doc_id", "first", "tries", F.coalesce("_open", F.lit(False)).alias("open"))
