@@ -166,6 +166,12 @@ def test_many_queries(spark):
             score = v @ v[i] + 0.1 * (np.arange(60) % 3)
             want = sorted((k for k in range(60) if k != i), key=lambda k: (-round(score[k], 9), k))[:4]
             assert [x.idx for x in sorted((x for x in got if x.query == i), key=lambda x: (-round(x.score, 9), x.idx))] == want
+    # ids beyond 2^53 come back as they are; what has no id has no part
+    big = spark.createDataFrame([(2**53 + 1, [1.0]), (None, [9.0]), (-(2**63) + 1, [2.0]), (2**63 - 1, [3.0])], "idx long, vector array<double>").coalesce(1)
+    found = search.top_k_each(big, big.withColumnRenamed("idx", "query"), 2).collect()
+    assert sorted((x.query, x.idx) for x in found) == sorted((a, b) for a in (2**53 + 1, -(2**63) + 1, 2**63 - 1) for b in (2**53 + 1, -(2**63) + 1, 2**63 - 1) if a != b)
+    hits = actions.ttl_hits(spark.createDataFrame([("a", 1.0, 2**53 + 1), ("a", 2.0, None), ("b", 1.0, 2**63 - 1)], "key string, at double, seq long").coalesce(1))
+    assert sorted(((r.key, r.seq, r.hit) for r in hits.collect()), key=repr) == sorted([("a", 2**53 + 1, False), ("a", None, True), ("b", 2**63 - 1, False)], key=repr)
     assert search.top_k_each(rows, asked.limit(0), 4).count() == 0 and search.top_k_each(rows.limit(0), asked, 4).count() == 0
 
 
@@ -175,6 +181,13 @@ def test_pairs_in_blocks(spark):
     one, many = evaluation.scored_pairs(rows, asked), evaluation.scored_pairs(rows, asked, 2)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() == 6 * 29
     assert evaluation.scored_pairs(rows, asked.limit(0)).count() == 0
+    # ranks without pairs, and with many ties; labels that are null are nobody's
+    tied = spark.createDataFrame([(i, [float(i // 4), 1.0], None if i % 7 == 0 else i % 5) for i in range(40)], "idx long, vector array<double>, label int").repartition(6)
+    some = tied.where("idx % 3 = 0").withColumnRenamed("idx", "query")
+    want = sorted(map(tuple, evaluation.first_ranks(evaluation.scored_pairs(tied, some), 20).collect()))
+    assert [sorted(map(tuple, evaluation.query_ranks(tied, some, 20, b).collect())) for b in (1024, 3)] == [want, want] and len(want) > 8
+    plan = lambda n: len(evaluation.scored_pairs(tied, some, n)._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(plan(1) - plan(2)) < 50
 
 
 def test_actions(spark):

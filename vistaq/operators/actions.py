@@ -81,7 +81,11 @@ def ttl_hits(requests: DataFrame, ttl: float = TTL) -> DataFrame:
     spark = requests.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = requests.select("key", "at", "seq").repartition(parts, "key").sortWithinPartitions("key", "at", "seq")
-    return dealt.mapInPandas(_scan(ttl), T.StructType([*dealt.schema.fields, T.StructField("hit", T.BooleanType())]))
+    # as text past Python, where numbers beside a null become floats
+    asked = dealt.withColumn("seq", F.col("seq").cast("string"))
+    kind = dealt.schema["seq"].dataType
+    out = asked.mapInPandas(_scan(ttl), T.StructType([*asked.schema.fields, T.StructField("hit", T.BooleanType())]))
+    return out.withColumn("seq", F.col("seq").cast(kind))
 
 
 def fresh(snapshot: DataFrame, now: float, version: int = 2, ttl: float = 86_400.0) -> DataFrame:

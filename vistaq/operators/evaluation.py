@@ -2,37 +2,75 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import subject
-from ..functions.vectors import dot
+from ..sources.scratch import scratch
+from . import blocks
+
+
+#: Scores are compared in so many decimals, so that products of other blocks' shapes tie alike.
+DIGITS = 12
+
+
+def scored_pairs(rows: DataFrame, queries: DataFrame, block: int = blocks.BLOCK) -> DataFrame:
+    """(query, idx, score, relevant) of all rows (idx, vector, label) for each of queries (query, vector, label) but the row itself; see blocks.over_blocks."""
+
+    def kernel(some, chunk, products):
+        q, i = np.nonzero(np.isfinite(products))
+        relevant = some["label"].to_numpy()[q] == chunk["label"].to_numpy()[i]
+        return pd.DataFrame({"query": some["query"].to_numpy()[q], "idx": chunk["idx"].to_numpy()[i], "score": products[q, i], "relevant": relevant})
+
+    return blocks.over_blocks(_labelled(rows, "idx"), _labelled(queries, "query"), kernel, "query long, idx long, score double, relevant boolean", block)
+
+
+def _labelled(df: DataFrame, name: str) -> DataFrame:
+    """Labels as texts; a null is no other row's label."""
+    none = F.concat(F.lit(f"-{name}:"), F.col(name).cast("string"))
+    return df.select(F.col(name).cast("long").alias(name), "vector", F.coalesce(F.concat(F.lit("+"), F.col("label").cast("string")), none).alias("label"))
 
 
-def scored_pairs(rows: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
-    """(query, idx, score, relevant) of all rows (idx, vector, label) for each of queries (query, vector, label) but the row itself. Queries are told to all tasks in blocks of a fixed size, and rows stay where they are."""
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    dealt = queries.select("query", F.col("vector").alias("_q"), F.col("label").alias("_l"), F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("_b")) if blocks > 1 else queries.select("query", F.col("vector").alias("_q"), F.col("label").alias("_l"), F.lit(0).alias("_b"))
-    out = []
-    for b in range(blocks):
-        both = rows.join(F.broadcast(dealt.where(F.col("_b") == b).drop("_b")), F.col("idx") != F.col("query"))
-        out.append(both.select("query", "idx", dot(F.col("vector"), F.col("_q")).alias("score"), (F.col("label") == F.col("_l")).alias("relevant")))
-    return reduce(DataFrame.unionByName, out)
+def query_ranks(rows: DataFrame, queries: DataFrame, within: int, block: int = blocks.BLOCK) -> DataFrame:
+    """(query, first), as first_ranks of scored_pairs, without the pairs: a task gives a query's best relevant row of each of its chunks, and in a second pass the number of rows before the best of all."""
+    rows, queries = _labelled(rows, "idx"), _labelled(queries, "query")
+
+    def relevant(some, chunk, products):
+        scores = np.round(products, DIGITS)
+        scores[some["label"].to_numpy()[:, None] != chunk["label"].to_numpy()[None, :]] = -np.inf
+        return blocks.best(some, chunk, scores, 1)
+
+    found = blocks.over_blocks(rows, queries, relevant, "query long, idx long, score double", block)
+    best = found.groupBy("query").agg(F.max(F.struct("score", (-F.col("idx")).alias("i"))).alias("b"))
+    at = scratch(rows.sparkSession, "best")
+    queries.join(best.select("query", F.col("b.score").alias("score"), (-F.col("b.i")).alias("first")), "query").write.parquet(at)
+
+    def before(some, chunk, products):
+        scores, own = np.round(products, DIGITS), chunk["idx"].to_numpy()[None, :]
+        least, first = some["score"].to_numpy()[:, None], some["first"].to_numpy()[:, None]
+        n = (((scores > least) | (scores == least) & (own < first)) & (own != first)).sum(1)
+        return pd.DataFrame({"query": some["query"].to_numpy(), "n": n})
+
+    counted = blocks.over_blocks(rows, rows.sparkSession.read.parquet(at), before, "query long, n long", block).groupBy("query").agg(F.sum("n").alias("n"))
+    return counted.select("query", F.when(F.col("n") < within, F.col("n") + 1).alias("first"))
 
 
 def first_ranks(scored: DataFrame, within: int) -> DataFrame:
     """(query, first): the rank of each query's first relevant row, null beyond within; queries without a relevant row aren't in it. By two aggregations: the best relevant row, and the rows before it; no query's rows are sorted."""
     best = scored.where("relevant").groupBy("query").agg(F.max(F.struct("score", (-F.col("idx")).alias("i"))).alias("_best"))
-    before = scored.join(F.broadcast(best) if best.count() <= 100_000 else best, "query").groupBy("query").agg(F.count_if(F.struct("score", (-F.col("idx")).alias("i")) > F.col("_best")).alias("n"))
+    before = scored.join(best, "query").groupBy("query").agg(F.count_if(F.struct("score", (-F.col("idx")).alias("i")) > F.col("_best")).alias("n"))
     return before.select("query", F.when(F.col("n") < within, F.col("n") + 1).alias("first"))
 
 
 def measures(scored: DataFrame, within: int = 2000, recall_at: int = 20) -> DataFrame:
     """One row (queries, mrr, recall, hit1, hit5) over scored (query, idx, score, relevant); queries without a relevant row don't count."""
-    each = first_ranks(scored, within)
+    return summary(first_ranks(scored, within), recall_at)
+
+
+def summary(each: DataFrame, recall_at: int = 20) -> DataFrame:
+    """One row of the measures over ranks (query, first)."""
     hit = lambda k: F.avg(F.coalesce((F.col("first") <= k).cast("double"), F.lit(0.0)))
     return each.agg(
         F.count(F.lit(1)).alias("queries"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
@@ -51,6 +89,12 @@ def same_best(scored: DataFrame, a: str, b: str) -> DataFrame:
     return best.agg(F.count_if(F.col("x") == F.col("y")).alias("same"), F.count(F.lit(1)).alias("queries"))
 
 
+def same_first(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: queries whose best row is the same in two rankings (query, idx) of one row a query, and queries."""
+    both = a.select("query", F.col("idx").alias("_a")).join(b.select("query", F.col("idx").alias("_b")), "query", "full")
+    return both.agg(F.count_if(F.col("_a") == F.col("_b")).alias("same"), F.count(F.lit(1)).alias("queries"))
+
+
 def truth_groups(items: DataFrame, least: int = 2) -> DataFrame:
     """(subject, n): subjects of two words or more that name least items or more."""
     named = items.select(subject(F.col("p")).alias("subject"), "idx").where(F.size(F.split("subject", " ")) >= 2)

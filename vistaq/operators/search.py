@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from . import blocks
 
 # Weights of the name's vector and of literal hits, for images and for sounds, and of sound content.
 NAME_WEIGHT, LITERAL_WEIGHT = 0.5, 0.25
@@ -63,43 +60,21 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.where(F.col("score").isNotNull()).orderBy(F.col("score").desc(), F.col("idx")).limit(k)
 
 
-def top_k_each(items: DataFrame, queries: DataFrame, k: int, bonus: str | None = None, block: int = 1024) -> DataFrame:
-    """(query, idx, score): the k best items (idx, vector) for each of many queries (query, vector), ties by idx; an item isn't its own answer. bonus: a column to add to an item's products.
+def top_k_each(items: DataFrame, queries: DataFrame, k: int, bonus: str | None = None, block: int = blocks.BLOCK, digits: int | None = None) -> DataFrame:
+    """(query, idx, score): the k best items (idx, vector) for each of many queries (query, vector), ties by idx; an item isn't its own answer. bonus: a column to add to an item's products; digits: scores are rounded to so many first.
 
-    Queries are told to all tasks in blocks of a fixed size. A task multiplies its items with a block at once and keeps k
-    of them per query, and only these meet.
+    See blocks.over_blocks: a task multiplies its items with a block of queries at once and keeps k of them per query, and
+    only these meet. Items and queries without an id or a vector have no part.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    rows = items.where(F.col("vector").isNotNull()).select("idx", "vector", (F.col(bonus) if bonus else F.lit(0.0)).cast("double").alias("bonus"))
-    out = []
-    for b in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).where("vector is not null").select("query", "vector").collect()
-        if some:
-            out.append(rows.mapInPandas(_best([r["query"] for r in some], [r["vector"] for r in some], k), "query long, idx long, score double"))
-    if not out:
-        return rows.select(F.col("idx").cast("long").alias("query"), F.col("idx").cast("long"), F.lit(0.0).alias("score")).limit(0)
+    rows = items.select(F.col("idx").cast("long").alias("idx"), "vector", (F.coalesce(F.col(bonus), F.lit(0.0)) if bonus else F.lit(0.0)).cast("double").alias("bonus"))
+
+    def kernel(some, chunk, products):
+        scores = products + chunk["bonus"].to_numpy()
+        return blocks.best(some, chunk, scores if digits is None else np.round(scores, digits), k)
+
+    found = blocks.over_blocks(rows, queries.select(F.col("query").cast("long").alias("query"), "vector"), kernel, "query long, idx long, score double", block)
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("idx"))
-    return reduce(DataFrame.unionByName, out).withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k).drop("_rn")
-
-
-def _best(names: list, vectors: list, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, ids = np.array(vectors, np.float64), np.array(names)
-        score, item = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            own = pdf["idx"].to_numpy(np.int64)
-            new = q @ np.stack(pdf["vector"].to_numpy()).astype(np.float64).T + pdf["bonus"].to_numpy()
-            new[own[None, :] == ids[:, None]] = -np.inf
-            score, item = np.hstack([score, new]), np.hstack([item, np.broadcast_to(own, new.shape)])
-            order = np.lexsort((item, -score))[:, :k]
-            score, item = np.take_along_axis(score, order, 1), np.take_along_axis(item, order, 1)
-        keep = np.isfinite(score)
-        yield pd.DataFrame({"query": np.broadcast_to(ids[:, None], score.shape)[keep], "idx": item[keep], "score": score[keep]})
-
-    return run
+    return found.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k).drop("_rn")
 
 
 def collapse(ranked: DataFrame, cards: int, key: Column | None = None) -> DataFrame:

@@ -498,10 +498,10 @@ def vec_centroid(spark, sf):
     return c.select("label", F.round(vectors.dot(F.col("centroid"), F.col("centroid")), 6).alias("one"), F.round(F.get("centroid", F.lit(0)), 6).alias("first"), F.round(F.get("centroid", F.lit(63)), 6).alias("last"))
 
 
-def _scored(spark, sf):
-    """The stored rows whose id is divisible by 20 as queries against all others; a row of the query's label is relevant."""
+def _asked_of(spark, sf):
+    """All rows, and those whose id is divisible by 20 as queries against all others; a row of the query's label is relevant."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vector"), "label")
-    return evaluation.scored_pairs(e, e.where("idx % 20 = 0").withColumnRenamed("idx", "query"))
+    return e, e.where("idx % 20 = 0").withColumnRenamed("idx", "query")
 
 
 _EVAL_SQL = """s AS (SELECT q.vec_id AS query, e.vec_id AS idx, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, e.label = q.label AS relevant FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id),
@@ -511,12 +511,12 @@ f AS (SELECT query, min(rank) FILTER (relevant AND rank <= 2000) AS first, bool_
 
 @query(f"WITH {_EVAL_SQL} SELECT count(*) AS queries, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(coalesce((first <= 20)::INT, 0)), 6) AS recall, round(avg(coalesce((first <= 1)::INT, 0)), 6) AS hit1, round(avg(coalesce((first <= 5)::INT, 0)), 6) AS hit5 FROM f")
 def mrr_recall(spark, sf):
-    return evaluation.measures(_scored(spark, sf))
+    return evaluation.summary(evaluation.query_ranks(*_asked_of(spark, sf), 2000))
 
 
 @query(f"WITH {_EVAL_SQL}, g AS (SELECT query, CASE WHEN first <= 50 THEN first END AS first FROM f) SELECT round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(coalesce((first <= 1)::INT, 0)), 6) AS hit1, round(avg(coalesce((first <= 5)::INT, 0)), 6) AS hit5 FROM g")
 def hit_at_k(spark, sf):
-    return evaluation.measures(_scored(spark, sf), within=50).select("mrr", "hit1", "hit5")
+    return evaluation.summary(evaluation.query_ranks(*_asked_of(spark, sf), 50)).select("mrr", "hit1", "hit5")
 
 
 @query("WITH a AS (SELECT list_dot_product(e.embedding::DOUBLE[], n.embedding::DOUBLE[]) AS c FROM embeddings e JOIN embeddings n ON n.vec_id = (e.vec_id + 1) % (SELECT count(*) FROM embeddings)) SELECT round(avg(c), 6) AS mean, round(min(c), 6) AS min FROM a")
@@ -529,7 +529,8 @@ def cosine_stats(spark, sf):
 
 @query(f"WITH {_EVAL_SQL}, x AS (SELECT query, first(idx ORDER BY score DESC, idx) AS a, first(idx ORDER BY round(score, 1) DESC, idx) AS b FROM s GROUP BY query) SELECT count(*) FILTER (a = b) AS same, count(*) AS queries FROM x")
 def argmax_agreement(spark, sf):
-    return evaluation.same_best(_scored(spark, sf).withColumn("other", F.round("score", 1)), "score", "other")
+    rows, asked = _asked_of(spark, sf)
+    return evaluation.same_first(search.top_k_each(rows, asked, 1), search.top_k_each(rows, asked, 1, digits=1))
 
 
 @query(f"WITH {ITEMS_SQL}, s AS (SELECT array_to_string(list_filter({_tok(_STEM, 'a-z')}, lambda w: NOT list_contains({_list(text.SUBJECT_WORDS)}, w))[1:4], ' ') AS subject FROM items) SELECT subject, count(*) AS n FROM s GROUP BY subject HAVING count(*) >= 2")
