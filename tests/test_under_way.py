@@ -193,3 +193,50 @@ def test_clean_up_waits_for_a_whole_pass(spark, tmp_path):
     assert left() == 2
     index.append(spark.createDataFrame([("f2", 1.0, "gone")], "p string, m double, _op string"))
     assert left() == 0  # of a later version nothing is known
+
+
+def test_state_is_switched_not_overwritten(spark, tmp_path):
+    import os
+
+    from vistaq.sources import state
+
+    at = f"{tmp_path}/favs"
+    rows = lambda *paths: spark.createDataFrame([("v", p) for p in paths], "kind string, p string")
+    assert state.load_favourites(spark, at).count() == 0
+    state.save_favourites(rows("a"), at)
+    with pytest.raises(Exception, match="lost"):
+        state.save_favourites(rows("b").withColumn("p", F.expr("raise_error('lost')")), at)
+    assert [r.p for r in state.load_favourites(spark, at).collect()] == ["a"]
+    before = state.load_favourites(spark, at)
+    state.save_favourites(rows("b", "c"), at)
+    assert [r.p for r in before.collect()] == ["a"]  # who reads the version before still can
+    for p in "defg":
+        state.save_favourites(rows(p), at)
+    assert [r.p for r in state.load_favourites(spark, at).collect()] == ["g"]
+    assert sum(os.path.exists(f"{at}/{d}/_SUCCESS") for d in os.listdir(at)) == 2
+    now = f"{tmp_path}/catalogue"
+    cat = spark.createDataFrame([("s", 1, 0, "t", "u", "", "c")], "source string, ord long, pos long, title string, url string, thumb string, cat string")
+    assert state.save_catalogue(cat, now, 1000.0) and not state.save_catalogue(cat.limit(0), now, 2000.0)
+    assert state.load_catalogue(spark, now, 1000.0 + 86_399).count() == 1 and state.load_catalogue(spark, now, 1000.0 + 86_400).isEmpty()
+    (tmp_path / "memory.json").write_text('{"taverna ": "tavern", "noite": null, "": "x"}')
+    (tmp_path / "bad.json").write_text("no object")
+    assert [tuple(r) for r in state.read_memory_file(spark, f"{tmp_path}/*.json").collect()] == [("taverna", "tavern")]
+
+
+def test_the_newest_answer_is_remembered(spark):
+    from vistaq.functions import translate
+
+    memory, asked_for = spark.createDataFrame([("old", "kept")], "pt string, en string"), spark.createDataFrame([("Ravenloft",)], "q string")
+    answers = spark.createDataFrame([("x", "beta", 1.0), ("x", "alpha", 2.0), ("x", "MYMEMORY WARNING", 3.0), ("old", "other", 9.0), ("y", "b", None), ("y", "a", None)], "pt string, answer string, at double")
+    got = {r.pt: r.en for r in translate.remember(memory, asked_for, answers).collect()}
+    assert got == {"old": "kept", "x": "alpha", "y": "a"}
+    assert {r.pt: r.en for r in translate.remember(memory, asked_for, answers.drop("at")).collect()} == {"old": "kept", "x": "alpha", "y": "a"}
+
+
+def test_targets_as_a_column(spark):
+    from vistaq.operators import search
+
+    given = ["1", "0", "-3", "8", "9", "3", "x", "", None, "2.5"]
+    got = [r[0] for r in spark.createDataFrame([(g,) for g in given], "g string").select(search.targets(F.col("g"))).collect()]
+    assert got == [60, 60, 60, 480, 480, 180, 60, 60, 60, got[-1]]
+    assert got[:-1] == [search.target(g) for g in given[:-1]]

@@ -81,8 +81,10 @@ def to_ask(queries: DataFrame, memory: DataFrame, asked: DataFrame | None = None
 
 
 def remember(memory: DataFrame, queries: DataFrame, answers: DataFrame, query: str = "q") -> DataFrame:
-    """The memory (pt, en) with what is certain now: whole dictionary translations of queries, and valid answers (pt, answer) of a translator. What is remembered stays; fallbacks are not remembered, so that they can still be improved on."""
+    """The memory (pt, en) with what is certain now: whole dictionary translations of queries, and valid answers (pt, answer, and at if they come with their time: of several the newest counts, else the first by letter) of a translator. What is remembered stays; fallbacks are not remembered, so that they can still be improved on."""
     known = with_memory(queries.select(F.trim(query).alias(query)), memory, query).where("how = 'dictionary'").select(F.col(query).alias("pt"), "en")
-    told = answers.select(F.trim("pt").alias("pt"), valid_translation(F.col("answer")).alias("en")).where("en is not null")
-    new = known.unionByName(told).groupBy("pt").agg(F.min("en").alias("en"))
+    at = F.col("at").cast("double") if "at" in answers.columns else F.lit(None).cast("double")
+    told = answers.select(F.trim("pt").alias("pt"), valid_translation(F.col("answer")).alias("en"), at.alias("at")).where("en is not null")
+    first = F.struct((-F.col("at")).alias("at"), "en")
+    new = known.withColumn("at", F.lit(None).cast("double")).unionByName(told).groupBy("pt").agg(F.min_by("en", first).alias("en"))
     return memory.select("pt", "en").unionByName(new.join(memory.select("pt"), "pt", "left_anti"))

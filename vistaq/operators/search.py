@@ -25,6 +25,12 @@ def target(pages: Column | str | int | None, top: int = TOP) -> int:
         return top
 
 
+def targets(pages: Column, top: int = TOP) -> Column:
+    """target for a column of whatever was asked for, as text."""
+    asked = pages.cast("string").try_cast("int")
+    return (F.lit(top) * F.greatest(F.lit(1), F.least(F.lit(8), F.coalesce(asked, F.lit(1))))).cast("int")
+
+
 def literal(query: str | None) -> Column:
     """Coverage of the query's words by an item's; items may bring words, else they come from the path."""
     return text.coverage(text.token_set(F.lit(query or "")), text.name_words(F.col("p")))
