@@ -159,19 +159,39 @@ def test_bitmaps():
         assert sorted(i for i, k in enumerate(keep) if not k) == sorted(dropped)
 
 
-def brute_licenses(rows):
-    """Every window against every template, without sketches."""
+def brute_finds(rows):
+    """All columns of scan_licenses: every window against every template, without sketches."""
     split = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
     shingles = lambda w: [tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
-    found = set()
-    bodies = [(license, set(shingles(split(body)))) for license, body in licenses.TEMPLATES]
-    for doc_id, text, *_ in rows:
-        s = shingles(split(text or ""))
-        for license, t in bodies:
-            step = licenses.window_class(len(t))
-            if any(len(t & set(s[b : b + 2 * step])) >= 0.8 * len(t) for b in range(0, len(s), step)):
-                found.add((doc_id, license))
-    return found
+    lists = [shingles(split(body)) for _, body in licenses.TEMPLATES]
+    names, sets, steps = [a for a, _ in licenses.TEMPLATES], [set(x) for x in lists], [licenses.window_class(len(x)) for x in lists]
+    family = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 2 * len(sets[i] & sets[j]) >= min(len(sets[i]), len(sets[j])):
+                family = [family[j] if f == family[i] else f for f in family]
+    out = []
+    for doc_id, text in {(r[0], r[1]) for r in rows}:
+        s, found = shingles(split(text or "")), []
+        for i, t in enumerate(sets):
+            others = [t - sets[j] for j in range(len(sets)) if family[j] == family[i] and names[j] != names[i]]
+            for b in range(0, len(s), steps[i]):
+                window = set(s[b : b + 2 * steps[i]])
+                part = len(t & window) / len(t)
+                if part >= 0.8:
+                    found.append((i, b, part, all(o & window for o in others if o)))
+        reach = 2 * max(steps)
+        marked = [(*f, f[2] == max(g[2] for g in found if family[g[0]] == family[f[0]] and abs(g[1] - f[1]) <= reach)) for f in found]
+        for license in {names[f[0]] for f in marked}:
+            mine = [f for f in marked if names[f[0]] == license]
+            i, b, part, _, best = max(mine, key=lambda f: (f[4], f[3], f[2], -f[1], -f[0]))
+            kin = sorted({n for n, g in zip(names, family, strict=True) if g == family[mine[0][0]]})
+            out.append((doc_id, license, ", ".join(kin) if len(kin) > 1 else None, any(f[3] for f in mine), best, i, b, round(part, 6), len({f[1] for f in mine})))
+    return sorted(out, key=repr)
+
+
+def brute_licenses(rows):
+    return {r[:2] for r in brute_finds(rows)}
 
 
 def test_licenses(spark):
@@ -181,8 +201,7 @@ def test_licenses(spark):
     rows += [(5000 + i, t, "en", "s", 0) for i, t in enumerate(texts)]
     rows += [(6000, "word " * 300 + licenses._MIT.replace("copy ", "copies ") + " word" * 300, "en", "s", 0), (None, texts[0], None, None, None)]
     got = licenses.scan_licenses(frame(spark, rows, True)).collect()
-    pairs = {(r.doc_id, r.license) for r in got}
-    assert pairs == brute_licenses(rows) and all(r.best in (True, False) and r.containment >= 0.8 for r in got)
+    assert sorted(map(tuple, got), key=repr) == brute_finds(rows) and all(r.best in (True, False) and r.containment >= 0.8 for r in got)
     best = {(r.doc_id, r.license) for r in got if r.best and r.told_apart}
     own = {(5000 + i, a) for i, (a, _) in enumerate(licenses.TEMPLATES)} | {(5000 + len(licenses.TEMPLATES) + i, a) for i, (a, _) in enumerate(licenses.TEMPLATES)}
     assert own <= best and (6000, "MIT") in best and (None, "MIT") in best

@@ -95,16 +95,16 @@ def with_shingles(df: DataFrame, text: str, name: str, size: int = SHINGLE) -> D
 
 
 def window_class(n: int) -> int:
-    """The power of 2 from which a template of n shingles fits a window of twice as many, that begins at each multiple of it."""
+    """The power of 2 from which a template of n shingles in a row, repeats counted, fits a window of twice as many, that begins at each multiple of it."""
     return max(4, 1 << (n - 1).bit_length())
 
 
-def bands_for(n: int, contained: float = CONTAINED, sure: float = SURE) -> int:
-    """Bands of one hash each by which a window of its class and a template of n shingles, contained of them there, meet with probability sure.
+def bands_for(n: int, contained: float = CONTAINED, sure: float = SURE, step: int | None = None) -> int:
+    """Bands of one hash each by which a window of step, else of its class, and a template of n different shingles, contained of them there, meet with probability sure.
 
     With two thirds of the class's step as the least n, their Jaccard similarity is contained * n in 2 * step + n - contained * n.
     """
-    step = window_class(n)
+    step = step or window_class(n)
     j = contained * n / (2 * step + (1 - contained) * n)
     return math.ceil(math.log(1 - sure) / math.log(1 - j))
 
@@ -124,7 +124,7 @@ def template_table(spark: SparkSession, templates=TEMPLATES, contained: float =
     """
     rows = [(a, i, t) for i, (a, t) in enumerate(templates)]
     t = with_shingles(spark.createDataFrame(rows, "license string, template int, body string"), "body", "shingles")
-    got = t.select("license", "template", F.array_distinct("shingles").alias("shingles")).collect()
+    got = t.select("license", "template", F.array_distinct("shingles").alias("shingles"), F.size("shingles").alias("length")).collect()
     bands: dict[int, int] = {}
     rows, family = [], list(range(len(got)))
     for i, a in enumerate(got):
@@ -133,8 +133,8 @@ def template_table(spark: SparkSession, templates=TEMPLATES, contained: float =
                 family = [family[j] if f == family[i] else f for f in family]
     for r in got:
         n = len(r["shingles"])
-        step = window_class(n)
-        bands[step] = max(bands.get(step, 0), bands_for(n, contained))
+        step = window_class(r["length"])  # so that one window holds all of the passage
+        bands[step] = max(bands.get(step, 0), bands_for(n, contained, step=step))
         mine = family[len(rows)]
         apart = [[h for h in r["shingles"] if h not in o["shingles"]] for f, o in zip(family, got, strict=True) if f == mine and o["license"] != r["license"]]
         kin = sorted({o["license"] for f, o in zip(family, got, strict=True) if f == mine})
