@@ -172,7 +172,8 @@ def describe(text: str, generator: str, s: int, e: int) -> list[float]:
     out += [groups == [3, 2, 4] and x.count("-") == 2 and digits[:3] not in ("000", "666") and digits[0] != "9", generator == "account" and _mod97(x)]
     colons = re.split(r"[:-]", x) if generator == "colons" else []
     out += [len(colons), "::" in x, len(colons) == 6 and all(len(c) == 2 for c in colons), max(map(len, colons), default=0), sum(len(c) > 2 for c in colons)]
-    out += [bool(_TOP.search(x)), x.lower().count("dot"), bool(re.search(r"[(\[{<]", x)), x.count("\n")]
+    more = re.match(r"[A-Za-z0-9]+", text[label.end() : label.end() + 12]) if generator == "email" and (label := _LABEL.match(text, e)) else None
+    out += [bool(_TOP.search(x)), x.lower().count("dot"), bool(re.search(r"[(\[{<]", x)), x.count("\n"), bool(more), bool(more and _TOP.fullmatch(more[0]))]
     out += [_side(text[s - 1 : s]), _side(text[e : e + 1]), sum(map(str.isdigit, near)) / max(1, len(near)), *cues]
     return out
 
@@ -351,9 +352,9 @@ class _Taken:
         self.starts.insert(i, s), self.ends.insert(i, e)
 
 
-def labelled(n: int = EXAMPLES, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Features, labels, the text's number and the kind of each span proposed in examples that no base span touches. A span is right if it is a personal one from end to end."""
-    x, y, of, kinds = [], [], [], []
+def labelled(n: int = EXAMPLES, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list[tuple[int, int]]]:
+    """Features, labels, the text's number, the kind and the place of each span proposed in examples that no base span touches. A span is right if it is a personal one from end to end."""
+    x, y, of, kinds, places = [], [], [], [], []
     for i, (text, spans) in enumerate(examples(n, seed)):
         taken = _Taken([(s, e) for _, s, e in base_spans(text)])
         for g, s, e in sorted(set(proposed(text))):
@@ -362,17 +363,30 @@ def labelled(n: int = EXAMPLES, seed: int = 0) -> tuple[np.ndarray, np.ndarray,
                 y.append(float((s, e) in spans))
                 of.append(i)
                 kinds.append(kind_of(text, g, s, e))
-    return np.array(x, np.float64), np.array(y), np.array(of), kinds
+                places.append((s, e))
+    return np.array(x, np.float64), np.array(y), np.array(of), kinds, places
+
+
+def _winners(p: np.ndarray, of: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Which spans would be taken of those of a text that overlap, if there were no thresholds."""
+    out, taken = np.zeros(len(p), bool), {}
+    for i in sorted(range(len(p)), key=lambda i: (-p[i], spans[i][0] - spans[i][1], spans[i])):
+        mine = taken.setdefault(int(of[i]), _Taken([]))
+        if mine.free(*spans[i]):
+            mine.add(*spans[i])
+            out[i] = True
+    return out
 
 
 def train(n: int = EXAMPLES, seed: int = 0, precision: float = PRECISION) -> Finder:
-    """Trees on two thirds of the texts; scale, shift and thresholds on the rest. A kind that never reaches precision has a threshold that no probability reaches. The same seed gives the same finder, whatever the corpus."""
-    x, y, of, kinds = labelled(n, seed)
+    """Trees on two thirds of the texts; scale, shift and thresholds on the rest, thresholds by the likeliest of the spans that overlap. A kind that never reaches precision has a threshold that no probability reaches. The same seed gives the same finder, whatever the corpus."""
+    x, y, of, kinds, spans = labelled(n, seed)
     held = of % 3 == 2
     model = Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held])
     p, kind, thresholds = model.probability(x), np.array(kinds), {}
+    first = _winners(p, of, spans)
     for k in ADDED:
-        mine = held & (kind == k)
+        mine = held & first & (kind == k)
         order = np.argsort(-p[mine], kind="stable")
         right, q = y[mine][order].cumsum(), p[mine][order]
         whole = np.append(q[1:] < q[:-1], True) if len(q) else np.zeros(0, bool)  # ties pass together
