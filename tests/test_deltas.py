@@ -146,3 +146,17 @@ def test_stream_goes_on_with_the_index(spark, tmp_path, root):
     # another checkpoint reads all again: what is older doesn't hide what is newer for good, as batches come in their order
     assert run("d", [("c", 1.0, False)]) == [("A", 2.0), ("c", 1.0)]
     assert DeltaIndex(spark, root).read().where(F.col("path_norm") != norm_dir(F.col("p"))).isEmpty()
+
+
+def test_names_that_very_many_files_share(spark):
+    from vistaq.operators import index
+
+    r = random.Random(2)
+    rows = [("d", "a", ".png", i) for i in range(300)] + [("d", f"b{r.randrange(9)}", ".png", 1000 + i) for i in range(60)] + [(None, "a", ".png", 5), (None, "a", ".png", 6)]
+    r.shuffle(rows)
+    got = index.clash_names(spark.createDataFrame(rows, "dir string, name string, ext string, k int").withColumn("_order", F.col("k")).drop("_order"), F.col("k")).collect()
+    want, seen = set(), {}
+    for d, n, e, k in sorted(rows, key=lambda x: x[3]):
+        i = seen[d, n] = seen.get((d, n), -1) + 1
+        want.add((d, n, e, k, n + (f"-{i}" if i else "") + e))
+    assert {tuple(x) for x in got} == want and len(got) == len(rows)

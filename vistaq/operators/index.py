@@ -164,9 +164,28 @@ def usable_snapshot(snapshot: DataFrame | None, dim: int, vector: str = "emb", n
 
 
 def clash_names(files: DataFrame, order: Column) -> DataFrame:
-    """files (dir, name, ext) with file: the name, and from the second of one name on -1, -2 and so forth before the extension."""
-    n = F.row_number().over(Window.partitionBy("dir", "name", "ext").orderBy(order)) - 1  # a name's files meet in one task, sorted: numbers follow their order
-    return files.withColumn("file", F.concat("name", F.when(n > 0, F.concat(F.lit("-"), n)).otherwise(""), "ext"))
+    """files (dir, name, ext) with file: the name, and from the second of one name on -1, -2 and so forth before the extension.
+
+    Rows are cut into ranges of name and order, stored, and numbered within name and range; before that come the name's
+    rows in the ranges before, of which there is a count each. So a name that very many files share is no one task's work.
+    """
+    from ..sources.scratch import scratch
+
+    spark, name = files.sparkSession, ["dir", "name", "ext"]
+    parts, at = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), scratch(spark, "names")
+    dealt = files.withColumn("_order", order).repartitionByRange(parts, *name, "_order")
+    dealt.withColumn("_part", F.spark_partition_id()).write.parquet(at)  # a range is drawn once
+    rows = spark.read.parquet(at)
+    sizes = rows.groupBy(*name, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*name).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    sizes = sizes.select(*(F.col(c).alias(f"_{c}") for c in name), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_part", *name).orderBy("_order")))
+    same = F.col("_part") == F.col("_p")
+    for c in name:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    n = F.col("_before") + F.col("_at") - 1
+    file = F.concat("name", F.when(n > 0, F.concat(F.lit("-"), n)).otherwise(""), "ext")
+    return placed.join(sizes, same).select(*files.columns, file.alias("file"))
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
