@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import uuid
 
@@ -118,7 +119,7 @@ def orphans(thumbs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def criterion(folders: DataFrame) -> DataFrame:
-    """One row with the signature of what folders admit: it changes with any option of any folder."""
+    """One row with the signature of what folders admit: it changes with any option of any folder. All folders come together in that row: they are a configuration's, hundreds or thousands, each written by somebody."""
     row = F.struct("ord", norm_dir(F.col("path")).alias("path"), "min_side", "min_kb", F.array_sort("ignored").alias("ignored"), "everything")
     return folders.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(row))), 256).alias("criterion"))
 
@@ -152,11 +153,12 @@ def latest_snapshot(spark: SparkSession, root: str, before: int | None = None) -
 
 
 def usable_snapshot(snapshot: DataFrame | None, dim: int, vector: str = "emb", names: str | None = "nemb") -> DataFrame | None:
-    """A snapshot as it may be used: None if a row has no vector of dim numbers, as after a change of models, so that all is built anew. Name vectors of another length are dropped alone, to be made again."""
+    """A snapshot as it may be used: None if a row has no vector of dim numbers, as after a change of models, so that all is built anew; how many there are is logged. Name vectors of another length are dropped alone, to be made again."""
     if snapshot is None:
         return None
     wrong = F.coalesce(F.size(vector) != dim, F.lit(True))
     if not snapshot.where(wrong).isEmpty():
+        logging.getLogger(__name__).warning("%d rows without a vector of %d numbers: the index isn't used", snapshot.where(wrong).count(), dim)
         return None
     if names and names in snapshot.columns:
         return snapshot.withColumn(names, F.when(F.size(names) == dim, F.col(names)))

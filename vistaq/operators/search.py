@@ -99,13 +99,15 @@ def collapse(ranked: DataFrame, cards: int, key: Column | None = None) -> DataFr
 
 def similar(items: DataFrame, idx: int, cards: int = TOP, pieces: DataFrame | None = None) -> DataFrame:
     """Cards like item idx: by content alone, on its side of pieces (idx), its own group left out after the window is taken. An unknown idx gives none."""
-    base = items.where(F.col("idx") == idx).withColumn("_key", text.map_key(F.col("p"))).first()
+    found = items.where(F.col("idx") == idx).withColumn("_key", text.map_key(F.col("p")))
+    if pieces is not None:  # in the same job: whether the item is one of them
+        found = found.join(pieces.where(F.col("idx") == idx).select("idx", F.lit(True).alias("_own")).limit(1), "idx", "left")
+    base = found.first()
     if base is None:
         return collapse(top_k(items.limit(0).withColumn("score", F.lit(0.0)), 0), 0)
     rows = items
     if pieces is not None:
-        own = not pieces.where(F.col("idx") == idx).isEmpty()
-        rows = items.join(pieces, "idx", "left_semi" if own else "left_anti")
+        rows = items.join(pieces, "idx", "left_semi" if base["_own"] else "left_anti")
     ranked = top_k(rows.withColumn("score", vectors.dot_with(F.col("emb"), base["emb"])), cards * WINDOW_SIMILAR)
     keyed = ranked.withColumn("map_key", text.map_key(F.col("p"))).where(F.col("map_key") != base["_key"])
     return collapse(keyed, cards, F.col("map_key"))
