@@ -240,3 +240,13 @@ def test_targets_as_a_column(spark):
     got = [r[0] for r in spark.createDataFrame([(g,) for g in given], "g string").select(search.targets(F.col("g"))).collect()]
     assert got == [60, 60, 60, 480, 480, 180, 60, 60, 60, got[-1]]
     assert got[:-1] == [search.target(g) for g in given[:-1]]
+
+
+def test_releases(spark):
+    from vistaq.sources import web
+
+    rel = lambda tag, *names: json.dumps({"tag_name": tag, "assets": [{"name": n, "browser_download_url": f"u/{n}", "size": 5} for n in names], "body": "x" * 3000})
+    rows = [rel("v1.10.0", "a.zip", "Setup.EXE", "b.exe"), rel("1.9", "a.exe"), rel("1.9.1-rc2", "a.exe"), rel("2", "a.zip"), rel("2.0.0.7", "a.exe"), "no json", None, "{}", '{"tag_name": "3"}', '{"tag_name": "3", "assets": [{"name": null}]}']
+    df = spark.createDataFrame([("s", i, r) for i, r in enumerate(rows)], "source string, ord int, body string")
+    got = web.releases(df, "1.9.0").orderBy("ord").collect()
+    assert [(r.ord, r.version, r.url, len(r.notes)) for r in got] == [(0, "v1.10.0", "u/Setup.EXE", 2000), (2, "1.9.1-rc2", "u/a.exe", 2000), (4, "2.0.0.7", "u/a.exe", 2000)]

@@ -1315,3 +1315,16 @@ def memory_stored(spark, sf):
     _files(f"{root}/files", rows.select(F.concat("file", F.lit(".json")).alias("name"), "body"), lambda row: row["body"].encode())
     state.save_memory(state.read_memory_file(spark, f"{root}/files"), f"{root}/memory")
     return state.load_memory(spark, f"{root}/memory")
+
+
+@query("""WITH a AS (SELECT p_partkey AS k, 'v' || p_size // 10 || '.' || p_size % 10 || CASE WHEN p_partkey % 3 = 0 THEN '-beta' ELSE '.' || p_partkey % 4 END AS tag, [p_size // 10, p_size % 10] || CASE WHEN p_partkey % 3 = 0 THEN []::INT[] ELSE [(p_partkey % 4)::INT] END AS v FROM part)
+SELECT k AS ord, tag AS version, 'http://x/' || k || '.EXE' AS url, CASE WHEN k % 7 = 0 THEN 0 ELSE k * 10 END AS size, length('notes of ' || k) AS n_notes FROM a WHERE v > [2, 3, 1] AND k % 5 <> 0""")
+def release_feed(spark, sf):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text_ = lambda c: c.cast("string")
+    tag = F.concat(F.lit("v"), text_(F.floor(size / 10)), F.lit("."), text_(size % 10), F.when(k % 3 == 0, "-beta").otherwise(F.concat(F.lit("."), text_(k % 4))))
+    asset = lambda name, ending, n: F.struct(F.concat(F.lit(name), F.lit(ending)).alias("name"), F.concat(F.lit("http://x/"), text_(k), F.lit(ending)).alias("browser_download_url"), n.alias("size"))
+    assets = F.when(k % 5 == 0, F.array(asset("source", ".zip", k))).otherwise(F.array(asset("source", ".zip", k), asset("setup", ".EXE", F.when(k % 7 != 0, k * 10)), asset("other", ".exe", k)))
+    body = F.to_json(F.struct(tag.alias("tag_name"), F.concat(F.lit("notes of "), text_(k)).alias("body"), assets.alias("assets")))
+    answers = table(spark, sf, "part").select(F.lit("releases").alias("source"), k.alias("ord"), body.alias("body"))
+    return web.releases(answers, "2.3.1").select("ord", "version", "url", "size", F.length("notes").cast("long").alias("n_notes"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import slug_title
+from ..functions.text import slug_title, version_numbers
 
 #: A thumbnail is looked for in so many characters after its link.
 NEAR = 4000
@@ -44,6 +44,20 @@ def posts(answers: DataFrame, site: str) -> DataFrame:
     return rows.select("source", "ord", "pos", F.col("_p.title").alias("title"), url.alias("url"), path.alias("thumb")).where("thumb is not null")
 
 
+_RELEASE = "tag_name string, body string, assets array<struct<name:string,browser_download_url:string,size:long>>"
+#: Letters of a release's notes that are kept. Fixed value.
+NOTES = 2000
+
+
+def releases(answers: DataFrame, current: Column | str, ending: str = ".exe") -> DataFrame:
+    """(source, ord, version, url, size, notes) of JSON answers (source, ord, body) that tell of a release newer than current with an asset whose name ends so, in either case: the first one. Versions are compared by their first three numbers; what is no object, or has no tag, is none."""
+    now = F.lit(current) if isinstance(current, str) else current
+    rows = answers.select("source", "ord", F.from_json("body", _RELEASE).alias("_r"), now.alias("_now"))
+    fits = F.filter(F.coalesce("_r.assets", F.array().cast("array<struct<name:string,browser_download_url:string,size:bigint>>")), lambda a: F.endswith(F.lower(a["name"]), F.lit(ending.lower())))
+    rows = rows.where(version_numbers(F.coalesce("_r.tag_name", F.lit(""))) > version_numbers(F.coalesce("_now", F.lit("")))).withColumn("_a", F.get(fits, 0)).where("_a is not null")
+    return rows.select("source", "ord", F.col("_r.tag_name").alias("version"), F.col("_a.browser_download_url").alias("url"), F.coalesce("_a.size", F.lit(0)).alias("size"), F.substring(F.coalesce("_r.body", F.lit("")), 1, NOTES).alias("notes"))
+
+
 def catalogue(pages: DataFrame, link: str, image: str, site: str = "") -> DataFrame:
     """Links of pages (source, ord, html) that match link, whose groups are section and slug, with the first image after each."""
     last = re.compile(link).groups + 1
