@@ -1,6 +1,7 @@
 """Questions that are in flight, fetched pages, job status, batches with fallback, failures that are remembered, guarded clean-up."""
 
 import json
+import time
 import urllib.error
 
 import numpy as np
@@ -91,7 +92,7 @@ def test_pages_as_a_table_and_as_a_stream(spark, tmp_path):
     assert {r.source for r in fetching.told(df).select("source").collect()} == {"s0", "s1", "s2"}
     none = spark.read.format("fetched_pages").option("addresses", json.dumps(json.loads(listed)[3:])).option("wait", 0).load()
     assert [r.source for r in fetching.told(none).collect()] == ["s3"] and fetching.told(none).columns == ["source", "error"]
-    stream = spark.readStream.format("fetched_pages").option("addresses", listed).option("wait", 0).option("every", 0).option("rounds", 2).load()
+    stream = spark.readStream.format("fetched_pages").option("addresses", listed).option("wait", 0).option("rounds", 2).load()
     for _ in range(2):  # the second time nothing is left to do
         q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").start()
         q.processAllAvailable()
@@ -99,6 +100,19 @@ def test_pages_as_a_table_and_as_a_stream(spark, tmp_path):
         assert sorted((r.source, r.ord, r.body) for r in spark.read.parquet(f"{tmp_path}/out").where("error is null").collect()) == [(f"s{i}", 8 + i, f"page {i}") for i in range(3)]
 
 
+def test_rounds_follow_the_clock():
+    options = {"addresses": fetching.addresses([("a", "u"), ("b", "v")]), "every": "0.5"}
+    one = fetching.FetchStream(options)
+    first = one.latestOffset()["round"]
+    assert one.initialOffset()["round"] in (first - 1, first)
+    time.sleep(0.6)
+    again = fetching.FetchStream(options)  # as after a restart
+    later = again.latestOffset()["round"]
+    assert later > first and [a.url for a in again.partitions({"round": first}, {"round": later})] == ["u", "v"] and again.partitions({"round": later}, {"round": later}) == []
+    with pytest.raises(ValueError, match="some time"):
+        fetching.FetchStream({**options, "every": "0"})
+
+
 def test_status_of_streams_and_batches(spark, tmp_path):
     table = status.StatusTable(spark, f"{tmp_path}/status")
     docs = spark.range(30).withColumn("error", F.when(F.col("id") % 10 == 0, "bad"))

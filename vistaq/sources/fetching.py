@@ -56,18 +56,22 @@ class FetchReader(_Fetch, DataSourceReader):
 
 
 class FetchStream(_Fetch, DataSourceStreamReader):
-    """All addresses again in each round; an offset is the number of rounds begun. A round is every seconds long, counted from the first; with rounds it ends after so many."""
+    """All addresses again in each round. An offset is a round's number: rounds are every seconds long and numbered by the clock, so a stream that starts again goes on with the round that it is then. With rounds there are so many and no more, at once."""
 
     def __init__(self, options: dict):
         super().__init__(options)
-        self.every, self.rounds, self.begun = float(options.get("every", 60.0)), int(options.get("rounds", 0)), time.time()
+        self.every, self.rounds = float(options.get("every", 60.0)), int(options.get("rounds", 0))
+        if not self.rounds and self.every <= 0:
+            raise ValueError("a round has to take some time")
+
+    def _now(self) -> int:
+        return int(time.time() / self.every)
 
     def initialOffset(self) -> dict:
-        return {"round": 0}
+        return {"round": 0 if self.rounds else self._now() - 1}
 
     def latestOffset(self) -> dict:
-        n = 1 + int((time.time() - self.begun) / self.every) if self.every else 1 << 30
-        return {"round": min(n, self.rounds) if self.rounds else n}
+        return {"round": self.rounds or self._now()}
 
     def partitions(self, start: dict, end: dict) -> list[Address]:
         # of rounds that were missed the last one alone is fetched: pages say what is, not what was
