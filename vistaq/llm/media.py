@@ -77,12 +77,40 @@ def describe(samples: np.ndarray) -> str:
     return f"mean={mean:.3f};std={max(0.0, float(p @ (values - mean) ** 2)) ** 0.5:.3f};entropy={abs(float(p @ np.log2(p))):.3f};values={len(p)};step={steps.mean():.3f}"
 
 
+#: Bytes that a task keeps of what it has made, for texts that come again.
+KEPT = 16 << 20
+
+
+class _Seen:
+    """What a function gave for byte strings, so that one that comes again in a task isn't worked on twice; it starts anew once KEPT bytes are there."""
+
+    def __init__(self, make, most: int = KEPT):
+        self.make, self.most, self.made, self.n = make, most, {}, 0
+
+    def __call__(self, data: bytes):
+        key = hashlib.sha256(data).digest()
+        if key not in self.made:
+            got = self.make(data)
+            size = 200 + (len(got) if isinstance(got, bytes) else 500)
+            if self.n + size > self.most:
+                self.made, self.n = {}, 0
+            self.made[key] = got
+            self.n += size
+        return self.made[key]
+
+
+def _described(media: bytes) -> tuple:
+    x = load(media)
+    return len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(np.frombuffer(x, np.uint8))
+
+
 def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    stored = _Seen(lambda raw: store(padded(raw)))
     for pdf in batches:
         for low in range(0, len(pdf), 500):
             part = pdf.iloc[low : low + 500]
             raw = [(t or "").encode() for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": [len(x) for x in raw], "media": [store(padded(x)) for x in raw]})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": [len(x) for x in raw], "media": [stored(x) for x in raw]})
 
 
 def write_media(docs: DataFrame) -> DataFrame:
@@ -97,11 +125,9 @@ def _read(media: pd.Series) -> pd.DataFrame:
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    described = _Seen(_described)
     for pdf in batches:
-        out = []
-        for doc_id, n, media in zip(pdf["doc_id"], pdf["n_bytes"], pdf["media"], strict=True):
-            x = load(media)
-            out.append((doc_id, n, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(np.frombuffer(x, np.uint8))))
+        out = [(doc_id, n, *described(bytes(media))) for doc_id, n, media in zip(pdf["doc_id"], pdf["n_bytes"], pdf["media"], strict=True)]
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         yield pd.DataFrame(out, columns=names)
 

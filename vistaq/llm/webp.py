@@ -288,7 +288,12 @@ LOOK = 1 << 18
 
 
 def _read_green(bits: _Bits, width: int, total: int, green: _Code, distances: _Code) -> np.ndarray:
-    """Green of total pixels that differ in nothing else. What each bit would begin is looked up for many bits at once, and then followed from code to code; a back-reference is one step."""
+    """Green of total pixels that differ in nothing else.
+
+    What each bit would begin is looked up for many bits at once, and from that where eight literals after one another
+    would lead. So the codes are followed eight at a time, and one by one before a back-reference. Only places are kept on
+    the way: literals are looked up together, and then back-references copied in their order.
+    """
     out, at = np.empty(total, np.uint8), 0
     literal = green.symbol < 256
     if not green.bits:
@@ -298,39 +303,68 @@ def _read_green(bits: _Bits, width: int, total: int, green: _Code, distances: _C
         return out
     steps_of, mask = np.where(literal, green.size, 0).astype(np.uint8), np.uint32((1 << green.bits) - 1)
     symbol_of = np.where(literal, green.symbol, 0).astype(np.uint8)
-    data, base, steps, symbols = np.frombuffer(bits.data, np.uint8), 0, b"", b""
+    data, base, n_bits = np.frombuffer(bits.data, np.uint8), 0, 0
+    copies: list[tuple[int, int, int]] = []
+    from_8, to_8, from_1, to_1 = [], [], [], []
+    one = symbols = one_by_one = by_eight = None
+
+    def flush() -> None:
+        if to_1:
+            out[to_1] = symbols[from_1]
+        if to_8:
+            p, o = np.array(from_8), np.array(to_8)
+            for _ in range(8):
+                out[o] = symbols[p]
+                p, o = p + one[p], o + 1
+        for held in (from_8, to_8, from_1, to_1):
+            held.clear()
+
     while at < total:
-        if bits.at - base >= len(steps) - 16:
+        p = bits.at - base
+        if p >= n_bits:
+            flush()
             first = bits.at >> 3
             if first >= len(data):
                 raise ValueError("the image data end too soon")
-            some = np.concatenate([data[first : first + LOOK + 2], np.zeros(max(2, LOOK + 2 - (len(data) - first)) if first + LOOK + 2 > len(data) else 0, np.uint8)]).astype(np.uint32)
-            some = some[: min(LOOK, len(data) - first) + 2]
+            some = np.zeros(min(LOOK, len(data) - first) + 2, np.uint32)
+            there = data[first : first + len(some)]
+            some[: len(there)] = there
             word = some[:-2] | some[1:-1] << 8 | some[2:] << 16
             values = ((word[:, None] >> np.arange(8, dtype=np.uint32)) & mask).reshape(-1)
-            base, steps = 8 * first, steps_of[values].tobytes() + bytes(16)  # so no step leads beyond
-            symbols = symbol_of[values].tobytes()
-        run, p = [], bits.at - base
-        add = run.append
-        for _ in range(total - at):
-            step = steps[p]
+            base, n_bits = 8 * first, len(values)
+            one, symbols = np.zeros(n_bits + 128, np.uint8), np.zeros(n_bits + 128, np.uint8)  # beyond, no step leads on
+            one[:n_bits], symbols[:n_bits] = steps_of[values], symbol_of[values]
+            steps, places = one, np.arange(n_bits + 128)
+            for _ in range(3):  # twice as many codes each time
+                more = steps[places + steps]
+                steps = np.where(more > 0, steps + more, 0).astype(np.uint8) * (steps > 0)
+            one_by_one, by_eight = one.tobytes(), steps.tobytes()
+            p = bits.at - base
+        for _ in range((total - at) // 8):
+            step = by_eight[p]
+            if not step:
+                break
+            from_8.append(p), to_8.append(at)
+            p, at = p + step, at + 8
+        while at < total:
+            step = one_by_one[p]
             if not step:
                 break
-            add(symbols[p])
-            p += step
-        if run:
-            out[at : at + len(run)] = np.frombuffer(bytes(run), np.uint8)
-            at += len(run)
+            from_1.append(p), to_1.append(at)
+            p, at = p + step, at + 1
         bits.at = base + p
-        if at == total or p >= len(steps) - 16:
+        if at == total or p >= n_bits:
             continue
         n, d = _value(bits, green.read(bits) - 256), _distance(_value(bits, distances.read(bits)), width)
         if d > at or at + n > total:
             raise ValueError("a back-reference leaves the image")
-        out[at : at + n] = out[at - d : at - d + n] if d >= n else np.resize(out[at - d : at], n)
+        copies.append((at, n, d))
         at += n
     if bits.at > 8 * len(data):
         raise ValueError("the image data end too soon")
+    flush()
+    for at, n, d in copies:
+        out[at : at + n] = out[at - d : at - d + n] if d >= n else np.resize(out[at - d : at], n)
     return out
 
 
