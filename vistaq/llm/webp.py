@@ -8,6 +8,7 @@ from __future__ import annotations
 import heapq
 import struct
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 
@@ -161,20 +162,30 @@ def _read_code(bits: _Bits, size: int) -> _Code:
     code, left = _Code(own), size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
-    at, before = 0, 8
+    at, before, made = 0, 8, []
+    # a symbol and its bits take 14 at most, so some bytes hold all of them
+    first = bits.at >> 3
+    word, place = int.from_bytes(bits.data[first : first + 2 * min(size, left) + 16], "little"), bits.at & 7
+    table, mask = list(zip(code.symbol.tolist(), code.size.tolist(), strict=True)), (1 << code.bits) - 1
     while at < size and left:
         left -= 1
-        s = code.read(bits)
+        s, n = table[word >> place & mask]
+        place += n
         if s < 16:
-            lengths[at] = s
+            made.append(s)
             at, before = at + 1, s or before
         else:
             least, more = ((3, 2), (3, 3), (11, 7))[s - 16]
-            n = least + bits.read(more)
+            n = least + (word >> place & (1 << more) - 1)
+            place += more
             if at + n > size:
                 raise ValueError("code lengths run over")
-            lengths[at : at + n] = before if s == 16 else 0
+            made += [before if s == 16 else 0] * n
             at += n
+    bits.at = 8 * first + place
+    if bits.at > bits.end:
+        raise ValueError("the image data end too soon")
+    lengths[: len(made)] = made
     return _Code(lengths[:size])
 
 
@@ -204,18 +215,19 @@ def _huffman(counts: np.ndarray, most: int = 15) -> np.ndarray:
 
 
 def _write_code(out: _Out, lengths: np.ndarray) -> None:
-    used = np.flatnonzero(lengths)
-    if len(used) <= 2 and (not len(used) or used[-1] < 256):
-        used = used.tolist() or [0]
+    every = lengths.tolist()
+    used = [s for s, n in enumerate(every) if n]
+    if len(used) <= 2 and (not used or used[-1] < 256):
+        used = used or [0]
         out.put(1 | len(used) - 1 << 1 | 1 << 2 | used[0] << 3, 11)
         if len(used) == 2:
             out.put(used[1], 8)
         return
     out.put(0, 1)
     # runs of zeros by codes 17 and 18, of other lengths by 16 after the first
-    cuts = np.flatnonzero(lengths[1:] != lengths[:-1]) + 1
     tokens: list[tuple[int, int, int]] = []
-    for value, n in zip(lengths[np.r_[0, cuts]].tolist(), np.diff(np.r_[0, cuts, len(lengths)]).tolist(), strict=True):
+    for value, same in groupby(every):
+        n = len(list(same))
         if value:
             tokens.append((value, 0, 0))
             n -= 1
@@ -253,6 +265,14 @@ def _value(bits: _Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
+def _run(prefix: int, word: int, used: int) -> tuple[int, int]:
+    """_value, of the bits of a number, and the bits used by then."""
+    if prefix < 4:
+        return prefix + 1, used
+    extra = (prefix - 2) >> 1
+    return ((2 + (prefix & 1)) << extra) + (word & (1 << extra) - 1) + 1, used + extra
+
+
 def _prefix(value: int) -> tuple[int, int, int]:
     """(prefix, extra bits, their value) of a length or distance."""
     v = value - 1
@@ -305,16 +325,17 @@ def _read_green(bits: _Bits, width: int, total: int, green: _Code, distances: _C
     symbol_of = np.where(literal, green.symbol, 0).astype(np.uint8)
     data, base, n_bits = np.frombuffer(bits.data, np.uint8), 0, 0
     copies: list[tuple[int, int, int]] = []
+    raw, green_mask, far_mask = bits.data, (1 << green.bits) - 1, (1 << distances.bits) - 1
     from_8, to_8, from_1, to_1 = [], [], [], []
-    one = symbols = one_by_one = by_eight = None
+    one = values = one_by_one = by_eight = None
 
     def flush() -> None:
         if to_1:
-            out[to_1] = symbols[from_1]
+            out[to_1] = symbol_of[values[from_1]]
         if to_8:
             p, o = np.array(from_8), np.array(to_8)
             for _ in range(8):
-                out[o] = symbols[p]
+                out[o] = symbol_of[values[p]]
                 p, o = p + one[p], o + 1
         for held in (from_8, to_8, from_1, to_1):
             held.clear()
@@ -332,12 +353,12 @@ def _read_green(bits: _Bits, width: int, total: int, green: _Code, distances: _C
             word = some[:-2] | some[1:-1] << 8 | some[2:] << 16
             values = ((word[:, None] >> np.arange(8, dtype=np.uint32)) & mask).reshape(-1)
             base, n_bits = 8 * first, len(values)
-            one, symbols = np.zeros(n_bits + 128, np.uint8), np.zeros(n_bits + 128, np.uint8)  # beyond, no step leads on
-            one[:n_bits], symbols[:n_bits] = steps_of[values], symbol_of[values]
+            one = np.zeros(n_bits + 128, np.uint8)  # beyond, no step leads on
+            one[:n_bits] = steps_of[values]
             steps, places = one, np.arange(n_bits + 128)
-            for _ in range(3):  # twice as many codes each time
-                more = steps[places + steps]
-                steps = np.where(more > 0, steps + more, 0).astype(np.uint8) * (steps > 0)
+            for _ in range(3):  # twice as many codes each time; from a place without a step none leads on
+                more = steps.take(places + steps)
+                steps = (steps + more) * (more > 0)
             one_by_one, by_eight = one.tobytes(), steps.tobytes()
             p = bits.at - base
         for _ in range((total - at) // 8):
@@ -355,7 +376,17 @@ def _read_green(bits: _Bits, width: int, total: int, green: _Code, distances: _C
         bits.at = base + p
         if at == total or p >= n_bits:
             continue
-        n, d = _value(bits, green.read(bits) - 256), _distance(_value(bits, distances.read(bits)), width)
+        # a back-reference takes 58 bits at most: its length's code and bits, its distance's code and bits
+        start = bits.at
+        word = int.from_bytes(raw[start >> 3 : (start >> 3) + 10], "little") >> (start & 7)
+        k = word & green_mask
+        prefix, used = int(green.symbol[k]) - 256, int(green.size[k])
+        n, used = _run(prefix, word >> used, used)
+        k = word >> used & far_mask
+        prefix, used = int(distances.symbol[k]), used + int(distances.size[k])
+        d, used = _run(prefix, word >> used, used)
+        d = _distance(d, width)
+        bits.at = start + used
         if d > at or at + n > total:
             raise ValueError("a back-reference leaves the image")
         copies.append((at, n, d))
@@ -597,7 +628,8 @@ def _repeats(green: np.ndarray) -> list[tuple[int, int, int]]:
     n = len(green) - SEED + 1
     if n < LEAST:
         return []
-    key = np.lib.stride_tricks.sliding_window_view(green, SEED).copy().view("<u8").reshape(-1)
+    raw = green.tobytes()
+    key = np.ndarray(n, "<u8", raw, 0, (1,)).copy()  # SEED bytes from each place on
     order = np.argsort((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")  # of 16 bits: no comparisons
     same = key[order[1:]] == key[order[:-1]]
     before = np.full(n, -1)
@@ -605,19 +637,28 @@ def _repeats(green: np.ndarray) -> list[tuple[int, int, int]]:
     far = LEAST - SEED
     some = np.flatnonzero((before[:-far] >= 0) & (before[far:] - before[:-far] == far)) if n > far else []
     out, done = [], 0
-    for at in some.tolist() if len(some) else ():
+    for at, d in zip(some.tolist(), (some - before[some]).tolist(), strict=True) if len(some) else ():
         if at < done:
             continue
-        d = at - int(before[at])
-        most = min(4096, len(green) - at)
-        unlike = np.flatnonzero(green[at : at + most] != green[at - d : at - d + most])
-        k = int(unlike[0]) if len(unlike) else most
+        k = _alike(raw, at, at - d, min(4096, len(raw) - at))
         if k >= LEAST:
             out.append((at, k, d))
             done = at + k
     return out
 
 
+def _alike(raw: bytes, a: int, b: int, most: int) -> int:
+    """How many bytes from a on are those from b on, most at most: the lowest bit in which two numbers differ is in the first other byte."""
+    k, step = 0, 32
+    while k < most:
+        n = min(step, most - k)
+        x = int.from_bytes(raw[a + k : a + k + n], "little") ^ int.from_bytes(raw[b + k : b + k + n], "little")
+        if x:
+            return k + ((x & -x).bit_length() - 1 >> 3)
+        k, step = k + n, 4 * step
+    return most
+
+
 def _write_green(out: _Out, pixels: np.ndarray, width: int, back: bool) -> None:
     """Pixels that differ in green alone: prefix codes for its values, and back-references."""
     first, green = int(pixels[0]), (pixels >> 8 & 0xFF).astype(np.uint8)
@@ -637,13 +678,19 @@ def _write_green(out: _Out, pixels: np.ndarray, width: int, back: bool) -> None:
     values, sizes = _book(lengths)
     v, k = values[green], sizes[green]
     if found:
-        far, far_k = _book(away)
-        for at, _, n, d in found:  # a back-reference is one value of fewer than 64 bits, in the place of its first pixel
-            value, size = int(values[256 + n[0]]), int(sizes[256 + n[0]])
-            for bits, m in ((n[2], n[1]), (int(far[d[0]]), int(far_k[d[0]])), (d[2], d[1])):
-                value |= bits << size
-                size += m
-            v[at], k[at], alone[at] = value, size, True
+        far, far_k = (x.tolist() for x in _book(away))
+        run, run_k = values[256:].tolist(), sizes[256:].tolist()
+        places, whole, lengths_ = [], [], []
+        for at, _, (a, n_bits, extra), (b, m_bits, more) in found:  # a back-reference is one value of fewer than 64 bits, in the place of its first pixel
+            size = run_k[a]
+            value = run[a] | extra << size
+            size += n_bits
+            value |= far[b] << size
+            size += far_k[b]
+            places.append(at)
+            whole.append(value | more << size)
+            lengths_.append(size + m_bits)
+        v[places], k[places], alone[places] = np.array(whole, np.uint64), lengths_, True
         v, k = v[alone], k[alone]
     out.put_all(v, k)
 
