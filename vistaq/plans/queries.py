@@ -931,7 +931,7 @@ def config_folders(spark, sf):
 # ---- pictures
 
 
-def _files(root, rows, make):
+def _written(root, rows, make):
     """Writes a file per row (name, and what make needs) below root, for the readers to read back."""
 
     def run(batches):
@@ -983,7 +983,7 @@ v AS (SELECT k, w, h, bad, list_transform(range(w * h * 3), lambda i: CASE k % 4
   CASE WHEN NOT bad THEN sha256(unhex(array_to_string(list_transform(v, lambda x: printf('%02X', x)), ''))) END AS pixels, bad AS failed FROM v""")
 def picture_pixels(spark, sf):
     rows = table(spark, sf, "customer").select(F.concat("c_custkey", F.lit(".img")).alias("name"), F.col("c_custkey").alias("k"), (1 + F.col("c_custkey") % 11).alias("w"), (1 + F.col("c_nationkey") % 9).alias("h"))
-    got = media.decoded(_files(scratch(spark, "pictures"), rows, _picture))
+    got = media.decoded(_written(scratch(spark, "pictures"), rows, _picture))
     return got.select(F.regexp_extract("path", r"(\d+)\.img$", 1).cast("long").alias("k"), "width", "height", F.sha2("pixels", 256).alias("pixels"), F.col("error").isNotNull().alias("failed"))
 
 
@@ -1011,7 +1011,7 @@ f AS (
 SELECT k, sha256(unhex(array_to_string(list_transform(shown, lambda v: CASE WHEN v < 0 THEN '000000' ELSE printf('%02X%02X%02X', v * 30, v * 30 + 1, v * 30 + 2) END), ''))) AS pixels FROM f WHERE i = n // 2""")
 def gif_middle(spark, sf):
     rows = table(spark, sf, "part").select(F.concat("p_partkey", F.lit(".gif")).alias("name"), F.col("p_partkey").alias("k"), (2 + F.col("p_size") % 7).alias("n"))
-    got = media.decoded(_files(scratch(spark, "animations"), rows, _animation))
+    got = media.decoded(_written(scratch(spark, "animations"), rows, _animation))
     return got.select(F.regexp_extract("path", r"(\d+)\.gif$", 1).cast("long").alias("k"), F.sha2("pixels", 256).alias("pixels"))
 
 
@@ -1032,7 +1032,7 @@ def thumbs_written(spark, sf):
     root = scratch(spark, "thumbs")
     rows = table(spark, sf, "supplier").select(F.concat("s_suppkey", F.lit(".png")).alias("name"), F.col("s_suppkey").alias("k"), (1 + F.col("s_suppkey") * 53 % 400).alias("w"), (1 + F.col("s_nationkey") * 31 % 300).alias("h"))
     key = lambda c: F.regexp_extract(c, r"(\d+)\.png$", 1).cast("long").alias("k")
-    files = _files(f"{root}/pictures", rows, _canvas)
+    files = _written(f"{root}/pictures", rows, _canvas)
     # some have their thumbnail already; then all; then a pass that finds nothing to do
     media.prepared(files.where(key("path") % 3 == 0), f"{root}/thumbs", size=None).write.format("noop").mode("overwrite").save()
     media.prepared(files, f"{root}/thumbs", size=16).write.parquet(f"{root}/second")
@@ -1080,7 +1080,7 @@ def sound_lengths(spark, sf):
     k = F.col("c_custkey")
     rate = F.when(k % 6 == 3, 48_000).otherwise(8000 + F.col("c_nationkey") * 100)
     rows = table(spark, sf, "customer").select(F.concat(k, F.lit(".snd")).alias("name"), k.alias("k"), (1000 + k * 7919 % 5000).alias("n"), rate.alias("rate"))
-    got = audio.durations(_files(scratch(spark, "lengths"), rows, _container).select("path"))
+    got = audio.durations(_written(scratch(spark, "lengths"), rows, _container).select("path"))
     return got.select(F.regexp_extract("path", r"(\d+)\.snd$", 1).cast("long").alias("k"), "kind", "seconds", (F.col("read") <= stored.BOUND).alias("bounded"))
 
 
@@ -1106,7 +1106,7 @@ m AS (SELECT *, CASE "window" WHEN 0 THEN 7.5::DOUBLE WHEN 1 THEN 15 ELSE 15 + l
 SELECT source, "window", (45 + k)::DOUBLE AS seconds, round((mel - 0.75) * 65 / (15 + ln(14.0::DOUBLE) * 27 / ln(6.4::DOUBLE) - 0.75))::INT - 1 AS loudest, true AS bounded FROM m""")
 def sound_windows(spark, sf):
     rows = table(spark, sf, "documents").select("source").distinct().where("source is not null").select(F.concat("source", F.lit(".snd")).alias("name"), F.substring("source", 4, 9).cast("int").alias("k"))
-    found = audio.log_mels(_files(scratch(spark, "windows"), rows, _long_sound).select("path"))
+    found = audio.log_mels(_written(scratch(spark, "windows"), rows, _long_sound).select("path"))
     total = lambda m: F.aggregate(F.sequence(F.lit(0), F.lit(1000)), F.lit(0.0), lambda s, i: s + F.get(F.col("mel"), i * 64 + m))
     means = F.transform(F.sequence(F.lit(0), F.lit(63)), total)
     # three windows of ten seconds of 24 bits, or of 16 in two channels, and what a search for three blocks takes
@@ -1150,7 +1150,7 @@ def fetched_feeds(spark, sf):
     root = scratch(spark, "feeds")
     entry = F.concat(F.lit("<entry><title>page "), F.col("page_id").cast("string"), F.lit(' &amp; more</title><link href="'), F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"/></entry>'))
     feeds = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 50).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda x: x.e), "").alias("body"))
-    files = _files(root, feeds.select(F.concat(F.lit("feed"), "k", F.lit(".xml")).alias("name"), F.concat(F.lit("<feed>"), "body", F.lit("</feed>")).alias("body")), lambda row: row["body"].encode())
+    files = _written(root, feeds.select(F.concat(F.lit("feed"), "k", F.lit(".xml")).alias("name"), F.concat(F.lit("<feed>"), "body", F.lit("</feed>")).alias("body")), lambda row: row["body"].encode())
     found = [(r.path.rsplit("/", 1)[1][:-4], r.path) for r in files.select("path").collect()]  # a row a feed, as a configuration has it
     fetching.register(spark)
     pages = spark.read.format("fetched_pages").option("addresses", fetching.addresses([*found, ("none", f"{root}/none.xml")])).option("tries", 2).load()
@@ -1312,7 +1312,7 @@ def memory_stored(spark, sf):
     docs = table(spark, sf, "documents").where("lang is not null and source is not null")
     # one object a file, as it was kept before
     rows = docs.groupBy(F.floor(F.col("doc_id") / 200).alias("file")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit(" q "), "doc_id"), F.concat_ws(" ", "lang", "source"))))).alias("body"))
-    _files(f"{root}/files", rows.select(F.concat("file", F.lit(".json")).alias("name"), "body"), lambda row: row["body"].encode())
+    _written(f"{root}/files", rows.select(F.concat("file", F.lit(".json")).alias("name"), "body"), lambda row: row["body"].encode())
     state.save_memory(state.read_memory_file(spark, f"{root}/files"), f"{root}/memory")
     return state.load_memory(spark, f"{root}/memory")
 
