@@ -1,4 +1,4 @@
-"""Media files (path, content as binaryFile gives them) to arrays, model input and thumbnails, inside Arrow functions."""
+"""Media files (path, content as binaryFile gives them; or path alone, or path and place in a pack, see sources.packs) to arrays, model input and thumbnails, inside Arrow functions."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import images, pictures
 from ..functions.text import thumb_name
+from ..sources import packs
 
 #: Bytes of results that a task holds before it hands them on.
 HELD = 16 << 20
@@ -45,19 +46,25 @@ def each(make: Callable[[dict], dict], columns: list[str], weigh: Callable[[dict
 def decoded(files: DataFrame, draft: int | None = pictures.DRAFT) -> DataFrame:
     """path, width, height and pixels (bytes, row by row, red, green, blue) of each picture, or its error. Of an animation the middle frame. Null and empty contents are errors; binaryFile itself leaves empty files out."""
 
+    reader = packs.Reader()
+
     def make(file: dict) -> dict:
-        p = pictures.decode(bytes(file["content"] or b""), draft)
+        p = pictures.decode(reader.whole(file), draft)
         return {"width": p.shape[1], "height": p.shape[0], "pixels": p.tobytes()}
 
     run = each(make, ["width", "height", "pixels"], lambda r: len(r["pixels"] or b""))
-    return files.select("path", "content").mapInPandas(run, "path string, width int, height int, pixels binary, error string")
+    return files.select("path", *packs.source_of(files)).mapInPandas(run, "path string, width int, height int, pixels binary, error string")
 
 
 def resized(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     """Bicubic, each new pixel of what it covers."""
-    h, w, _ = pixels.shape
-    rows = np.einsum("yh,hwc->ywc", images._weights(h, height), pixels.astype(np.float64), optimize=True) if h != height else pixels.astype(np.float64)
-    out = np.einsum("xw,ywc->yxc", images._weights(w, width), rows, optimize=True) if w != width else rows
+    h, w, c = pixels.shape
+    rows = pixels.astype(np.float64)
+    if h != height:
+        rows = (images._weights(h, height) @ rows.reshape(h, w * c)).reshape(height, w, c)
+    out = rows
+    if w != width:
+        out = (images._weights(w, width) @ rows.transpose(1, 0, 2).reshape(w, height * c)).reshape(width, height, c).transpose(1, 0, 2)
     return np.clip(np.round(out), 0, 255).astype(np.uint8)
 
 
@@ -121,6 +128,7 @@ def prepared(files: DataFrame, root: str | None = None, size: int | None = SIZE,
     if known is not None and size is None:
         named = named.join(known.select(F.col("name").alias("thumb")).distinct(), "thumb", "left_anti")
     sink: list[Sink] = []
+    reader = packs.Reader()
 
     def make(file: dict) -> dict:
         row: dict = {"thumb": file["thumb"], "written": None, "input": None}
@@ -132,7 +140,7 @@ def prepared(files: DataFrame, root: str | None = None, size: int | None = SIZE,
             row["written"] = False
         if there and size is None:
             return row
-        p = pictures.decode(bytes(file["content"] or b""))
+        p = pictures.decode(reader.whole(file))
         if root and not there:
             w, h = fit(p.shape[1], p.shape[0], side)
             sink[0].put(file["thumb"], pictures.write_jpeg(resized(p, w, h), quality))
@@ -142,7 +150,7 @@ def prepared(files: DataFrame, root: str | None = None, size: int | None = SIZE,
         return row
 
     run = each(make, ["thumb", "written", "input"], lambda r: 4 * len(r["input"]) if r["input"] is not None else 0)
-    return named.select("path", "content", "thumb").mapInPandas(run, "path string, thumb string, written boolean, input array<float>, error string")
+    return named.select("path", *packs.source_of(files), "thumb").mapInPandas(run, "path string, thumb string, written boolean, input array<float>, error string")
 
 
 def thumb_of(path):
