@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vistaq.functions import pictures
+from vistaq.functions import audio, pictures, sounds
 from vistaq.operators import media
 from vistaq.plans import queries
 from vistaq.sources import packs
@@ -48,6 +48,8 @@ def test_readers_of_packs(spark, tmp_path):
     found = packs.write(rows_of(spark, 4), f"file://{tmp_path}/x", lambda row: made[row["k"]])
     seen = {r.path[-5]: r for r in media.decoded(found).collect()}
     assert bytes(seen["0"].pixels) == p.tobytes() and all(seen[k].error for k in "123")
+    told = {r.path[-5]: r for r in audio.durations(found).collect()}
+    assert (told["3"].kind, told["3"].seconds) == ("flac", 2.0) and told["3"].read <= sounds.BOUND and told["2"].seconds is None
     thumbs = media.prepared(found, f"file://{tmp_path}/thumbs", size=4).where("error is null").collect()
     assert [(t.written, len(t.input)) for t in thumbs] == [(True, 48)]
     # a file by its path alone
@@ -56,7 +58,7 @@ def test_readers_of_packs(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize(("name", "table"), [("picture_pixels", "customer")])
+@pytest.mark.parametrize(("name", "table"), [("picture_pixels", "customer"), ("sound_lengths", "customer")])
 def test_files_do_not_grow_with_rows(spark, tmp_path, monkeypatch, name, table):
     monkeypatch.setattr(queries, "scratch", lambda spark, what: f"file://{tmp_path}/{what}")
     rows = spark.read.parquet(f"{SF}/{table}.parquet").count()

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import packs
 from . import sounds
 
 # Fixed values of the spectrogram.
@@ -104,13 +105,20 @@ class Resampler:
         return out
 
 
-def _windows(by_path: bool):
+def _ranged(file: dict, reader: packs.Reader) -> sounds.Ranged:
+    if "content" in file:
+        return sounds.Ranged(bytes(file["content"]))
+    handle, start, size = reader(file)
+    return sounds.Ranged(handle, size, start)
+
+
+def _windows():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filters, resamplers = mel_filters(), {}
+        filters, resamplers, reader = mel_filters(), {}, packs.Reader()
         for pdf in batches:
             for file in pdf.to_dict("records"):
                 try:
-                    f = sounds.opened(file["path"]) if by_path else sounds.Ranged(bytes(file["content"]))
+                    f = _ranged(file, reader)
                     what = sounds.kind(f.at(0, 16))
                     if what not in ("wav", "flac"):
                         raise ValueError(f"no decoder for {what or 'this'}")
@@ -134,18 +142,18 @@ def _windows(by_path: bool):
 
 
 def log_mels(files: DataFrame) -> DataFrame:
-    """A row per window of WAV and FLAC files: path, window, seconds, mel, read (the file's bytes that were read), or error. Where files bring no content they are opened by path, and of long ones only the windows are read; that needs a file system that pyarrow opens."""
-    by_path = "content" not in files.columns
-    return files.select("path", *([] if by_path else ["content"])).mapInPandas(_windows(by_path), "path string, window int, seconds double, mel array<float>, read long, error string")
+    """A row per window of WAV and FLAC files: path, window, seconds, mel, read (the file's bytes that were read), or error. Where files bring no content they are opened by path, or at their place in a pack (see sources.packs), and of long ones only the windows are read; that needs a file system that pyarrow opens."""
+    return files.select("path", *packs.source_of(files)).mapInPandas(_windows(), "path string, window int, seconds double, mel array<float>, read long, error string")
 
 
-def _lengths(by_path: bool):
+def _lengths():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = packs.Reader()
         for pdf in batches:
             out = []
             for file in pdf.to_dict("records"):
                 try:
-                    f = sounds.opened(file["path"]) if by_path else sounds.Ranged(bytes(file["content"]))
+                    f = _ranged(file, reader)
                     out.append((file["path"], sounds.kind(f.at(0, 16)), sounds.duration(f), f.read, None))
                 except Exception as error:
                     out.append((file["path"], None, None, None, str(error) or type(error).__name__))
@@ -156,5 +164,4 @@ def _lengths(by_path: bool):
 
 def durations(files: DataFrame) -> DataFrame:
     """path, kind, seconds, read (bytes), error: how long files are, by their headers; null where that isn't told. At most sounds.BOUND bytes of a file are read, at its front and end, unless files bring their content."""
-    by_path = "content" not in files.columns
-    return files.select("path", *([] if by_path else ["content"])).mapInPandas(_lengths(by_path), "path string, kind string, seconds double, read long, error string")
+    return files.select("path", *packs.source_of(files)).mapInPandas(_lengths(), "path string, kind string, seconds double, read long, error string")
