@@ -1,6 +1,7 @@
 """Small files in packs: few large files however many rows, the same bytes, and what is read of them."""
 
 import os
+import re
 
 import numpy as np
 import pytest
@@ -66,6 +67,14 @@ def test_files_do_not_grow_with_rows(spark, tmp_path, monkeypatch, name, table):
     assert len(stored(tmp_path)) <= max(4, rows // 20)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_thumbnails_are_read_by_name(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "scratch", lambda spark, what: f"file://{tmp_path}/{what}")
+    n = queries.QUERIES["thumbs_written"](spark, SF).count()
+    names = [os.path.basename(x) for x in stored(tmp_path)]
+    assert n == sum(bool(re.fullmatch(r"[0-9a-f]{16}\.jpg", x)) for x in names) and not any(x.endswith(".png") for x in names)
+
+
 def test_long_codes_of_a_jpeg():
     # a table of 512 places for codes of up to 9 bits; longer ones are found, and those that don't exist aren't
     sizes, symbols = bytes([0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1]), bytes(range(15))
