@@ -59,7 +59,7 @@ def test_readers_of_packs(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize(("name", "table"), [("picture_pixels", "customer"), ("sound_lengths", "customer")])
+@pytest.mark.parametrize(("name", "table"), [("picture_pixels", "customer"), ("sound_lengths", "customer"), ("gif_middle", "part")])
 def test_files_do_not_grow_with_rows(spark, tmp_path, monkeypatch, name, table):
     monkeypatch.setattr(queries, "scratch", lambda spark, what: f"file://{tmp_path}/{what}")
     rows = spark.read.parquet(f"{SF}/{table}.parquet").count()
