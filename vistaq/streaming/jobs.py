@@ -58,11 +58,13 @@ def index_stream(files: DataFrame, root: str, checkpoint: str, make) -> Streamin
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ttl_stream(requests: DataFrame, ttl: float = 300.0, late: str = "10 minutes") -> DataFrame:
+def ttl_stream(requests: DataFrame, ttl: float = 300.0, late: str = "10 minutes", buckets: int = 4096) -> DataFrame:
     """Hits of cached answers over a stream (key, at in seconds), in the order of time within a batch and key.
 
-    State is the time of a key's last fetch. It is dropped once the watermark, late behind the newest request, has passed
-    that by ttl: no request that still comes can hit it. Requests later than that are dropped, too.
+    State is the time of a key's last fetch, kept for all keys of a bucket together, since a call of a group costs more
+    than its rows. It is dropped once the watermark, late behind the newest request, has passed that by ttl: no request
+    that still comes can hit it; at the latest with the bucket's next requests, or when all of its keys are over.
+    Requests later than that are dropped, too. buckets can't change while a checkpoint is gone on with.
     """
     from collections.abc import Iterator
 
@@ -75,16 +77,20 @@ def ttl_stream(requests: DataFrame, ttl: float = 300.0, late: str = "10 minutes"
         if state.hasTimedOut:
             state.remove()
             return
-        since = state.get[0] if state.exists else None
-        times = sorted(t for pdf in batches for t in pdf["at"])
+        over = state.getCurrentWatermarkMs() / 1000 - ahead - ttl
+        last = {k: at for k, at in zip(*state.get, strict=True) if at > over} if state.exists else {}
+        rows = sorted((at, i, k) for i, (k, at) in enumerate(x for pdf in batches for x in zip(pdf["key"].tolist(), pdf["at"].tolist(), strict=True)))
         hits = []
-        for at in times:
+        for at, _, k in rows:
+            since = last.get(k)
             hit = since is not None and at - since < ttl
-            since = since if hit else at
+            if not hit:
+                last[k] = at
             hits.append(hit)
-        state.update((float(since),))
-        state.setTimeoutTimestamp(max(int((since + ttl + ahead) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": key[0], "at": times, "hit": hits})
+        state.update((list(last), list(last.values())))
+        state.setTimeoutTimestamp(max(int((max(last.values()) + ttl + ahead) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": [k for _, _, k in rows], "at": [at for at, _, _ in rows], "hit": hits})
 
     timed = requests.withColumn("_time", F.timestamp_micros(((F.col("at") + ahead) * 1_000_000).cast("long"))).withWatermark("_time", late)
-    return timed.groupBy("key").applyInPandasWithState(step, "key string, at double, hit boolean", "since double", "append", "EventTimeTimeout")
+    grouped = timed.withColumn("_bucket", F.pmod(F.hash("key"), F.lit(buckets))).groupBy("_bucket")
+    return grouped.applyInPandasWithState(step, "key string, at double, hit boolean", "keys array<string>, since array<double>", "append", "EventTimeTimeout")
